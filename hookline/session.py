@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, app: str = "hookline",
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", "16g")
     for k, v in JOB_CONF.items():
         builder = builder.config(k, v)

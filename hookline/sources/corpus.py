@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.fixed import BRANDS
+from hookline.session import ensure_checkpoint_dir
 from hookline.sources.tables import events, pages
 
+DERIVED_VERSION = "v1"
+
 # --- FIXED VALUES of the derived corpus (the oracle SQL repeats them) --------
 N_TEMPLATES = 16
 BRAND_WORDS = ["secure", "login", "verify", "update"]
@@ -50,7 +53,7 @@ def _url_parts(url: Column):
     return s, h, r
 
 
-def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id BIGINT, url STRING, label INT, label_text STRING), one row per page."""
     pg = pages(spark, sf_dir).select("page_id", "url")
     s, h, r = _url_parts(F.col("url"))
@@ -95,7 +98,7 @@ def registry_key(url: Column) -> Column:
     return F.lower(strip_www(parse_url(url)["host"]))
 
 
-def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(domain, creation_date TIMESTAMP, expiration_date TIMESTAMP).
 
     Registered domains (last two labels) of the corpus hosts, plus every third
@@ -121,7 +124,7 @@ def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.timestamp_seconds(expires).alias("expiration_date")))
 
 
-def certificate_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_certificate_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, not_before TIMESTAMP, not_after TIMESTAMP) of the https hosts."""
     from hookline.functions.url import parse_url
     p = parse_url(F.col("url"))
@@ -158,23 +161,22 @@ NULL_HTML_EVERY = 50
 # --- end of fixed values -------------------------------------------------------
 
 
-def pages_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_pages_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, html): pages with fragments; every 50th html is null."""
     pg = pages(spark, sf_dir).select("page_id", "url", "html")
     _, h, _ = _url_parts(F.col("url"))
     k = F.col("page_id") % len(HTML_FRAGMENTS)
     frag = F.lit("")
-    for i in range(len(HTML_FRAGMENTS) - 1, -1, -1):
-        pieces = HTML_FRAGMENTS[i].split("{netloc}")
-        val = pieces[0] if len(pieces) == 1 else None
-        expr = F.lit(val) if val is not None else F.concat(F.lit(pieces[0]), h, F.lit(pieces[1]))
-        frag = F.when(k == i, expr).otherwise(frag)
+    for i, text in enumerate(HTML_FRAGMENTS):
+        head, _, tail = text.partition("{netloc}")
+        piece = F.concat(F.lit(head), h, F.lit(tail)) if "{netloc}" in text else F.lit(text)
+        frag = F.when(k == i, piece).otherwise(frag)
     html = F.when(F.col("page_id") % NULL_HTML_EVERY == NULL_HTML_EVERY - 1, F.lit(None).cast("string")) \
         .otherwise(F.concat(F.col("html"), frag))
     return pg.select("page_id", "url", html.alias("html"))
 
 
-def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, url, label): each event carries corpus url ``event_id % n``.
 
     ``n`` is a scalar subquery over the corpus, so nothing is collected.
@@ -185,3 +187,47 @@ def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = ev.withColumn("id", F.col("event_id") % n)
     return keyed.join(corpus.select("id", "url", "label"), "id", "inner") \
         .select("event_id", "ts", "url", "label")
+
+
+# --- materialized derived tables ------------------------------------------------
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def derived_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    import hashlib
+    tag = hashlib.md5(f"{DERIVED_VERSION}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:12]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hookline-derived/{tag}/{name}"
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived table once per input folder to the shared checkpoint
+    folder and read it back (a written table: lineage cut, survives executor
+    loss, and downstream plans start from a plain parquet scan)."""
+    path = derived_path(spark, sf_dir, name)
+    if not _fs_exists(spark, path + "/_SUCCESS"):
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, sf_dir, "url_corpus", _build_url_corpus)
+
+
+def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, sf_dir, "registry", _build_registry_snapshot)
+
+
+def certificate_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, sf_dir, "certificates", _build_certificate_snapshot)
+
+
+def pages_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, sf_dir, "pages_decorated", _build_pages_decorated)
+
+
+def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, sf_dir, "url_events", _build_url_events)
