@@ -106,7 +106,7 @@ INDICATOR_RULES = [
     ("no_valid_ssl", "has_valid_ssl", "==", 0),
     ("ip_host", "has_ip_address", "==", 1),
     ("many_subdomains", "num_subdomains", ">", 2),
-    ("young_domain", "domain_age_days", "<", 30),
+    ("young_domain", "domain_age_days", "in [0, v)", 30),
     ("near_brand", "levenshtein_distance", "<=", 2),
     ("typosquat", "typosquatting_score", "==", 1),
 ]

@@ -15,6 +15,7 @@ _OPS = {
     "<": lambda c, v: c < v,
     "<=": lambda c, v: c <= v,
     "==": lambda c, v: c == v,
+    "in [0, v)": lambda c, v: (c >= 0) & (c < v),
 }
 
 

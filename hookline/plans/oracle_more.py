@@ -1,5 +1,317 @@
-"""More oracle statements."""
+"""Oracle statements for content, rules, labels, splits and metrics."""
+
+from __future__ import annotations
+
+from hookline.fixed import (BRANDS, CONTENT_COLUMNS, CUSTOM_POSITIVE_LABELS, FEATURE_COLUMNS,
+                            INDICATOR_RULES, NEW_DOMAIN_DAYS, NO_WARNINGS_TEXT, RANDOM_SEED,
+                            UCI_POSITIVE_TEXT, WARN_IP, WARN_NEW_DOMAIN, WARN_NO_HTTPS,
+                            WARN_TYPOSQUAT)
+from hookline.functions.html import attr_pattern, tag_pattern
+from hookline.plans.oracle import _q, _with, corpus_ctes, full_ctes, parse_ctes
+from hookline.sources import corpus as C
+
+RULE_THRESHOLD = 4
+N_RULES = len(INDICATOR_RULES)
+FOLDS = 5
+
+
+def _dbl(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+_SQL_OP = {">": ">", "<": "<", "<=": "<=", "==": "="}
+
+
+def _rule_sql(feat: str, op: str, val) -> str:
+    if op == "in [0, v)":
+        return f"({feat} >= 0 AND {feat} < {val})"
+    return f"({feat} {_SQL_OP[op]} {val})"
+
+
+IND_SUM = " + ".join(f"(CASE WHEN {_rule_sql(f, o, v)} THEN 1 ELSE 0 END)" for _, f, o, v in INDICATOR_RULES)
+FEATS = ", ".join(FEATURE_COLUMNS)
+
+
+def scored_ctes() -> str:
+    return corpus_ctes() + "," + full_ctes("url_corpus") + f""",
+scored AS (
+  SELECT id, label, {FEATS}, closest_brand,
+         CAST({IND_SUM} AS INTEGER) AS n_indicators,
+         CAST({IND_SUM} AS DOUBLE) / CAST({N_RULES} AS DOUBLE) AS score,
+         CAST(CASE WHEN {IND_SUM} >= {RULE_THRESHOLD} THEN 1 ELSE 0 END AS INTEGER) AS prediction
+  FROM full_ WHERE error IS NULL)"""
+
+
+def pages_decorated_cte() -> str:
+    h = "regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)"
+    whens = []
+    for i, text in enumerate(C.HTML_FRAGMENTS):
+        head, _, tail = text.partition("{netloc}")
+        piece = f"{_q(head)} || {h} || {_q(tail)}" if "{netloc}" in text else _q(text)
+        whens.append(f"WHEN {i} THEN {piece}")
+    frag = f"CASE page_id % {len(C.HTML_FRAGMENTS)} {' '.join(whens)} END"
+    return f"""
+pages_decorated AS (
+  SELECT page_id, url,
+         CASE WHEN page_id % {C.NULL_HTML_EVERY} = {C.NULL_HTML_EVERY - 1} THEN NULL ELSE html || {frag} END AS html
+  FROM pages)"""
+
+
+def _attr(t: str, name: str) -> str:
+    v = f"regexp_extract({t}, {_q(attr_pattern(name))}, 1)"
+    return f"(CASE WHEN starts_with({v}, '\"') OR starts_with({v}, '''') THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)"
+
+
+def _ext(href: str) -> str:
+    return f"(starts_with({href}, 'http') AND netloc <> '' AND NOT contains({href}, netloc))"
+
+
+def content_ctes(src: str) -> str:
+    """{src}(page_id, url, html) -> content(page_id, url, 5 features)."""
+    strip = "html"
+    for pat in [r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"]:
+        strip = f"regexp_replace({strip}, {_q(pat)}, '', 'g')"
+    tags = {n: f"regexp_extract_all(h, {_q(tag_pattern(n))}, 0)" for n in ["form", "input", "a", "img", "link"]}
+    return parse_ctes(src, "pp") + f""",
+pc0 AS (SELECT page_id, url, html, coalesce(netloc, '') AS netloc, {strip} AS h FROM pp),
+pc1 AS (SELECT page_id, url, html, netloc, {tags['form']} AS forms, {tags['input']} AS inputs,
+               {tags['a']} AS anchors, {tags['img']} AS images,
+               list_filter({tags['link']}, lambda t: regexp_matches({_attr('t', 'rel')}, '(^|\\s)icon(\\s|$)')) AS icons
+        FROM pc0),
+content AS (
+  SELECT page_id, url,
+    CAST(CASE WHEN html IS NULL THEN 0.0 WHEN len(forms) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS has_form,
+    CAST(CASE WHEN html IS NULL THEN 0.0
+              WHEN len(list_filter(inputs, lambda t: {_attr('t', 'type')} = 'password')) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS has_password_field,
+    CAST(CASE WHEN html IS NULL THEN 0 ELSE len(list_filter(anchors, lambda t: {_ext(_attr('t', 'href'))})) END AS DOUBLE) AS num_external_links,
+    CAST(CASE WHEN html IS NULL THEN 0 ELSE len(images) END AS DOUBLE) AS num_images,
+    CAST(CASE WHEN html IS NULL THEN 0.0
+              WHEN len(icons) > 0 AND {_ext(_attr('icons[1]', 'href'))} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS favicon_from_other_domain
+  FROM pc1)"""
+
+
+def url_events_ctes() -> str:
+    return """
+n_corpus AS (SELECT count(*) AS n FROM url_corpus),
+url_events AS (
+  SELECT e.event_id, e.ts, c.url, c.label
+  FROM events e JOIN url_corpus c ON c.id = e.event_id % (SELECT n FROM n_corpus))"""
+
+
+def _alloc_ctes(prefix: str, counts: str, n_col: str, ratio: float) -> str:
+    """{prefix}(label, hold): held-out rows per class (largest remainder on the kept share)."""
+    r = _dbl(ratio)
+    return f"""
+{prefix}_a AS (
+  SELECT label, {n_col} AS n, CAST(sum({n_col}) OVER () AS DOUBLE) AS n_all FROM {counts}),
+{prefix}_b AS (
+  SELECT *, n_all - ceil({r} * n_all) AS keep_total FROM {prefix}_a),
+{prefix}_c AS (
+  SELECT *, CAST(n AS DOUBLE) / n_all * keep_total AS cont FROM {prefix}_b),
+{prefix}_d AS (
+  SELECT *, floor(cont) AS fl FROM {prefix}_c),
+{prefix}_e AS (
+  SELECT *, keep_total - sum(fl) OVER () AS need,
+         row_number() OVER (ORDER BY cont - fl DESC, label) AS rr FROM {prefix}_d),
+{prefix} AS (
+  SELECT label, CAST(n - (fl + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS BIGINT) AS hold FROM {prefix}_e)"""
+
+
+def _hash_rank(src: str) -> str:
+    return (f"SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY "
+            f"md5('{RANDOM_SEED}:' || CAST(id AS VARCHAR)), id) AS rnk FROM {src}")
+
+
+def split_ctes(ratio: float = 0.2) -> str:
+    return scored_ctes() + f""",
+sp_cnt AS (SELECT label, count(*) AS n FROM scored GROUP BY label),""" + _alloc_ctes("sp_alloc", "sp_cnt", "n", ratio) + f""",
+sp_rank AS ({_hash_rank('scored')}),
+split AS (
+  SELECT sp_rank.id, sp_rank.label, CASE WHEN rnk <= hold THEN 'validation' ELSE 'train' END AS split
+  FROM sp_rank JOIN sp_alloc USING (label))"""
+
+
+def _clamp(x: str, hi: str) -> str:
+    return f"least(greatest({x}, 0), {hi})"
+
+
+def fold_sql(k: int) -> str:
+    terms = []
+    for i in range(k):
+        no_wrap = _clamp(f"{i} - o2 + 1", "m")
+        wrap = f"{_clamp(f'{i} - o2 + 1', f'{k} - o2')} + {_clamp(f'{i + 1}', f'o2 + m - {k}')}"
+        extra = f"(CASE WHEN o2 + m <= {k} THEN {no_wrap} ELSE {wrap} END)"
+        terms.append(f"(CASE WHEN q * {i + 1} + {extra} <= r THEN 1 ELSE 0 END)")
+    return " + ".join(terms)
+
+
+def folds_ctes(k: int = FOLDS) -> str:
+    return scored_ctes() + f""",
+fd_cls AS (SELECT label, count(*) AS n, min(id) AS first_id FROM scored GROUP BY label),
+fd_cls2 AS (
+  SELECT label, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+  FROM fd_cls),
+fd_rank AS (SELECT id, label, prediction, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS r FROM scored),
+fd_x AS (
+  SELECT fd_rank.*, n // {k} AS q, n % {k} AS m, o % {k} AS o2 FROM fd_rank JOIN fd_cls2 USING (label)),
+folds AS (SELECT id, label, prediction, CAST({fold_sql(k)} AS INTEGER) AS fold FROM fd_x)"""
 
 
 def statements() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    content_cols = ", ".join(CONTENT_COLUMNS)
+    out["page_content_features"] = (_with(pages_decorated_cte(), content_ctes("pages_decorated"))
+                                    + f"\nSELECT page_id, {content_cols} FROM content")
+    by_url = ", ".join(f"cb.c.{c} AS {c}" for c in CONTENT_COLUMNS)
+    coal = ", ".join(f"CAST(coalesce(cu.{c}, 0.0) AS DOUBLE) AS {c}" for c in CONTENT_COLUMNS)
+    out["page_content_join"] = _with(corpus_ctes(), url_events_ctes(), pages_decorated_cte(),
+                                     content_ctes("pages_decorated")) + f""",
+cb AS (SELECT url, arg_min(struct_pack({', '.join(f'{c} := {c}' for c in CONTENT_COLUMNS)}), page_id) AS c
+       FROM content WHERE url IS NOT NULL GROUP BY url),
+cu AS (SELECT url, {by_url} FROM cb)
+SELECT e.event_id, {coal} FROM url_events e LEFT JOIN cu ON cu.url = e.url"""
+
+    head, tail = WARN_TYPOSQUAT.split("{brand}")
+    w = [f"CASE WHEN has_https = 0 THEN {_q(WARN_NO_HTTPS)} END",
+         f"CASE WHEN has_ip_address <> 0 THEN {_q(WARN_IP)} END",
+         f"CASE WHEN typosquatting_score > 0 THEN {_q(head)} || coalesce(closest_brand, 'unknown') || {_q(tail)} END",
+         f"CASE WHEN domain_age_days >= 0 AND domain_age_days < {NEW_DOMAIN_DAYS} THEN {_q(WARN_NEW_DOMAIN)} END"]
+    n_w = " + ".join(f"(CASE WHEN ({x}) IS NULL THEN 0 ELSE 1 END)" for x in w)
+    out["warning_rules"] = _with(corpus_ctes(), full_ctes("url_corpus")) + f"""
+SELECT id, CAST({n_w} AS INTEGER) AS n_warnings,
+       CASE WHEN {n_w} = 0 THEN {_q(NO_WARNINGS_TEXT)} ELSE concat_ws(chr(10), {', '.join(w)}) END AS warning_text
+FROM full_ WHERE error IS NULL"""
+
+    names = [f"CASE WHEN {_rule_sql(f, o, v)} THEN {_q(n)} END" for n, f, o, v in INDICATOR_RULES]
+    out["risk_indicators"] = _with(corpus_ctes(), full_ctes("url_corpus")) + f"""
+SELECT id, CAST({IND_SUM} AS INTEGER) AS n_indicators, concat_ws(',', {', '.join(names)}) AS indicators
+FROM full_ WHERE error IS NULL"""
+
+    out["warning_summary"] = _with(corpus_ctes(), url_events_ctes(),
+                                   "ue AS (SELECT event_id AS id, url FROM url_events)",
+                                   full_ctes("ue")) + f"""
+SELECT CAST(count_if(error IS NULL AND ({IND_SUM}) < {RULE_THRESHOLD}) AS BIGINT) AS safe_count,
+       CAST(count_if(error IS NULL AND ({IND_SUM}) >= {RULE_THRESHOLD}) AS BIGINT) AS phishing_count,
+       CAST(count_if(error IS NOT NULL) AS BIGINT) AS error_count
+FROM full_"""
+
+    pos = ", ".join(_q(x) for x in CUSTOM_POSITIVE_LABELS)
+    out["labels_custom"] = _with(corpus_ctes()) + f"""
+SELECT id, label_text, CAST(CASE WHEN lower(coalesce(label_text, 'nan')) IN ({pos}) THEN 1 ELSE 0 END AS INTEGER) AS label
+FROM url_corpus"""
+
+    txt = ", ".join(_q(x) for x in UCI_POSITIVE_TEXT)
+    out["labels_uci"] = _with(corpus_ctes()) + f""",
+u AS (
+  SELECT id, CAST(CASE WHEN id % 5 = 0 THEN 0 WHEN label = 1 THEN 1 ELSE -1 END AS INTEGER) AS "Result",
+         CASE id % 4 WHEN 0 THEN '1' WHEN 1 THEN '-1' WHEN 2 THEN 'phishing' ELSE 'legitimate' END AS "class"
+  FROM url_corpus)
+SELECT id, "Result", "class",
+       CAST(CASE WHEN "Result" IN (1, -1) THEN 1 ELSE 0 END AS INTEGER) AS label_ref,
+       CAST(CASE WHEN "Result" = 1 THEN 1 ELSE 0 END AS INTEGER) AS label_pos,
+       CAST(CASE WHEN "class" IN ({txt}) THEN 1 ELSE 0 END AS INTEGER) AS class_label
+FROM u"""
+
+    out["class_distribution"] = _with(corpus_ctes()) + """
+SELECT label, count(*) AS n FROM url_corpus GROUP BY label"""
+
+    out["sample_corpus"] = _with(corpus_ctes()) + """,
+pools AS (SELECT id, url, CASE WHEN label = 0 THEN 'legitimate' ELSE 'phishing' END AS label
+          FROM url_corpus WHERE url IS NOT NULL),
+pools_r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS pos FROM pools),
+sizes AS (SELECT label, count(*) AS size FROM pools GROUP BY label),
+half AS (SELECT count(*) // 2 AS h FROM url_corpus),
+idx AS (SELECT unnest(range(h)) AS i FROM half),
+targets AS (SELECT i, k.label FROM idx CROSS JOIN (VALUES ('legitimate'), ('phishing')) k(label))
+SELECT CAST(CASE WHEN t.label = 'legitimate' THEN t.i ELSE t.i + (SELECT h FROM half) END AS BIGINT) AS row_idx,
+       p.url, t.label
+FROM targets t JOIN sizes s ON s.label = t.label JOIN pools_r p ON p.label = t.label AND p.pos = t.i % s.size + 1"""
+
+    out["split_train_val"] = _with(split_ctes()) + "\nSELECT id, label, split FROM split"
+
+    out["split_three_way"] = _with(scored_ctes()) + """,
+tw_cnt AS (SELECT label, count(*) AS n FROM scored GROUP BY label),""" + _alloc_ctes(
+        "tw_test", "tw_cnt", "n", 0.1) + """,
+tw_rest AS (SELECT tw_cnt.label, n - hold AS rest, hold AS n_test FROM tw_cnt JOIN tw_test USING (label)),""" + \
+        _alloc_ctes("tw_val", "tw_rest", "rest", 0.1 / (0.8 + 0.1)) + f""",
+tw_rank AS ({_hash_rank('scored')})
+SELECT r.id, r.label,
+       CASE WHEN rnk <= n_test THEN 'test' WHEN rnk <= n_test + v.hold THEN 'validation' ELSE 'train' END AS split
+FROM tw_rank r JOIN tw_rest t USING (label) JOIN tw_val v USING (label)"""
+
+    out["stratified_folds"] = _with(folds_ctes()) + "\nSELECT id, label, fold FROM folds"
+
+    train = _with(split_ctes()) + """,
+train AS (SELECT scored.* FROM scored JOIN split USING (id) WHERE split.split = 'train')"""
+    stats_rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 9) AS mean, "
+        f"round(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({c} AS DOUBLE)) END, 9) AS std "
+        f"FROM train" for c in FEATURE_COLUMNS)
+    out["scaler_stats"] = train + f"\n{stats_rows}"
+
+    raw = ", ".join(
+        f"avg(CAST({c} AS DOUBLE)) AS m_{c}, "
+        f"CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({c} AS DOUBLE)) END AS s_{c}"
+        for c in FEATURE_COLUMNS)
+    scaled = ", ".join(f"round((CAST(s.{c} AS DOUBLE) - st.m_{c}) / st.s_{c}, 9) AS {c}" for c in FEATURE_COLUMNS)
+    out["scaled_features"] = train + f""",
+st AS (SELECT {raw} FROM train)
+SELECT s.id, {scaled} FROM scored s CROSS JOIN st"""
+
+    out["binary_metrics"] = _with(scored_ctes()) + """,
+c AS (SELECT count(*) AS n,
+             count_if(label = 1 AND prediction = 1) AS tp, count_if(label <> 1 AND prediction = 1) AS fp,
+             count_if(label = 1 AND prediction <> 1) AS fn, count_if(label <> 1 AND prediction <> 1) AS tn
+      FROM scored)
+SELECT CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / CAST(n AS DOUBLE) END AS accuracy,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1_score
+FROM c"""
+
+    out["roc_auc"] = _with(scored_ctes()) + """,
+per AS (SELECT score, CAST(count_if(label = 1) AS DOUBLE) AS p, CAST(count_if(label <> 1) AS DOUBLE) AS q
+        FROM scored GROUP BY score),
+cum AS (SELECT *, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS qb
+        FROM per)
+SELECT CASE WHEN sum(p) = 0 OR sum(q) = 0 THEN NULL
+            ELSE sum(p * (qb + q / CAST(2 AS DOUBLE))) / (sum(p) * sum(q)) END AS roc_auc
+FROM cum"""
+
+    out["confusion_matrix"] = _with(scored_ctes()) + """
+SELECT label, prediction, count(*) AS n FROM scored GROUP BY label, prediction"""
+
+    out["cv_summary"] = _with(folds_ctes()) + """,
+per AS (SELECT fold, CAST(count_if(label = prediction) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS accuracy
+        FROM folds GROUP BY fold)
+SELECT round(avg(accuracy), 9) AS cv_mean_accuracy, round(stddev_pop(accuracy), 9) AS cv_std_accuracy FROM per"""
+
+    out["best_model"] = _with(scored_ctes()) + f""",
+ts AS (SELECT unnest(range(1, {N_RULES + 1})) AS t),
+per AS (
+  SELECT t, count_if(label = 1 AND n_indicators >= t) AS tp, count_if(label <> 1 AND n_indicators >= t) AS fp,
+         count_if(label = 1 AND n_indicators < t) AS fn
+  FROM scored CROSS JOIN ts GROUP BY t),
+m AS (
+  SELECT t, 'rules_ge_' || CAST(t AS VARCHAR) AS model,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1_score
+  FROM per)
+SELECT model, f1_score FROM m ORDER BY f1_score DESC, t LIMIT 1"""
+
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS)
+    out["features_by_name"] = _with(scored_ctes()) + f"""
+SELECT id, feature, value FROM (
+  UNPIVOT (SELECT id, {casts} FROM scored) ON {FEATS} INTO NAME feature VALUE value)"""
+
+    out["url_quarantine"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + r"""
+SELECT id, reason FROM (
+  SELECT id, CASE WHEN url IS NULL THEN 'missing url'
+                  WHEN regexp_replace(url, '^\s+|\s+$', '', 'g') = '' THEN 'blank url'
+                  ELSE error END AS reason
+  FROM parsed) WHERE reason IS NOT NULL"""
+
+    out["typosquat_blocked_join"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + """,
+labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL)
+SELECT main_label, brand, CAST(levenshtein(main_label, brand) AS INTEGER) AS distance
+FROM labs CROSS JOIN brands WHERE levenshtein(main_label, brand) <= 2"""
+    return out
