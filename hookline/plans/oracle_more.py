@@ -314,4 +314,27 @@ SELECT id, reason FROM (
 labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL)
 SELECT main_label, brand, CAST(levenshtein(main_label, brand) AS INTEGER) AS distance
 FROM labs CROSS JOIN brands WHERE levenshtein(main_label, brand) <= 2"""
+    out.update(stream_statements())
+    return out
+
+
+def stream_statements() -> dict[str, str]:
+    from hookline.plans.oracle import local_ctes
+    out = {}
+    out["score_stream"] = _with(corpus_ctes(), url_events_ctes(),
+                                "ue AS (SELECT event_id AS id, url FROM url_events)", full_ctes("ue")) + f"""
+SELECT id AS event_id,
+       CAST(CASE WHEN error IS NULL THEN {IND_SUM} END AS INTEGER) AS n_indicators,
+       CASE WHEN error IS NULL THEN ({IND_SUM}) >= {RULE_THRESHOLD} END AS is_phishing,
+       error
+FROM full_"""
+    out["stream_verdict_windows"] = _with(corpus_ctes(), url_events_ctes(),
+                                          "ue AS (SELECT event_id AS id, ts, url FROM url_events)",
+                                          local_ctes("ue")) + f""",
+lr AS (SELECT *, 0.0 AS has_valid_ssl, -1.0 AS domain_age_days FROM local)
+SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start_epoch,
+       CAST(count_if(error IS NULL AND ({IND_SUM}) < {RULE_THRESHOLD}) AS BIGINT) AS safe_count,
+       CAST(count_if(error IS NULL AND ({IND_SUM}) >= {RULE_THRESHOLD}) AS BIGINT) AS phishing_count,
+       CAST(count_if(error IS NOT NULL) AS BIGINT) AS error_count
+FROM lr GROUP BY 1"""
     return out
