@@ -76,6 +76,60 @@ def _build_struct(url, scheme, netloc, path) -> Column:
     )
 
 
+def with_parsed(df, url_col: str = "url", out: str = "p"):
+    """Adds struct column ``out`` = :func:`parse_url` of ``url_col``, computed
+    in stages so every regex runs once per row.
+
+    Each intermediate is its own projection; Catalyst keeps a projection
+    apart when its non-trivial result is used more than once downstream, so
+    ``netloc``/``host`` are not re-inlined into every consumer (inside CASE
+    branches common-subexpression elimination cannot share them).
+    """
+    t = f"_{out}_"
+    u = F.col(url_col)
+    df = df.withColumn(t + "c", clean_url(u))
+    c = F.col(t + "c")
+    df = df.withColumn(t + "sr", F.regexp_extract(c, rf"({_SCHEME})", 1))
+    df = df.withColumns({
+        t + "scheme": F.lower(F.regexp_replace(F.col(t + "sr"), ":$", "")),
+        t + "rest": F.when(F.col(t + "sr") == "", c).otherwise(
+            F.substring(c, F.length(F.col(t + "sr")) + 1, F.length(c))),
+    })
+    rest = F.col(t + "rest")
+    df = df.withColumns({
+        t + "netloc": F.regexp_extract(rest, r"^//([^/?#]*)", 1),
+        t + "pq": F.regexp_extract(F.regexp_replace(rest, _NETLOC, ""), r"^([^?#]*)", 1),
+    })
+    netloc, scheme, pq = F.col(t + "netloc"), F.col(t + "scheme"), F.col(t + "pq")
+    df = df.withColumns({
+        t + "path": F.when(scheme.isin(PARAM_SCHEMES), F.regexp_replace(pq, r";[^/]*\z", "")).otherwise(pq),
+        t + "host": F.substring_index(netloc, ":", 1),
+        t + "lhost": strip_www(F.substring_index(F.lower(netloc), ":", 1)),
+        t + "bad": _bracket_error(u, netloc),
+    })
+    host, lhost = F.col(t + "host"), F.col(t + "lhost")
+    df = df.withColumns({t + "hnw": strip_www(host), t + "parts": F.split(lhost, r"[.]", -1)})
+    parts = F.col(t + "parts")
+    n = F.size(parts)
+    main_label = (F.when(n > 2, F.element_at(parts, -2)).when(n == 2, F.element_at(parts, 1))
+                  .otherwise(lhost))
+    df = df.withColumn(out, F.struct(
+        scheme.alias("scheme"), netloc.alias("netloc"), F.col(t + "path").alias("path"),
+        host.alias("host"), F.col(t + "hnw").alias("host_no_www"), main_label.alias("main_label"),
+        F.col(t + "bad").alias("error")))
+    return df.drop(*[t + x for x in ("c", "sr", "scheme", "rest", "netloc", "pq", "path", "host",
+                                     "lhost", "bad", "hnw", "parts")])
+
+
+def _bracket_error(url, netloc: Column) -> Column:
+    opens = netloc.contains("[")
+    closes = netloc.contains("]")
+    bracketed = F.regexp_extract(netloc, r"\[([^\]]*)\]", 1)
+    return (F.when(_col(url).isNull(), F.lit("missing url"))
+            .when(opens != closes, F.lit("Invalid IPv6 URL"))
+            .when(opens & ~bracketed.rlike(_IPV6ISH), F.lit("Invalid IPv6 URL")))
+
+
 def strip_www(host: Column) -> Column:
     return F.when(host.startswith("www."), F.substring(host, 5, 1 << 30)).otherwise(host)
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import NumericType
 
 from hookline.fixed import FEATURE_COLUMNS
 from hookline.functions.brands import nearest_brand, typosquat_columns
-from hookline.functions.url import lexical_columns, parse_url, strip_www
+from hookline.functions.url import lexical_columns, strip_www, with_parsed
 from hookline.operators.enrich import certificate_features, enrich, registry_features
 
 LOCAL_COLUMNS = [c for c in FEATURE_COLUMNS
@@ -24,7 +24,7 @@ PARSED_FIELDS = ["scheme", "netloc", "path", "host", "host_no_www", "main_label"
 
 def parsed(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds struct column ``p``."""
-    return df.withColumn("p", parse_url(F.col(url_col)))
+    return with_parsed(df, url_col, "p")
 
 
 def local_features(df: DataFrame, url_col: str = "url", brands: list[str] | None = None,
@@ -32,8 +32,10 @@ def local_features(df: DataFrame, url_col: str = "url", brands: list[str] | None
     """Input columns + 29 local features + closest_brand + error (+ ``p``)."""
     base = parsed(df, url_col)
     p = F.col("p")
-    best = nearest_brand(p.main_label, brands)
-    feats = lexical_columns(url_col, "p") + typosquat_columns(p.main_label, best)
+    # own projection: four columns read the arg-min struct, and inside the
+    # CASE guards below Catalyst would otherwise evaluate it once per use
+    base = base.withColumn("_best", nearest_brand(p.main_label, brands))
+    feats = lexical_columns(url_col, "p") + typosquat_columns(p.main_label, F.col("_best"))
     ok = p.error.isNull()
     guarded = [F.when(ok, c).alias(name) for name, c in feats]
     out = base.select(*df.columns, *guarded, p.error.alias("error"), "p")
@@ -47,33 +49,45 @@ def url_features(df: DataFrame, url_col: str = "url", *, registry: DataFrame | N
 
     ``registry`` None -> domain_age_days/registration_length = -1 (F41);
     ``certificates`` None -> has_valid_ssl = 0 (no check possible).
+
+    With lookups, the distinct (registry key, certificate host) pairs of the
+    input are computed once (a parse-only pass with partial aggregation, so
+    a host holding a third of the rows is one key) and checkpointed to the
+    shared checkpoint folder; both lookups are built from that small table,
+    their sizes are checked there, and the join back is a broadcast when the
+    bound holds, else a skew-aware shuffle join.
     """
     feats = local_features(df, url_col, brands, keep_parsed=True)
     p = F.col("p")
     ok = F.col("error").isNull()
+    if (registry is not None or certificates is not None) and as_of is None:
+        raise ValueError("as_of is required with registry or certificate snapshots")
+    feats = feats.withColumns({
+        "registry_key": F.lower(strip_www(p.host)),
+        "cert_host": F.when(p.scheme == "https", F.lower(p.host)),
+    })
+    keys = None
+    if registry is not None or certificates is not None:
+        keys = (feats.where(ok).select("registry_key", "cert_host").distinct()
+                .checkpoint(eager=True))
     if registry is not None:
-        if as_of is None:
-            raise ValueError("as_of is required with a registry snapshot")
-        feats = feats.withColumn("registry_key", F.lower(strip_www(p.host)))
-        reg = registry_features(feats, registry, as_of)
+        reg = registry_features(keys, registry, as_of)
         feats = enrich(feats, reg, "registry_key", **join_kw)
         age = F.coalesce(F.col("domain_age_days"), F.lit(-1.0))
         reg_len = F.coalesce(F.col("domain_registration_length"), F.lit(-1.0))
-        feats = (feats.withColumn("domain_age_days", F.when(ok, age))
-                 .withColumn("domain_registration_length", F.when(ok, reg_len)))
     else:
-        feats = (feats.withColumn("domain_age_days", F.when(ok, F.lit(-1.0)))
-                 .withColumn("domain_registration_length", F.when(ok, F.lit(-1.0))))
+        age = reg_len = F.lit(-1.0)
     if certificates is not None:
-        if as_of is None:
-            raise ValueError("as_of is required with a certificate snapshot")
-        feats = feats.withColumn("cert_host", F.when(p.scheme == "https", F.lower(p.host)))
-        certs = certificate_features(feats.where(F.col("cert_host").isNotNull()), certificates, as_of)
+        certs = certificate_features(keys, certificates, as_of)
         feats = enrich(feats, certs, "cert_host", **join_kw)
         ssl = F.when((p.scheme == "https") & F.col("cert_valid"), F.lit(1.0)).otherwise(F.lit(0.0))
     else:
         ssl = F.lit(0.0)
-    feats = feats.withColumn("has_valid_ssl", F.when(ok, ssl))
+    feats = feats.withColumns({
+        "domain_age_days": F.when(ok, age),
+        "domain_registration_length": F.when(ok, reg_len),
+        "has_valid_ssl": F.when(ok, ssl),
+    })
     return feats.select(*df.columns, *FEATURE_COLUMNS, "closest_brand", "error")
 
 

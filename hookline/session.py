@@ -17,6 +17,7 @@ JOB_CONF = {
 }
 
 LOCAL_CHECKPOINT_FALLBACK = "/tmp/hookline-checkpoints"
+JIT_FLAG = "-XX:-DontCompileHugeMethods"
 
 
 def get_spark(master: str | None = None, app: str = "hookline",
@@ -28,6 +29,9 @@ def get_spark(master: str | None = None, app: str = "hookline",
         builder = builder.config("spark.ui.enabled", "false")
         builder = builder.config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", "16g")
+        # let HotSpot JIT-compile the large generated projection methods
+        # (set the same flag in spark.executor.extraJavaOptions on a cluster)
+        builder = builder.config("spark.driver.extraJavaOptions", JIT_FLAG)
     for k, v in JOB_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

@@ -21,7 +21,7 @@ from hookline.fixed import BRANDS
 from hookline.session import ensure_checkpoint_dir
 from hookline.sources.tables import events, pages
 
-DERIVED_VERSION = "v1"
+DERIVED_VERSION = "v2"
 
 # --- FIXED VALUES of the derived corpus (the oracle SQL repeats them) --------
 N_TEMPLATES = 16
@@ -209,7 +209,10 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     loss, and downstream plans start from a plain parquet scan)."""
     path = derived_path(spark, sf_dir, name)
     if not _fs_exists(spark, path + "/_SUCCESS"):
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # one file per core slot at least, so later per-row jobs run wide
+        # (AQE would otherwise coalesce a small result into one file)
+        n = spark.sparkContext.defaultParallelism
+        build(spark, sf_dir).repartition(n).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
