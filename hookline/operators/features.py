@@ -16,6 +16,7 @@ from hookline.fixed import FEATURE_COLUMNS
 from hookline.functions.brands import nearest_brand, typosquat_columns
 from hookline.functions.url import lexical_columns, strip_www, with_parsed
 from hookline.operators.enrich import certificate_features, enrich, registry_features
+from hookline.session import materialize
 
 LOCAL_COLUMNS = [c for c in FEATURE_COLUMNS
                  if c not in ("has_valid_ssl", "domain_age_days", "domain_registration_length")]
@@ -52,8 +53,8 @@ def url_features(df: DataFrame, url_col: str = "url", *, registry: DataFrame | N
 
     With lookups, the distinct (registry key, certificate host) pairs of the
     input are computed once (a parse-only pass with partial aggregation, so
-    a host holding a third of the rows is one key) and checkpointed to the
-    shared checkpoint folder; both lookups are built from that small table,
+    a host holding a third of the rows is one key) and written as a small
+    table to the shared checkpoint folder; both lookups are built from that small table,
     their sizes are checked there, and the join back is a broadcast when the
     bound holds, else a skew-aware shuffle join.
     """
@@ -68,8 +69,8 @@ def url_features(df: DataFrame, url_col: str = "url", *, registry: DataFrame | N
     })
     keys = None
     if registry is not None or certificates is not None:
-        keys = (feats.where(ok).select("registry_key", "cert_host").distinct()
-                .checkpoint(eager=True))
+        keys = materialize(feats.where(ok).select("registry_key", "cert_host").distinct(),
+                           "lookup-keys")
     if registry is not None:
         reg = registry_features(keys, registry, as_of)
         feats = enrich(feats, reg, "registry_key", **join_kw)

@@ -8,6 +8,11 @@ each row's position inside its partition comes from
 index in the lower 33), and a tiny per-(partition, group) count table gives
 the offset of each partition. That table has at most
 ``partitions x groups`` rows, so broadcasting it is bounded.
+
+The positioned rows are written as a table to the shared checkpoint folder before
+they are used twice (for the counts and for the rows themselves): the
+upstream plan runs once, and a task retried after an executor loss reads
+the same positions instead of recomputing them.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hookline.session import materialize
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -34,6 +41,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
            .withColumn("_rk_mid", F.monotonically_increasing_id())
            .withColumn("_rk_pid", F.shiftrightunsigned("_rk_mid", 33))
            .withColumn("_rk_pos", F.col("_rk_mid").bitwiseAND(F.lit(_LOW_BITS))))
+    pos = materialize(pos, "rank")
     stats = pos.groupBy("_rk_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_rk_cnt"), F.min("_rk_pos").alias("_rk_first"))
     before = Window.partitionBy(*group_cols).orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +57,8 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str], suffix: s
     """Adds, per row, the sum of each value column over all rows with a smaller
     ``order_col`` (a global exclusive prefix sum; ``order_col`` unique)."""
     n = _partitions(df, partitions)
-    part = df.repartitionByRange(n, order_col).withColumn("_rk_pid", F.spark_partition_id())
+    part = materialize(df.repartitionByRange(n, order_col)
+                       .withColumn("_rk_pid", F.spark_partition_id()), "prefix")
     totals = part.groupBy("_rk_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     w_tot = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_rk_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w_tot), F.lit(0)).alias(f"_o_{c}")

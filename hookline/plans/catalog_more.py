@@ -140,9 +140,9 @@ def stratified_folds_q(spark, sf):
 # --- scaler, metrics (A5-A9, L1, T4, T5) ------------------------------------------------------
 
 def _train_rows(spark, sf):
-    s = scored(spark, sf)
-    tr = stratified_split(s.select("id", "label")).where(F.col("split") == "train").select("id")
-    return s.join(tr, "id", "left_semi")
+    """Training split of the scored rows (the split carries all columns, so
+    the features are computed once and not joined back)."""
+    return stratified_split(scored(spark, sf)).where(F.col("split") == "train")
 
 
 @query("scaler_stats")
