@@ -1,9 +1,7 @@
 """Brand-distance columns (typosquatting features F30-F33).
 
-For a bounded brand list the arg-min is one ``least`` over
-``struct(distance, list_position, brand)`` per row: fully inside whole-stage
-codegen, no join, no shuffle, and the first brand in list order wins ties
-(the struct compares the position after the distance).
+For a bounded brand list the arg-min is computed per row from one array of
+distances: no join, no shuffle, and the first brand in list order wins ties.
 """
 
 from __future__ import annotations
@@ -19,7 +17,11 @@ MAX_INLINE_BRANDS = 256
 
 
 def nearest_brand(label, brands: list[str] | None = None) -> Column:
-    """struct(distance INT, brand_idx INT, brand STRING) of the closest brand."""
+    """struct(distance INT, brand_idx INT, brand STRING) of the closest brand.
+
+    Distances form one array; ``array_position`` of its minimum is the first
+    brand in list order with that distance (the tie rule).
+    """
     brands = BRANDS if brands is None else list(brands)
     if not brands:
         raise ValueError("brand list is empty")
@@ -27,12 +29,13 @@ def nearest_brand(label, brands: list[str] | None = None) -> Column:
         raise ValueError(
             f"{len(brands)} brands: use operators.typosquat.brand_matches for large lists")
     lab = F.col(label) if isinstance(label, str) else label
-    cands = [
-        F.struct(F.levenshtein(lab, F.lit(b)).alias("distance"),
-                 F.lit(i).alias("brand_idx"), F.lit(b).alias("brand"))
-        for i, b in enumerate(brands)
-    ]
-    return cands[0] if len(cands) == 1 else F.least(*cands)
+    dists = F.array(*[F.levenshtein(lab, F.lit(b)) for b in brands])
+    best = F.array_min(dists)
+    pos = F.array_position(dists, best)
+    names = F.array(*[F.lit(b) for b in brands])
+    return F.when(lab.isNotNull(), F.struct(
+        best.alias("distance"), (pos - 1).cast("int").alias("brand_idx"),
+        F.element_at(names, pos.cast("int")).alias("brand")))
 
 
 def typosquat_columns(label_col: Column, best: Column) -> list[tuple[str, Column]]:

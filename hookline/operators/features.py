@@ -37,9 +37,11 @@ def local_features(df: DataFrame, url_col: str = "url", brands: list[str] | None
     # CASE guards below Catalyst would otherwise evaluate it once per use
     base = base.withColumn("_best", nearest_brand(p.main_label, brands))
     feats = lexical_columns(url_col, "p") + typosquat_columns(p.main_label, F.col("_best"))
-    ok = p.error.isNull()
-    guarded = [F.when(ok, c).alias(name) for name, c in feats]
-    out = base.select(*df.columns, *guarded, p.error.alias("error"), "p")
+    # one guard around the whole record (a CASE per column would repeat the
+    # guard 30 times in the generated code)
+    record = F.when(p.error.isNull(), F.struct(*[c.alias(name) for name, c in feats]))
+    out = (base.select(*df.columns, record.alias("_f"), p.error.alias("error"), "p")
+           .select(*df.columns, *[F.col("_f")[name].alias(name) for name, _ in feats], "error", "p"))
     return out if keep_parsed else out.drop("p")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hookline.operators.ranking import running_sums
+from hookline.session import materialize
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -48,9 +49,14 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     then the negatives strictly below each score by a distributed prefix sum;
     AUC = sum(p_s * (neg_below + n_s / 2)) / (P * N).
     """
-    per = df.groupBy(score).agg(
+    per = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    below = running_sums(per, score, ["q"])
+    return _auc_from_counts(per)
+
+
+def _auc_from_counts(per: DataFrame) -> DataFrame:
+    """per = (score, p, q) with unique scores."""
+    below = running_sums(per, "score", ["q"])
     num = F.sum(F.col("p").cast("double") * (F.col("q_before").cast("double") + F.col("q").cast("double") / 2.0))
     agg = below.agg(num.alias("u"), F.sum("p").alias("P"), F.sum("q").alias("N"))
     return agg.select(
@@ -58,6 +64,43 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
         .otherwise(F.col("u") / (F.col("P").cast("double") * F.col("N").cast("double"))).alias("roc_auc"))
 
 
+def score_table(df: DataFrame, label: str = "label", score: str = "score",
+                prediction: str = "prediction") -> DataFrame:
+    """(score, prediction, p, q): positives and negatives per distinct
+    (score, prediction) -- one partial aggregation over the scored rows."""
+    return df.groupBy(F.col(score).alias("score"), F.col(prediction).alias("prediction")).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+
+
+def metrics_from_score_table(per: DataFrame) -> DataFrame:
+    """A5 + A6 from :func:`score_table` (one row): the big input is read once."""
+    per = materialize(per, "score-table")
+    pred = F.col("prediction") == 1
+    base = per.agg(
+        F.sum(F.when(pred, F.col("p")).otherwise(0)).alias("tp"),
+        F.sum(F.when(pred, F.col("q")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~pred, F.col("p")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~pred, F.col("q")).otherwise(0)).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    m = base.select(
+        _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+        _ratio(tp, tp + fp).alias("precision"),
+        _ratio(tp, tp + fn).alias("recall"),
+        _ratio(2 * tp, 2 * tp + fp + fn).alias("f1_score"))
+    by_score = per.groupBy("score").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return side_by_side(m, _auc_from_counts(by_score))
+
+
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Columns of two one-row frames in one row, by a union and ``max``
+    (no join between them)."""
+    cols_a, cols_b = a.columns, b.columns
+    types = dict(a.dtypes + b.dtypes)
+    left = a.select(*cols_a, *[F.lit(None).cast(types[c]).alias(c) for c in cols_b])
+    right = b.select(*[F.lit(None).cast(types[c]).alias(c) for c in cols_a], *cols_b)
+    return left.unionByName(right).agg(*[F.max(c).alias(c) for c in cols_a + cols_b])
+
+
 def fold_summary(per_fold: DataFrame, metric: str = "accuracy", digits: int = 9) -> DataFrame:
     """Mean and population std of per-fold scores."""
     return per_fold.agg(F.round(F.avg(metric), digits).alias(f"cv_mean_{metric}"),

@@ -113,15 +113,7 @@ def evaluate(scored: DataFrame, label: str = "label") -> DataFrame:
     """A5 + A6 on (label, prediction, p1): one row of five metrics."""
     s = scored.select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"),
                       F.col("p1").alias("score"))
-    return _one_row_union(M.binary_metrics(s), M.roc_auc(s))
-
-
-def _one_row_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put the columns of two one-row frames side by side without a join."""
-    cols_a, cols_b = a.columns, b.columns
-    left = a.select(*cols_a, *[F.lit(None).cast("double").alias(c) for c in cols_b])
-    right = b.select(*[F.lit(None).cast("double").alias(c) for c in cols_a], *cols_b)
-    return left.unionByName(right).agg(*[F.max(c).alias(c) for c in cols_a + cols_b])
+    return M.metrics_from_score_table(M.score_table(s))
 
 
 def train(df: DataFrame, feature_names: list[str], model_type: str = "random_forest",
@@ -171,7 +163,7 @@ def compare_models(df: DataFrame, feature_names: list[str], validation_split: fl
     for i, mt in enumerate(model_types or MODEL_TYPES):
         _, m = train(df, feature_names, mt, validation_split, **overrides)
         cv = cross_validate(df, feature_names, mt, k, **overrides)
-        row = _one_row_union(m, cv).select(F.lit(mt).alias("model"), F.lit(i).alias("model_order"), "*")
+        row = M.side_by_side(m, cv).select(F.lit(mt).alias("model"), F.lit(i).alias("model_order"), "*")
         rows = row if rows is None else rows.unionByName(row)
     return rows
 

@@ -125,3 +125,12 @@ def stream_verdict_windows(spark, sf):
     sink, ckpt = S.stream_paths(spark, "verdict-windows")
     S.run_windows(S.window_counts(stream, threshold=RULE_THRESHOLD), sink, ckpt).awaitTermination()
     return S.latest_windows(spark, sink)
+
+
+@query("quick_train_score")
+def quick_train_score(spark, sf):
+    """Registry lookups skipped (age and registration = -1), forest,
+    validation metrics."""
+    f = corpus_features(spark, sf, registry=False).where(F.col("error").isNull())
+    _, metrics = ml.train(f.select("id", "label", *FEATURE_COLUMNS), FEATURE_COLUMNS, "random_forest")
+    return metrics

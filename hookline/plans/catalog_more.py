@@ -226,3 +226,38 @@ def typosquat_blocked_join(spark, sf):
     brands = spark.createDataFrame([(b,) for b in BRANDS], "brand string")
     return brand_matches(labels, brands).select(
         F.col("label").alias("main_label"), "brand", "distance")
+
+
+# --- requests, shape, first features (P1, P2, A3, T3) ---------------------------------------
+
+def request_bodies(spark, sf):
+    """JSON request bodies derived from the event urls, by ``event_id % 5``:
+    single, batch of two, ``urls`` not a list, wrong field, single with extra."""
+    ev = C.url_events(spark, sf).select("event_id", "url")
+    k = F.col("event_id") % 5
+    u = F.col("url")
+    body = (F.when(k == 0, F.to_json(F.struct(u.alias("url"))))
+            .when(k == 1, F.to_json(F.struct(F.array(u, u).alias("urls"))))
+            .when(k == 2, F.to_json(F.struct(u.alias("urls"))))
+            .when(k == 3, F.to_json(F.struct(u.alias("link"))))
+            .otherwise(F.to_json(F.struct(u.alias("url"), F.lit(1).alias("extra")))))
+    return ev.select(F.col("event_id").alias("request_id"), body.alias("body"))
+
+
+@query("request_validation")
+def request_validation(spark, sf):
+    from hookline.sources.sinks import parse_requests
+    return parse_requests(request_bodies(spark, sf))
+
+
+@query("dataset_shape")
+def dataset_shape(spark, sf):
+    """A3: rows and feature columns of the training table."""
+    return scored(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"),
+                                 F.lit(len(FEATURE_COLUMNS)).alias("n_columns"))
+
+
+@query("first_numeric_features")
+def first_numeric_features(spark, sf):
+    """The first ten features in vector order."""
+    return corpus_features(spark, sf).where(F.col("error").isNull()).select("id", *FEATURE_COLUMNS[:10])

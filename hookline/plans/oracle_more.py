@@ -315,6 +315,7 @@ labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL)
 SELECT main_label, brand, CAST(levenshtein(main_label, brand) AS INTEGER) AS distance
 FROM labs CROSS JOIN brands WHERE levenshtein(main_label, brand) <= 2"""
     out.update(stream_statements())
+    out.update(request_statements())
     return out
 
 
@@ -338,3 +339,24 @@ SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start_e
        CAST(count_if(error IS NOT NULL) AS BIGINT) AS error_count
 FROM lr GROUP BY 1"""
     return out
+
+
+def request_statements() -> dict[str, str]:
+    out = {}
+    out["request_validation"] = _with(corpus_ctes(), url_events_ctes()) + """,
+b AS (SELECT event_id AS request_id, url, event_id % 5 AS k FROM url_events)
+SELECT request_id, CAST(0 AS INTEGER) AS pos, url, CAST(NULL AS VARCHAR) AS error
+  FROM b WHERE k IN (0, 4) AND url IS NOT NULL
+UNION ALL
+SELECT request_id, CAST(0 AS INTEGER), CAST(NULL AS VARCHAR), 'Missing required field: url'
+  FROM b WHERE (k IN (0, 2, 4) AND url IS NULL) OR k = 3
+UNION ALL
+SELECT request_id, CAST(t.p AS INTEGER), url, CAST(NULL AS VARCHAR) FROM b CROSS JOIN (VALUES (0), (1)) t(p) WHERE k = 1
+UNION ALL
+SELECT request_id, CAST(0 AS INTEGER), CAST(NULL AS VARCHAR), 'urls must be a list' FROM b WHERE k = 2 AND url IS NOT NULL"""
+    out["dataset_shape"] = _with(scored_ctes()) + f"""
+SELECT count(*) AS n_rows, CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS n_columns FROM scored"""
+    first = ", ".join(FEATURE_COLUMNS[:10])
+    out["first_numeric_features"] = _with(corpus_ctes(), full_ctes("url_corpus")) + f"""
+SELECT id, {first} FROM full_ WHERE error IS NULL"""
+    return out

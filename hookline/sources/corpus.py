@@ -198,9 +198,12 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
 
 
 def derived_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Stable location under the configured shared checkpoint folder (not the
+    per-application subfolder), so sessions reuse the derived tables."""
     import hashlib
     tag = hashlib.md5(f"{DERIVED_VERSION}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:12]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hookline-derived/{tag}/{name}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/hookline-derived/{tag}/{name}"
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
