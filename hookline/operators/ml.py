@@ -187,3 +187,35 @@ def grid_search(df: DataFrame, feature_names: list[str], model_type: str = "rand
     fitted = cv.fit(folded)
     rows = [(json.dumps({p.name: v for p, v in m.items()}), float(a)) for m, a in zip(maps, fitted.avgMetrics)]
     return spark.createDataFrame(rows, "params string, cv_mean_accuracy double")
+
+
+def labelled_features(feats: DataFrame, feature_names: list[str], label: str = "label") -> DataFrame:
+    """M3: rows whose url could not be parsed keep their label with all
+    features 0 (the reference's loader fills the empty record with 0)."""
+    return feats.fillna(0, subset=feature_names)
+
+
+def train_flow(df: DataFrame, feature_names: list[str], model_type: str, output_dir: str,
+               k: int = CV_FOLDS, top_k: int = 10, **overrides) -> dict:
+    """Train -> cross-validate -> top-k importances -> save model ->
+    metrics JSON (S10). Returns the fitted model and the three result frames."""
+    spark = df.sparkSession
+    model, metrics = train(df, feature_names, model_type, **overrides)
+    cv = cross_validate(df, feature_names, model_type, k, **overrides)
+    top = model.importances(spark).orderBy(F.desc("importance"), "feature").limit(top_k)
+    model.save(f"{output_dir.rstrip('/')}/model")
+    all_metrics = M.side_by_side(metrics, cv)
+    all_metrics.coalesce(1).write.mode("overwrite").json(f"{output_dir.rstrip('/')}/metrics")
+    return {"model": model, "metrics": all_metrics, "top_features": top}
+
+
+def train_synthetic(spark: SparkSession, n: int = 1000, seed: int = RANDOM_SEED) -> TrainedModel:
+    """Forest (100 trees, depth 10) on the synthetic 30-column table
+    with the UCI attribute names; such a model cannot score URL features
+    (its names differ, see ``check_features``)."""
+    from hookline.fixed import UCI_FEATURE_NAMES
+    from hookline.sources.datasets import synthetic_numeric
+    df = _prep(synthetic_numeric(spark, n, 30, seed, UCI_FEATURE_NAMES))
+    clf = RandomForestClassifier(featuresCol="features", labelCol="label_d", numTrees=100, maxDepth=10, seed=seed)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=UCI_FEATURE_NAMES, outputCol="features"), clf]).fit(df)
+    return TrainedModel(pipe, "random_forest", list(UCI_FEATURE_NAMES), seed, {"is_synthetic": True})

@@ -261,3 +261,12 @@ def dataset_shape(spark, sf):
 def first_numeric_features(spark, sf):
     """The first ten features in vector order."""
     return corpus_features(spark, sf).where(F.col("error").isNull()).select("id", *FEATURE_COLUMNS[:10])
+
+
+@query("event_url_features")
+def event_url_features(spark, sf):
+    """F40 over the event table: the 32 features for every event url."""
+    ev = C.url_events(spark, sf).select("event_id", "url")
+    f = url_features(ev, registry=C.registry_snapshot(spark, sf),
+                     certificates=C.certificate_snapshot(spark, sf), as_of=C.as_of())
+    return f.select("event_id", *FEATURE_COLUMNS, "closest_brand", "error")

@@ -356,6 +356,10 @@ UNION ALL
 SELECT request_id, CAST(0 AS INTEGER), CAST(NULL AS VARCHAR), 'urls must be a list' FROM b WHERE k = 2 AND url IS NOT NULL"""
     out["dataset_shape"] = _with(scored_ctes()) + f"""
 SELECT count(*) AS n_rows, CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS n_columns FROM scored"""
+    out["event_url_features"] = _with(corpus_ctes(), url_events_ctes(),
+                                      "ue AS (SELECT event_id AS id, url FROM url_events)",
+                                      full_ctes("ue")) + f"""
+SELECT id AS event_id, {FEATS}, closest_brand, error FROM full_"""
     first = ", ".join(FEATURE_COLUMNS[:10])
     out["first_numeric_features"] = _with(corpus_ctes(), full_ctes("url_corpus")) + f"""
 SELECT id, {first} FROM full_ WHERE error IS NULL"""

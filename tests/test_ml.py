@@ -88,3 +88,24 @@ def test_missing_features_are_reported(spark, trained, sample):
 def test_single_class_is_rejected(sample):
     with pytest.raises(ValueError):
         ml.train(sample.withColumn("label", F.lit(1)), FEATS, "random_forest")
+
+
+def test_train_flow_writes_model_and_metrics(spark, sample, tmp_path):
+    out = ml.train_flow(sample, FEATS, "random_forest", str(tmp_path / "run"), k=3, numTrees=10)
+    assert out["top_features"].count() == 10
+    assert spark.read.json(str(tmp_path / "run" / "metrics")).count() == 1
+    assert ml.load_model(spark, str(tmp_path / "run" / "model")).feature_names == FEATS
+
+
+def test_synthetic_model_cannot_score_url_features(spark):
+    from hookline.fixed import FEATURE_COLUMNS
+    model = ml.train_synthetic(spark, 200)
+    frame = spark.createDataFrame([tuple(0.0 for _ in FEATURE_COLUMNS)], FEATURE_COLUMNS)
+    with pytest.raises(ValueError, match="Missing features"):
+        model.transform(frame)
+
+
+def test_labelled_features_fill_zero(spark):
+    df = spark.createDataFrame([(1, None, "bad"), (0, 2.0, None)], "label int, a double, error string")
+    rows = ml.labelled_features(df, ["a"]).orderBy("label").collect()
+    assert [r.a for r in rows] == [2.0, 0.0]
