@@ -50,6 +50,26 @@ def make_pipeline(feature_names: list[str], model_type: str, seed: int = RANDOM_
     ])
 
 
+ROWS_PER_PARTITION = 200_000
+
+
+def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Persist training rows (memory and disk; recomputed from lineage if an
+    executor is lost) with about ``rows_per_partition`` rows per partition:
+    tree learners run several jobs per tree level, and each job pays one task
+    per partition, so tiny partitions cost more than they parallelise. Only
+    ever coalesces (no shuffle)."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.count()
+    target = max(1, -(-n // rows_per_partition))
+    if target < cached.rdd.getNumPartitions():
+        narrowed = cached.coalesce(target).persist(StorageLevel.MEMORY_AND_DISK)
+        narrowed.count()
+        cached.unpersist()
+        return narrowed
+    return cached
+
+
 def _prep(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("label_d", F.col(label).cast("double"))
 
@@ -126,7 +146,7 @@ def train(df: DataFrame, feature_names: list[str], model_type: str = "random_for
     split = stratified_split(df, label, id_col, validation_split, seed)
     # the scaler pass and the tree passes reread the training rows: persist
     # them (spills to disk; recomputed from lineage if an executor is lost)
-    train_rows = _prep(split.where(F.col("split") == "train"), label).persist(StorageLevel.MEMORY_AND_DISK)
+    train_rows = sized(_prep(split.where(F.col("split") == "train"), label))
     val_rows = _prep(split.where(F.col("split") == "validation"), label)
     try:
         pipe = make_pipeline(feature_names, model_type, seed, **overrides).fit(train_rows)
@@ -142,7 +162,7 @@ def cross_validate(df: DataFrame, feature_names: list[str], model_type: str = "r
     """K-fold accuracy with the whole pipeline refit per fold (no scaler
     leak); folds are the unshuffled stratified folds of D3."""
     spark = df.sparkSession
-    folded = _prep(stratified_folds(df, k, label, id_col), label).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = sized(_prep(stratified_folds(df, k, label, id_col), label))
     pipe = make_pipeline(feature_names, model_type, seed, **overrides)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
                         evaluator=MulticlassClassificationEvaluator(labelCol="label_d", metricName="accuracy"),

@@ -2,7 +2,7 @@
 
 Every query reads the driver's tables (or tables Spark derives from them),
 so its work grows with the scale factor. Companion DuckDB SQL lives in
-``hookline.plans.oracle_sql``.
+``hookline.plans.oracle`` and ``oracle_more``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hookline.fixed import CONTENT_COLUMNS, FEATURE_COLUMNS
+from hookline.fixed import FEATURE_COLUMNS
 from hookline.functions.url import parse_url
 from hookline.operators.features import LOCAL_COLUMNS, PARSED_FIELDS, local_features, url_features
 from hookline.sources import corpus as C

@@ -3,14 +3,14 @@
 Each statement rebuilds the derived corpus from the raw views (``pages``,
 ``events``) with the same arithmetic as ``hookline.sources.corpus`` and then
 computes the query independently with DuckDB functions. The SQL is the
-correctness oracle; it shares no code path with the Spark jobs.
+correctness oracle; it shares only fixed values (brand list, thresholds,
+tag patterns) with the Spark jobs, no execution code.
 Notes: DuckDB ``levenshtein`` counts bytes, so the corpus keeps hosts ASCII.
 """
 
 from __future__ import annotations
 
-from hookline.fixed import (BRANDS, CUSTOM_POSITIVE_LABELS, FEATURE_COLUMNS, INDICATOR_RULES,
-                            PARAM_SCHEMES)
+from hookline.fixed import BRANDS, FEATURE_COLUMNS, PARAM_SCHEMES
 from hookline.sources import corpus as C
 
 LOCAL = [c for c in FEATURE_COLUMNS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hookline.fixed import (BRANDS, CONTENT_COLUMNS, CUSTOM_POSITIVE_LABELS, FEATURE_COLUMNS,
+from hookline.fixed import (CONTENT_COLUMNS, CUSTOM_POSITIVE_LABELS, FEATURE_COLUMNS,
                             INDICATOR_RULES, NEW_DOMAIN_DAYS, NO_WARNINGS_TEXT, RANDOM_SEED,
                             UCI_POSITIVE_TEXT, WARN_IP, WARN_NEW_DOMAIN, WARN_NO_HTTPS,
                             WARN_TYPOSQUAT)

@@ -35,11 +35,11 @@ def load_uci(spark: SparkSession, path: str, positive=None) -> DataFrame:
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """ARFF -> DataFrame. Only the ``@attribute`` header reaches the driver;
+    """ARFF -> DataFrame. Only the ``@attribute`` lines (the schema) reach the driver;
     data lines are parsed by ``from_csv`` on the executors."""
     lines = spark.read.text(path)
     header = (lines.where(F.lower(F.trim("value")).startswith("@attribute"))
-              .select("value").limit(100_000).collect())
+              .select("value").collect())
     fields = []
     for row in header:
         parts = row.value.strip().split(None, 2)

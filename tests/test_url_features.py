@@ -3,7 +3,6 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from brute import url_features as py_features
 from conftest import SF_SMALL
