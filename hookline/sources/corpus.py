@@ -14,6 +14,8 @@ All sizes grow with ``pages``/``events``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from hookline.fixed import BRANDS
 from hookline.session import ensure_checkpoint_dir
 from hookline.sources.tables import events, pages
 
-DERIVED_VERSION = "v2"
+DERIVED_VERSION = "v3"
 
 # --- FIXED VALUES of the derived corpus (the oracle SQL repeats them) --------
 N_TEMPLATES = 16
@@ -191,10 +193,15 @@ def _build_url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- materialized derived tables ------------------------------------------------
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
 
 def derived_path(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -215,7 +222,14 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
         # one file per core slot at least, so later per-row jobs run wide
         # (AQE would otherwise coalesce a small result into one file)
         n = spark.sparkContext.defaultParallelism
-        build(spark, sf_dir).repartition(n).write.mode("overwrite").parquet(path)
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        build(spark, sf_dir).repartition(n).write.parquet(tmp)
+        # publish with one atomic rename; a concurrent builder that lost the
+        # race drops its own copy and reads the winner's
+        fs, src = _fs(spark, tmp)
+        _, dst = _fs(spark, path)
+        if not fs.rename(src, dst):
+            fs.delete(src, True)
     return spark.read.parquet(path)
 
 
