@@ -93,3 +93,16 @@ def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh sink and checkpoint folders under the shared checkpoint dir."""
     base = scratch_path(spark, name)
     return f"{base}/out", f"{base}/checkpoint"
+
+
+def model_verdicts(model, registry=None, certificates=None, as_of=None,
+                   keep: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """R6 with a trained model: features (+ lookups) and model verdicts per
+    micro-batch, errors kept per row."""
+    from hookline.operators.features import url_features
+    from hookline.operators.scoring import score_features
+
+    def job(batch: DataFrame) -> DataFrame:
+        f = url_features(batch, registry=registry, certificates=certificates, as_of=as_of)
+        return score_features(f, model, keep=keep if keep is not None else ["url"])
+    return job

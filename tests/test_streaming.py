@@ -31,3 +31,23 @@ def test_windows_equal_batch(spark):
         F.count_if(ok & (n < RULE_THRESHOLD)), F.count_if(ok & (n >= RULE_THRESHOLD)), F.count_if(~ok))
         .select(F.unix_seconds("w.start"), "*").drop("w").collect()}
     assert got == want
+
+
+def test_model_stream_equals_batch(spark):
+    from hookline.fixed import FEATURE_COLUMNS
+    from hookline.operators import ml
+    from hookline.operators.scoring import score_features
+    from hookline.plans.catalog_ml import training_frame
+    from hookline.streaming import scoring as S
+    model, _ = ml.train(training_frame(spark, SF_SMALL), FEATURE_COLUMNS, "random_forest", numTrees=20)
+    reg, certs = C.registry_snapshot(spark, SF_SMALL), C.certificate_snapshot(spark, SF_SMALL)
+    C.url_events(spark, SF_SMALL)
+    src = C.derived_path(spark, SF_SMALL, "url_events")
+    stream = S.read_stream(spark, src, max_files_per_trigger=2).select("event_id", "url")
+    job = S.model_verdicts(model, reg, certs, C.as_of(), keep=["event_id", "url"])
+    sink, ckpt = S.stream_paths(spark, "model-stream-test")
+    S.run_batches(stream, job, sink, ckpt).awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(sink).drop("batch_id").collect()}
+    batch = C.url_events(spark, SF_SMALL).select("event_id", "url")
+    want = {tuple(r) for r in job(batch).collect()}
+    assert got == want and len(got) == batch.count()
