@@ -19,23 +19,28 @@ def day_floor(later: Column, earlier: Column) -> Column:
     return F.floor(secs / F.lit(86_400_000_000)).cast("bigint")
 
 
-def parent_suffixes(key: Column) -> Column:
-    """'a.b.c' -> ['a.b.c', 'b.c', 'c'] (the host and each parent)."""
+def parent_suffixes(key: Column, min_labels: int = 2) -> Column:
+    """'a.b.c.d' -> ['a.b.c.d', 'b.c.d', 'c.d'] (the host and each parent with
+    at least ``min_labels`` labels). A registry of registered domains never
+    holds a bare top-level label, and leaving it out keeps ``com`` from
+    becoming one join key shared by nearly every host."""
     parts = F.split(key, r"[.]", -1)
     n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), n),
+    last = F.greatest(n - min_labels + 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last),
                        lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
 
 
 def registry_features(keys: DataFrame, registry: DataFrame, as_of: Column,
-                      key: str = "registry_key") -> DataFrame:
+                      key: str = "registry_key", min_labels: int = 2) -> DataFrame:
     """Per distinct key: domain_age_days, domain_registration_length.
 
-    Longest registry domain that equals the key or one of its parents wins.
+    Longest registry domain that equals the key or one of its parents (with
+    at least ``min_labels`` labels) wins.
     ``registry`` = (domain, creation_date TIMESTAMP, expiration_date TIMESTAMP).
     """
     distinct_keys = keys.select(key).where(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
-    cands = distinct_keys.select(key, F.explode(parent_suffixes(F.col(key))).alias("domain"))
+    cands = distinct_keys.select(key, F.explode(parent_suffixes(F.col(key), min_labels)).alias("domain"))
     reg = registry.select(F.lower("domain").alias("domain"), "creation_date", "expiration_date")
     matched = cands.join(reg, "domain", "inner")
     best = matched.groupBy(key).agg(
