@@ -1,8 +1,9 @@
 """Page-content features (F34-F38) from a stored HTML column, natively.
 
 Comments, scripts and styles are removed first (their content is text to an
-HTML parser); tags are found with a quote-aware pattern so ``<abbr>`` is not
-``<a>`` and ``action='x>y'`` does not end a tag. Tag and attribute names are
+HTML parser); start tags are found in one quote-aware scan, so ``<abbr>`` is
+not ``<a>``, ``action='x>y'`` does not end a tag, and a tag written inside
+another tag's attribute value is not a tag. Tag and attribute names are
 case-insensitive, attribute *values* are compared case-sensitively.
 """
 
@@ -19,6 +20,12 @@ def tag_pattern(name: str) -> str:
     return rf"(?is)<{name}(?:[\s/]{_ATTRS})?>"
 
 
+# every start tag, whatever its name: one left-to-right scan, so a tag that
+# sits inside another tag's quoted attribute value is not counted
+ANY_TAG = rf"(?is)<[a-z][^\s/>]*(?:[\s/]{_ATTRS})?>"
+TAG_NAME = r"^<([^\s/>]+)"
+
+
 def attr_pattern(name: str) -> str:
     """Group 1 = the raw value of attribute ``name`` (quoted or bare)."""
     return rf"""(?is)[\s/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -31,8 +38,13 @@ def clean_html(html: Column) -> Column:
     return out
 
 
-def tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(tag_pattern(name)), F.lit(0))
+def all_tags(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(ANY_TAG), F.lit(0))
+
+
+def named(tag_list: Column, name: str) -> Column:
+    """The tags of one name (case-insensitive) from :func:`all_tags`."""
+    return F.filter(tag_list, lambda t: F.lower(F.regexp_extract(t, TAG_NAME, 1)) == name)
 
 
 def attr(tag: Column, name: str) -> Column:
@@ -49,12 +61,12 @@ def _external(href: Column, netloc: Column) -> Column:
 
 def content_columns(html: Column, netloc: Column) -> list[tuple[str, Column]]:
     """(name, column) for the five content features; null html -> all 0.0."""
-    h = clean_html(html)
-    forms = tags(h, "form")
-    inputs = tags(h, "input")
-    anchors = tags(h, "a")
-    images = tags(h, "img")
-    links = tags(h, "link")
+    found = all_tags(clean_html(html))
+    forms = named(found, "form")
+    inputs = named(found, "input")
+    anchors = named(found, "a")
+    images = named(found, "img")
+    links = named(found, "link")
     pw = F.filter(inputs, lambda t: attr(t, "type") == "password")
     ext = F.filter(anchors, lambda t: _external(attr(t, "href"), netloc))
     icons = F.filter(links, lambda t: attr(t, "rel").rlike(r"(^|\s)icon(\s|$)"))

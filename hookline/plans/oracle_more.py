@@ -6,7 +6,7 @@ from hookline.fixed import (CONTENT_COLUMNS, CUSTOM_POSITIVE_LABELS, FEATURE_COL
                             INDICATOR_RULES, NEW_DOMAIN_DAYS, NO_WARNINGS_TEXT, RANDOM_SEED,
                             UCI_POSITIVE_TEXT, WARN_IP, WARN_NEW_DOMAIN, WARN_NO_HTTPS,
                             WARN_TYPOSQUAT)
-from hookline.functions.html import attr_pattern, tag_pattern
+from hookline.functions.html import ANY_TAG, TAG_NAME, attr_pattern
 from hookline.plans.oracle import _q, _with, corpus_ctes, full_ctes, parse_ctes
 from hookline.sources import corpus as C
 
@@ -71,9 +71,11 @@ def content_ctes(src: str) -> str:
     strip = "html"
     for pat in [r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"]:
         strip = f"regexp_replace({strip}, {_q(pat)}, '', 'g')"
-    tags = {n: f"regexp_extract_all(h, {_q(tag_pattern(n))}, 0)" for n in ["form", "input", "a", "img", "link"]}
+    tags = {n: f"list_filter(all_tags, lambda t: lower(regexp_extract(t, {_q(TAG_NAME)}, 1)) = '{n}')"
+            for n in ["form", "input", "a", "img", "link"]}
     return parse_ctes(src, "pp") + f""",
-pc0 AS (SELECT page_id, url, html, coalesce(netloc, '') AS netloc, {strip} AS h FROM pp),
+pc0 AS (SELECT page_id, url, html, coalesce(netloc, '') AS netloc,
+               regexp_extract_all({strip}, {_q(ANY_TAG)}, 0) AS all_tags FROM pp),
 pc1 AS (SELECT page_id, url, html, netloc, {tags['form']} AS forms, {tags['input']} AS inputs,
                {tags['a']} AS anchors, {tags['img']} AS images,
                list_filter({tags['link']}, lambda t: regexp_matches({_attr('t', 'rel')}, '(^|\\s)icon(\\s|$)')) AS icons
