@@ -124,3 +124,25 @@ def test_numeric_filter(spark):
     from hookline.operators.features import url_features
     f = url_features(C.url_corpus(spark, SF_SMALL).select("id", "url"))
     assert numeric_feature_columns(f) == FEATURE_COLUMNS
+
+
+def test_exotic_urls_match_python(spark):
+    """Brackets, control characters, Unicode digits: features equal urlparse,
+    and urlparse's ValueError is our error column."""
+    import random
+    rnd = random.Random(5)
+    alpha = list("abgoGO01.-_/:?=&@!~,+*#$% ;[]") + ["\t", "\n", "\x01", "\u0663", "é", "//", "www.",
+                                                    "http", "s://", "::", "[::1]", "%20"]
+    prefixes = ["http://", "https://", "", "//", "HTTP://", " \x02http://", "ftp://", "foo:", "1http://"]
+    urls = [rnd.choice(prefixes) + "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 25)))
+            for _ in range(400)]
+    got = local_features(_frame(spark, urls)).orderBy("id").collect()
+    for u, r in zip(urls, got):
+        try:
+            want = py_features(u)
+        except ValueError:
+            assert r["error"] is not None, u
+            continue
+        assert r["error"] is None, u
+        for c in LOCAL_COLUMNS + ["closest_brand"]:
+            assert (r[c] == pytest.approx(want[c])) if isinstance(want[c], float) else r[c] == want[c], (u, c)
