@@ -73,6 +73,9 @@ def url_features(df: DataFrame, url_col: str = "url", *, registry: DataFrame | N
     if registry is not None or certificates is not None:
         keys = materialize(feats.where(ok).select("registry_key", "cert_host").distinct(),
                            "lookup-keys")
+        # each lookup has at most one row per key pair, so the key table's
+        # size (a footer-only count of the written parquet) bounds both
+        join_kw.setdefault("rows_at_most", keys.count())
     if registry is not None:
         reg = registry_features(keys, registry, as_of)
         feats = enrich(feats, reg, "registry_key", **join_kw)

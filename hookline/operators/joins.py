@@ -20,11 +20,12 @@ def row_bound(df: DataFrame, max_rows: int) -> bool:
 
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
                 max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
-                salts: int = DEFAULT_SALTS) -> DataFrame:
+                salts: int = DEFAULT_SALTS, rows_at_most: int | None = None) -> DataFrame:
     """Join a large, possibly skewed table to a lookup with unique keys.
 
     * lookup proven to have at most ``max_broadcast_rows`` rows -> broadcast
-      hash join, no shuffle of ``big``;
+      hash join, no shuffle of ``big`` (the proof is ``rows_at_most`` when the
+      caller knows a bound, else a ``limit(n+1).count()`` on the lookup);
     * otherwise a sort-merge join where each ``big`` row gets a salt
       ``0..salts-1`` (round robin, so even identical rows spread) and the
       lookup is replicated once per salt: a key holding a third of ``big``
@@ -34,8 +35,11 @@ def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner joins")
-    if max_broadcast_rows is not None and row_bound(lookup, max_broadcast_rows):
-        return big.join(F.broadcast(lookup), keys, how)
+    if max_broadcast_rows is not None:
+        small = (rows_at_most <= max_broadcast_rows if rows_at_most is not None
+                 else row_bound(lookup, max_broadcast_rows))
+        if small:
+            return big.join(F.broadcast(lookup), keys, how)
     if salts <= 1:
         return big.join(lookup, keys, how)
     salted_big = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))

@@ -68,6 +68,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch tables (``materialize``, stream
+    sinks); call when the job's results are written."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir()
+    if base:
+        p = spark._jvm.org.apache.hadoop.fs.Path(base)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back: one pass over the input, lineage cut, and retries after an
