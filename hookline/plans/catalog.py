@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.fixed import FEATURE_COLUMNS
-from hookline.functions.url import parse_url
+from hookline.functions.url import with_parsed
 from hookline.operators.features import LOCAL_COLUMNS, PARSED_FIELDS, local_features, url_features
 from hookline.sources import corpus as C
 
@@ -53,9 +53,9 @@ def corpus_features(spark: SparkSession, sf: str, registry: bool = True,
 
 @query("url_parse")
 def url_parse(spark, sf):
-    p = parse_url(F.col("url"))
-    return C.url_corpus(spark, sf).select(
-        "id", "url", *[p[f].alias(f) for f in PARSED_FIELDS], p["error"].alias("error"))
+    parsed = with_parsed(C.url_corpus(spark, sf).select("id", "url"))
+    return parsed.select("id", "url", *[F.col(f"p.{f}").alias(f) for f in PARSED_FIELDS],
+                         F.col("p.error").alias("error"))
 
 
 def _local_subset(cols):
