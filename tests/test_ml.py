@@ -109,3 +109,17 @@ def test_labelled_features_fill_zero(spark):
     df = spark.createDataFrame([(1, None, "bad"), (0, 2.0, None)], "label int, a double, error string")
     rows = ml.labelled_features(df, ["a"]).orderBy("label").collect()
     assert [r.a for r in rows] == [2.0, 0.0]
+
+
+def test_grid_search_rows(sample):
+    out = ml.grid_search(sample, FEATS, "random_forest", {"maxDepth": [2, 4], "numTrees": [5]}, k=3).collect()
+    assert len(out) == 2 and all(0 <= r.cv_mean_accuracy <= 1 for r in out)
+
+
+def test_status_lines(spark):
+    from hookline.operators.scoring import report_lines
+    df = spark.createDataFrame([("http://a.com", True, 0.9, None), ("http://b.com", None, None, "Invalid IPv6 URL")],
+                               "url string, is_phishing boolean, confidence double, error string")
+    lines = [r.status for r in report_lines(df).orderBy("url").collect()]
+    assert lines[0] == "PHISHING http://a.com... (90%)"
+    assert lines[1].startswith("ERROR") and "Invalid IPv6 URL" in lines[1]
