@@ -177,10 +177,13 @@ def cross_validate(df: DataFrame, feature_names: list[str], model_type: str = "r
 
 
 def compare_models(df: DataFrame, feature_names: list[str], validation_split: float = VALIDATION_SPLIT,
-                   k: int = CV_FOLDS, model_types: list[str] | None = None, **overrides) -> DataFrame:
-    """Each model type -> validation metrics + CV accuracy, one row per type."""
+                   k: int = CV_FOLDS, model_types: list[str] | None = None,
+                   params: dict[str, dict] | None = None) -> DataFrame:
+    """Each model type -> validation metrics + CV accuracy, one row per type
+    (``params`` = optional parameter overrides per model type)."""
     rows = None
     for i, mt in enumerate(model_types or MODEL_TYPES):
+        overrides = (params or {}).get(mt, {})
         _, m = train(df, feature_names, mt, validation_split, **overrides)
         cv = cross_validate(df, feature_names, mt, k, **overrides)
         row = M.side_by_side(m, cv).select(F.lit(mt).alias("model"), F.lit(i).alias("model_order"), "*")

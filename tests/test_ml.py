@@ -123,3 +123,12 @@ def test_status_lines(spark):
     lines = [r.status for r in report_lines(df).orderBy("url").collect()]
     assert lines[0] == "PHISHING http://a.com... (90%)"
     assert lines[1].startswith("ERROR") and "Invalid IPv6 URL" in lines[1]
+
+
+def test_compare_models_rows(spark, sample):
+    """Both model types, validation metrics and CV accuracy (small models here)."""
+    small = {"random_forest": {"numTrees": 10}, "xgboost": {"maxIter": 5}}
+    rows = ml.compare_models(sample, FEATS, k=3, params=small).collect()
+    assert [r.model for r in rows] == ["random_forest", "xgboost"]
+    for r in rows:
+        assert 0 <= r.f1_score <= 1 and 0 <= r.cv_mean_accuracy <= 1 and r.cv_std_accuracy >= 0
