@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -34,6 +36,10 @@ def load_uci(spark: SparkSession, path: str, positive=None) -> DataFrame:
     return df.select(*feats, uci_label(F.col(target), dtype, positive).alias("label"))
 
 
+# @attribute <name> <type>; the name may be quoted and contain spaces
+_ARFF_ATTRIBUTE = re.compile(r"""(?i)@attribute\s+(?:'([^']*)'|"([^"]*)"|(\S+))\s+(.*)$""")
+
+
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """ARFF -> DataFrame. Only the ``@attribute`` lines (the schema) reach the driver;
     data lines are parsed by ``from_csv`` on the executors."""
@@ -42,15 +48,19 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
               .select("value").collect())
     fields = []
     for row in header:
-        parts = row.value.strip().split(None, 2)
-        name = parts[1].strip("'\"")
-        kind = parts[2].strip().lower() if len(parts) > 2 else "string"
+        m = _ARFF_ATTRIBUTE.match(row.value.strip())
+        if not m:
+            raise ValueError(f"bad ARFF attribute line: {row.value!r}")
+        name = next(g for g in m.group(1, 2, 3) if g is not None)
+        kind = m.group(4).strip().lower()
         numeric = kind in ("numeric", "real", "integer")
         fields.append(StructField(name, DoubleType() if numeric else StringType()))
     schema = StructType(fields)
     body = lines.where(~F.trim("value").startswith("@") & ~F.trim("value").startswith("%")
                        & (F.trim("value") != ""))
-    parsed = body.select(F.from_csv(F.col("value"), schema.simpleString(),
+    ddl = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString())
+                    for f in schema.fields)
+    parsed = body.select(F.from_csv(F.col("value"), ddl,
                                     {"quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r"))
     return parsed.select("r.*")
 

@@ -64,3 +64,12 @@ def test_synthetic_numeric(spark):
     df = D.synthetic_numeric(spark, 200)
     assert len(df.columns) == 32 and df.count() == 200
     assert df.where("label = 1").count() > 0
+
+
+def test_arff_quoted_names_and_nominal(spark, tmp_path):
+    a = tmp_path / "q.arff"
+    a.write_text("@RELATION r\n@ATTRIBUTE 'url length' NUMERIC\n@attribute kind {x,y}\n"
+                 "@attribute Result {-1,1}\n@DATA\n3,x,1\n5,'y',-1\n")
+    df = D.read_arff(spark, str(a))
+    assert df.columns == ["url length", "kind", "Result"]
+    assert [tuple(r) for r in df.collect()] == [(3.0, "x", "1"), (5.0, "y", "-1")]

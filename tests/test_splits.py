@@ -87,3 +87,16 @@ def test_stratified_folds_match_direct_allocation(spark):
         labels = _labels(n, every)
         got = {r.id: r.fold for r in stratified_folds(_frame(spark, labels), k).collect()}
         assert [got[i] for i in range(n)] == _sk_folds(labels, k), (n, k)
+
+
+def test_rank_within_random_layouts(spark):
+    import random
+    rnd = random.Random(9)
+    for _ in range(3):
+        n, groups, parts = rnd.randint(1, 400), rnd.randint(1, 6), rnd.randint(1, 9)
+        rows = [(i, rnd.randrange(groups), rnd.randrange(50)) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, g int, v int")
+        got = {r.id: r.rank for r in rank_within(df, ["g"], ["v", "id"], partitions=parts).collect()}
+        for g in range(groups):
+            ordered = sorted((v, i) for i, gg, v in rows if gg == g)
+            assert [got[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
