@@ -19,6 +19,12 @@ _D = r"\p{Nd}"
 IP_HOST_PATTERN = rf"^({_D}{{1,3}}\.){{3}}{_D}{{1,3}}\z"
 IP_ANYWHERE_PATTERN = rf"({_D}{{1,3}}\.){{3}}{_D}{{1,3}}"
 
+# Python's str.strip() whitespace (str.isspace), in syntax both Java regex
+# and RE2 read
+PY_SPACE = (r"[\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+PY_STRIP = rf"^{PY_SPACE}+|{PY_SPACE}+$"
+
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _NETLOC = r"^//[^/?#]*"
 _IPV6ISH = r"^(v[0-9A-Fa-f]+\.[^\]]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(%[^\]]+)?)$"
@@ -130,6 +136,11 @@ def _bracket_error(url, netloc: Column) -> Column:
             .when(opens & ~bracketed.rlike(_IPV6ISH), F.lit("Invalid IPv6 URL")))
 
 
+def py_strip(c: Column) -> Column:
+    """``str.strip()`` of a string column."""
+    return F.regexp_replace(c, PY_STRIP, "")
+
+
 def strip_www(host: Column) -> Column:
     return F.when(host.startswith("www."), F.substring(host, 5, 1 << 30)).otherwise(host)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hookline.fixed import CONTENT_COLUMNS, FEATURE_COLUMNS, INDICATOR_RULES
 from hookline.functions.labels import custom_label, uci_label
 from hookline.functions.rules import indicator_count, risk_indicators, warning_text, warnings
-from hookline.functions.url import parse_url
+from hookline.functions.url import parse_url, py_strip
 from hookline.operators import metrics as M
 from hookline.operators.content import page_content, with_content
 from hookline.operators.features import url_features
@@ -210,7 +210,7 @@ def url_quarantine(spark, sf):
     """P1-P3 + parse errors: rows that cannot be scored, with the reason."""
     c = C.url_corpus(spark, sf)
     p = parse_url(F.col("url"))
-    blank = F.regexp_replace(F.col("url"), r"^\s+|\s+$", "") == ""
+    blank = py_strip(F.col("url")) == ""
     reason = (F.when(F.col("url").isNull(), F.lit("missing url"))
               .when(blank, F.lit("blank url"))
               .otherwise(p["error"]))

@@ -7,6 +7,7 @@ from hookline.fixed import (CONTENT_COLUMNS, CUSTOM_POSITIVE_LABELS, FEATURE_COL
                             UCI_POSITIVE_TEXT, WARN_IP, WARN_NEW_DOMAIN, WARN_NO_HTTPS,
                             WARN_TYPOSQUAT)
 from hookline.functions.html import ANY_TAG, TAG_NAME, attr_pattern
+from hookline.functions.url import PY_STRIP
 from hookline.plans.oracle import _q, _with, corpus_ctes, full_ctes, parse_ctes
 from hookline.sources import corpus as C
 
@@ -305,10 +306,10 @@ SELECT model, f1_score FROM m ORDER BY f1_score DESC, t LIMIT 1"""
 SELECT id, feature, value FROM (
   UNPIVOT (SELECT id, {casts} FROM scored) ON {FEATS} INTO NAME feature VALUE value)"""
 
-    out["url_quarantine"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + r"""
+    out["url_quarantine"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + f"""
 SELECT id, reason FROM (
   SELECT id, CASE WHEN url IS NULL THEN 'missing url'
-                  WHEN regexp_replace(url, '^\s+|\s+$', '', 'g') = '' THEN 'blank url'
+                  WHEN regexp_replace(url, {_q(PY_STRIP)}, '', 'g') = '' THEN 'blank url'
                   ELSE error END AS reason
   FROM parsed) WHERE reason IS NOT NULL"""
 

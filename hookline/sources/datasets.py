@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from hookline.fixed import (RANDOM_SEED, SAMPLE_LEGITIMATE_URLS, SAMPLE_PHISHING_URLS,
                             UCI_TARGET_NAMES)
 from hookline.functions.labels import custom_label, uci_label
+from hookline.functions.url import py_strip
 from hookline.operators.joins import lookup_join
 from hookline.operators.ranking import rank_within
 
@@ -83,7 +84,7 @@ def check_columns(df: DataFrame, required: list[str]) -> None:
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """One url per line, stripped, blank lines dropped."""
-    url = F.regexp_replace(F.col("value"), r"^\s+|\s+$", "")
+    url = py_strip(F.col("value"))
     return spark.read.text(path).select(url.alias("url")).where(F.col("url") != "")
 
 

@@ -73,3 +73,12 @@ def test_arff_quoted_names_and_nominal(spark, tmp_path):
     df = D.read_arff(spark, str(a))
     assert df.columns == ["url length", "kind", "Result"]
     assert [tuple(r) for r in df.collect()] == [(3.0, "x", "1"), (5.0, "y", "-1")]
+
+
+def test_py_strip_matches_python(spark):
+    from pyspark.sql import functions as F
+    from hookline.functions.url import py_strip
+    samples = [" a ", "\t\n\x0b\x0c\r\x1c\x1fb\x85\xa0", " c　", "​d", " ", "", "e f"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    got = [r[0] for r in df.select(py_strip(F.col("s"))).collect()]
+    assert got == [s.strip() for s in samples]
