@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hookline.llm import fingerprints, html_extract, mixing, packing, pii, toxicity
+from hookline.llm import fingerprints, html_extract, mixing, packing, pii, substring_dedup, toxicity
 from hookline.session import ensure_checkpoint_dir
 from hookline.sources.tables import read_table
 
@@ -20,9 +22,20 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; Python workers find this package where the driver does (elsewhere it is shipped with the job)."""
     ensure_checkpoint_dir(spark)
-    return read_table(spark, sf_dir, "documents")
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return read_table(spark, sf_dir, name)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +51,7 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +60,12 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.score_documents(docs, toxicity.fit_lexicon(docs, read_table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels")))
 
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": substring_query,
         "op2_packing": packing_query,
         "op4_fingerprints": fingerprint_query,
         "op7_pii": pii_query,
