@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hookline.llm import fingerprints, html_extract, mixing, packing, pii, substring_dedup, toxicity
+from hookline.llm import ann, fingerprints, html_extract, mixing, packing, pii, substring_dedup, toxicity
 from hookline.session import ensure_checkpoint_dir
 from hookline.sources.tables import read_table
 
@@ -46,6 +46,10 @@ def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_summary(documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_substring_dedup": substring_query,
         "op2_packing": packing_query,
         "op4_fingerprints": fingerprint_query,
+        "op6_nearest_neighbours": ann_query,
         "op7_pii": pii_query,
         "op8_html_extraction": html_query,
         "op9_mixing": mixing_query,
