@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hookline.llm import ann, fingerprints, html_extract, mixing, packing, pii, substring_dedup, toxicity
+from hookline.llm import ann, fingerprints, html_extract, mixing, ngram_join, packing, pii, substring_dedup, toxicity
 from hookline.session import ensure_checkpoint_dir
 from hookline.sources.tables import read_table
 
@@ -42,6 +42,10 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(documents(spark, sf_dir), vocabulary())
 
 
+def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
@@ -71,6 +75,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": substring_query,
         "op2_packing": packing_query,
+        "op3_ngram_join": ngram_query,
         "op4_fingerprints": fingerprint_query,
         "op6_nearest_neighbours": ann_query,
         "op7_pii": pii_query,
