@@ -3,32 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hookline.llm import ann, fingerprints, html_extract, mixing, ngram_join, packing, pii, substring_dedup, toxicity
-from hookline.session import ensure_checkpoint_dir
-from hookline.sources.tables import read_table
+import corpus_pipeline
+from hookline.llm import ann, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, pii, substring_dedup, toxicity
+from hookline.llm.catalog_tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def vocabulary() -> str:
-    """Path of the packing vocabulary (installed beside the tokenizers, never copied)."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; Python workers find this package where the driver does (elsewhere it is shipped with the job)."""
-    ensure_checkpoint_dir(spark)
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return read_table(spark, sf_dir, name)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -50,6 +35,11 @@ def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicate_lines(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -71,19 +61,26 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents(spark, sf_dir)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": substring_query,
         "op2_packing": packing_query,
         "op3_ngram_join": ngram_query,
         "op4_fingerprints": fingerprint_query,
+        "op5_line_dedup": line_query,
         "op6_nearest_neighbours": ann_query,
         "op7_pii": pii_query,
         "op8_html_extraction": html_query,
         "op9_mixing": mixing_query,
         "op10_toxicity": toxicity_query,
+        "pipeline": pipeline_query,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.mixing_sql()}
+    return {"op5_line_dedup": line_dedup.line_dedup_sql(), "op9_mixing": mixing.mixing_sql()}
