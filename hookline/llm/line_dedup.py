@@ -6,10 +6,10 @@ threshold with it. Only built-in functions run here:
 
 1. Lines with the same text meet by a 128-bit hash; all but the first go at
    once (one minimum per text, combined before the shuffle).
-2. Token rarity comes from a table of ``RARITY_CELLS`` hashed counts over all
-   words; within a step of it longer words come first. A token's key is its
-   rank and 52 bits of its hash, so sorting keys orders a line's tokens from
-   rare to common. Any fixed order gives the same result; this one keeps the
+2. A token's rarity is read from a small table of hashed counts over all words
+   and from its length (a word is taken for rarer by a factor of two per
+   letter). A token's key is that rank and 56 bits of its hash, so sorting
+   keys orders a line's tokens from rare to common. Any fixed order gives the same result; this one keeps the
    index's groups small.
 3. A line of n tokens puts its first n - ceil(t n) + 1 keys (the prefix) in an
    index. Two lines that reach t share a prefix key, differ in length by at
@@ -25,7 +25,7 @@ Edge cases: blank lines have no tokens and are kept as they are; null text has
 no lines and stays null; lines of rows with a null id are compared with none
 and kept; rows with one id count as one document, so a line number removed in one
 of them is removed in all; an empty table gives no rows. A token is known by
-its rank and 52 bits of its hash.
+its rank and 56 bits of its hash.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-RARITY_CELLS = 1 << 14
-STEP_AT, LENGTH_AT = 57, 52  # a key is 6 bits of rarity step, 5 of 31 less the word's length, 52 of its hash
+RARITY_CELLS = 1 << 10
+LONG_WORD = 20
+RANK_AT = 56  # a key is 7 bits of rank and 56 of the word's hash
+INDEX_BITS = 40  # what the index keeps of a key: enough to meet by, and fewer bytes to shuffle
 
 
 def tokens(line: Column) -> Column:
@@ -45,14 +47,14 @@ def tokens(line: Column) -> Column:
 
 
 def rarity(lines: DataFrame) -> bytes:
-    """Per cell, the rarity step of the words that hash into it (three steps in two octaves of their count).
+    """Per cell, the rarity step of the words that hash into it (two steps an octave of their count).
 
     RARITY_CELLS bytes whatever the size of the input, so they go into the plan as a literal.
     """
     cell = F.pmod(F.xxhash64("word"), F.lit(RARITY_CELLS))
     words = lines.select(F.explode(F.split("line", r"[\x20\x09-\x0D]+")).alias("word"))
     counts = words.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    step = F.least(F.lit(63), F.floor(F.log2(F.col("n") + 1.0) * 1.5)).cast("int").alias("step")
+    step = F.least(F.lit(80), F.floor(F.log2(F.col("n") + 1.0) * 2)).cast("int").alias("step")
     steps = bytearray(RARITY_CELLS)
     for r in counts.select("cell", step).collect():  # at most RARITY_CELLS small rows
         steps[r["cell"]] = r["step"]
@@ -65,9 +67,8 @@ def keys_of(line: Column, steps: bytes) -> Column:
         h = F.xxhash64(word)
         cell = F.pmod(h, F.lit(RARITY_CELLS)).cast("int") + 1
         step = F.ascii(F.substr(F.lit(steps), cell, F.lit(1)).cast("string")).cast("long")
-        short = (F.lit(31) - F.least(F.length(word), F.lit(31))).cast("long")
-        rank = F.shiftleft(step, STEP_AT).bitwiseOR(F.shiftleft(short, LENGTH_AT))
-        return rank.bitwiseOR(F.shiftrightunsigned(h, 64 - LENGTH_AT))
+        rank = step + 2 * (LONG_WORD - F.least(F.length(word), F.lit(LONG_WORD)))
+        return F.shiftleft(rank, RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
 
     return F.array_sort(F.array_distinct(F.transform(tokens(line), key)))
 
@@ -113,7 +114,8 @@ def index_rows(lines: DataFrame, steps: bytes, threshold: float) -> DataFrame:
     n = F.size("keys")
     part = keyed.select("doc_id", "line_no", n.alias("n"), parity_map(F.col("keys")).alias("bits"),
                         F.slice("keys", F.lit(1), prefix_length(n, threshold).cast("int")).alias("head"))
-    return part.select("doc_id", "line_no", "n", "bits", F.posexplode("head").alias("pos", "tok")).withColumn("pos", F.col("pos") + 1)
+    rows = part.select("doc_id", "line_no", "n", "bits", F.posexplode("head").alias("pos", "key"))
+    return rows.select(F.shiftrightunsigned("key", 63 - INDEX_BITS).alias("tok"), "doc_id", "line_no", "n", (F.col("pos") + 1).alias("pos"), "bits")
 
 
 def lines_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -153,10 +155,13 @@ def matched_lines(rows: DataFrame, firsts: DataFrame, steps: bytes, threshold: f
         return later.join(earlier, on).select("doc_id", "line_no", "y_doc_id", "y_line_no")
 
     open_ = led.where(~F.col("settles")).select("tok", *columns)
-    pairs = by_leader.unionByName(meet(open_)).distinct()
-    found = verified(pairs, rows, steps, threshold).checkpoint()
+    # a small table, written once, so that the index is made once
+    pairs = (by_leader.withColumn("led", F.lit(True)).unionByName(meet(open_).withColumn("led", F.lit(False))).distinct().checkpoint())
+    found = verified(pairs.drop("led").distinct(), rows, steps, threshold).checkpoint()
     # lines whose leaders looked similar but none of whose pairs did: they meet all earlier lines on every key
-    hoped = by_leader.select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").checkpoint()
+    hoped = pairs.where("led").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").checkpoint()
+    if hoped.isEmpty():
+        return found
     again = index_rows(lines_at(rows, hoped), steps, threshold)
     late = verified(meet(again).distinct(), rows, steps, threshold)
     return found.unionByName(late).distinct()
