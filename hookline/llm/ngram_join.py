@@ -172,9 +172,18 @@ class Forest:
                 return self.up
             self.up = above
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Union the pairs; those that joined two trees."""
-        used, up = [], self.up
+    def stars(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each tree as edges from its smallest name to its others, so equal trees of many buckets give equal edges."""
+        root = self.roots()
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, names)
+        a = least[root]
+        real = a != names
+        return a[real], names[real]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Union the pairs."""
+        up = self.up
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             rx, ry = x, y
             while up[rx] != rx:
@@ -183,8 +192,6 @@ class Forest:
                 ry = up[ry]
             if rx != ry:
                 up[max(rx, ry)] = min(rx, ry)
-                used.append((x, y))
-        return used
 
 
 def blocked(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
@@ -215,7 +222,7 @@ def connect_bucket(threshold: float):
         key, doc, left, right, side, sig = (x[order] for x in (key, doc, left, right, side, sig))
         group = np.concatenate([[0], np.cumsum((np.diff(key) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0))])
         most = np.bincount(group).max()
-        forest, edges = Forest(len(doc)), []
+        forest = Forest(len(doc))
         for d in range(1, most):
             a = np.flatnonzero(group[d:] == group[:-d])
             b = a + d
@@ -227,11 +234,9 @@ def connect_bucket(threshold: float):
                     break  # every group is one tree
                 continue
             ok = survivors(sig[a], sig[b], threshold)
-            edges += forest.join(a[ok], b[ok])
-        x, y = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
-        low, high = np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])
-        real = low != high
-        return pa.table({"a": pa.array(low[real]), "b": pa.array(high[real])})
+            forest.join(a[ok], b[ok])
+        low, high = forest.stars(doc)
+        return pa.table({"a": pa.array(low), "b": pa.array(high)})
 
     return run
 
@@ -252,7 +257,7 @@ def verify_groups(threshold: float, size: int):
         count = np.diff(bounds)
         mark = np.zeros(code.max() + 1 if len(code) else 1, dtype=np.int32)
         links = np.zeros(len(rep), dtype=np.int64)
-        forest, edges = Forest(len(rep)), []
+        forest = Forest(len(rep))
         group = np.concatenate([[0], np.cumsum((np.diff(label) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0))])
         first = np.searchsorted(group, np.arange(group[-1] + 2))
         for a in range(len(rep)):
@@ -277,13 +282,13 @@ def verify_groups(threshold: float, size: int):
             b = b[shared * (1 + threshold) >= threshold * (n + count[a]) - 1e-9]
             links[a] += copies[b].sum()
             links[b] += copies[a]
-            edges += forest.join(np.full(len(b), a), b)
-        x, y = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
+            forest.join(np.full(len(b), a), b)
+        low, high = forest.stars(rep)
         some = np.flatnonzero(links)
         return pa.table({
-            "a": pa.array(np.concatenate([rep[some], np.minimum(rep[x], rep[y])])),
-            "b": pa.array([None] * len(some) + np.maximum(rep[x], rep[y]).tolist(), pa.int64()),
-            "links": pa.array(np.concatenate([links[some], np.zeros(len(x), dtype=np.int64)]))})
+            "a": pa.array(np.concatenate([rep[some], low])),
+            "b": pa.array([None] * len(some) + high.tolist(), pa.int64()),
+            "links": pa.array(np.concatenate([links[some], np.zeros(len(low), dtype=np.int64)]))})
 
     return run
 
