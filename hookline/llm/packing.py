@@ -20,6 +20,7 @@ are cut; the open windows are what a task holds besides one batch.
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from functools import lru_cache
 
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 
 SIZE = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -179,7 +181,7 @@ class Packer:
             window, filled = later, filled - part
 
 
-def slices(batch: pa.RecordBatch, text_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text_bytes: int = 16 << 20):
     """The batch in runs of rows with about ``text_bytes`` of text each."""
     sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // text_bytes)) + 1
