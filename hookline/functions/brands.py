@@ -11,23 +11,17 @@ from pyspark.sql import functions as F
 
 from hookline.fixed import BRANDS
 
-# A per-row unrolled expression is only sensible for a short list; bigger
-# brand tables go through the blocked join in ``operators.typosquat``.
-MAX_INLINE_BRANDS = 256
-
-
 def nearest_brand(label, brands: list[str] | None = None) -> Column:
     """struct(distance INT, brand_idx INT, brand STRING) of the closest brand.
 
     Distances form one array; ``array_position`` of its minimum is the first
-    brand in list order with that distance (the tie rule).
+    brand in list order with that distance (the tie rule). One expression per
+    brand: a brand *table* goes through ``operators.typosquat.nearest_brands``,
+    which gives the same answer.
     """
     brands = BRANDS if brands is None else list(brands)
     if not brands:
         raise ValueError("brand list is empty")
-    if len(brands) > MAX_INLINE_BRANDS:
-        raise ValueError(
-            f"{len(brands)} brands: use operators.typosquat.brand_matches for large lists")
     lab = F.col(label) if isinstance(label, str) else label
     dists = F.array(*[F.levenshtein(lab, F.lit(b)) for b in brands])
     best = F.array_min(dists)

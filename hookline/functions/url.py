@@ -119,14 +119,25 @@ def with_parsed(df, url_col: str = "url", out: str = "p"):
     n = F.size(parts)
     main_label = (F.when(n > 2, F.element_at(parts, -2)).when(n == 2, F.element_at(parts, 1))
                   .otherwise(lhost))
-    df = df.withColumn(out, F.struct(
+    df = df.withColumn(out, once(F.struct(
         scheme.alias("scheme"), netloc.alias("netloc"), F.col(t + "path").alias("path"),
         host.alias("host"), F.col(t + "hnw").alias("host_no_www"), main_label.alias("main_label"),
-        F.col(t + "bad").alias("error")))
+        F.col(t + "bad").alias("error"))))
     return df.drop(*[t + x for x in ("c", "sr", "scheme", "rest", "netloc", "pq", "path", "host",
                                      "lhost", "bad", "hnw", "parts")])
 
 
+def once(c: Column) -> Column:
+    """``c``, kept apart from its users by the optimizer.
+
+    Filters pushed below a projection, and projections merged into one, repeat
+    the expressions of the columns they read; a long chain of patterns then
+    grows past what can be compiled. A condition on random numbers (always
+    true) makes the column one that Spark evaluates once per row, in its place.
+    """
+    return F.when(F.rand(0) + F.rand(1) >= 0, c)
+
+
 def _bracket_error(url, netloc: Column) -> Column:
     opens = netloc.contains("[")
     closes = netloc.contains("]")
@@ -142,7 +153,7 @@ def py_strip(c: Column) -> Column:
 
 
 def strip_www(host: Column) -> Column:
-    return F.when(host.startswith("www."), F.substring(host, 5, 1 << 30)).otherwise(host)
+    return F.when(host.startswith("www."), F.substr(host, F.lit(5))).otherwise(host)
 
 
 def count_substring(u: Column, s: str) -> Column:

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 from hookline.fixed import CONTENT_COLUMNS
 from hookline.functions.html import content_columns
-from hookline.functions.url import parse_url
-from hookline.operators.joins import lookup_join
+from hookline.functions.url import with_parsed
 
 
 def page_content(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Adds the five content features; external = not under the page's netloc."""
-    netloc = parse_url(F.col(url_col))["netloc"]
+    netloc = F.col("_page.netloc")
     cols = content_columns(F.col(html_col), F.coalesce(netloc, F.lit("")))
-    return pages.select(*pages.columns, *[c.alias(n) for n, c in cols])
+    return with_parsed(pages, url_col, "_page").select(*pages.columns, *[c.alias(n) for n, c in cols])
 
 
 def content_by_url(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """One content record per url (the page with the smallest id wins)."""
-    feats = page_content(pages).select("url", id_col, *CONTENT_COLUMNS)
-    best = F.min_by(F.struct(*CONTENT_COLUMNS), F.col(id_col))
-    return feats.where(F.col("url").isNotNull()).groupBy("url").agg(best.alias("c")) \
-        .select("url", *[F.col(f"c.{c}").alias(c) for c in CONTENT_COLUMNS])
+    """One content record per url (the page with the smallest id wins); only the winners' html is read by the tag patterns."""
+    first = pages.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(id_col).alias(id_col))
+    winners = pages.join(first, ["url", id_col], "left_semi").dropDuplicates(["url", id_col])
+    return page_content(winners).select("url", *CONTENT_COLUMNS)
 
 
-def with_content(df: DataFrame, pages: DataFrame, **join_kw) -> DataFrame:
+def with_content(df: DataFrame, pages: DataFrame) -> DataFrame:
     """Left join the per-url content record; no page -> 0.0 (fetch failed)."""
-    joined = lookup_join(df, content_by_url(pages), ["url"], "left", **join_kw)
+    wanted = df.select("url").where(F.col("url").isNotNull()).distinct()
+    lookup = content_by_url(pages.join(wanted, "url", "left_semi"))
+    joined = df.join(lookup, "url", "left")
     return joined.select(*df.columns, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in CONTENT_COLUMNS])

@@ -14,12 +14,12 @@ from pyspark.sql.types import NumericType
 
 from hookline.fixed import FEATURE_COLUMNS
 from hookline.functions.brands import nearest_brand, typosquat_columns
-from hookline.functions.url import lexical_columns, strip_www, with_parsed
-from hookline.operators.enrich import certificate_features, enrich, registry_features
-from hookline.session import materialize
+from hookline.functions.url import lexical_columns, once, with_parsed
+from hookline.operators.enrich import certificate_features, registry_features
 
 LOCAL_COLUMNS = [c for c in FEATURE_COLUMNS
                  if c not in ("has_valid_ssl", "domain_age_days", "domain_registration_length")]
+SPREAD_KEYS = 4096  # keys over which rows without a lookup key are spread
 PARSED_FIELDS = ["scheme", "netloc", "path", "host", "host_no_www", "main_label"]
 
 
@@ -47,54 +47,57 @@ def local_features(df: DataFrame, url_col: str = "url", brands: list[str] | None
 
 def url_features(df: DataFrame, url_col: str = "url", *, registry: DataFrame | None = None,
                  certificates: DataFrame | None = None, as_of: Column | None = None,
-                 brands: list[str] | None = None, **join_kw) -> DataFrame:
+                 brands: list[str] | None = None) -> DataFrame:
     """input columns + the 32 features in vector order + closest_brand + error.
 
     ``registry`` None -> domain_age_days/registration_length = -1 (F41);
     ``certificates`` None -> has_valid_ssl = 0 (no check possible).
 
-    With lookups, the distinct (registry key, certificate host) pairs of the
-    input are computed once (a parse-only pass with partial aggregation, so
-    a host holding a third of the rows is one key) and written as a small
-    table to the shared checkpoint folder; both lookups are built from that small table,
-    their sizes are checked there, and the join back is a broadcast when the
-    bound holds, else a skew-aware shuffle join.
+    With lookups, both are resolved on the distinct (registry key, certificate
+    host) pairs of the input, so a host that holds a third of the rows is looked
+    up once, and one join brings the result back. Only the input columns and
+    the pair pass through that join; the features are computed after it. Spark
+    picks the join and splits skewed pairs; rows without a pair are spread over
+    keys that match nothing.
     """
-    feats = local_features(df, url_col, brands, keep_parsed=True)
-    p = F.col("p")
+    if registry is None and certificates is None:
+        found = df.withColumns({"domain_age_days": F.lit(None).cast("double"), "domain_registration_length": F.lit(None).cast("double"),
+                                "cert_valid": F.lit(None).cast("boolean")})
+    else:
+        if as_of is None:
+            raise ValueError("as_of is required with registry or certificate snapshots")
+        p = F.col("p")
+        keyed = parsed(df, url_col).withColumns({
+            "registry_key": once(F.when(p.error.isNull(), F.lower(p.host_no_www))),
+            "cert_host": once(F.when(p.error.isNull() & (p.scheme == "https"), F.lower(p.host))),
+        }).drop("p")
+        lookups = resolve_lookups(keyed.select("registry_key", "cert_host").where("registry_key is not null").distinct(), registry, certificates, as_of)
+        nobody = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD_KEYS)).cast("string"))
+        found = (keyed.withColumns({"registry_key": F.coalesce("registry_key", nobody), "cert_host": F.coalesce("cert_host", F.lit(""))})
+                 .join(lookups, ["registry_key", "cert_host"], "left").drop("registry_key", "cert_host"))
+    feats = local_features(found, url_col, brands, keep_parsed=True)
     ok = F.col("error").isNull()
-    if (registry is not None or certificates is not None) and as_of is None:
-        raise ValueError("as_of is required with registry or certificate snapshots")
+    ssl = F.when((F.col("p.scheme") == "https") & F.col("cert_valid"), F.lit(1.0)).otherwise(F.lit(0.0))
     feats = feats.withColumns({
-        "registry_key": F.lower(strip_www(p.host)),
-        "cert_host": F.when(p.scheme == "https", F.lower(p.host)),
+        "domain_age_days": F.when(ok, F.coalesce("domain_age_days", F.lit(-1.0))),
+        "domain_registration_length": F.when(ok, F.coalesce("domain_registration_length", F.lit(-1.0))),
+        "has_valid_ssl": F.when(ok, ssl),
     })
-    keys = None
-    if registry is not None or certificates is not None:
-        keys = materialize(feats.where(ok).select("registry_key", "cert_host").distinct(),
-                           "lookup-keys")
-        # each lookup has at most one row per key pair, so the key table's
-        # size (a footer-only count of the written parquet) bounds both
-        join_kw.setdefault("rows_at_most", keys.count())
+    return feats.select(*df.columns, *FEATURE_COLUMNS, "closest_brand", "error")
+
+
+def resolve_lookups(pairs: DataFrame, registry: DataFrame | None, certificates: DataFrame | None, as_of: Column) -> DataFrame:
+    """(registry_key, cert_host, domain_age_days, domain_registration_length, cert_valid) for distinct pairs; '' stands for no certificate host."""
+    out = pairs
     if registry is not None:
-        reg = registry_features(keys, registry, as_of)
-        feats = enrich(feats, reg, "registry_key", **join_kw)
-        age = F.coalesce(F.col("domain_age_days"), F.lit(-1.0))
-        reg_len = F.coalesce(F.col("domain_registration_length"), F.lit(-1.0))
+        out = out.join(registry_features(pairs, registry, as_of), "registry_key", "left")
     else:
-        age = reg_len = F.lit(-1.0)
+        out = out.withColumns({"domain_age_days": F.lit(None).cast("double"), "domain_registration_length": F.lit(None).cast("double")})
     if certificates is not None:
-        certs = certificate_features(keys, certificates, as_of)
-        feats = enrich(feats, certs, "cert_host", **join_kw)
-        ssl = F.when((p.scheme == "https") & F.col("cert_valid"), F.lit(1.0)).otherwise(F.lit(0.0))
+        out = out.join(certificate_features(pairs, certificates, as_of), "cert_host", "left")
     else:
-        ssl = F.lit(0.0)
-    feats = feats.withColumns({
-        "domain_age_days": F.when(ok, age),
-        "domain_registration_length": F.when(ok, reg_len),
-        "has_valid_ssl": F.when(ok, ssl),
-    })
-    return feats.select(*df.columns, *FEATURE_COLUMNS, "closest_brand", "error")
+        out = out.withColumn("cert_valid", F.lit(None).cast("boolean"))
+    return out.withColumn("cert_host", F.coalesce("cert_host", F.lit("")))
 
 
 def numeric_feature_columns(df: DataFrame, exclude: tuple[str, ...] = ("id", "label")) -> list[str]:

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast, salted shuffle join for hot keys."""
+"""Join helper: broadcast behind a known bound, else a join that Spark may split."""
 
 from __future__ import annotations
 
@@ -6,42 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-DEFAULT_SALTS = 16
-
-
-def row_bound(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Counts at most ``max_rows + 1`` rows, so the check stops early on a big
-    side instead of scanning it.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
                 max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
-                salts: int = DEFAULT_SALTS, rows_at_most: int | None = None) -> DataFrame:
+                rows_at_most: int | None = None) -> DataFrame:
     """Join a large, possibly skewed table to a lookup with unique keys.
 
-    * lookup proven to have at most ``max_broadcast_rows`` rows -> broadcast
-      hash join, no shuffle of ``big`` (the proof is ``rows_at_most`` when the
-      caller knows a bound, else a ``limit(n+1).count()`` on the lookup);
-    * otherwise a sort-merge join where each ``big`` row gets a salt
-      ``0..salts-1`` (round robin, so even identical rows spread) and the
-      lookup is replicated once per salt: a key holding a third of ``big``
-      is split over ``salts`` reducers, and AQE's skew-join split can cut
-      those further. Every ``big`` row meets exactly one lookup copy, so the
-      result is the plain join.
+    The lookup is broadcast if the caller knows a bound (``rows_at_most``) that
+    is small enough. Otherwise Spark decides from the sizes it measures at run
+    time: a small lookup is broadcast, a large one is sort-merge joined and the
+    partitions of a key that holds very many rows are split (adaptive skew join).
+    Nothing is counted while planning.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner joins")
-    if max_broadcast_rows is not None:
-        small = (rows_at_most <= max_broadcast_rows if rows_at_most is not None
-                 else row_bound(lookup, max_broadcast_rows))
-        if small:
-            return big.join(F.broadcast(lookup), keys, how)
-    if salts <= 1:
-        return big.join(lookup, keys, how)
-    salted_big = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return salted_big.join(salted_lookup, keys + ["_salt"], how).drop("_salt")
+    if rows_at_most is not None and max_broadcast_rows is not None and rows_at_most <= max_broadcast_rows:
+        return big.join(F.broadcast(lookup), keys, how)
+    return big.join(lookup, keys, how)

@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hookline.operators.joins import lookup_join
 from hookline.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
@@ -47,14 +46,23 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
         F.count(F.lit(1)).alias("_rk_cnt"), F.min("_rk_pos").alias("_rk_first"))
     before = Window.partitionBy(*group_cols).orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_rk_before", F.coalesce(F.sum("_rk_cnt").over(before), F.lit(0)))
-    # at most partitions x groups rows; the join checks that bound before it
-    # broadcasts (many groups fall back to a shuffle join)
-    joined = lookup_join(pos, stats.select("_rk_pid", *group_cols, "_rk_before", "_rk_first"),
-                         ["_rk_pid", *group_cols], "inner", max_broadcast_rows=1_000_000, salts=1)
+    # at most partitions x groups rows; Spark broadcasts it if it is small
+    # groups are compared null-safe, so rows of a null group keep their rank
+    joined = _null_safe(pos, stats.select("_rk_pid", *group_cols, "_rk_before", "_rk_first"),
+                         ["_rk_pid", *group_cols])
     return (joined.withColumn(rank_col, F.col("_rk_before") + F.col("_rk_pos") - F.col("_rk_first") + 1)
             .drop("_rk_mid", "_rk_pid", "_rk_pos", "_rk_before", "_rk_first"))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join where null keys are equal."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str], suffix: str = "_before",
                  partitions: int | None = None) -> DataFrame:
     """Adds, per row, the sum of each value column over all rows with a smaller

@@ -73,7 +73,8 @@ def importance_report(spark: SparkSession, model: TrainedModel, k: int | None =
 
 def evaluation_table(scored: DataFrame, actual_col: str = "label") -> DataFrame:
     """Url, actual, predicted, confidence, match."""
-    pred = F.when(F.col("is_phishing"), F.lit("phishing")).otherwise(F.lit("legitimate"))
+    # a row that could not be scored has no prediction and no match
+    pred = F.when(F.col("is_phishing"), F.lit("phishing")).when(~F.col("is_phishing"), F.lit("legitimate"))
     actual = F.when(F.col(actual_col) == 1, F.lit("phishing")).otherwise(F.lit("legitimate"))
     return scored.select("url", actual.alias("actual"), pred.alias("predicted"), "confidence",
-                         (pred == actual).alias("match"))
+                         (pred == actual).alias("match"), "error")

@@ -2,8 +2,8 @@
 
 Row order inside a class is ``md5(seed:id)`` (splits) or ``id`` (folds);
 positions come from :func:`rank_within`. Per-class cut points are computed
-on the tiny class-count table and joined back as a broadcast (one row per
-class). Class allocation: the training share ``n - ceil(ratio*n)`` is spread
+on the tiny class-count table and joined back (one row per class; Spark picks
+the join). Class allocation: the training share ``n - ceil(ratio*n)`` is spread
 by largest remainder (ties to the smaller label), the rest is held out.
 """
 
@@ -20,6 +20,12 @@ def hash_order(id_col: str, seed: int = RANDOM_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """``df``; the job fails on a row without a label instead of losing it."""
+    missing = F.raise_error(F.lit(f"a row has no {label}")).cast(df.schema[label].dataType)
+    return df.withColumn(label, F.when(F.col(label).isNull(), missing).otherwise(F.col(label)))
+
+
 def _allocate(counts: DataFrame, label: str, n_col: str, ratio: float, out: str) -> DataFrame:
     """Per class: ``out`` = rows held out so that the kept rows follow the
     largest-remainder share of ``n - ceil(ratio * n)``."""
@@ -39,10 +45,11 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id",
                      ratio: float = 0.2, seed: int = RANDOM_SEED,
                      names: tuple[str, str] = ("train", "validation")) -> DataFrame:
     """Adds ``split`` = train / validation with exact per-class sizes."""
+    df = labelled(df, label)
     ranked = rank_within(df.withColumn("_h", hash_order(id_col, seed)), [label], ["_h", id_col], "_rank")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     alloc = _allocate(counts, label, "_n", ratio, "_hold")
-    out = ranked.join(F.broadcast(alloc.select(label, "_hold")), label)
+    out = ranked.join(alloc.select(label, "_hold"), label)
     split = F.when(F.col("_rank") <= F.col("_hold"), F.lit(names[1])).otherwise(F.lit(names[0]))
     return out.withColumn("split", split).drop("_h", "_rank", "_hold")
 
@@ -53,13 +60,14 @@ def three_way_split(df: DataFrame, label: str = "label", id_col: str = "id",
     """Test first (``test`` of all), then validation = val/(train+val) of the rest."""
     if abs(train + val + test - 1.0) >= 1e-6:
         raise ValueError("Ratios must sum to 1")
+    df = labelled(df, label)
     ranked = rank_within(df.withColumn("_h", hash_order(id_col, seed)), [label], ["_h", id_col], "_rank")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     a1 = _allocate(counts, label, "_n", test, "_test")
     rest = a1.select(label, (F.col("_n") - F.col("_test")).alias("_rest"), "_test")
     a2 = _allocate(rest, label, "_rest", val / (train + val), "_val")
     cuts = a2.join(rest.select(label, "_test"), label)
-    out = ranked.join(F.broadcast(cuts.select(label, "_test", "_val")), label)
+    out = ranked.join(cuts.select(label, "_test", "_val"), label)
     split = (F.when(F.col("_rank") <= F.col("_test"), F.lit("test"))
              .when(F.col("_rank") <= F.col("_test") + F.col("_val"), F.lit("validation"))
              .otherwise(F.lit("train")))
@@ -74,11 +82,12 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", id_col: st
     positions p = i (mod k) of that block, handed out as contiguous runs in
     id order. ``fold`` = number of folds whose cumulative size is <= rank.
     """
+    df = labelled(df, label)
     ranked = rank_within(df, [label], [id_col], "_rank")
     cls = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_first"))
     before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     cls = cls.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = ranked.join(F.broadcast(cls.select(label, "_n", "_o")), label)
+    out = ranked.join(cls.select(label, "_n", "_o"), label)
     r = F.col("_rank") - 1
     return out.withColumn("fold", fold_expr(r, F.col("_n"), F.col("_o"), k)).drop("_rank", "_n", "_o")
 

@@ -3,7 +3,9 @@
 Unrolling one ``levenshtein`` per brand per row only suits a short list
 (``functions.brands``). For a brand *table*, both sides are expanded into
 their deletion neighbourhoods (the string with up to two characters removed;
-at most 1 + L + L(L-1)/2 variants, L <= 63 for a DNS label). Two strings
+at most 1 + L + L(L-1)/2 variants). Labels longer than the longest brand by
+more than two cannot match and are dropped first, so a label of any length
+costs no more than that. Two strings
 within distance 2 always share a variant, so an equi-join on the variant
 finds every candidate exactly; candidates are then verified with
 ``levenshtein(a, b, 2)``. Labels and brands are deduplicated first, so a hot
@@ -23,7 +25,7 @@ def deletion_variants(s: Column) -> Column:
     n = F.length(s)
 
     def drop1(x: Column, i: Column) -> Column:
-        return F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, 1 << 20))
+        return F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1))
 
     one = F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: drop1(s, i))) \
         .otherwise(F.array().cast("array<string>"))
@@ -39,6 +41,8 @@ def brand_matches(labels: DataFrame, brands: DataFrame, label_col: str = "main_l
     """(label, brand, distance) for every pair with distance <= 2."""
     lab = labels.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
     br = brands.select(F.col(brand_col).alias("brand")).where(F.col("brand").isNotNull()).distinct()
+    longest = br.agg(F.max(F.length("brand"))).scalar()
+    lab = lab.where(F.length("label") <= longest + MAX_DISTANCE)
     lv = lab.select("label", F.explode(deletion_variants(F.col("label"))).alias("v"))
     bv = br.select("brand", F.explode(deletion_variants(F.col("brand"))).alias("v"))
     cands = (lv.join(bv, "v")
@@ -46,3 +50,23 @@ def brand_matches(labels: DataFrame, brands: DataFrame, label_col: str = "main_l
              .select("label", "brand").distinct())
     dist = F.levenshtein(F.col("label"), F.col("brand"), MAX_DISTANCE)
     return cands.withColumn("distance", dist).where(F.col("distance") >= 0)
+
+
+BRAND_BLOCK = 256
+
+
+def nearest_brands(labels: DataFrame, brands: DataFrame, label_col: str = "main_label") -> DataFrame:
+    """(label, distance, brand) of the nearest brand of each distinct label, for a brand table (brand_idx, brand) of any size.
+
+    Each distinct label meets the brands in blocks of ``BRAND_BLOCK``; a block
+    gives its best, and the smallest (distance, brand_idx) of all blocks wins.
+    """
+    lab = labels.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    block = F.floor(F.col("brand_idx") / BRAND_BLOCK).alias("block")
+    blocks = (brands.where(F.col("brand").isNotNull()).groupBy(block)
+              .agg(F.sort_array(F.collect_list(F.struct("brand_idx", "brand"))).alias("brands")))
+    last = blocks.agg(F.max("block")).scalar()
+    met = lab.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).join(blocks, "block")
+    best = F.array_min(F.transform("brands", lambda b: F.struct(F.levenshtein(F.col("label"), b.brand).alias("distance"), b.brand_idx, b.brand)))
+    per = met.select("label", best.alias("b")).groupBy("label").agg(F.min("b").alias("b"))
+    return per.select("label", F.col("b.distance").alias("distance"), F.col("b.brand").alias("brand"))

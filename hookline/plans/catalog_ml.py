@@ -10,7 +10,8 @@ from hookline.operators.features import url_features
 from hookline.operators.scoring import (batch_summary, evaluation_table, importance_report,
                                         score_features)
 from hookline.plans.catalog import corpus_features, query
-from hookline.plans.catalog_more import RULE_THRESHOLD, scored
+from hookline.plans.catalog_more import RULE_THRESHOLD, scored, zero_filled
+from hookline.session import table_path
 from hookline.sources import corpus as C
 from hookline.streaming import scoring as S
 
@@ -18,7 +19,7 @@ TOP_K = 10
 
 
 def training_frame(spark, sf):
-    """Parsed corpus rows: id, label and the 32 features."""
+    """Every corpus row: id, label and the 32 features (zeros for unreadable urls)."""
     return scored(spark, sf).select("id", "label", *FEATURE_COLUMNS)
 
 
@@ -98,12 +99,15 @@ def demo_evaluation(spark, sf):
 
 # --- streams (R6, R7) ------------------------------------------------------------------
 
+def event_stream(spark, sf):
+    """The given events as a stream, with their corpus urls (a stream-table join)."""
+    return C.with_urls(S.read_stream(spark, table_path(sf, "events")).select("event_id", "ts"), spark, sf)
+
+
 @query("score_stream")
 def score_stream(spark, sf):
     """Url events as a stream, full features per micro-batch, rule verdict."""
-    C.url_events(spark, sf)  # make sure the derived event table exists
-    src = C.derived_path(spark, sf, "url_events")
-    stream = S.read_stream(spark, src).select("event_id", "url")
+    stream = event_stream(spark, sf).select("event_id", "url")
     reg, certs = C.registry_snapshot(spark, sf), C.certificate_snapshot(spark, sf)
 
     def job(batch):
@@ -119,9 +123,7 @@ def score_stream(spark, sf):
 @query("stream_verdict_windows")
 def stream_verdict_windows(spark, sf):
     """Hourly safe / phishing / error counts of the local rule verdict."""
-    C.url_events(spark, sf)
-    src = C.derived_path(spark, sf, "url_events")
-    stream = S.read_stream(spark, src).select("event_id", "ts", "url")
+    stream = event_stream(spark, sf).select("event_id", "ts", "url")
     sink, ckpt = S.stream_paths(spark, "verdict-windows")
     S.run_windows(S.window_counts(stream, threshold=RULE_THRESHOLD), sink, ckpt).awaitTermination()
     return S.latest_windows(spark, sink)
@@ -131,6 +133,6 @@ def stream_verdict_windows(spark, sf):
 def quick_train_score(spark, sf):
     """Registry lookups skipped (age and registration = -1), forest,
     validation metrics."""
-    f = corpus_features(spark, sf, registry=False).where(F.col("error").isNull())
+    f = zero_filled(corpus_features(spark, sf, registry=False))
     _, metrics = ml.train(f.select("id", "label", *FEATURE_COLUMNS), FEATURE_COLUMNS, "random_forest")
     return metrics

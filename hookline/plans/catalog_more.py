@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from hookline.fixed import CONTENT_COLUMNS, FEATURE_COLUMNS, INDICATOR_RULES
 from hookline.functions.labels import custom_label, uci_label
 from hookline.functions.rules import indicator_count, risk_indicators, warning_text, warnings
-from hookline.functions.url import parse_url, py_strip
+from hookline.functions.url import py_strip, with_parsed
 from hookline.operators import metrics as M
 from hookline.operators.content import page_content, with_content
 from hookline.operators.features import url_features
 from hookline.operators.splits import stratified_folds, stratified_split, three_way_split
 from hookline.operators.typosquat import brand_matches
-from hookline.plans.catalog import corpus_features, query
+from hookline.plans.catalog import corpus_features, corpus_local, query
 from hookline.sources import corpus as C
 from hookline.sources.datasets import sample_dataset_from_pools
 
@@ -24,16 +24,26 @@ N_RULES = len(INDICATOR_RULES)
 FOLDS = 5
 
 
+def zero_filled(feats):
+    """Feature rows with zeros where the url could not be read (the rows stay)."""
+    return feats.select(*[F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) if c in FEATURE_COLUMNS else F.col(c) for c, t in feats.dtypes])
+
+
 def scored(spark, sf):
-    """Parsed corpus rows with 32 features, rule score and rule verdict."""
+    """Every corpus row with 32 features (zeros for unreadable urls), rule score and rule verdict."""
     n = indicator_count()
-    f = corpus_features(spark, sf).where(F.col("error").isNull())
+    f = zero_filled(corpus_features(spark, sf))
     return f.select("id", "label", *FEATURE_COLUMNS, "closest_brand",
                     n.alias("n_indicators"),
                     (n.cast("double") / F.lit(float(N_RULES))).alias("score"),
                     F.when(n >= RULE_THRESHOLD, 1).otherwise(0).alias("prediction"))
 
 
+def labelled_ids(spark, sf):
+    """(id, label) of every corpus row: what the splits and folds need."""
+    return C.url_corpus(spark, sf).select("id", "label")
+
+
 # --- content (F34-F38, J4) ------------------------------------------------------------
 
 @query("page_content_features")
@@ -51,16 +61,18 @@ def page_content_join(spark, sf):
 
 @query("warning_rules")
 def warning_rules(spark, sf):
-    f = corpus_features(spark, sf).where(F.col("error").isNull())
+    f = corpus_features(spark, sf)
     w = warnings()
-    return f.select("id", F.size(w).alias("n_warnings"), warning_text(w).alias("warning_text"))
+    ok = F.col("error").isNull()
+    return f.select("id", F.when(ok, F.size(w)).alias("n_warnings"), F.when(ok, warning_text(w)).alias("warning_text"), "error")
 
 
 @query("risk_indicators")
 def risk_indicators_q(spark, sf):
-    f = corpus_features(spark, sf).where(F.col("error").isNull())
+    f = corpus_features(spark, sf)
     r = risk_indicators()
-    return f.select("id", F.size(r).alias("n_indicators"), F.array_join(r, ",").alias("indicators"))
+    ok = F.col("error").isNull()
+    return f.select("id", F.when(ok, F.size(r)).alias("n_indicators"), F.when(ok, F.array_join(r, ",")).alias("indicators"), "error")
 
 
 @query("warning_summary")
@@ -123,17 +135,17 @@ def sample_corpus(spark, sf):
 
 @query("split_train_val")
 def split_train_val(spark, sf):
-    return stratified_split(scored(spark, sf).select("id", "label")).select("id", "label", "split")
+    return stratified_split(labelled_ids(spark, sf)).select("id", "label", "split")
 
 
 @query("split_three_way")
 def split_three_way(spark, sf):
-    return three_way_split(scored(spark, sf).select("id", "label")).select("id", "label", "split")
+    return three_way_split(labelled_ids(spark, sf)).select("id", "label", "split")
 
 
 @query("stratified_folds")
 def stratified_folds_q(spark, sf):
-    return stratified_folds(scored(spark, sf).select("id", "label"), FOLDS).select("id", "label", "fold")
+    return stratified_folds(labelled_ids(spark, sf), FOLDS).select("id", "label", "fold")
 
 
 # --- scaler, metrics (A5-A9, L1, T4, T5) ------------------------------------------------------
@@ -184,13 +196,14 @@ def cv_summary(spark, sf):
 @query("best_model")
 def best_model(spark, sf):
     """T5: rule models 'rules_ge_t' for every threshold t; best F1, first wins ties."""
-    s = scored(spark, sf)
+    # counted per (class, indicators) first: at most 2 x (N_RULES + 1) rows meet the thresholds
+    s = scored(spark, sf).groupBy((F.col("label") == 1).alias("pos"), "n_indicators").agg(F.count(F.lit(1)).alias("n"))
     t = F.explode(F.sequence(F.lit(1), F.lit(N_RULES))).alias("t")
-    per = (s.select("label", "n_indicators", t)
-           .groupBy("t").agg(
-               F.count_if((F.col("label") == 1) & (F.col("n_indicators") >= F.col("t"))).alias("tp"),
-               F.count_if((F.col("label") != 1) & (F.col("n_indicators") >= F.col("t"))).alias("fp"),
-               F.count_if((F.col("label") == 1) & (F.col("n_indicators") < F.col("t"))).alias("fn")))
+    fired = F.col("n_indicators") >= F.col("t")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    per = (s.select("pos", "n_indicators", "n", t)
+           .groupBy("t").agg(total(F.col("pos") & fired).alias("tp"), total(~F.col("pos") & fired).alias("fp"),
+                             total(F.col("pos") & ~fired).alias("fn")))
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") == 0, F.lit(0.0)).otherwise(
         (2 * F.col("tp")).cast("double") / (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"))
     metrics = per.select(F.concat(F.lit("rules_ge_"), F.col("t").cast("string")).alias("model"),
@@ -208,8 +221,8 @@ def features_by_name(spark, sf):
 @query("url_quarantine")
 def url_quarantine(spark, sf):
     """P1-P3 + parse errors: rows that cannot be scored, with the reason."""
-    c = C.url_corpus(spark, sf)
-    p = parse_url(F.col("url"))
+    c = with_parsed(C.url_corpus(spark, sf).select("id", "url"))
+    p = F.col("p")
     blank = py_strip(F.col("url")) == ""
     reason = (F.when(F.col("url").isNull(), F.lit("missing url"))
               .when(blank, F.lit("blank url"))
@@ -217,11 +230,23 @@ def url_quarantine(spark, sf):
     return c.select("id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+@query("typosquat_brand_table")
+def typosquat_brand_table(spark, sf):
+    """F30/F33 against a brand table: the fixed brands and the names of the nations."""
+    from hookline.fixed import BRANDS
+    from hookline.operators.typosquat import nearest_brands
+    from hookline.sources.tables import read_table
+    own = spark.createDataFrame(list(enumerate(BRANDS)), "brand_idx long, brand string")
+    more = read_table(spark, sf, "nation").select((F.col("n_nationkey") + len(BRANDS)).cast("long").alias("brand_idx"), F.lower("n_name").alias("brand"))
+    labels = with_parsed(C.url_corpus(spark, sf).select("url")).select(F.col("p.main_label").alias("main_label"))
+    return nearest_brands(labels, own.unionByName(more)).select(F.col("label").alias("main_label"), "distance", "brand")
+
+
 @query("typosquat_blocked_join")
 def typosquat_blocked_join(spark, sf):
     """J3 for brand tables: (main_label, brand, distance <= 2) via deletion blocks."""
     from hookline.fixed import BRANDS
-    labels = C.url_corpus(spark, sf).select(parse_url(F.col("url"))["main_label"].alias("main_label"))
+    labels = with_parsed(C.url_corpus(spark, sf).select("url")).select(F.col("p.main_label").alias("main_label"))
     brands = spark.createDataFrame([(b,) for b in BRANDS], "brand string")
     return brand_matches(labels, brands).select(
         F.col("label").alias("main_label"), "brand", "distance")
@@ -252,14 +277,14 @@ def request_validation(spark, sf):
 @query("dataset_shape")
 def dataset_shape(spark, sf):
     """A3: rows and feature columns of the training table."""
-    return scored(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"),
+    return labelled_ids(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"),
                                  F.lit(len(FEATURE_COLUMNS)).alias("n_columns"))
 
 
 @query("first_numeric_features")
 def first_numeric_features(spark, sf):
     """The first ten features in vector order."""
-    return corpus_features(spark, sf).where(F.col("error").isNull()).select("id", *FEATURE_COLUMNS[:10])
+    return zero_filled(corpus_local(spark, sf)).select("id", *FEATURE_COLUMNS[:10])
 
 
 @query("event_url_features")

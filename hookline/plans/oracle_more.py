@@ -31,16 +31,18 @@ def _rule_sql(feat: str, op: str, val) -> str:
 
 IND_SUM = " + ".join(f"(CASE WHEN {_rule_sql(f, o, v)} THEN 1 ELSE 0 END)" for _, f, o, v in INDICATOR_RULES)
 FEATS = ", ".join(FEATURE_COLUMNS)
+ZEROED = ", ".join(f"coalesce({c}, 0) AS {c}" for c in FEATURE_COLUMNS)
 
 
 def scored_ctes() -> str:
     return corpus_ctes() + "," + full_ctes("url_corpus") + f""",
+filled AS (SELECT id, label, {ZEROED}, closest_brand, error FROM full_),
 scored AS (
   SELECT id, label, {FEATS}, closest_brand,
          CAST({IND_SUM} AS INTEGER) AS n_indicators,
          CAST({IND_SUM} AS DOUBLE) / CAST({N_RULES} AS DOUBLE) AS score,
          CAST(CASE WHEN {IND_SUM} >= {RULE_THRESHOLD} THEN 1 ELSE 0 END AS INTEGER) AS prediction
-  FROM full_ WHERE error IS NULL)"""
+  FROM filled)"""
 
 
 def pages_decorated_cte() -> str:
@@ -98,7 +100,7 @@ def url_events_ctes() -> str:
 n_corpus AS (SELECT count(*) AS n FROM url_corpus),
 url_events AS (
   SELECT e.event_id, e.ts, c.url, c.label
-  FROM events e JOIN url_corpus c ON c.id = e.event_id % (SELECT n FROM n_corpus))"""
+  FROM events e LEFT JOIN url_corpus c ON c.id = e.event_id % (SELECT n FROM n_corpus))"""
 
 
 def _alloc_ctes(prefix: str, counts: str, n_col: str, ratio: float) -> str:
@@ -181,14 +183,15 @@ SELECT e.event_id, {coal} FROM url_events e LEFT JOIN cu ON cu.url = e.url"""
          f"CASE WHEN domain_age_days >= 0 AND domain_age_days < {NEW_DOMAIN_DAYS} THEN {_q(WARN_NEW_DOMAIN)} END"]
     n_w = " + ".join(f"(CASE WHEN ({x}) IS NULL THEN 0 ELSE 1 END)" for x in w)
     out["warning_rules"] = _with(corpus_ctes(), full_ctes("url_corpus")) + f"""
-SELECT id, CAST({n_w} AS INTEGER) AS n_warnings,
-       CASE WHEN {n_w} = 0 THEN {_q(NO_WARNINGS_TEXT)} ELSE concat_ws(chr(10), {', '.join(w)}) END AS warning_text
-FROM full_ WHERE error IS NULL"""
+SELECT id, CASE WHEN error IS NULL THEN CAST({n_w} AS INTEGER) END AS n_warnings, error,
+       CASE WHEN error IS NOT NULL THEN NULL WHEN {n_w} = 0 THEN {_q(NO_WARNINGS_TEXT)} ELSE concat_ws(chr(10), {', '.join(w)}) END AS warning_text
+FROM full_"""
 
     names = [f"CASE WHEN {_rule_sql(f, o, v)} THEN {_q(n)} END" for n, f, o, v in INDICATOR_RULES]
     out["risk_indicators"] = _with(corpus_ctes(), full_ctes("url_corpus")) + f"""
-SELECT id, CAST({IND_SUM} AS INTEGER) AS n_indicators, concat_ws(',', {', '.join(names)}) AS indicators
-FROM full_ WHERE error IS NULL"""
+SELECT id, CASE WHEN error IS NULL THEN CAST({IND_SUM} AS INTEGER) END AS n_indicators, error,
+       CASE WHEN error IS NULL THEN concat_ws(',', {', '.join(names)}) END AS indicators
+FROM full_"""
 
     out["warning_summary"] = _with(corpus_ctes(), url_events_ctes(),
                                    "ue AS (SELECT event_id AS id, url FROM url_events)",
@@ -317,6 +320,11 @@ SELECT id, reason FROM (
 labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL)
 SELECT main_label, brand, CAST(levenshtein(main_label, brand) AS INTEGER) AS distance
 FROM labs CROSS JOIN brands WHERE levenshtein(main_label, brand) <= 2"""
+    out["typosquat_brand_table"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + """,
+labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL),
+more AS (SELECT brand_idx, brand FROM brands UNION ALL SELECT n_nationkey + (SELECT count(*) FROM brands), lower(n_name) FROM nation),
+per AS (SELECT main_label, min(struct_pack(d := levenshtein(main_label, brand), i := brand_idx, b := brand)) AS b FROM labs CROSS JOIN more GROUP BY main_label)
+SELECT main_label, CAST(b.d AS INTEGER) AS distance, b.b AS brand FROM per"""
     out.update(stream_statements())
     out.update(request_statements())
     return out
@@ -363,7 +371,7 @@ SELECT count(*) AS n_rows, CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS n_columns
                                       "ue AS (SELECT event_id AS id, url FROM url_events)",
                                       full_ctes("ue")) + f"""
 SELECT id AS event_id, {FEATS}, closest_brand, error FROM full_"""
-    first = ", ".join(FEATURE_COLUMNS[:10])
+    first = ", ".join(f"coalesce({c}, 0) AS {c}" for c in FEATURE_COLUMNS[:10])
     out["first_numeric_features"] = _with(corpus_ctes(), full_ctes("url_corpus")) + f"""
-SELECT id, {first} FROM full_ WHERE error IS NULL"""
+SELECT id, {first} FROM full_"""
     return out

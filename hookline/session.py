@@ -52,8 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or LOCAL_CHECKPOINT_FALLBACK
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        target = LOCAL_CHECKPOINT_FALLBACK
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
 
@@ -68,6 +71,12 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove one scratch table or folder by its path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch tables (``materialize``, stream
     sinks); call when the job's results are written."""

@@ -9,22 +9,19 @@ spaces, unbalanced bracket, blank, null, upper case, brand-word host,
 derived from the distinct hosts with dates taken from an md5 prefix, and the
 pages' HTML is decorated with form/input/img/link fragments. Every rule is
 plain SQL arithmetic so that the DuckDB oracle can rebuild the same rows.
-All sizes grow with ``pages``/``events``.
+The derivations are projections (and small aggregates) inside each query's
+plan: every query scans the given tables, and nothing is kept between queries.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.fixed import BRANDS
-from hookline.session import ensure_checkpoint_dir
+from hookline.functions.url import once, with_parsed
 from hookline.sources.tables import events, pages
 
-DERIVED_VERSION = "v3"
-
 # --- FIXED VALUES of the derived corpus (the oracle SQL repeats them) --------
 N_TEMPLATES = 16
 BRAND_WORDS = ["secure", "login", "verify", "update"]
@@ -67,7 +64,7 @@ def _build_url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     look = (F.when(g % 4 == 0, F.replace(b, F.lit("o"), F.lit("0")))
             .when(g % 4 == 1, F.replace(b, F.lit("l"), F.lit("1")))
             .when(g % 4 == 2, F.concat(b, F.lit("s")))
-            .otherwise(F.substring(b, 2, 1 << 20)))
+            .otherwise(F.substr(b, F.lit(2))))
     ip = F.concat_ws(".", (pid % 223 + 1).cast("string"), (pid * 7 % 256).cast("string"),
                      (pid * 13 % 256).cast("string"), (pid * 31 % 256).cast("string"))
     lit = F.lit
@@ -90,16 +87,10 @@ def _build_url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(k.isin(PHISHY_TEMPLATES) | h.rlike(SPAM_HOST_PATTERN), 1).otherwise(0)
     t = F.floor(pid / N_TEMPLATES) % len(POSITIVE_LABEL_TEXT)
     label_text = F.when(label == 1, _pick(POSITIVE_LABEL_TEXT, t)).otherwise(_pick(NEGATIVE_LABEL_TEXT, t))
-    return pg.select(pid.cast("bigint").alias("id"), url.alias("url"),
+    return pg.select(pid.cast("bigint").alias("id"), once(url).alias("url"),
                      label.cast("int").alias("label"), label_text.alias("label_text"))
 
 
-def registry_key(url: Column) -> Column:
-    """Lookup key of a url: lower(host) without port and a leading ``www.``."""
-    from hookline.functions.url import parse_url, strip_www
-    return F.lower(strip_www(parse_url(url)["host"]))
-
-
 def _build_registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(domain, creation_date TIMESTAMP, expiration_date TIMESTAMP).
 
@@ -107,8 +98,8 @@ def _build_registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     full host (by md5) so that longest-suffix matching matters; one in ten
     keys is absent and one in seven has no expiry.
     """
-    keys = (url_corpus(spark, sf_dir)
-            .select(registry_key(F.col("url")).alias("key"))
+    keys = (with_parsed(url_corpus(spark, sf_dir).select("url"))
+            .select(once(F.lower(F.col("p.host_no_www"))).alias("key"))
             .where((F.col("key") != "") & F.col("key").contains(".")))
     parts = F.split(F.col("key"), r"[.]", -1)
     two = F.array_join(F.slice(parts, -2, 2), ".")
@@ -128,10 +119,8 @@ def _build_registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _build_certificate_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, not_before TIMESTAMP, not_after TIMESTAMP) of the https hosts."""
-    from hookline.functions.url import parse_url
-    p = parse_url(F.col("url"))
-    hosts = (url_corpus(spark, sf_dir)
-             .select(p["scheme"].alias("scheme"), F.lower(p["host"]).alias("host"))
+    hosts = (with_parsed(url_corpus(spark, sf_dir).select("url"))
+             .select(F.col("p.scheme").alias("scheme"), F.lower(F.col("p.host")).alias("host"))
              .where((F.col("scheme") == "https") & (F.col("host") != ""))
              .select("host").distinct())
     hv = md5_int(F.concat(F.lit("cert:"), F.col("host")))
@@ -178,76 +167,32 @@ def _build_pages_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.select("page_id", "url", html.alias("html"))
 
 
-def _build_url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, ts, url, label): each event carries corpus url ``event_id % n``.
+def with_urls(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events (a table or a stream) with the corpus url ``event_id % n``.
 
-    ``n`` is a scalar subquery over the corpus, so nothing is collected.
+    A left join keeps events whose number meets no page; they carry a null url.
     """
-    corpus = url_corpus(spark, sf_dir)
-    n = corpus.select(F.count(F.lit(1))).scalar()
-    ev = events(spark, sf_dir).select("event_id", "ts")
-    keyed = ev.withColumn("id", F.col("event_id") % n)
-    return keyed.join(corpus.select("id", "url", "label"), "id", "inner") \
-        .select("event_id", "ts", "url", "label")
-
-
-# --- materialized derived tables ------------------------------------------------
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _fs_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def derived_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Stable location under the configured shared checkpoint folder (not the
-    per-application subfolder), so sessions reuse the derived tables."""
-    import hashlib
-    tag = hashlib.md5(f"{DERIVED_VERSION}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:12]
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/hookline-derived/{tag}/{name}"
-
-
-def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Write a derived table once per input folder to the shared checkpoint
-    folder and read it back (a written table: lineage cut, survives executor
-    loss, and downstream plans start from a plain parquet scan)."""
-    path = derived_path(spark, sf_dir, name)
-    if not _fs_exists(spark, path + "/_SUCCESS"):
-        # one file per core slot at least, so later per-row jobs run wide
-        # (AQE would otherwise coalesce a small result into one file)
-        n = spark.sparkContext.defaultParallelism
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        build(spark, sf_dir).repartition(n).write.parquet(tmp)
-        # publish with one atomic rename; a concurrent builder that lost the
-        # race drops its own copy and reads the winner's
-        fs, src = _fs(spark, tmp)
-        _, dst = _fs(spark, path)
-        if not fs.rename(src, dst):
-            fs.delete(src, True)
-    return spark.read.parquet(path)
+    corpus = url_corpus(spark, sf_dir).select("id", "url", "label")
+    n = max(1, pages(spark, sf_dir).count())  # a footer count
+    return (ev.withColumn("id", F.col("event_id") % n).join(corpus, "id", "left")
+            .select("event_id", "ts", "url", "label"))
 
 
 def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(spark, sf_dir, "url_corpus", _build_url_corpus)
+    return _build_url_corpus(spark, sf_dir)
 
 
 def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(spark, sf_dir, "registry", _build_registry_snapshot)
+    return _build_registry_snapshot(spark, sf_dir)
 
 
 def certificate_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(spark, sf_dir, "certificates", _build_certificate_snapshot)
+    return _build_certificate_snapshot(spark, sf_dir)
 
 
 def pages_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(spark, sf_dir, "pages_decorated", _build_pages_decorated)
+    return _build_pages_decorated(spark, sf_dir)
 
 
 def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(spark, sf_dir, "url_events", _build_url_events)
+    return with_urls(events(spark, sf_dir).select("event_id", "ts"), spark, sf_dir)

@@ -82,3 +82,28 @@ def test_py_strip_matches_python(spark):
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     got = [r[0] for r in df.select(py_strip(F.col("s"))).collect()]
     assert got == [s.strip() for s in samples]
+
+
+def test_queries_read_the_given_table_each_time(spark, tmp_path):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert E.queries()["url_lengths"](spark, str(tmp_path)).count() == 50
+    pages.selectExpr("page_id + 50 AS page_id", "url", "html").write.mode("append").parquet(f"{tmp_path}/pages.parquet")
+    assert E.queries()["url_lengths"](spark, str(tmp_path)).count() == 100
+
+
+def test_null_labels_fail_the_split(spark):
+    import pytest
+    from hookline.operators.splits import stratified_split
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "id long, label int")
+    with pytest.raises(Exception, match="no label"):
+        stratified_split(df).collect()
+
+
+def test_unscored_rows_have_no_prediction(spark):
+    from hookline.operators.scoring import evaluation_table
+    df = spark.createDataFrame([("a", 0, None, None, "bad"), ("b", 1, True, 0.9, None)], "url string, label int, is_phishing boolean, confidence double, error string")
+    got = {r.url: (r.predicted, r.match, r.error) for r in evaluation_table(df).collect()}
+    assert got == {"a": (None, None, "bad"), "b": ("phishing", True, None)}

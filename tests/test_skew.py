@@ -14,22 +14,33 @@ def _skewed(spark, n=3000):
     return spark.createDataFrame(rows, "id long, key string")
 
 
-def test_salted_join_equals_plain_join(spark):
+def test_lookup_join_keeps_every_row_of_a_hot_key(spark):
     big = _skewed(spark)
     lookup = spark.createDataFrame([("hot", 1.0)] + [(f"k{i}", float(i)) for i in range(50)], "key string, v double")
-    salted = lookup_join(big, lookup, ["key"], "left", max_broadcast_rows=0, salts=8)
-    plain = big.join(lookup, "key", "left")
-    assert sorted(map(tuple, salted.select("id", "key", "v").collect())) == \
-        sorted(map(tuple, plain.select("id", "key", "v").collect()))
-    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
-
-
-def test_salted_path_in_feature_job(spark):
-    ev = C.url_events(spark, SF_SMALL).select("event_id", "url")
-    reg, certs = C.registry_snapshot(spark, SF_SMALL), C.certificate_snapshot(spark, SF_SMALL)
-    a = url_features(ev, registry=reg, certificates=certs, as_of=C.as_of(), max_broadcast_rows=0, salts=4)
-    b = url_features(ev, registry=reg, certificates=certs, as_of=C.as_of())
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    free = lookup_join(big, lookup, ["key"])
+    bound = lookup_join(big, lookup, ["key"], rows_at_most=51)
+    assert free.count() == bound.count() == big.count()
+    assert sorted(map(str, free.select("id", "v").collect())) == sorted(map(str, bound.select("id", "v").collect()))
+
+
+def test_rows_without_lookup_key_are_kept(spark):
+    """Half the rows on one host, half without a certificate host or without a url."""
+    rows = [(i, "https://hot.example.com/a" if i % 2 else ("http://hot.example.com/b" if i % 4 else None)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, url string")
+    reg = spark.createDataFrame([("example.com", "2020-01-01", "2030-01-01")], "domain string, creation_date string, expiration_date string")
+    certs = C.certificate_snapshot(spark, SF_SMALL)
+    out = url_features(df, registry=reg, certificates=certs, as_of=C.as_of()).collect()
+    assert len(out) == 400 and sum(r.error is not None for r in out) == 100
+    assert {r.domain_age_days for r in out if r.error is None} == {1827.0}
+
+
+def test_registry_dates_as_text_lists_and_ties(spark):
+    from hookline.operators.enrich import registry_features
+    keys = spark.createDataFrame([("a.b.example.com",), ("x.org",)], "registry_key string")
+    text = spark.createDataFrame([("example.com", ["2024-12-01", "2001-01-01"], ["2026-01-01"]), ("example.com", ["2024-12-02"], ["2027-01-01"]),
+                                  ("x.org", ["bad"], None)], "domain string, creation_date array<string>, expiration_date array<string>")
+    got = {r.registry_key: (r.domain_age_days, r.domain_registration_length) for r in registry_features(keys, text, C.as_of()).collect()}
+    assert got == {"a.b.example.com": (31.0, 396.0), "x.org": (None, None)}
 
 
 def test_rank_with_dominant_group(spark):

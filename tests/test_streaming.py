@@ -1,11 +1,15 @@
 """Streams give the same result as the batch jobs (availableNow)."""
 
 from conftest import SF_SMALL
+from hookline.session import scratch_path
+from hookline.streaming import scoring as S
+from hookline.sources.tables import events
 from hookline.plans.catalog import all_queries
 from hookline.plans.catalog_more import RULE_THRESHOLD
 from hookline.functions.rules import indicator_count
 from hookline.operators.features import local_features, url_features
 from hookline.sources import corpus as C
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -41,9 +45,9 @@ def test_model_stream_equals_batch(spark):
     from hookline.streaming import scoring as S
     model, _ = ml.train(training_frame(spark, SF_SMALL), FEATURE_COLUMNS, "random_forest", numTrees=20)
     reg, certs = C.registry_snapshot(spark, SF_SMALL), C.certificate_snapshot(spark, SF_SMALL)
-    C.url_events(spark, SF_SMALL)
-    src = C.derived_path(spark, SF_SMALL, "url_events")
-    stream = S.read_stream(spark, src, max_files_per_trigger=2).select("event_id", "url")
+    src = f"{scratch_path(spark, 'events-in-files')}/events.parquet"
+    events(spark, SF_SMALL).repartition(4).write.parquet(src)
+    stream = C.with_urls(S.read_stream(spark, src, max_files_per_trigger=2).select("event_id", "ts"), spark, SF_SMALL).select("event_id", "url")
     job = S.model_verdicts(model, reg, certs, C.as_of(), keep=["event_id", "url"])
     sink, ckpt = S.stream_paths(spark, "model-stream-test")
     S.run_batches(stream, job, sink, ckpt).awaitTermination()
@@ -51,3 +55,15 @@ def test_model_stream_equals_batch(spark):
     batch = C.url_events(spark, SF_SMALL).select("event_id", "url")
     want = {tuple(r) for r in job(batch).collect()}
     assert got == want and len(got) == batch.count()
+
+
+@pytest.mark.parametrize("files", [1, 2, None])
+def test_windows_lose_no_event_whatever_the_batches(spark, files):
+    """Files in random order over one, two or many micro-batches give the same windows."""
+    src = f"{scratch_path(spark, 'events-in-files')}/events.parquet"
+    events(spark, SF_SMALL).orderBy(F.md5(F.col("event_id").cast("string"))).repartition(5).write.parquet(src)
+    stream = C.with_urls(S.read_stream(spark, src, max_files_per_trigger=files).select("event_id", "ts"), spark, SF_SMALL)
+    sink, ckpt = S.stream_paths(spark, "windows-test")
+    S.run_windows(S.window_counts(stream.select("event_id", "ts", "url")), sink, ckpt).awaitTermination()
+    total = S.latest_windows(spark, sink).agg(F.sum(F.col("safe_count") + F.col("phishing_count") + F.col("error_count")), F.count(F.lit(1))).first()
+    assert tuple(total) == (1000, 531)

@@ -16,3 +16,13 @@ def test_blocked_join_finds_every_pair(spark, labels, brands):
     got = {(r.label, r.brand, r.distance) for r in brand_matches(ldf, bdf).collect()}
     want = {(a, b, edit_distance(a, b)) for a in set(labels) for b in set(brands) if edit_distance(a, b) <= 2}
     assert got == want
+
+
+def test_long_labels_and_brand_tables(spark):
+    from hookline.operators.typosquat import brand_matches, nearest_brands
+    labels = spark.createDataFrame([("googel",), ("x" * 5000,), (None,)], "main_label string")
+    brands = spark.createDataFrame([(i, b) for i, b in enumerate(["paypal", "google", "goggle"] + [f"brand{i}" for i in range(600)])], "brand_idx long, brand string")
+    got = {(r.label, r.brand): r.distance for r in brand_matches(labels, brands).collect()}
+    assert got == {("googel", "google"): 2}
+    near = {r.label: (r.distance, r.brand) for r in nearest_brands(labels, brands).collect()}
+    assert near["googel"] == (2, "google") and near["x" * 5000][0] == 5000
