@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hookline.session import scratch_path
+
 THRESHOLD = 0.8
 RARITY_CELLS = 1 << 10
 LONG_WORD = 20
@@ -139,31 +141,41 @@ def earlier_than(y: str, x: str) -> Column:
     return (F.col(f"{y}doc_id") < F.col(f"{x}doc_id")) | ((F.col(f"{y}doc_id") == F.col(f"{x}doc_id")) & (F.col(f"{y}line_no") < F.col(f"{x}line_no")))
 
 
-def matched_lines(rows: DataFrame, firsts: DataFrame, steps: bytes, threshold: float) -> DataFrame:
-    """(doc_id, line_no) of the lines in ``firsts`` that have an earlier similar line in it."""
-    index = index_rows(firsts, steps, threshold)
+def bucketed(index: DataFrame) -> DataFrame:
+    """The index as a table in buckets by key, under the shared scratch folder: made once, and joined without another shuffle."""
+    spark = index.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "line-index")
+    name = "hookline_" + path.rpartition("/")[2].replace("-", "_")
+    index.repartition(n, "tok").write.format("parquet").option("path", path).bucketBy(n, "tok").sortBy("tok").saveAsTable(name)
+    return spark.table(name)
+
+
+def matched_lines(rows: DataFrame, lines: DataFrame, copies: DataFrame, steps: bytes, threshold: float) -> DataFrame:
+    """(doc_id, line_no) of the lines, other than ``copies``, that have an earlier similar line."""
+    index = bucketed(index_rows(lines, steps, threshold))
     columns = ["doc_id", "line_no", "n", "pos", "bits"]
     leader = F.first(F.struct(*columns)).over(W.partitionBy("tok").orderBy("doc_id", "line_no"))
     led = index.withColumn("y", leader).select("tok", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns])
     led = led.withColumn("settles", earlier_than("y_", "") & may_match("", "y_", threshold))
-    by_leader = led.where("settles").select("doc_id", "line_no", "y_doc_id", "y_line_no")
+    ends = ["doc_id", "line_no", "y_doc_id", "y_line_no"]
+    by_leader = led.where("settles").select(*ends, F.lit(True).alias("led"))
 
     earlier = index.select(F.col("tok").alias("y_tok"), *[F.col(c).alias(f"y_{c}") for c in columns])
 
     def meet(later: DataFrame) -> DataFrame:
         on = (F.col("tok") == F.col("y_tok")) & earlier_than("y_", "") & may_match("", "y_", threshold)
-        return later.join(earlier, on).select("doc_id", "line_no", "y_doc_id", "y_line_no")
+        return later.join(earlier, on).select(*ends)
 
     open_ = led.where(~F.col("settles")).select("tok", *columns)
-    # a small table, written once, so that the index is made once
-    pairs = (by_leader.withColumn("led", F.lit(True)).unionByName(meet(open_).withColumn("led", F.lit(False))).distinct().checkpoint())
-    found = verified(pairs.drop("led").distinct(), rows, steps, threshold).checkpoint()
+    pairs = by_leader.unionByName(meet(open_).withColumn("led", F.lit(False))).distinct()
+    pairs = pairs.join(copies, ["doc_id", "line_no"], "left_anti").checkpoint()
+    found = verified(pairs.select(*ends).distinct(), rows, steps, threshold).checkpoint()
     # lines whose leaders looked similar but none of whose pairs did: they meet all earlier lines on every key
     hoped = pairs.where("led").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").checkpoint()
     if hoped.isEmpty():
         return found
-    again = index_rows(lines_at(rows, hoped), steps, threshold)
-    late = verified(meet(again).distinct(), rows, steps, threshold)
+    late = verified(meet(index.join(hoped, ["doc_id", "line_no"], "left_semi")).distinct(), rows, steps, threshold)
     return found.unionByName(late).distinct()
 
 
@@ -178,11 +190,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     copies = (occurrences.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no")))
               .select("doc_id", "line_no").distinct().checkpoint())
     steps = rarity(worded)
-    skip = by_document(copies)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("nos", F.array().cast("array<int>")))
-    kept = (rows.join(skip, rows["doc_id"] == skip["at"], "left").select("doc_id", F.split("text", "\n", -1).alias("lines"), "nos")
-            .select("doc_id", "lines", F.explode(numbers).alias("line_no")).select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line")))
-    similar = matched_lines(rows, kept, steps, threshold)
+    similar = matched_lines(rows, worded, copies, steps, threshold)
     return copies.unionByName(similar).distinct()
 
 
