@@ -26,9 +26,11 @@ ANY_TAG = rf"(?is)<[a-z][^\s/>]*(?:[\s/]{_ATTRS})?>"
 TAG_NAME = r"^<([^\s/>]+)"
 
 
-def attr_pattern(name: str) -> str:
-    """Group 1 = the raw value of attribute ``name`` (quoted or bare)."""
-    return rf"""(?is)[\s/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# one attribute with its value, quotes included; found one after the other, so
+# a name inside another attribute's quoted value is not an attribute
+ATTRIBUTE = r"""(?is)[\s/]+[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+ATTRIBUTE_NAME = r"""^[\s/]+([^\s=>/"']+)"""
+ATTRIBUTE_VALUE = r"""(?s)^[\s/]+[^\s=>/"']+\s*=\s*(.*)$"""
 
 
 def clean_html(html: Column) -> Column:
@@ -48,8 +50,10 @@ def named(tag_list: Column, name: str) -> Column:
 
 
 def attr(tag: Column, name: str) -> Column:
-    """Attribute value without its quotes; '' when absent."""
-    raw = F.regexp_extract(tag, attr_pattern(name), 1)
+    """Attribute value without its quotes; '' when absent. Of several the last counts, as in a parsed dictionary."""
+    found = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)),
+                     lambda a: F.lower(F.regexp_extract(a, ATTRIBUTE_NAME, 1)) == name)
+    raw = F.regexp_extract(F.coalesce(F.get(found, F.size(found) - 1), F.lit("")), ATTRIBUTE_VALUE, 1)
     quoted = raw.startswith('"') | raw.startswith("'")
     return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 

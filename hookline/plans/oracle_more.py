@@ -6,7 +6,6 @@ from hookline.fixed import (CONTENT_COLUMNS, CUSTOM_POSITIVE_LABELS, FEATURE_COL
                             INDICATOR_RULES, NEW_DOMAIN_DAYS, NO_WARNINGS_TEXT, RANDOM_SEED,
                             UCI_POSITIVE_TEXT, WARN_IP, WARN_NEW_DOMAIN, WARN_NO_HTTPS,
                             WARN_TYPOSQUAT)
-from hookline.functions.html import ANY_TAG, TAG_NAME, attr_pattern
 from hookline.functions.url import PY_STRIP
 from hookline.plans.oracle import _q, _with, corpus_ctes, full_ctes, parse_ctes
 from hookline.sources import corpus as C
@@ -60,8 +59,17 @@ pages_decorated AS (
   FROM pages)"""
 
 
+# The oracle's own patterns: a start tag, its name, its attributes.
+ANY_TAG = r"""(?is)<[a-z][^\s/>]*(?:[\s/](?:"[^"]*"|'[^']*'|[^>"'])*)?>"""
+TAG_NAME = r"(?is)^<([a-z][^\s/>]*)"
+ONE_ATTRIBUTE = r"""(?is)[\s/]+[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+
+
 def _attr(t: str, name: str) -> str:
-    v = f"regexp_extract({t}, {_q(attr_pattern(name))}, 1)"
+    named = (f"list_filter(regexp_extract_all({t}, {_q(ONE_ATTRIBUTE)}), "
+             f"lambda a: regexp_matches(a, {_q('(?is)^[' + chr(92) + 's/]+' + name + '(' + chr(92) + 's*=|$)')}))")
+    whole = f"coalesce(list_last({named}), '')"
+    v = f"regexp_extract({whole}, '(?s)=\\s*(.*)$', 1)"
     return f"(CASE WHEN starts_with({v}, '\"') OR starts_with({v}, '''') THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)"
 
 

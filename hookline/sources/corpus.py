@@ -147,6 +147,8 @@ HTML_FRAGMENTS = [
     "<!-- <form><img src=x> --><script>var s=\"<form>\"; document.write(\"<img>\");</script>",
     '<link rel="stylesheet" href="http://x.test/s.css"><link rel="icon" href="https://{netloc}/f.ico">'
     "<form method=post><img src=\"x\"></form>",
+    "<a title=\"x href=http://evil.test/\" href=\"/local\">q</a><input name=\"a type=password\" type=\"text\">"
+    "<a href=\"/a\" href=\"http://dup.test/\">d</a><link title='rel=icon' rel=next href='http://no.test/'>",
 ]
 NULL_HTML_EVERY = 50
 # --- end of fixed values -------------------------------------------------------

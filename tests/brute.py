@@ -82,10 +82,7 @@ def page_features(url: str, html: str | None) -> dict:
     base = urllib.parse.urlparse(url).netloc
 
     def attr(attrs, name):
-        for k, v in attrs:
-            if k == name:
-                return v
-        return None
+        return dict(attrs).get(name)  # of several, a parsed dictionary holds the last
 
     def external(href):
         return href is not None and href.startswith("http") and base not in href

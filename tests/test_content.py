@@ -60,3 +60,13 @@ def test_random_tag_soup_matches_html_parser(spark):
     got = {r.page_id: r for r in page_content(df).collect()}
     for i, u, h in rows:
         assert {c: got[i][c] for c in CONTENT_COLUMNS} == page_features(u, h), (u, h)
+
+
+def test_attributes_inside_other_values_and_duplicates(spark):
+    from pyspark.sql import functions as F
+    from hookline.functions.html import content_columns
+    page = ('<a title="x href=http://evil.test/" href="/local">q</a><input name="a type=password" type="text">'
+            '<a href="/a" href="http://dup.test/">d</a>')
+    df = spark.createDataFrame([(page,)], "html string")
+    row = df.select(*[c.alias(n) for n, c in content_columns(F.col("html"), F.lit("own.test"))]).first()
+    assert (row.has_password_field, row.num_external_links) == (0.0, 1.0)
