@@ -3,10 +3,16 @@
 Token counts are added up per cell (source, language, topic). Each margin gets
 target shares; by default a margin's own shares raised to ``TEMPER``, so that
 large sources are drawn less and small ones more. Raking multiplies the cells
-by target / sum over one margin after another, ``ROUNDS`` times. A document's
-probability is its cell's factor (raked / counted tokens) over the largest
-factor, and a document is kept if a number made from its id's md5 lies below
-it, so every retry and every engine draws the same documents.
+by target / sum over one margin after another, ``ROUNDS`` times. A cell's factor
+is its raked over its counted tokens. A document is kept if a number made from
+its id's md5 lies below its cell's probability, so every retry and every engine
+draws the same documents.
+
+``mixed_documents`` draws a stated share of all tokens (``KEPT_SHARE``):
+probabilities are the factors times one scale, capped at 1, and what capped
+cells cannot supply is spread over the others. ``mixing_plan`` gives the plan
+of ``mixing_sql``: each factor over the largest one, so there the rarest cell
+sets how much is kept.
 
 Everything is DataFrame functions. The rounds run on the cell table, whose
 size is sources x languages x topics; only narrow rows (no texts) are joined
@@ -34,6 +40,7 @@ MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 ROUNDS = 6
 DIGITS = 9
+KEPT_SHARE = 0.5
 SEED = "mix-1"
 NONE = "(none)"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,11 +93,29 @@ def raked(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return out
 
 
+def scale_for(cells: DataFrame, share: float) -> float:
+    """The scale at which the cells' min(1, scale * factor) draw ``share`` of all tokens.
+
+    Each round caps the cells that the last scale takes whole and spreads the
+    rest over the others. The scale only grows, so it ends when no cell is added.
+    """
+    scale, capped = 0.0, -1
+    while True:
+        whole = F.col("factor") * scale >= 1
+        got = cells.agg(F.sum("tokens").alias("total"), F.count_if(whole).alias("capped"), F.sum(F.when(whole, F.col("tokens"))).alias("taken"),
+                        F.sum(F.when(~whole, F.col("factor") * F.col("tokens"))).alias("free")).first()
+        if got.capped == capped or not got.free:
+            return scale
+        capped = got.capped
+        scale = (share * got.total - (got.taken or 0)) / got.free
+
+
 def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, rounds: int = ROUNDS,
-                  targets: dict[str, DataFrame] | None = None) -> DataFrame:
+                  targets: dict[str, DataFrame] | None = None, share: float | None = None) -> DataFrame:
     """(source, lang, topic, factor, probability) per cell with tokens.
 
     ``targets`` maps a margin to a (margin, t_margin) table in place of tempered shares.
+    With ``share``, that share of all tokens is drawn; without, the largest factor gets probability 1.
     """
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     # a small table, written once, so that the rounds do not count the documents again
@@ -100,9 +125,12 @@ def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, round
             cells = cells.join(targets[m].select(m, F.col(f"t_{m}").cast("double")), m)
         else:
             cells = with_targets(cells, m, (temper or TEMPER)[m])
-    done = raked(cells, rounds).withColumn("factor", F.round(F.col("w") / F.col("tokens"), DIGITS)).select(*MARGINS, "factor").checkpoint()
-    top = done.agg(F.max("factor")).scalar()
-    return done.withColumn("probability", F.round(F.col("factor") / top, DIGITS))
+    done = raked(cells, rounds).withColumn("factor", F.round(F.col("w") / F.col("tokens"), DIGITS)).select(*MARGINS, "tokens", "factor").checkpoint()
+    if share is None:
+        p = F.col("factor") / done.agg(F.max("factor")).scalar()
+    else:
+        p = F.least(F.lit(1.0), F.col("factor") * scale_for(done, share))
+    return done.select(*MARGINS, "factor", F.round(p, DIGITS).alias("probability"))
 
 
 def drawn(doc_id: Column, seed: str = SEED) -> Column:
@@ -123,10 +151,10 @@ def mixing_plan(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", lang: str = "lang",
-                    seed: str = SEED, **options) -> DataFrame:
-    """The documents drawn, with their own columns."""
+                    seed: str = SEED, share: float = KEPT_SHARE, **options) -> DataFrame:
+    """The documents drawn, with their own columns: about ``share`` of all tokens."""
     rows = cell_rows(docs, doc_id, text, source, lang)
-    cells = probabilities(rows, **options)
+    cells = probabilities(rows, share=share, **options)
     words = word_count(F.col(text))
     keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit(NONE)), "lang": F.coalesce(F.col(lang).cast("string"), F.lit(NONE)),
             "topic": form_topic(F.col(text), words)}

@@ -116,6 +116,24 @@ def test_mixing_equals_sql_and_margins(spark, odd, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_one_rare_document_barely_moves_the_kept_share(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source", "lang")
+    rare = spark.createDataFrame([(-1, "rare " * 20, "rare source", "en")], docs.schema)
+    words = F.sum(mixing.word_count(F.col("text")))
+    total = docs.agg(words).first()[0]
+    shares = [mixing.mixed_documents(d).agg(words).first()[0] / total for d in (docs, docs.union(rare))]
+    assert all(abs(s - mixing.KEPT_SHARE) < 0.03 for s in shares) and abs(shares[0] - shares[1]) < 0.01
+
+
+def test_capped_cells_are_made_up_for_by_the_others(spark):
+    cells = spark.createDataFrame([(10, 100.0), (100, 30.0), (1000, 1.0), (9000, 0.2)], "tokens long, factor double")
+    for share in (0.01, 0.3, 0.9, 1.0):
+        scale = mixing.scale_for(cells, share)
+        drawn = sum(n * min(1, f * scale) for n, f in ((10, 100.0), (100, 30.0), (1000, 1.0), (9000, 0.2)))
+        assert abs(drawn - share * 10110) < 1e-6
+    assert mixing.scale_for(cells.where("false"), 0.5) == 0
+
+
 def test_nearest_neighbours_recall_and_odd_vectors(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(900, 16)).astype("f4") * rnd.uniform(0.5, 2, size=(900, 1)).astype("f4")
