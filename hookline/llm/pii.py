@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,24 +124,24 @@ AT_BRACKET = re.compile(rf"(?i)\x20*{OPEN}\x20*(?:at|@)\x20*{CLOSE}\x20*")
 DOT_BRACKET = re.compile(rf"(?i)\x20*{OPEN}\x20*(?:dot|punkt|punto|point|\.)\x20*{CLOSE}\x20*")
 LABEL = r"[A-Za-z0-9-]+"
 AT_DOT_WORDS = re.compile(
-    rf"(?i)(?<=[A-Za-z0-9_%+-])\x20+at\x20+({LABEL}(?:(?:\x20+dot\x20+|\.){LABEL})*\x20+dot\x20+[A-Za-z]{{2,}})(?![A-Za-z0-9-])")
+    rf"(?i)(?<=[A-Za-z0-9_%+-])(\x20+at\x20+{LABEL}(?:(?:\x20+dot\x20+|\.){LABEL})*\x20+dot\x20+[A-Za-z]{{2,}})(?![A-Za-z0-9-])")
 DOT_AFTER_AT = re.compile(rf"(?i)(?<=@)({LABEL}(?:(?:\x20+dot\x20+|\.){LABEL})*\x20+dot\x20+[A-Za-z]{{2,}})(?![A-Za-z0-9-])")
 DOT_WORD = re.compile(r"(?i)\x20+dot\x20+")
+AT_OR_DOT = re.compile(r"(?i)\x20+(?:(at)|dot)\x20+")
 DOT_BEFORE_AT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])\x20+dot\x20+(?=[A-Za-z0-9._%+-]+@)")
 DOT_DIGITS = re.compile(r"(?i)(?<=[0-9])\x20+(?:dot|point)\x20+(?=[0-9])")
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\x20+@\x20*(?=[A-Za-z0-9-]+\.)|(?<=[A-Za-z0-9_%+-])\x20*@\x20+(?=[A-Za-z0-9-]+\.)")
 LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIlSB](?=[\x20-]?[0-9])")
 LETTER_VALUE = {"O": "0", "o": "0", "I": "1", "l": "1", "S": "5", "B": "8"}
-BRACKETED = re.compile(rf"{OPEN}\x20*(?:at|@|dot|punkt|punto|point|\.)\x20*{CLOSE}")
-POINTED = re.compile(r"[0-9]\x20+point\x20+[0-9]|[0-9][oilsb][\x20-]?[0-9]")
-TWO_DIGITS = re.compile(rf"{ONE_DIGIT}[\x20,-]+{ONE_DIGIT}")
+BRACKETED = re.compile(rf"(?i){OPEN}\x20*(?:at|@|dot|punkt|punto|point|\.)\x20*{CLOSE}")
+SPELLED_START = re.compile(rf"(?i)(?<![A-Za-z]){ONE_DIGIT}[\x20,-]+(?:{ONE_DIGIT}|[0-9]|dot|point)")
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer can find something; plain substring tests come first."""
-    low = text.lower()
-    return (" dot " in low or "@ " in low or " @" in low or any(c in low for c in "([{<") and bool(BRACKETED.search(low))
-            or bool(TWO_DIGITS.search(low)) or bool(DIGIT.search(low)) and bool(POINTED.search(low)))
+    """Whether any transducer can find something: each has its necessary condition here, plain substring tests first."""
+    return (" dot " in text.lower() or "@ " in text or " @" in text or any(c in text for c in "([{<") and bool(BRACKETED.search(text))
+            or bool(SPELLED_START.search(text))
+            or bool(DIGIT.search(text)) and any(p.search(text) for p in (PLUS_WORD, LETTER_DIGIT, DOT_DIGITS)))
 
 
 def foldable(text: str) -> bool:
@@ -163,8 +164,15 @@ class Tape:
 
     def rewrite(self, pattern: re.Pattern, put) -> None:
         """Replace each match by ``put(match)``; the new characters share the match's source range."""
+        self.replace(pattern.finditer(self.text), put)
+
+    def rewrite_inside(self, outer: re.Pattern, inner: re.Pattern, put) -> None:
+        """Like ``rewrite`` with ``inner``, but only inside group 1 of ``outer``."""
+        self.replace((m for o in outer.finditer(self.text) for m in inner.finditer(self.text, *o.span(1))), put)
+
+    def replace(self, matches: Iterable[re.Match], put) -> None:
         text, start, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
+        for m in matches:
             a, b = m.span()
             new = put(m)
             if a == b or new == m[0]:
@@ -178,21 +186,6 @@ class Tape:
             self.start = start + self.start[at:]
             self.end = end + self.end[at:]
 
-    def rewrite_inside(self, outer: re.Pattern, inner: re.Pattern, put) -> None:
-        """Like ``rewrite`` with ``inner``, but only inside group 1 of ``outer``."""
-        ranges = [m.span(1) for m in outer.finditer(self.text)]
-        if ranges:
-            inside = iter(ranges)
-            now = next(inside)
-
-            def within(m):
-                nonlocal now
-                while now and now[1] < m.end():
-                    now = next(inside, None)
-                return put(m) if now and now[0] <= m.start() else m[0]
-
-            self.rewrite(inner, within)
-
 
 def spelled(m: re.Match) -> str:
     """Digits of a run of digit words, if it has four at least."""
@@ -215,11 +208,7 @@ def normalised(text: str) -> Tape | None:
     tape.rewrite(AT_BRACKET, lambda m: "@")
     tape.rewrite(DOT_BRACKET, lambda m: ".")
     # the words "at" and "dot" only count together: "at example.com" alone is prose
-    found = {m.start() for m in AT_DOT_WORDS.finditer(tape.text)}
-    if found:
-        tape.rewrite_inside(AT_DOT_WORDS, DOT_WORD, lambda m: ".")
-        tape.rewrite(re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])\x20+at\x20+(?={LABEL}\.[A-Za-z0-9.-]+)"),
-                     lambda m: "@" if m.start() in found else m[0])
+    tape.rewrite_inside(AT_DOT_WORDS, AT_OR_DOT, lambda m: "@" if m[1] else ".")
     tape.rewrite_inside(DOT_AFTER_AT, DOT_WORD, lambda m: ".")
     tape.rewrite(SPACED_AT, lambda m: "@")
     tape.rewrite(DOT_BEFORE_AT, lambda m: ".")

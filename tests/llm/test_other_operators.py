@@ -49,6 +49,36 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert base == [] and [(k, text[a:b]) for k, a, b in every] == [(kind, part)]
 
 
+@pytest.mark.parametrize("text,parts", [
+    ("jo at mail dot com or al at site dot org", ["jo at mail dot com", "al at site dot org"]),
+    ("x dot y at a dot b dot com, jo AT  mail DOT com; u at v dot w.org dot uk.", ["x dot y at a dot b dot com", "jo AT  mail DOT com", "u at v dot w.org dot uk"]),
+    ("dot at mail dot com then q at at dot com", ["dot at mail dot com", "q at at dot com"]),
+    ("a(at)b[dot]org c@d dot com e @ f.org", ["a(at)b[dot]org", "c@d dot com", "e @ f.org"])])
+def test_several_disguises_in_a_text(text, parts):
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == parts
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("plus 44 7911 123456", "phone"), ("plus-44 7911 123456", "phone"), ("four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1", "card"),
+    ("one point two point three point four", "ip"), ("one-dot-two-dot-three-dot-four", "ip"), ("41l1 1111 1111 1111", "card"), ("4111 1111 1111 1I11", "card"),
+    ("1 point 2 point 3 point 4", "ip"), ("jo(at)ex.org", "email"), ("jo@ex[dot]org", "email"), ("jo at ex dot org", "email"), ("jo@ex dot org", "email"),
+    ("jo @ ex.org", "email"), ("jo@ ex.org", "email"), ("jo＠ex.org", "email"), ("192·168·1·1", "ip")])
+def test_each_transducer_alone(text, kind):
+    base, every = pii.find(f"call {text}, ok")
+    assert base == [] and [(k, f"call {text}, ok"[a:b]) for k, a, b in every] == [(kind, text)]
+
+
+def test_the_shortcut_loses_nothing(monkeypatch):
+    rnd = random.Random(5)
+    parts = ["plus", "one", "Two", "ſix", "nine", "oh", "dot", "point", "poınt", "at", "AT", "@", "[", "]", "(", ")", ".", ",", "-", " ", " ", "  ", "1", "44", "7911", "123456",
+             "O", "l", "4111", "jo", "mail", "com", "punkt"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 24))) for _ in range(20000)]
+    got = [getattr(pii.normalised(t), "text", t) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda t: True)
+    assert got == [getattr(pii.normalised(t), "text", t) for t in texts] and sum(a != b for a, b in zip(got, texts, strict=True)) > 500
+    assert {chr(c) for c in pii.FOLD if c < 256} == set("\xa0\xad\xb7")
+
+
 def test_prose_has_no_spans():
     for t in ("meet me at example.com", "one two three", "dot at the dot", "she was at home. dot", "on one, two (at) most", None, ""):
         assert pii.find(t)[1] == []
