@@ -3,8 +3,10 @@
 1. Every page is cut into text blocks, each with the path of its open
    elements as generalised "tag.class" steps (digits become #). Blocks inside
    menus, headers, footers, sidebars, notices, adverts, forms, comments and
-   the like are boilerplate. Each container is scored by the plain text it
-   holds, less its link text; the page's best containers are its candidates.
+   the like are boilerplate. A class or id that says so is judged by the text
+   under it: a wrapper that holds the page's text ("layout has-sidebar") is
+   none. Each container is scored by the plain text it holds, less its link
+   text; the page's best containers are its candidates.
 2. Spark adds up the candidates' votes per (host, path) and keeps the winning
    path of each host (partial sums first, so a host with a third of all pages
    is no hot group).
@@ -26,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,7 +50,10 @@ BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                          "cookie cookies consent disclaimer discussion disqus foot footer form gdpr head header login masthead menu nav navbar navigation "
                          "newsletter notice notices notification pager pagination popup modal promo promoted related replies reply respond share sharing "
                          "sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets overlay alert".split())
+COMMENT_WORDS = frozenset("comments comment respond disqus".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body text".split())
+# An element named like boilerplate is a wrapper if it holds this many times the text outside of such elements.
+WRAPPER_TIMES = 4
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Which open elements a start tag closes.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
@@ -64,28 +70,88 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "step", "boiler", "path")
+    __slots__ = ("tag", "step", "boiler", "path", "marks", "comments")
 
     def __init__(self, tag: str, attributes: str, above: Element | None) -> None:
-        name, own = "", above.boiler if above else False
+        name, own, marked = "", above.boiler if above else False, False
+        self.comments = False
         if attributes and "=" in attributes:
             got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             name = re.sub(r"[0-9]+", "#", (got.get("class", "").split() or [""])[0].lower())
             said = {w.lower() for w in WORDS.findall(CAMEL.sub(" ", f"{got.get('class', '')} {got.get('id', '')}"))}
             hidden = "display:none" in got.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
-            own = own or hidden or got.get("role", "").lower() in BOILER_ROLES or (
-                bool(said & BOILER_WORDS) and tag not in ("body", "html", "article", "main") and not said & ARTICLE_WORDS - {"text", "body"})
-            if said & {"comments", "comment", "respond", "disqus"} and tag not in ("body", "html"):
-                own = True
+            own = own or hidden or got.get("role", "").lower() in BOILER_ROLES
+            post = bool(said & ARTICLE_WORDS - {"text", "body"})
+            self.comments = bool(said & COMMENT_WORDS) and tag not in ("body", "html", "main") and not (tag == "article" and post)
+            marked = self.comments or bool(said & BOILER_WORDS) and tag not in ("body", "html", "article", "main") and not post
+        # the open elements named like boilerplate, this one included
+        self.marks: tuple[Element, ...] = (*(above.marks if above else ()), *([self] if marked else []))
         self.tag, self.step = tag, f"{tag}.{name}" if name else tag
         self.boiler = own or tag in BOILER_TAGS
         self.path = f"{above.path}>{self.step}" if above else self.step
 
 
+class Block(NamedTuple):
+    text: str
+    paths: tuple[str, ...]
+    boiler: bool
+    links: int
+    marks: tuple[Element, ...]
+    articles: tuple[Element, ...]
+    title: bool
+
+
+def wrappers(found: list[Block]) -> set[Element]:
+    """Elements that are named like boilerplate but hold the page's text.
+
+    They are those around the page's main or largest article; else those around
+    the largest text under one innermost name, if it outweighs the text under
+    no name; and all of them if the names would leave no text at all.
+    """
+    wrong: set[Element] = set()
+    rows = [(b, max(0, len(b.text) - 2 * b.links)) for b in found if not b.boiler]
+    if not any(b.marks for b, _ in rows):
+        return wrong
+
+    def innermost(b: Block) -> Element | None:
+        return next((e for e in reversed(b.marks) if e not in wrong), None)
+
+    def outside() -> int:
+        return sum(w for b, w in rows if innermost(b) is None)
+
+    inside: dict[Element, int] = defaultdict(int)
+    titled: set[Element] = set()
+    for b, w in rows:
+        for e in b.articles:
+            # not what has a name inside the article, and no article that is a comment
+            if b.marks == e.marks and e not in e.marks:
+                inside[e] += w
+                if b.title:
+                    titled.add(e)
+    if best := max((e for e in inside if e.tag == "main" or e in titled or not any(x.comments for x in e.marks)),
+                   key=lambda e: (e.tag == "main", inside[e]), default=None):
+        if inside[best] > (0 if best.tag == "main" else outside()):
+            wrong |= set(best.marks)
+            if best.tag == "main" or best.marks:
+                return wrong
+    own: dict[Element, int] = defaultdict(int)
+    titled = set()
+    for b, w in rows:
+        if e := innermost(b):
+            own[e] += w
+            if b.title:
+                titled.add(e)
+    rest = outside()
+    if best := max((e for e in own if e in titled or not any(x.comments for x in e.marks)), key=own.__getitem__, default=None):
+        if own[best] > rest * (1 if best in titled else WRAPPER_TIMES):
+            wrong |= set(best.marks)
+    return wrong if outside() else {e for b, _ in rows for e in b.marks}
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool, int]]:
     """(text, paths of the open containers, boilerplate?, length of link text) of each block."""
     open_: list[Element] = []
-    out: list[tuple[str, tuple[str, ...], bool, int]] = []
+    out: list[Block] = []
     parts: list[str] = []
     links, in_link, at = 0, 0, 0
 
@@ -94,7 +160,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool, int]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple(e.path for e in open_ if e.tag in CONTAINERS), bool(open_) and open_[-1].boiler, links))
+                out.append(Block(text, tuple(e.path for e in open_ if e.tag in CONTAINERS), bool(open_) and open_[-1].boiler, links,
+                                 open_[-1].marks if open_ else (), tuple(e for e in open_ if e.tag in ("article", "main")), any(e.tag == "h1" for e in open_)))
             parts.clear()
         links = 0
 
@@ -146,7 +213,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool, int]]:
             open_.append(Element(tag, m[3], open_[-1] if open_ else None))
     say(page[at:] if at < n else "")
     flush()
-    return out
+    wrong = wrappers(out)
+    return [(b.text, b.paths, b.boiler or any(e not in wrong for e in b.marks), b.links) for b in out]
 
 
 def container_scores(found: list[tuple[str, tuple[str, ...], bool, int]]) -> dict[str, float]:

@@ -107,6 +107,29 @@ def test_main_text(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+STORY = "<h1>Title</h1><p>" + "word " * 60 + "</p><p>" + "more " * 40 + "</p>"
+SIDE = '<div class="sidebar"><div class="widget"><p>' + "side " * 20 + "</p></div></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="layout has-sidebar"><article>{STORY}</article>{SIDE}</div>', f'<div id="wrapper" class="nav-open"><main>{STORY}</main>{SIDE}</div>',
+    f'<div class="page header-fixed"><div>{STORY}</div>{SIDE}</div><p>stray line</p>', f'<article class="post comments-open">{STORY}</article>{SIDE}<p>stray line</p>',
+    f'<div class="layout has-sidebar"><div class="nav-open"><div>{STORY}</div></div>{SIDE}</div>', f'<div class="site comments-open">{STORY}</div>{SIDE}',
+    f'<div class="has-sidebar"><article>{STORY}</article>{SIDE}<div id="comments"><article class="reply">{"said " * 200}</article></div></div>'])
+def test_wrappers_named_like_boilerplate(page):
+    want = f"Title\n{('word ' * 60).strip()}\n{('more ' * 40).strip()}"
+    got = html_extract.main_text(f"<html><body>{page}</body></html>", None)
+    assert want in got and "side" not in got and "said" not in got
+
+
+def test_boilerplate_stays_boilerplate():
+    short = "<p>" + "word " * 30 + "</p>"
+    for mark in ('id="comments"', 'class="cookie-consent"', 'class="disclaimer"', 'class="related"'):
+        page = f"<body><div>{short}</div><div {mark}><article>{'other ' * 24}</article><p>{'other ' * 24}</p></div></body>"
+        assert html_extract.main_text(page, None) == ("word " * 30).strip(), mark
+    assert html_extract.main_text('<body><nav>Menu</nav><div class="notice"><a href="/">Only</a> a notice</div></body>', None) == "Only a notice"
+
+
 def test_host_path_votes(spark):
     """A path that wins on most pages of a host is used on a page where another container is larger."""
     good = "<body><div class=post><p>" + "text " * 50 + "</p></div><div class=box><p>small</p></div></body>"
