@@ -6,8 +6,8 @@
    the like are boilerplate. A class or id that says so is judged by the text
    under it: a wrapper that holds the page's text ("layout has-sidebar") is
    none. Each container is scored by the plain text it holds, less its link
-   text; the page's best containers are its candidates.
-2. Spark adds up the candidates' votes per (host, path) and keeps the winning
+   text, and votes with its share of the page's best score.
+2. Spark adds up the containers' votes per (host, path) and keeps the winning
    path of each host (partial sums first, so a host with a third of all pages
    is no hot group).
 3. Pages are read again: the blocks under the host's winning path are the
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 
 # Winners are broadcast up to this many hosts (about 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
-CANDIDATES_PER_PAGE = 3
 
 # HTML element classes by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -239,10 +238,10 @@ def container_scores(found: list[tuple[str, tuple[str, ...], bool, int]]) -> dic
 
 
 def candidates(page: str) -> list[tuple[str, float]]:
-    """The page's best container paths with their share of its best score."""
+    """The page's container paths with their share of its best score."""
     scores = container_scores(blocks(page))
-    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:CANDIDATES_PER_PAGE]
-    return [(p, s / best[0][1]) for p, s in best]
+    best = max(scores.values(), default=0)
+    return [(p, s / best) for p, s in scores.items()]
 
 
 def main_text(page: str | None, path: str | None) -> str:

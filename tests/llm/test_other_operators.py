@@ -139,6 +139,16 @@ def test_host_path_votes(spark):
     assert got[7] == "short text"
 
 
+def test_every_container_votes(spark):
+    """A path that is fourth on most pages of a host wins the full vote."""
+    nest = "<div class=k{0}a><div class=k{0}b><div class=k{0}c><p>" + "text " * 50 + "</p></div></div></div>"
+    pages = ["<section class=top><div class=wrap>" + nest.format(c * 2) + "</div></section><section class=box><p>small</p></section>" for c in "abcdefg"]
+    pages += ["<section class=box><p>" + "other " * 20 + "</p></section>"] * 2
+    rows = [(k, "http://a.example/", f"<p>stray {'line ' * 30}</p>{p}") for k, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.path for r in html_extract.winning_paths(df).collect()] == ["section.top>div.wrap"]
+
+
 def test_toxicity_folding_and_exceptions(spark):
     assert toxicity.folded_words("You L0$3R, m.o.r.o.n! сlown ｉｄｉｏｔ s c u m") == ["you", "loser", "moron", "clown", "idiot", "scum"]
     key = toxicity.Lexicon({" scum ": 3.0, " pond": 1.0}, (" pond scum ",)).key()
