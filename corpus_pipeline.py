@@ -30,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; so do documents that have no line left of those they had."""
     done = line_dedup.deduplicate_lines(docs)
-    kept = done.where((F.col("n_removed") == 0) | (F.length(F.trim(F.col("text"))) > 0) | F.col("text").isNull())
+    kept = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull())
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return kept.select(*[length.alias(c) if c == "n_chars" else c for c in docs.columns])
 

@@ -237,3 +237,11 @@ def test_queries_are_registered():
     names = catalog.llm_queries()
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
     assert set(catalog.llm_oracle_sql()) <= set(names)
+
+
+def test_copies_with_blank_lines_go(spark):
+    """A copy that keeps only its blank lines is gone; a document that was blank before stays."""
+    text = "\n\n".join(f"paragraph {w} with its own words {w}{w} and more of {w}" for w in ("alpha", "beta", "gamma")) + "\n \t\n"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "\n\n"), (4, None)], "doc_id long, text string")
+    got = corpus_pipeline.line_dedup_stage(spark, docs, SF_SMALL).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 4]
