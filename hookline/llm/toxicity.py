@@ -142,8 +142,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
              .groupBy("id").agg(F.max("toxic").alias("toxic")))
     # bounded by FIT_ROWS ids, so it may be broadcast
     taken = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    return (docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-            .join(F.broadcast(taken), "id").select("body", "toxic"))
+    # one row an id, its smallest text, so that a repeated id weighs no more than others
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(F.broadcast(taken), "id")
+    return found.groupBy("id", "toxic").agg(F.min("body").alias("body")).select(F.coalesce("body", F.lit("")).alias("body"), "toxic")
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:

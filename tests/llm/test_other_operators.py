@@ -165,6 +165,15 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert toxicity.fit_lexicon(docs, labels.where("false")).weights == {}
 
 
+def test_sample_is_bounded_in_rows(spark):
+    ids = [k for k in range(60) if not spark.range(1).select(toxicity.held_out(F.lit(k))).first()[0]][:20]
+    docs = spark.createDataFrame([(ids[0], t) for t in ["c", "b", None] * 100] + [(k, f"text {k}") for k in ids[1:]] + [(ids[1], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    got = sorted(r.body for r in toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 1000).collect())
+    assert got == sorted(["b", *(f"text {k}" for k in ids[1:])])
+    assert toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 5).count() == 5
+
+
 def test_mixing_equals_sql_and_margins(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = mixing.mixing_plan(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
