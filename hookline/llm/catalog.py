@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hookline.llm import ann, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, pii, substring_dedup, toxicity
+from hookline.llm import ann, chat_format, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, pii, substring_dedup, toxicity
 from hookline.llm.catalog_tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels")))
 
 
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_digests(table(spark, sf_dir, "conversations"))
+
+
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents(spark, sf_dir)
     return corpus_pipeline.run(spark, sf_dir)
@@ -78,9 +82,10 @@ def llm_queries() -> dict[str, Query]:
         "op8_html_extraction": html_query,
         "op9_mixing": mixing_query,
         "op10_toxicity": toxicity_query,
+        "op11_chat_formatting": chat_query,
         "pipeline": pipeline_query,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.line_dedup_sql(), "op9_mixing": mixing.mixing_sql()}
+    return {"op5_line_dedup": line_dedup.line_dedup_sql(), "op9_mixing": mixing.mixing_sql(), "op11_chat_formatting": chat_format.format_sql()}
