@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hookline.llm import ann, chat_format, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, pii, substring_dedup, toxicity
+from hookline.llm import ann, chat_format, conversation_repair, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, pii, substring_dedup, toxicity
 from hookline.llm.catalog_tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(table(spark, sf_dir, "conversations"))
 
 
+def repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents(spark, sf_dir)
     return corpus_pipeline.run(spark, sf_dir)
@@ -83,6 +87,7 @@ def llm_queries() -> dict[str, Query]:
         "op9_mixing": mixing_query,
         "op10_toxicity": toxicity_query,
         "op11_chat_formatting": chat_query,
+        "op12_conversation_repair": repair_query,
         "pipeline": pipeline_query,
     }
 

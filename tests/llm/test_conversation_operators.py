@@ -1,12 +1,15 @@
 """Chat formatting, structure repair and the prefix trie of conversations."""
 
 import hashlib
+import random
+import re
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from hookline.llm import chat_format
+from hookline.llm import chat_format, conversation_repair as cr
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -78,3 +81,121 @@ def test_chat_format_of_a_long_merged_block(spark):
     rows = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("<"), F.col("id").cast("string")).alias("text"))
     got = chat_format.format_conversations(rows).select(F.size(chat_format.read_turns(F.col("formatted"))).alias("n"), F.size("segments").alias("m")).first()
     assert tuple(got) == (30_000, 60_001)
+
+
+def cheapest(rows):
+    """All edits of a short conversation, tried one by one: (cost, audit, repaired turns)."""
+    best = (4 * len(rows), "D" * len(rows), [])
+
+    def go(k, cost, audit, out):
+        nonlocal best
+        initials = "".join(r[:1] or "-" for r, _ in out)
+        if cost > best[0] or not re.fullmatch("s?(ua)*u?", initials):
+            return
+        if k == len(rows) and re.fullmatch("(s?(ua)+)?", initials):
+            best = min(best, (cost, audit, out))
+        if len(audit) - len(audit.rstrip("I")) < 2:
+            for role in ("user", "assistant"):
+                go(k, cost + 3, audit + "I", [*out, (role, "")])
+        if k < len(rows):
+            role, text, fault = rows[k]
+            go(k + 1, cost + 4, audit + "D", out)
+            if fault not in ("blank", "duplicate"):
+                more = 3 * (fault == "truncated")
+                go(k + 1, cost + more, audit + "K", [*out, (role, text)])
+                for new in ("user", "assistant"):
+                    go(k + 1, cost + more + 3, audit + "R", [*out, (new, text)])
+
+    go(0, 0, "", [])
+    return best
+
+
+def plainly_judged(turns):
+    seen, out = set(), []
+    for role, text in turns:
+        end = text.rstrip(" \t\n\x0b\f\r")[-1:]
+        out.append((role, text, "blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end not in ".!?" else ""))
+        seen.add((role, text))
+    return out
+
+
+def plainly_repaired(rows):
+    """The query's row of each conversation, from rows (conv_id, turn, role, text, present)."""
+    groups, out = {}, {}
+    for c, t, r, x, there in rows:
+        groups.setdefault(c, []).extend([(t is not None, t or 0, (" " if r is None else r).encode(), (" " if x is None else x).encode())] if there else [])
+    for c, v in groups.items():
+        v = sorted(v)
+        turns = [(r.decode(), x.decode()) for _, _, r, x in v]
+        judged = plainly_judged(turns)
+        cost, audit, repaired = cheapest(judged)
+        numbers = {t for known, t, _, _ in v if known}
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        faults = [sum(f == k for _, _, f in judged) for k in ("blank", "duplicate", "truncated")]
+        out[c] = (max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0, *faults, illegal, cost, audit, sha("\n".join(f"{r}:{x}" for r, x in repaired)))
+    return out
+
+
+def random_rows(seed, conversations):
+    rnd = random.Random(seed)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "unknown", "us"]
+    texts = ["a.", "b!", "c?", "d", "", " \n", "e. ", "f.\u00a0", None, "é😀.", "g"]
+    return [(c, rnd.choice([None, *range(9)]), rnd.choice(roles[:rnd.choice([2, 3, 10])]), rnd.choice(texts[:rnd.choice([3, 11])])) for c in [*range(conversations), None] for _ in range(rnd.randrange(1, 6))]
+
+
+def test_repair_equals_trying_all_edits(spark):
+    rows = [(*r, k % 7 != 0) for k, r in enumerate(random_rows(1, 300))] + [(5000, 1, "user", "x", False), (5001, None, None, None, True)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", there boolean, fault string")
+    got = {r[0]: tuple(r[1:]) for r in cr.repair(df, present="there").collect()}
+    want = plainly_repaired(rows)
+    assert got.keys() == want.keys()
+    for c in want:
+        assert got[c] == want[c], (c, [r for r in rows if r[0] == c])
+    assert got[5000] == (0, 0, 0, 0, 0, 0, "", sha(""))
+
+
+def test_audits_give_the_repaired_turns(spark):
+    rows = random_rows(2, 150)
+    df = spark.createDataFrame(rows, SCHEMA)
+    audits = cr.repair(df).cache()
+    turns = {}
+    for c, p, r, x in sorted(cr.repaired_turns(df, audits).collect(), key=lambda r: r.position):
+        turns.setdefault(c, []).append(f"{r}:{x}")
+    for r in audits.collect():
+        assert r.repaired_sha256 == sha("\n".join(turns.get(r.conv_id, [])))
+
+
+def plainly_damaged(rows):
+    for c, t, r, x in rows:
+        how = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        r, x = " " if r is None else r, " " if x is None else x
+        row = (c, t, "user" if how == 4 else r, "" if how == 1 else re.sub("[.!?]", "", x) if how == 2 else x, how != 0)
+        yield from [row] * (2 if how == 3 else 1)
+
+
+def test_repair_query_on_damaged_rows(spark, odd):
+    for rows, df in ((ODD, odd), (r := random_rows(3, 200), spark.createDataFrame(r, SCHEMA))):
+        got = {r[0]: tuple(r[1:]) for r in cr.repair_digests(df).collect()}
+        want = plainly_repaired(list(plainly_damaged(rows)))
+        assert got == want
+    assert cr.repair_digests(odd.where("false")).count() == 0
+
+
+def test_repair_of_a_giant_conversation_spills_and_crosses_batches(spark, monkeypatch):
+    n = 30_000
+    rnd = random.Random(4)
+    turns = [(rnd.choice(["user", "assistant", "system"]), rnd.choice([f"{k}.", f"{k}", "", "same."])) for k in range(n)]
+
+    def run(kept, batch):
+        monkeypatch.setattr(cr, "KEPT", kept)
+        known, one = cr.Steps(), None
+        one = cr.Conversation(known)
+        for k, (role, text, fault) in enumerate(plainly_judged(turns)):
+            one.add(k, role, text, {"": 0, "blank": 1, "duplicate": 2, "truncated": 3}[fault])
+        assert len(one.back.tail) < kept and len(known.moves) < 5000
+        return one.result(1)
+
+    whole = run(1 << 20, 0)
+    assert run(1 << 10, 0) == whole
+    df = spark.createDataFrame([(1, k, r, x) for k, (r, x) in enumerate(turns)], SCHEMA)
+    assert tuple(cr.repair(df).first()) == whole
