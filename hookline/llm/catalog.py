@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hookline.llm import ann, chat_format, conversation_repair, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, pii, substring_dedup, toxicity
+from hookline.llm import ann, chat_format, conversation_repair, fingerprints, html_extract, line_dedup, mixing, ngram_join, packing, pii, prefix_trie, substring_dedup, toxicity
 from hookline.llm.catalog_tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
 
 
+def trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents(spark, sf_dir)
     return corpus_pipeline.run(spark, sf_dir)
@@ -88,9 +92,15 @@ def llm_queries() -> dict[str, Query]:
         "op10_toxicity": toxicity_query,
         "op11_chat_formatting": chat_query,
         "op12_conversation_repair": repair_query,
+        "op13_prefix_trie": trie_query,
         "pipeline": pipeline_query,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.line_dedup_sql(), "op9_mixing": mixing.mixing_sql(), "op11_chat_formatting": chat_format.format_sql()}
+    return {
+        "op5_line_dedup": line_dedup.line_dedup_sql(),
+        "op9_mixing": mixing.mixing_sql(),
+        "op11_chat_formatting": chat_format.format_sql(),
+        "op13_prefix_trie": prefix_trie.trie_sql(),
+    }

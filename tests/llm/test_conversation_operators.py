@@ -6,10 +6,11 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hookline.llm import chat_format, conversation_repair as cr
+from hookline.llm import chat_format, conversation_repair as cr, prefix_trie as pt
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -199,3 +200,97 @@ def test_repair_of_a_giant_conversation_spills_and_crosses_batches(spark, monkey
     assert run(1 << 10, 0) == whole
     df = spark.createDataFrame([(1, k, r, x) for k, (r, x) in enumerate(turns)], SCHEMA)
     assert tuple(cr.repair(df).first()) == whole
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 64, 65, 1000, 5000])
+@pytest.mark.parametrize("shape", ["random", "path", "star", "comb"])
+def test_findclose_and_leaf_ranks(n, shape):
+    rnd = random.Random(n)
+    depths = [0]
+    for _ in range(n - 1):
+        d = depths[-1]
+        depths.append({"random": rnd.randrange(1, d + 2), "path": d + 1, "star": 1, "comb": 1 if d == 3 else d + 1}[shape])
+    tree = pt.Parentheses(np.array(depths))
+    close, leaves = tree.findclose(), tree.leaves(tree.findclose())
+    text = "".join(")("[b] for b in tree.bits)
+    stack, want = [], {}
+    for k, c in enumerate(text):
+        if c == "(":
+            stack.append(k)
+        else:
+            want[stack.pop()] = k
+    assert [want[o] for o in tree.opens] == close.tolist()
+    for o, c, m in zip(tree.opens, close, leaves):
+        assert n > 2000 or text[o:c + 1].count("()") == m
+
+
+def plainly_rebuilt(rows):
+    turns = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            turns.setdefault(c, []).append((t is not None, t or 0, hashlib.md5(f"{len(r or '')}:{r or ''}{x or ''}".encode()).digest(), r or "", x or ""))
+    turns = {c: [(r, x) for *_, r, x in sorted(v)] for c, v in turns.items()}
+    h = {c: zlib.crc32(str(c).encode()) % 9 for c in turns}
+    return {c: tuple(turns.get(c - c % 5, [])[:h[c]] + turns[c][h[c]:]) for c in turns}
+
+
+def plain_trie(rebuilt):
+    members, ended = {}, {}
+    for c in sorted(rebuilt):
+        path = rebuilt[c]
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+        ended.setdefault(path, []).append(c)
+    children, leaves, saved = ({p: 0 for p in members} for _ in range(3))
+    for p in members:
+        if p:
+            children[p[:-1]] += 1
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+    return sorted((m[0], len(p), members[p[:-1]][0] if p else None, len(m), children[p], leaves[p], saved[p], sha(",".join(map(str, ended.get(p, []))))) for p, m in members.items())
+
+
+def nodes(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def conversations_that_share(seed):
+    """Copies, prefixes of each other, long common parts beyond the key, bases that are absent or short, ties and nulls."""
+    rnd = random.Random(seed)
+    rows = []
+    long_ = [("user", f"turn {k} é") for k in range(100)]
+    for c in range(120):
+        kind = rnd.randrange(6)
+        if kind == 0:
+            turns = long_[:rnd.choice([60, 63, 64, 65, 66, 100])] + [("user", str(rnd.randrange(3)))] * rnd.randrange(3)
+        elif kind == 1:
+            turns = [("system", "hello"), ("user", "same"), ("assistant", "again")]
+        else:
+            turns = [(rnd.choice(["user", "assistant", None, ""]), rnd.choice(["x", "yy", "é", "", None])) for _ in range(rnd.randrange(1, 14))]
+        if c % 5 or rnd.random() < 0.7:
+            rows += [(c, k if rnd.random() < 0.95 else None, r, x) for k, (r, x) in enumerate(turns)]
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [1, 13, 60])
+def test_trie_equals_a_plain_one_over_many_shards(spark, partitions):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in (conversations_that_share(partitions), ODD):
+            df = spark.createDataFrame([(*r, "clash", 3) for r in rows], SCHEMA + ", ids string, size int")
+            assert nodes(pt.conversation_trie(df)) == plain_trie(plainly_rebuilt(rows))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_trie_of_no_rows_of_null_ids_and_of_turnless_conversations(spark):
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    assert nodes(pt.conversation_trie(frame([]))) == []
+    assert nodes(pt.conversation_trie(frame([(None, 1, "user", "x")]))) == []
+    few = [(c, 0, "user", "x") for c in range(1, 60) if c % 5]  # no bases, so h turns go and nothing comes
+    assert nodes(pt.conversation_trie(frame(few))) == plain_trie(plainly_rebuilt(few))
