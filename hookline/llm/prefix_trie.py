@@ -20,8 +20,8 @@
 Edge cases: null roles and texts are empty; turns are ordered by (turn, MD5),
 nulls first; rows with a null id belong to no conversation and are left out;
 the base of a negative id is the next lower multiple of five; an empty table
-gives no rows. The ids of the conversations that end at a node are hashed as a
-sorted stream, never collected.
+gives no rows. The ids of the conversations that end at a spine node are hashed
+as a stream of sorted runs, one a shard.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ BASES = 5  # conversation c starts like conversation c - c % BASES
 MOST_SHARED = 9
 KEY_TURNS = 64
 BLOCK = 64
+ROWS = 50_000
 ROOT = bytes(16)
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 FINAL, SPINE, END = range(3)
@@ -170,14 +171,13 @@ class Shard:
         for k in np.flatnonzero(spine & (depth == KEY_TURNS)):
             spine[k:after[k]] = True
         ends = np.full(n, NO_ENDS, dtype=object)
-        split_keys, split_convs = [], []
-        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            node = end[a]
+        split: list[tuple[bytes, int, str]] = []  # (key, first id, ids): copies in other shards have all smaller or all larger ids
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            node, ids = end[a], convs[a:b].tolist()
             if spine[node]:
-                split_keys.extend([self.keys[node]] * (b - a))
-                split_convs.append(convs[a:b])
+                split.extend((self.keys[node], ids[k], ",".join(map(str, ids[k:k + ROWS]))) for k in range(0, len(ids), ROWS))
             else:
-                ends[node] = hashlib.sha256(",".join(map(str, convs[a:b].tolist())).encode()).hexdigest()
+                ends[node] = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         top = self.tops(depth, parent)
         under_spine = np.zeros(n, dtype=bool)
         under_spine[1:] = spine[parent[1:]]
@@ -195,14 +195,11 @@ class Shard:
 
         for kind, mask in ((FINAL, ~spine), (SPINE, spine)):
             where = np.flatnonzero(mask)
-            for k in range(0, len(where), 50_000):
-                yield batch(kind, where[k:k + 50_000])
-        if split_keys:
-            ids = np.concatenate(split_convs)
-            for k in range(0, len(ids), 50_000):
-                some = {"kind": np.full(len(ids[k:k + 50_000]), END), "key": split_keys[k:k + 50_000], "conv_id": ids[k:k + 50_000]}
-                m = len(some["kind"])
-                yield pa.RecordBatch.from_arrays([pa.array(some.get(f.name, [None] * m), type=f.type) for f in ARROW], schema=ARROW)
+            for k in range(0, len(where), ROWS):
+                yield batch(kind, where[k:k + ROWS])
+        for one in split:
+            some = dict(zip(("kind", "key", "conv_id", "ends_sha256"), (END, *one)))
+            yield pa.RecordBatch.from_pylist([some], schema=ARROW)
 
     def tops(self, depth: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Each node's ancestor of depth one, -1 for the root: the last such node before it in preorder."""
@@ -255,18 +252,17 @@ def merged_group(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def end_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, ends_sha256), from rows (key, conv_id) in order."""
+    """(key, ends_sha256), from rows (key, ids) in order, where ids are joined already."""
     at, digest = None, None
     for batch in batches:
         done = []
-        for key, conv in zip(batch["key"], batch["conv_id"]):
-            key = bytes(key)
+        for key, ids in zip(map(bytes, batch["key"]), batch["ids"]):
             if key != at:
                 if digest:
                     done.append((at, digest.hexdigest()))
-                at, digest = key, hashlib.sha256(str(conv).encode())
+                at, digest = key, hashlib.sha256(ids.encode())
             else:
-                digest.update(f",{conv}".encode())
+                digest.update(f",{ids}".encode())
         yield pd.DataFrame(done, columns=["key", "ends_sha256"])
     if digest:
         yield pd.DataFrame([(at, digest.hexdigest())], columns=["key", "ends_sha256"])
@@ -279,10 +275,10 @@ def merged_spines(parts: DataFrame) -> DataFrame:
         *[F.max(c).alias(c) for c in ("parent", "top", "depth", "size")], F.min("conv_id").alias("conv_id"), *total, F.count(F.lit(1)).alias("shards"), F.count_if(F.col("n_children") == 0).alias("local_leaves"))
     schema = ", ".join(f"{n} {t}" for n, t in [*spine.dtypes, ("more_saved", "bigint"), ("more_leaves", "bigint")])
     below = materialize(spine.where("depth > 0").groupBy("top").applyInPandas(lambda group: merged_group(group), schema), "trie-spine")
-    back = below.where("depth = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("more_saved", "s"), ("more_leaves", "l"), (F.col("shards") - 1, "c"))])
-    root = spine.where("depth = 0").crossJoin(F.broadcast(back))  # one row each
-    root = root.select("key", "parent", "depth", "conv_id", "n_convs", (F.col("n_children") - F.col("c")).alias("n_children"),
-                       (F.col("n_leaves") + F.col("l") + F.when(F.col("n_children") == 0, 1).otherwise(0) - F.col("local_leaves")).alias("n_leaves"), (F.col("saved_tokens") + F.col("s")).alias("saved_tokens"))
+    taken = lambda c: below.where("depth = 1").agg(F.coalesce(F.sum(c), F.lit(0))).scalar()
+    leaf = F.when(F.col("n_children") == 0, 1).otherwise(0) - F.col("local_leaves")
+    root = spine.where("depth = 0").select("key", "parent", "depth", "conv_id", "n_convs", (F.col("n_children") - taken(F.col("shards") - 1)).alias("n_children"),
+                                           (F.col("n_leaves") + taken("more_leaves") + leaf).alias("n_leaves"), (F.col("saved_tokens") + taken("more_saved")).alias("saved_tokens"))
     return below.select(*root.columns).unionByName(root)
 
 
@@ -292,7 +288,8 @@ def trie_nodes(rebuilt: DataFrame) -> DataFrame:
     shards = materialize(rebuilt, "trie-paths").repartitionByRange(*key).sortWithinPartitions("ids", "conv_id")
     parts = materialize(shards.select("conv_id", "ids", "sizes").mapInArrow(shard_parts, PART), "trie-parts")
     spine = merged_spines(parts)
-    ended = parts.where(F.col("kind") == END).select("key", "conv_id").repartition("key").sortWithinPartitions("key", "conv_id").mapInPandas(end_digests, "key binary, ends_sha256 string")
+    runs = parts.where(F.col("kind") == END).select("key", "conv_id", F.col("ends_sha256").alias("ids")).repartition("key").sortWithinPartitions("key", "conv_id")
+    ended = runs.select("key", "ids").mapInPandas(end_digests, "key binary, ends_sha256 string")
     spine = materialize(spine.join(ended, "key", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(NO_ENDS))), "trie-merged")
     final = parts.where(F.col("kind") == FINAL)
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
