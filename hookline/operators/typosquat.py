@@ -9,14 +9,20 @@ costs no more than that. Two strings
 within distance 2 always share a variant, so an equi-join on the variant
 finds every candidate exactly; candidates are then verified with
 ``levenshtein(a, b, 2)``. Labels and brands are deduplicated first, so a hot
-host costs one lookup.
+host costs one lookup. :func:`search_nearest` answers the wider question, the
+nearest brand at any distance, by an index of brand segments.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hookline.session import materialize
+
 MAX_DISTANCE = 2
 
 
@@ -52,21 +58,102 @@ def brand_matches(labels: DataFrame, brands: DataFrame, label_col: str = "main_l
     return cands.withColumn("distance", dist).where(F.col("distance") >= 0)
 
 
-BRAND_BLOCK = 256
+def next_radius(radius: int) -> int:
+    return radius + max(1, radius // 2)
 
 
-def nearest_brands(labels: DataFrame, brands: DataFrame, label_col: str = "main_label") -> DataFrame:
-    """(label, distance, brand) of the nearest brand of each distinct label, for a brand table (brand_idx, brand) of any size.
+def place(start: Column, shift: Column, more: Column, radius: int) -> Column:
+    """May a piece that starts at ``start`` in the brand stand ``shift`` further in a label that is longer by ``more``?
 
-    Each distinct label meets the brands in blocks of ``BRAND_BLOCK``; a block
-    gives its best, and the smallest (distance, brand_idx) of all blocks wins.
+    The text before it needs at least ``|shift|`` edits, the text after it ``|more - shift|``.
     """
-    lab = labels.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    block = F.floor(F.col("brand_idx") / BRAND_BLOCK).alias("block")
-    blocks = (brands.where(F.col("brand").isNotNull()).groupBy(block)
-              .agg(F.sort_array(F.collect_list(F.struct("brand_idx", "brand"))).alias("brands")))
-    last = blocks.agg(F.max("block")).scalar()
-    met = lab.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).join(blocks, "block")
-    best = F.array_min(F.transform("brands", lambda b: F.struct(F.levenshtein(F.col("label"), b.brand).alias("distance"), b.brand_idx, b.brand)))
-    per = met.select("label", best.alias("b")).groupBy("label").agg(F.min("b").alias("b"))
-    return per.select("label", F.col("b.distance").alias("distance"), F.col("b.brand").alias("brand"))
+    return (F.abs(shift) + F.abs(more - shift) <= radius) & (start + shift >= 0)
+
+
+def piece_count(m: Column, radius: int) -> Column:
+    """Pieces of a brand of ``m`` characters: one more than there can be edits, none of them empty."""
+    return F.least(m, F.lit(radius + 1))
+
+
+def piece_bounds(m: Column, radius: int, i: Column) -> tuple[Column, Column]:
+    """(start, length) of piece ``i``: the pieces are even, and depend on the length and the radius alone."""
+    k = piece_count(m, radius)
+    start = F.floor(i * m / k).cast("int")
+    return start, F.floor((i + 1) * m / k).cast("int") - start
+
+
+def brand_pieces(brands: DataFrame, radius: int) -> DataFrame:
+    """(m, i, piece, brand_idx, brand): the segment index of the brands for one radius."""
+    m = F.length("brand")
+    i = F.explode(F.sequence(F.lit(0), piece_count(m, radius) - 1))
+    cut = brands.where(m > 0).select("brand_idx", "brand", m.alias("m"), i.alias("i"))
+    start, length = piece_bounds(F.col("m"), radius, F.col("i"))
+    return cut.select("m", "i", F.substr("brand", start + 1, length).alias("piece"), "brand_idx", "brand")
+
+
+def label_pieces(labels: DataFrame, radius: int) -> DataFrame:
+    """(label, m, i, piece): what each label has where a piece of a brand of one of the lengths ``by_length`` could stand."""
+    n = F.length("label")
+    near = F.filter("by_length.m", lambda m: F.abs(n - m) <= radius)
+    met = labels.select("label", F.explode(near).alias("m"))
+    met = met.select("label", "m", F.explode(F.sequence(F.lit(0), piece_count(F.col("m"), radius) - 1)).alias("i"))
+    start, length = piece_bounds(F.col("m"), radius, F.col("i"))
+    more = n - F.col("m")
+    shifts = F.filter(F.sequence(F.lit(-radius), F.lit(radius)), lambda s: place(start, s, more, radius) & (start + s + length <= n))
+    found = F.array_distinct(F.transform(shifts, lambda s: F.substr("label", start + s + 1, length)))
+    return met.select("label", "m", "i", F.explode(found).alias("piece"))
+
+
+class NearestBrands(NamedTuple):
+    """``matches`` (label, distance, brand), and for each round its radius, the labels still open before it, and the pairs verified."""
+
+    matches: DataFrame
+    rounds: list[tuple[int, int, int]]
+
+
+def search_nearest(labels: DataFrame, brands: DataFrame, label_col: str = "main_label") -> NearestBrands:
+    """The nearest brand of each distinct label, for a brand table (brand_idx, brand) of any size.
+
+    Within distance r, a brand cut into r + 1 pieces keeps at least one of them
+    whole, and not far from its place. So the pieces are an index (keyed by the
+    brand's length, the piece's number and its text) that the label's substrings
+    look up, and only brands met there are compared. The radius grows; labels
+    whose best brand is within it are settled, the others go on. Where a brand
+    has no more than r characters its pieces are single ones: a brand that
+    shares none of them with the label is exactly max(lengths) away, so the first
+    brand of each length stands in for these (which ends the search at the
+    latest). Ties go to the smallest brand_idx.
+
+    Each round is written to the shared folder; the driver sees three numbers a round.
+    """
+    spark = labels.sparkSession
+    names = materialize(brands.where(F.col("brand").isNotNull()).groupBy("brand").agg(F.min("brand_idx").alias("brand_idx")), "brand-names")
+    first = names.groupBy(F.length("brand").alias("m")).agg(F.min("brand_idx").alias("brand_idx"), F.min_by("brand", "brand_idx").alias("brand"))
+    by_length = first.agg(F.sort_array(F.collect_list(F.struct("m", "brand_idx", "brand"))).alias("by_length")).scalar()  # a row per length that occurs
+    distinct = labels.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    open_ = materialize(distinct.select("label", by_length.alias("by_length")).where(F.size("by_length") > 0), "brand-labels")
+    n = F.length("label")
+    least_gap = F.min(F.array_min(F.transform("by_length.m", lambda m: F.abs(n - m))))
+    settled, rounds, radius = [], [], 1
+    while (state := open_.agg(F.count(F.lit(1)).alias("labels"), least_gap.alias("gap")).first())["labels"]:
+        radius = max(radius, state["gap"])  # nothing is nearer than the lengths allow
+        pairs = label_pieces(open_, radius).join(brand_pieces(names, radius), ["m", "i", "piece"]).select("label", "brand_idx", "brand").distinct()
+        compared = pairs.withColumn("distance", F.levenshtein("label", "brand", radius))
+        best = F.min(F.when(F.col("distance") >= 0, F.struct("distance", "brand_idx", "brand")))
+        found = compared.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("pairs"))
+        # a brand without a common character: the shortest such distance, then the smallest number
+        far = F.array_min(F.transform("by_length", lambda x: F.struct(F.greatest(n, x["m"]).alias("distance"), x["brand_idx"].alias("brand_idx"), x["brand"].alias("brand"))))
+        both = open_.join(found, "label", "left").select("label", "by_length", F.least("best", F.when(far["distance"] <= radius, far)).alias("best"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+        done = materialize(both, "brand-round")
+        rounds.append((radius, state["labels"], done.agg(F.sum("pairs")).first()[0]))
+        settled.append(done.where(F.col("best").isNotNull()).select("label", "best"))
+        open_ = done.where(F.col("best").isNull()).select("label", "by_length")
+        radius = next_radius(radius)
+    none = spark.createDataFrame([], "label string, best struct<distance: int, brand_idx: bigint, brand: string>")
+    every = reduce(DataFrame.unionByName, settled, none)
+    return NearestBrands(every.select("label", F.col("best.distance").alias("distance"), F.col("best.brand").alias("brand")), rounds)
+
+
+def nearest_brands(labels: DataFrame, brands: DataFrame, label_col: str = "main_label") -> DataFrame:
+    """(label, distance, brand) of :func:`search_nearest`. Without a brand there are no rows."""
+    return search_nearest(labels, brands, label_col).matches

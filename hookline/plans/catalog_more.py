@@ -12,7 +12,7 @@ from hookline.operators import metrics as M
 from hookline.operators.content import page_content, with_content
 from hookline.operators.features import url_features
 from hookline.operators.splits import stratified_folds, stratified_split, three_way_split
-from hookline.operators.typosquat import brand_matches
+from hookline.operators.typosquat import brand_matches, nearest_brands
 from hookline.plans.catalog import corpus_features, corpus_local, query
 from hookline.sources import corpus as C
 from hookline.sources.datasets import sample_dataset_from_pools
@@ -232,14 +232,8 @@ def url_quarantine(spark, sf):
 
 @query("typosquat_brand_table")
 def typosquat_brand_table(spark, sf):
-    """F30/F33 against a brand table: the fixed brands and the names of the nations."""
-    from hookline.fixed import BRANDS
-    from hookline.operators.typosquat import nearest_brands
-    from hookline.sources.tables import read_table
-    own = spark.createDataFrame(list(enumerate(BRANDS)), "brand_idx long, brand string")
-    more = read_table(spark, sf, "nation").select((F.col("n_nationkey") + len(BRANDS)).cast("long").alias("brand_idx"), F.lower("n_name").alias("brand"))
-    labels = with_parsed(C.url_corpus(spark, sf).select("url")).select(F.col("p.main_label").alias("main_label"))
-    return nearest_brands(labels, own.unionByName(more)).select(F.col("label").alias("main_label"), "distance", "brand")
+    """F30/F33 against a brand table: the fixed brands, the nations, names of parts and customers."""
+    return nearest_brands(C.squatted_labels(spark, sf), C.brand_table(spark, sf)).select(F.col("label").alias("main_label"), "distance", "brand")
 
 
 @query("typosquat_blocked_join")

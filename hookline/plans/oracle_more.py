@@ -328,9 +328,21 @@ SELECT id, reason FROM (
 labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL)
 SELECT main_label, brand, CAST(levenshtein(main_label, brand) AS INTEGER) AS distance
 FROM labs CROSS JOIN brands WHERE levenshtein(main_label, brand) <= 2"""
-    out["typosquat_brand_table"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + """,
-labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL),
-more AS (SELECT brand_idx, brand FROM brands UNION ALL SELECT n_nationkey + (SELECT count(*) FROM brands), lower(n_name) FROM nation),
+    out["typosquat_brand_table"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + f""",
+shops AS (SELECT c_custkey AS k, [lower(c_mktsegment) || c_custkey::VARCHAR, 'shop' || left(md5(c_custkey::VARCHAR), 6)] AS names FROM customer),
+squats AS (SELECT k, names[(k % 2 + 1)::INTEGER] AS name FROM shops),
+labs AS (
+  SELECT main_label FROM parsed WHERE main_label IS NOT NULL
+  UNION SELECT CASE k % 4 WHEN 0 THEN replace(name, 'e', '3') WHEN 1 THEN substr(name, 2) || 's' WHEN 2 THEN 'my-' || name
+                          ELSE left(name, 5) || left(md5(name), 4) END FROM squats),
+goods AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(p_type) AS t FROM part),
+more AS (
+  SELECT brand_idx, brand FROM brands UNION ALL SELECT n_nationkey + (SELECT count(*) FROM brands), lower(n_name) FROM nation
+  UNION ALL SELECT {C.PART_BRANDS_FROM} + 4 * k, a || b || (k % 1000)::VARCHAR FROM goods
+  UNION ALL SELECT {C.PART_BRANDS_FROM} + 4 * k + 1, b || left(md5(k::VARCHAR), 4) FROM goods
+  UNION ALL SELECT {C.PART_BRANDS_FROM} + 4 * k + 2, t || a || (k % 97)::VARCHAR FROM goods
+  UNION ALL SELECT {C.PART_BRANDS_FROM} + 4 * k + 3, left(md5('n' || k::VARCHAR), (5 + k % 6)::INTEGER) FROM goods
+  UNION ALL SELECT {C.CUSTOMER_BRANDS_FROM} + 2 * k, names[1] FROM shops UNION ALL SELECT {C.CUSTOMER_BRANDS_FROM} + 2 * k + 1, names[2] FROM shops),
 per AS (SELECT main_label, min(struct_pack(d := levenshtein(main_label, brand), i := brand_idx, b := brand)) AS b FROM labs CROSS JOIN more GROUP BY main_label)
 SELECT main_label, CAST(b.d AS INTEGER) AS distance, b.b AS brand FROM per"""
     out.update(stream_statements())

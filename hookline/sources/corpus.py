@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hookline.fixed import BRANDS
 from hookline.functions.url import once, with_parsed
-from hookline.sources.tables import events, pages
+from hookline.sources.tables import events, pages, read_table
 
 # --- FIXED VALUES of the derived corpus (the oracle SQL repeats them) --------
 N_TEMPLATES = 16
@@ -32,6 +32,8 @@ NEGATIVE_LABEL_TEXT = ["legitimate", "0", "benign", "good", "false", "1.0"]
 AS_OF_EPOCH = 1735689600          # 2025-01-01 00:00:00 UTC, instead of "now"
 AS_OF = "2025-01-01 00:00:00"
 EPOCH_DAY_2000 = 10957            # 2000-01-01
+PART_BRANDS_FROM = 1_000          # brand numbers of the names made from parts
+CUSTOMER_BRANDS_FROM = 1_000_000_000_000
 # --- end of fixed values -------------------------------------------------------
 
 
@@ -180,6 +182,37 @@ def with_urls(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("event_id", "ts", "url", "label"))
 
 
+def brand_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(brand_idx, brand): the fixed brands, the nations, four names a part and two a customer."""
+    own = spark.createDataFrame(list(enumerate(BRANDS)), "brand_idx long, brand string")
+    nation = read_table(spark, sf_dir, "nation").select((F.col("n_nationkey") + len(BRANDS)).cast("long").alias("brand_idx"), F.lower("n_name").alias("brand"))
+    key = F.col("p_partkey")
+    first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    text = key.cast("string")
+    names = F.array(F.concat(first, second, (key % 1000).cast("string")), F.concat(second, F.substring(F.md5(text), 1, 4)),
+                    F.concat(F.lower("p_type"), first, (key % 97).cast("string")), F.substr(F.md5(F.concat(F.lit("n"), text)), F.lit(1), (key % 6 + 5).cast("int")))
+    part = read_table(spark, sf_dir, "part").select(key, F.posexplode(names).alias("k", "brand"))
+    of_parts = part.select((F.col("p_partkey") * 4 + F.col("k") + PART_BRANDS_FROM).alias("brand_idx"), "brand")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(customer_names()).alias("k", "brand"))
+    of_customers = customer.select((F.col("c_custkey") * 2 + F.col("k") + CUSTOMER_BRANDS_FROM).alias("brand_idx"), "brand")
+    return own.unionByName(nation).unionByName(of_parts).unionByName(of_customers)
+
+
+def customer_names() -> Column:
+    text = F.col("c_custkey").cast("string")
+    return F.array(F.concat(F.lower("c_mktsegment"), text), F.concat(F.lit("shop"), F.substring(F.md5(text), 1, 6)))
+
+
+def squatted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(main_label): the labels of the corpus, and a lookalike of a name of every customer."""
+    corpus = with_parsed(url_corpus(spark, sf_dir).select("url")).select(F.col("p.main_label").alias("main_label"))
+    key = F.col("c_custkey")
+    name = F.get(customer_names(), (key % 2).cast("int"))
+    look = (F.when(key % 4 == 0, F.replace(name, F.lit("e"), F.lit("3"))).when(key % 4 == 1, F.concat(F.substr(name, F.lit(2)), F.lit("s")))
+            .when(key % 4 == 2, F.concat(F.lit("my-"), name)).otherwise(F.concat(F.substring(name, 1, 5), F.substring(F.md5(name), 1, 4))))
+    return corpus.unionByName(read_table(spark, sf_dir, "customer").select(look.alias("main_label")))
+
+
 def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _build_url_corpus(spark, sf_dir)
 
