@@ -64,6 +64,16 @@ PARAM_SCHEMES = [
     "rtsps", "rtspu", "sip", "sips", "mms", "sftp", "tel",
 ]
 
+# Characters whose compatibility form (NFKC) holds one of / ? # @ : and so may not stand in a host.
+HOST_UNSAFE_CHARACTERS = "⁇⁈⁉℀℁℅℆⩴︓︖﹕﹖﹟﹫＃／：？＠"
+
+# Error texts of hosts that Python's url parser refuses.
+ERROR_BRACKETS = "Invalid IPv6 URL"
+ERROR_FUTURE_ADDRESS = "IPvFuture address is invalid"
+ERROR_IPV4_IN_BRACKETS = "An IPv4 address cannot be in brackets"
+ERROR_NO_ADDRESS = "'{host}' does not appear to be an IPv4 or IPv6 address"
+ERROR_HOST_CHARACTERS = "netloc '{netloc}' contains invalid characters under NFKC normalization"
+
 # Label text (lower-cased, untrimmed) that counts as phishing in custom CSVs.
 CUSTOM_POSITIVE_LABELS = ["phishing", "1", "malicious", "bad", "true"]
 

@@ -3,8 +3,8 @@
 Parsing follows Python's ``urlparse`` (not a strict URI grammar): the scheme
 is the text before the first ``:`` when it is made of scheme characters, the
 netloc keeps user-info and port, ``;params`` are cut from the last path
-segment for the usual schemes, and an unbalanced ``[``/``]`` in the netloc
-is an error. Lengths and character counts use the *raw* url.
+segment for the usual schemes, and a host that the parser refuses (brackets
+around no address, characters that NFKC turns into delimiters) is an error. Lengths and character counts use the *raw* url.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hookline.fixed import CHAR_COUNTS, PARAM_SCHEMES
+from hookline.fixed import (CHAR_COUNTS, ERROR_BRACKETS, ERROR_FUTURE_ADDRESS, ERROR_HOST_CHARACTERS, ERROR_IPV4_IN_BRACKETS,
+                            ERROR_NO_ADDRESS, HOST_UNSAFE_CHARACTERS, PARAM_SCHEMES)
 
 # Digits as Python's ``\d`` sees them (any Unicode decimal digit).
 _D = r"\p{Nd}"
@@ -27,7 +28,8 @@ PY_STRIP = rf"^{PY_SPACE}+|{PY_SPACE}+$"
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _NETLOC = r"^//[^/?#]*"
-_IPV6ISH = r"^(v[0-9A-Fa-f]+\.[^\]]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(%[^\]]+)?)$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 
 
 def _col(c) -> Column:
@@ -40,51 +42,14 @@ def clean_url(url) -> Column:
     return F.regexp_replace(F.regexp_replace(u, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
 
 
-def parse_url(url) -> Column:
-    """url -> struct(scheme, netloc, path, host, host_no_www, main_label, error).
+def with_parsed(df, url_col: str = "url", out: str = "p"):
+    """Adds struct column ``out`` (scheme, netloc, path, host, host_no_www,
+    main_label, error), computed in stages so every regex runs once per row.
 
     ``host`` is the netloc before its first ``:`` (so user-info stays when
     there is no password), ``main_label`` is the label used for the brand
     distance: lower-cased host without ``www.``, second-last label when there
     are more than two, first when two, else the whole host.
-    """
-    c = clean_url(url)
-    scheme_raw = F.regexp_extract(c, rf"({_SCHEME})", 1)
-    scheme = F.lower(F.regexp_replace(scheme_raw, ":$", ""))
-    rest = F.regexp_replace(c, _SCHEME, "")
-    netloc = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
-    after = F.regexp_replace(rest, _NETLOC, "")
-    path_q = F.regexp_extract(after, r"^([^?#]*)", 1)
-    path = F.when(scheme.isin(PARAM_SCHEMES),
-                  F.regexp_replace(path_q, r";[^/]*\z", "")).otherwise(path_q)
-    return _build_struct(url, scheme, netloc, path)
-
-
-def _build_struct(url, scheme, netloc, path) -> Column:
-    host = F.substring_index(netloc, ":", 1)
-    host_no_www = strip_www(host)
-    lhost = strip_www(F.substring_index(F.lower(netloc), ":", 1))
-    parts = F.split(lhost, r"[.]", -1)
-    n = F.size(parts)
-    main_label = (F.when(n > 2, F.element_at(parts, -2))
-                  .when(n == 2, F.element_at(parts, 1))
-                  .otherwise(lhost))
-    opens = netloc.contains("[")
-    closes = netloc.contains("]")
-    bracketed = F.regexp_extract(netloc, r"\[([^\]]*)\]", 1)
-    error = (F.when(_col(url).isNull(), F.lit("missing url"))
-             .when(opens != closes, F.lit("Invalid IPv6 URL"))
-             .when(opens & ~bracketed.rlike(_IPV6ISH), F.lit("Invalid IPv6 URL")))
-    return F.struct(
-        scheme.alias("scheme"), netloc.alias("netloc"), path.alias("path"),
-        host.alias("host"), host_no_www.alias("host_no_www"),
-        main_label.alias("main_label"), error.alias("error"),
-    )
-
-
-def with_parsed(df, url_col: str = "url", out: str = "p"):
-    """Adds struct column ``out`` = :func:`parse_url` of ``url_col``, computed
-    in stages so every regex runs once per row.
 
     Each intermediate is its own projection; Catalyst keeps a projection
     apart when its non-trivial result is used more than once downstream, so
@@ -111,7 +76,7 @@ def with_parsed(df, url_col: str = "url", out: str = "p"):
         t + "path": F.when(scheme.isin(PARAM_SCHEMES), F.regexp_replace(pq, r";[^/]*\z", "")).otherwise(pq),
         t + "host": F.substring_index(netloc, ":", 1),
         t + "lhost": strip_www(F.substring_index(F.lower(netloc), ":", 1)),
-        t + "bad": _bracket_error(u, netloc),
+        t + "bad": host_error(u, netloc),
     })
     host, lhost = F.col(t + "host"), F.col(t + "lhost")
     df = df.withColumns({t + "hnw": strip_www(host), t + "parts": F.split(lhost, r"[.]", -1)})
@@ -138,13 +103,33 @@ def once(c: Column) -> Column:
     return F.when(F.rand(0) + F.rand(1) >= 0, c)
 
 
-def _bracket_error(url, netloc: Column) -> Column:
-    opens = netloc.contains("[")
-    closes = netloc.contains("]")
-    bracketed = F.regexp_extract(netloc, r"\[([^\]]*)\]", 1)
+def is_ipv6(address: Column) -> Column:
+    """The whole IPv6 grammar: groups are counted, one ``::`` stands for at least one of eight, an IPv4 tail for two; a zone may follow."""
+    zone_ok = ~address.contains("%") | address.rlike(r"^[^%]*%[^%]+\z")
+    a = F.regexp_replace(F.substring_index(address, "%", 1), rf":{_IPV4}\z", ":0:0")
+    groups = F.size(F.filter(F.split(a, ":", -1), lambda x: x != ""))
+    colons = F.length(a) - F.length(F.replace(a, F.lit(":"), F.lit("")))
+    plain = a.rlike(r"^[0-9A-Fa-f:]+\z") & ~a.rlike(r"[0-9A-Fa-f]{5}|:::|::.*::|^:(?!:)|(?<!:):\z")
+    return zone_ok & plain & F.when(a.contains("::"), groups <= 7).otherwise((groups == 8) & (colons == 7))
+
+
+def host_error(url, netloc: Column) -> Column:
+    """Why the parser refuses the host, as its message; null for a good one.
+
+    Brackets have to come in both kinds and to hold an IPv6 address (or one of a
+    future version), and no character may turn into one of ``/?#@:`` under NFKC.
+    """
+    opens, closes = netloc.contains("["), netloc.contains("]")
+    bracketed = F.regexp_extract(netloc, r"\[([^\]]*)", 1)
+    future = bracketed.startswith("v")
+    head, _, tail = ERROR_NO_ADDRESS.partition("{host}")
+    start, _, end = ERROR_HOST_CHARACTERS.partition("{netloc}")
     return (F.when(_col(url).isNull(), F.lit("missing url"))
-            .when(opens != closes, F.lit("Invalid IPv6 URL"))
-            .when(opens & ~bracketed.rlike(_IPV6ISH), F.lit("Invalid IPv6 URL")))
+            .when(opens != closes, F.lit(ERROR_BRACKETS))
+            .when(opens & future & ~bracketed.rlike(r"(?s)^v[a-fA-F0-9]+\..+\z"), F.lit(ERROR_FUTURE_ADDRESS))
+            .when(opens & bracketed.rlike(rf"^{_IPV4}\z"), F.lit(ERROR_IPV4_IN_BRACKETS))
+            .when(opens & ~future & ~is_ipv6(bracketed), F.concat(F.lit(head), bracketed, F.lit(tail)))
+            .when(netloc.rlike(f"[{HOST_UNSAFE_CHARACTERS}]"), F.concat(F.lit(start), netloc, F.lit(end))))
 
 
 def py_strip(c: Column) -> Column:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hookline.fixed import CONTENT_COLUMNS
-from hookline.functions.html import content_columns
-from hookline.functions.url import with_parsed
+from hookline.functions.html import content_columns, wanted_tags
+from hookline.functions.url import once, with_parsed
 
 
 def page_content(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Adds the five content features; external = not under the page's netloc."""
     netloc = F.col("_page.netloc")
-    cols = content_columns(F.col(html_col), F.coalesce(netloc, F.lit("")))
-    return with_parsed(pages, url_col, "_page").select(*pages.columns, *[c.alias(n) for n, c in cols])
+    cols = content_columns(F.col(html_col), F.coalesce(netloc, F.lit("")), F.col("_tags"))
+    tagged = with_parsed(pages, url_col, "_page").withColumn("_tags", once(wanted_tags(F.col(html_col))))  # five columns read the tags
+    return tagged.select(*pages.columns, *[c.alias(n) for n, c in cols])
 
 
 def content_by_url(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

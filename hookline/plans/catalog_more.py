@@ -240,7 +240,7 @@ def typosquat_brand_table(spark, sf):
 def typosquat_blocked_join(spark, sf):
     """J3 for brand tables: (main_label, brand, distance <= 2) via deletion blocks."""
     from hookline.fixed import BRANDS
-    labels = with_parsed(C.url_corpus(spark, sf).select("url")).select(F.col("p.main_label").alias("main_label"))
+    labels = with_parsed(C.url_corpus(spark, sf).select("url")).where("p.error is null").select(F.col("p.main_label").alias("main_label"))
     brands = spark.createDataFrame([(b,) for b in BRANDS], "brand string")
     return brand_matches(labels, brands).select(
         F.col("label").alias("main_label"), "brand", "distance")
@@ -249,23 +249,34 @@ def typosquat_blocked_join(spark, sf):
 # --- requests, shape, first features (P1, P2, A3, T3) ---------------------------------------
 
 def request_bodies(spark, sf):
-    """JSON request bodies derived from the event urls, by ``event_id % 5``:
-    single, batch of two, ``urls`` not a list, wrong field, single with extra."""
+    """(request_id, batch, body): JSON requests derived from the event urls, of the kind ``event_id % 15``.
+
+    Single and batch requests that are right, and the wrong ones: no list, a text
+    that starts like one, wrong or no field, items and urls of other types, an empty
+    list, broken JSON, JSON that is no object, no body.
+    """
     ev = C.url_events(spark, sf).select("event_id", "url")
-    k = F.col("event_id") % 5
     u = F.col("url")
-    body = (F.when(k == 0, F.to_json(F.struct(u.alias("url"))))
-            .when(k == 1, F.to_json(F.struct(F.array(u, u).alias("urls"))))
-            .when(k == 2, F.to_json(F.struct(u.alias("urls"))))
-            .when(k == 3, F.to_json(F.struct(u.alias("link"))))
-            .otherwise(F.to_json(F.struct(u.alias("url"), F.lit(1).alias("extra")))))
-    return ev.select(F.col("event_id").alias("request_id"), body.alias("body"))
+    own = lambda *fields: F.to_json(F.struct(*fields))
+    item = F.to_json(F.struct(u.alias("x")), {"ignoreNullFields": "false"})
+    text = F.substring(item, 6, F.length(item) - 6)  # the url as JSON
+    kinds = [own(u.alias("url")), own(F.array(u, u).alias("urls")), own(u.alias("urls")), own(u.alias("link")), own(u.alias("url"), F.lit(1).alias("extra")),
+             F.concat(F.lit('{"urls": ['), text, F.lit(', null, 5, ["x"], {"url": "y"}, '), text, F.lit("]}")), F.lit('{"urls": []}'), F.lit('{"urls": "[abc"}'),
+             F.concat(F.lit('{"url": '), text), F.lit('{"url": 5}'), F.lit('{"url": null}'), F.lit('["url"]'), own(u.alias("link")), F.lit(None).cast("string"), F.lit("null")]
+    k = F.col("event_id") % len(kinds)
+    body = kinds[-1]
+    for i, kind in enumerate(kinds[:-1]):
+        body = F.when(k == i, kind).otherwise(body)
+    return ev.select(F.col("event_id").alias("request_id"), k.isin(*BATCH_KINDS).alias("batch"), body.alias("body"))
+
+
+BATCH_KINDS = (1, 2, 5, 6, 7, 12)
 
 
 @query("request_validation")
 def request_validation(spark, sf):
     from hookline.sources.sinks import parse_requests
-    return parse_requests(request_bodies(spark, sf))
+    return parse_requests(request_bodies(spark, sf), batch_col="batch")
 
 
 @query("dataset_shape")

@@ -10,6 +10,8 @@ Notes: DuckDB ``levenshtein`` counts bytes, so the corpus keeps hosts ASCII.
 
 from __future__ import annotations
 
+import unicodedata
+
 from hookline.fixed import BRANDS, FEATURE_COLUMNS, PARAM_SCHEMES
 from hookline.sources import corpus as C
 
@@ -76,7 +78,7 @@ url_corpus AS (
       WHEN 6 THEN 'http://' || b || '.login.secure.account.' || h || r
       WHEN 7 THEN h || r
       WHEN 8 THEN ' ' || s || '://' || h || chr(9) || r || ' a%20b'
-      WHEN 9 THEN 'http://[' || h || r
+      WHEN 9 THEN 'http://' || replace({_case_pick(C.REFUSED_HOSTS, f'(g % {len(C.REFUSED_HOSTS)})')}, '{{h}}', h) || r
       WHEN 10 THEN '   '
       WHEN 11 THEN NULL
       WHEN 12 THEN upper(s) || '://WWW.' || upper(h) || r
@@ -90,10 +92,29 @@ url_corpus AS (
   FROM pg2)"""
 
 
+def ipv6_pattern() -> str:
+    """Every shape of an IPv6 address spelled out: with n groups before ``::``, at most 7 - n after it."""
+    h, v4 = "[0-9A-Fa-f]{1,4}", r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    shapes = [f"(?:{h}:){{7}}{h}", f"(?:{h}:){{6}}{v4}"]
+    for n in range(8):
+        before = f"{h}(?::{h}){{{n - 1}}}" if n else ""
+        after = [""] + [f"{h}(?::{h}){{0,{6 - n}}}"] * (n < 7) + [f"(?:{h}:){{0,{5 - n}}}{v4}"] * (n < 6)
+        shapes.append(f"{before}::(?:{'|'.join(after)})")
+    return f"^(?:{'|'.join(shapes)})(?:%[^%]+)?$"
+
+
+def unsafe_in_hosts() -> str:
+    """Characters that NFKC turns into text with a delimiter, found in the Unicode tables."""
+    return "".join(c for c in map(chr, range(128, 0x110000)) if set("/?#@:") & set(unicodedata.normalize("NFKC", c)))
+
+
+IPV6, UNSAFE = ipv6_pattern(), unsafe_in_hosts()
+
+
 def parse_ctes(src: str, out: str = "parsed") -> str:
     """{out}(..src columns.., scheme, netloc, path, host, host_no_www, main_label, error)."""
     schemes = _in_list(PARAM_SCHEMES)
-    ipv6 = r"^(v[0-9A-Fa-f]+\.[^\]]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(%[^\]]+)?)$"
+    inner = "split_part(substr(netloc, strpos(netloc, '[') + 1), ']', 1)"
     return rf"""
 {out}_a AS (
   SELECT *, regexp_replace(regexp_replace(url, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g') AS c_
@@ -119,8 +140,12 @@ def parse_ctes(src: str, out: str = "parsed") -> str:
               ELSE lhost_ END AS main_label,
          CASE WHEN url IS NULL THEN 'missing url'
               WHEN contains(netloc, '[') <> contains(netloc, ']') THEN 'Invalid IPv6 URL'
-              WHEN contains(netloc, '[') AND NOT regexp_matches(regexp_extract(netloc, '\[([^\]]*)\]', 1), '{ipv6}')
-                THEN 'Invalid IPv6 URL' END AS error
+              WHEN contains(netloc, '[') AND starts_with({inner}, 'v') AND NOT regexp_matches({inner}, '(?i)^v[a-f0-9]+[.].') THEN 'IPvFuture address is invalid'
+              WHEN contains(netloc, '[') AND len(string_split({inner}, '.')) = 4 AND list_bool_and(list_transform(string_split({inner}, '.'),
+                lambda x: coalesce(TRY_CAST(x AS INTEGER)::VARCHAR = x AND TRY_CAST(x AS INTEGER) BETWEEN 0 AND 255, false))) THEN 'An IPv4 address cannot be in brackets'
+              WHEN contains(netloc, '[') AND NOT starts_with({inner}, 'v') AND NOT regexp_matches({inner}, '{IPV6}')
+                THEN '''' || {inner} || ''' does not appear to be an IPv4 or IPv6 address'
+              WHEN regexp_matches(netloc, '[{UNSAFE}]') THEN 'netloc ''' || netloc || ''' contains invalid characters under NFKC normalization' END AS error
   FROM {out}_d)"""
 
 

@@ -59,18 +59,28 @@ pages_decorated AS (
   FROM pages)"""
 
 
-# The oracle's own patterns: a start tag, its name, its attributes.
-ANY_TAG = r"""(?is)<[a-z][^\s/>]*(?:[\s/](?:"[^"]*"|'[^']*'|[^>"'])*)?>"""
+# The oracle's own patterns: markup in one scan, a tag's name, its attributes, and the references of the derived pages.
+_INSIDE = r"""(?:[\s/](?:"[^"]*"|'[^']*'|[^>"'])*)?"""
+_RAW = "|".join(rf"<{n}{_INSIDE}>.*?</\s*{n}\s*>|<{n}{_INSIDE}>.*" for n in ("script", "style"))
+MARKUP = rf"(?is)<!--.*?--\s*>|<!\[cdata\[.*?\]\s*\]\s*>|{_RAW}|<[a-z][^\s/>]*{_INSIDE}>|<[!?/][^>]*>"
 TAG_NAME = r"(?is)^<([a-z][^\s/>]*)"
 ONE_ATTRIBUTE = r"""(?is)[\s/]+[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
+def _decoded(v: str) -> str:
+    pieces = f"regexp_extract_all({v}, '&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[a-z]+;|[^&]+|&')"
+    one = ("CASE WHEN starts_with(p, '&#x') THEN chr(CAST('0x' || p[4:-2] AS INTEGER)) WHEN starts_with(p, '&#') THEN chr(CAST(p[3:-2] AS INTEGER)) "
+           "WHEN p = '&amp;' THEN '&' WHEN p = '&colon;' THEN ':' ELSE p END")
+    return f"coalesce(array_to_string(list_transform({pieces}, lambda p: {one}), ''), '')"
+
+
 def _attr(t: str, name: str) -> str:
     named = (f"list_filter(regexp_extract_all({t}, {_q(ONE_ATTRIBUTE)}), "
              f"lambda a: regexp_matches(a, {_q('(?is)^[' + chr(92) + 's/]+' + name + '(' + chr(92) + 's*=|$)')}))")
     whole = f"coalesce(list_last({named}), '')"
     v = f"regexp_extract({whole}, '(?s)=\\s*(.*)$', 1)"
-    return f"(CASE WHEN starts_with({v}, '\"') OR starts_with({v}, '''') THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)"
+    bare = f"(CASE WHEN starts_with({v}, '\"') OR starts_with({v}, '''') THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)"
+    return _decoded(bare)
 
 
 def _ext(href: str) -> str:
@@ -79,14 +89,11 @@ def _ext(href: str) -> str:
 
 def content_ctes(src: str) -> str:
     """{src}(page_id, url, html) -> content(page_id, url, 5 features)."""
-    strip = "html"
-    for pat in [r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"]:
-        strip = f"regexp_replace({strip}, {_q(pat)}, '', 'g')"
     tags = {n: f"list_filter(all_tags, lambda t: lower(regexp_extract(t, {_q(TAG_NAME)}, 1)) = '{n}')"
             for n in ["form", "input", "a", "img", "link"]}
     return parse_ctes(src, "pp") + f""",
 pc0 AS (SELECT page_id, url, html, coalesce(netloc, '') AS netloc,
-               regexp_extract_all({strip}, {_q(ANY_TAG)}, 0) AS all_tags FROM pp),
+               regexp_extract_all(html, {_q(MARKUP)}, 0) AS all_tags FROM pp),
 pc1 AS (SELECT page_id, url, html, netloc, {tags['form']} AS forms, {tags['input']} AS inputs,
                {tags['a']} AS anchors, {tags['img']} AS images,
                list_filter({tags['link']}, lambda t: regexp_matches({_attr('t', 'rel')}, '(^|\\s)icon(\\s|$)')) AS icons
@@ -325,14 +332,14 @@ SELECT id, reason FROM (
   FROM parsed) WHERE reason IS NOT NULL"""
 
     out["typosquat_blocked_join"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + """,
-labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL)
+labs AS (SELECT DISTINCT main_label FROM parsed WHERE main_label IS NOT NULL AND error IS NULL)
 SELECT main_label, brand, CAST(levenshtein(main_label, brand) AS INTEGER) AS distance
 FROM labs CROSS JOIN brands WHERE levenshtein(main_label, brand) <= 2"""
     out["typosquat_brand_table"] = _with(corpus_ctes(), parse_ctes("url_corpus")) + f""",
 shops AS (SELECT c_custkey AS k, [lower(c_mktsegment) || c_custkey::VARCHAR, 'shop' || left(md5(c_custkey::VARCHAR), 6)] AS names FROM customer),
 squats AS (SELECT k, names[(k % 2 + 1)::INTEGER] AS name FROM shops),
 labs AS (
-  SELECT main_label FROM parsed WHERE main_label IS NOT NULL
+  SELECT main_label FROM parsed WHERE main_label IS NOT NULL AND error IS NULL
   UNION SELECT CASE k % 4 WHEN 0 THEN replace(name, 'e', '3') WHEN 1 THEN substr(name, 2) || 's' WHEN 2 THEN 'my-' || name
                           ELSE left(name, 5) || left(md5(name), 4) END FROM squats),
 goods AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(p_type) AS t FROM part),
@@ -375,16 +382,28 @@ FROM lr GROUP BY 1"""
 def request_statements() -> dict[str, str]:
     out = {}
     out["request_validation"] = _with(corpus_ctes(), url_events_ctes()) + """,
-b AS (SELECT event_id AS request_id, url, event_id % 5 AS k FROM url_events)
-SELECT request_id, CAST(0 AS INTEGER) AS pos, url, CAST(NULL AS VARCHAR) AS error
-  FROM b WHERE k IN (0, 4) AND url IS NOT NULL
-UNION ALL
-SELECT request_id, CAST(0 AS INTEGER), CAST(NULL AS VARCHAR), 'Missing required field: url'
-  FROM b WHERE (k IN (0, 2, 4) AND url IS NULL) OR k = 3
-UNION ALL
-SELECT request_id, CAST(t.p AS INTEGER), url, CAST(NULL AS VARCHAR) FROM b CROSS JOIN (VALUES (0), (1)) t(p) WHERE k = 1
-UNION ALL
-SELECT request_id, CAST(0 AS INTEGER), CAST(NULL AS VARCHAR), 'urls must be a list' FROM b WHERE k = 2 AND url IS NOT NULL"""
+k AS (SELECT event_id, url, event_id % 15 AS k, to_json(url)::VARCHAR AS t FROM url_events),
+b AS (
+  SELECT event_id AS request_id, k IN (1, 2, 5, 6, 7, 12) AS batch,
+    CASE k WHEN 0 THEN CASE WHEN url IS NULL THEN '{}' ELSE '{"url":' || t || '}' END
+      WHEN 1 THEN '{"urls":[' || coalesce(t, 'null') || ',' || coalesce(t, 'null') || ']}'
+      WHEN 2 THEN CASE WHEN url IS NULL THEN '{}' ELSE '{"urls":' || t || '}' END
+      WHEN 3 THEN CASE WHEN url IS NULL THEN '{}' ELSE '{"link":' || t || '}' END
+      WHEN 4 THEN CASE WHEN url IS NULL THEN '{"extra":1}' ELSE '{"url":' || t || ',"extra":1}' END
+      WHEN 5 THEN '{"urls":[' || coalesce(t, 'null') || ',null,5,["x"],{"url":"y"},' || coalesce(t, 'null') || ']}'
+      WHEN 6 THEN '{"urls":[]}' WHEN 7 THEN '{"urls":"[abc"}' WHEN 8 THEN '{"url": ' || coalesce(t, 'null') WHEN 9 THEN '{"url":5}' WHEN 10 THEN '{"url":null}' WHEN 11 THEN '["url"]'
+      WHEN 12 THEN CASE WHEN url IS NULL THEN '{}' ELSE '{"link":' || t || '}' END WHEN 13 THEN NULL ELSE 'null' END AS body
+  FROM k),
+good AS (SELECT request_id, batch, body, json_type(body, CASE WHEN batch THEN '$.urls' ELSE '$.url' END) AS kind FROM b WHERE coalesce(json_valid(body), false)),
+items AS (
+  SELECT request_id, 0 AS pos, json_extract(body, '$.url') AS item FROM good WHERE NOT batch AND kind IS NOT NULL
+  UNION ALL
+  SELECT request_id, unnest(range(json_array_length(body, '$.urls')::BIGINT))::INTEGER AS pos, unnest(json_extract(body, '$.urls[*]')) AS item FROM good WHERE batch AND kind = 'ARRAY')
+SELECT request_id, pos::INTEGER AS pos, CASE WHEN json_type(item) = 'VARCHAR' THEN item ->> '$' END AS url,
+       CASE WHEN json_type(item) <> 'VARCHAR' THEN 'url must be a string' END AS error FROM items
+UNION ALL SELECT request_id, 0, NULL, 'Invalid JSON' FROM b WHERE NOT coalesce(json_valid(body), false)
+UNION ALL SELECT request_id, 0, NULL, 'Missing required field: ' || CASE WHEN batch THEN 'urls' ELSE 'url' END FROM good WHERE kind IS NULL
+UNION ALL SELECT request_id, 0, NULL, 'urls must be a list' FROM good WHERE batch AND kind <> 'ARRAY'"""
     out["dataset_shape"] = _with(scored_ctes()) + f"""
 SELECT count(*) AS n_rows, CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS n_columns FROM scored"""
     out["event_url_features"] = _with(corpus_ctes(), url_events_ctes(),

@@ -4,7 +4,7 @@ The driver's ``pages`` only hold ``*.example.*`` hosts, so the feature jobs
 are exercised on a URL corpus derived from it row by row: each page's host
 is swapped for one of 16 templates picked by ``page_id % 16`` (lookalike,
 exact brand, IPv4, user-info, port, deep subdomain, no scheme, controls and
-spaces, unbalanced bracket, blank, null, upper case, brand-word host,
+spaces, bracketed and refused hosts, blank, null, upper case, brand-word host,
 ``https-`` host, ``//`` redirect). A registry and a certificate snapshot are
 derived from the distinct hosts with dates taken from an md5 prefix, and the
 pages' HTML is decorated with form/input/img/link fragments. Every rule is
@@ -27,6 +27,8 @@ N_TEMPLATES = 16
 BRAND_WORDS = ["secure", "login", "verify", "update"]
 PHISHY_TEMPLATES = [1, 3, 4, 6, 9, 13, 14, 15]
 SPAM_HOST_PATTERN = "cheap-pills|spam-farm|casino-win|free-bets"
+REFUSED_HOSTS = ["[{h}", "[1:2]", "h℀.com", "[::1::2]", "[2001:db8::7]:8080", "[12345::]", "x／y.com", "u@[fe80::1%25eth0]", "[::ffff:1.2.3.4]", "a℆b", "[v1.x]",
+                 "[v1]", "[1.2.3.4]", "x]y[::1", "[1:2:3:4:5:6:7:8:9]", "{h}：80", "[1:2:3:4:5:6:7::]", "[::1.2.3.256]"]  # a few of them are good
 POSITIVE_LABEL_TEXT = ["phishing", "1", "Malicious", "BAD", "true", " phishing"]
 NEGATIVE_LABEL_TEXT = ["legitimate", "0", "benign", "good", "false", "1.0"]
 AS_OF_EPOCH = 1735689600          # 2025-01-01 00:00:00 UTC, instead of "now"
@@ -79,7 +81,7 @@ def _build_url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(k == 6, F.concat(lit("http://"), b, lit(".login.secure.account."), h, r))
            .when(k == 7, F.concat(h, r))
            .when(k == 8, F.concat(lit(" "), s, lit("://"), h, lit("\t"), r, lit(" a%20b")))
-           .when(k == 9, F.concat(lit("http://["), h, r))
+           .when(k == 9, F.concat(lit("http://"), F.replace(_pick(REFUSED_HOSTS, g % len(REFUSED_HOSTS)), lit("{h}"), h), r))
            .when(k == 10, lit("   "))
            .when(k == 11, lit(None).cast("string"))
            .when(k == 12, F.concat(F.upper(s), lit("://WWW."), F.upper(h), r))
@@ -137,7 +139,7 @@ def as_of() -> Column:
     return F.timestamp_seconds(F.lit(AS_OF_EPOCH))
 
 
-# --- FIXED VALUES: HTML fragments appended by page_id % 8 ----------------------
+# --- FIXED VALUES: HTML fragments appended by page_id modulo their number ----------------------
 HTML_FRAGMENTS = [
     "",
     '<form action="/login"><input type="password" name="pw"></form>',
@@ -151,6 +153,12 @@ HTML_FRAGMENTS = [
     "<form method=post><img src=\"x\"></form>",
     "<a title=\"x href=http://evil.test/\" href=\"/local\">q</a><input name=\"a type=password\" type=\"text\">"
     "<a href=\"/a\" href=\"http://dup.test/\">d</a><link title='rel=icon' rel=next href='http://no.test/'>",
+    "<a href=\"http&#58;//ref.test/a\">r</a><a href='&#x68;ttp://hex.test/?a=1&amp;b=2'>h</a><a href=\"/x?c&amp;d\">n</a>"
+    "<link rel=\"&#105;con\" href=\"https&colon;//cdn.test/i.ico\">",
+    "<b <script><img src=x></b><form><img src=y>",
+    "a < b <img src=1><!-- open <form> <img src=2>",
+    "<img src=1><script>if (a < b) '<form>'; <img src=2>",
+    "<input type=text type=password><a href=\"/l\" href=\"http&colon;//dup.test/\">d</a><![CDATA[ <img src=1> ]]><img src='>'>",
 ]
 NULL_HTML_EVERY = 50
 # --- end of fixed values -------------------------------------------------------
@@ -205,7 +213,7 @@ def customer_names() -> Column:
 
 def squatted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(main_label): the labels of the corpus, and a lookalike of a name of every customer."""
-    corpus = with_parsed(url_corpus(spark, sf_dir).select("url")).select(F.col("p.main_label").alias("main_label"))
+    corpus = with_parsed(url_corpus(spark, sf_dir).select("url")).where("p.error is null").select(F.col("p.main_label").alias("main_label"))
     key = F.col("c_custkey")
     name = F.get(customer_names(), (key % 2).cast("int"))
     look = (F.when(key % 4 == 0, F.replace(name, F.lit("e"), F.lit("3"))).when(key % 4 == 1, F.concat(F.substr(name, F.lit(2)), F.lit("s")))

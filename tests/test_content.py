@@ -1,8 +1,16 @@
 """Page-content features against stdlib html.parser."""
 
+import html
+import random
+from html.entities import html5
+
+import pytest
+from pyspark.sql import functions as F
+
 from brute import page_features
 from conftest import SF_SMALL
 from hookline.fixed import CONTENT_COLUMNS
+from hookline.functions.html import content_columns, decode_references
 from hookline.operators.content import page_content, with_content
 from hookline.sources import corpus as C
 
@@ -49,22 +57,42 @@ PIECES = ['<a href="http://x.com">', '<a href=http://a.com/y>', "<a href='http:/
           "<span data-x='<form>'>", '<a HREF="http://caps.com">', '<Link REL="icon" HREF="http://c.com">', '1 < 2']
 
 
-def test_random_tag_soup_matches_html_parser(spark):
-    """Seeded tag soup (malformed ``a<b`` text right before a script/style
-    block is a known difference, see README)."""
-    import random
-    rnd = random.Random(3)
-    rows = [(i, rnd.choice(["http://a.com/p", "https://x.com", ""]),
-             "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 14)))) for i in range(300)]
+BROKEN = ['<!-- open <form> ', '<!--', '-->', '<!-- x --  >', '<!-->', '<script>', '</script>', '</ SCRIPT >', '<script src=a/>', '<script/>', '<style x', '<style>', '</style', '</style\n>',
+          '<', '< ', '<<', '<b <script>', '<b ', '<a href="http&#58;//r.test"', '<a href=">', "<img src='", '"', "'", '>', '/>', '=', '<a =x href=http://e.test>', '<img/ >', '<img //>',
+          '<a href=="http://f.test">', '<a href= "http://g.test>', '</>', '</ a>', '<?php <img> ?>', '<!doctype html>', '<!x <img>', '<![CDATA[ <img> ]]>', '<![if IE]><img><![endif]>', '<![CDATA[ <form>',
+          '<input type=text type=password>', '<input type=password type=text>', '<a HREF="/l" href="http&colon;//dup.test/">', '<link rel="&#105;con" href="&#x68;ttps://c.test">',
+          '<a href="http&#x3A;&sol;&sol;a.com/x">', '<link rel="x\x0bicon" href=http://v.test>', '<a\x0bhref="http://vt.test">', '<a\xa0href="http://nb.test">', '<a data-href="http://no.test">', '<i><a/href=http://sl.test>',
+          "<a href='http://q.test'title=x>", '<a title="x"href="http://g2.test">', '\x00', '<a \x00 href=http://nul.test>', '<img src=a\x00b>', '<aé href="http://u.test">', '<fo\x00rm>', '<FORM/>', '\n', '\t']
+
+
+@pytest.mark.parametrize("seed, pieces, n", [(3, PIECES, 300), (4, PIECES + BROKEN, 1500), (5, BROKEN, 1500)])
+def test_random_tag_soup_matches_html_parser(spark, seed, pieces, n):
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice(["http://a.com/p", "https://x.com", ""]), "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14)))) for i in range(n)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in page_content(df).collect()}
     for i, u, h in rows:
         assert {c: got[i][c] for c in CONTENT_COLUMNS} == page_features(u, h), (u, h)
 
 
+def test_references_decode_as_in_the_standard_library(spark):
+    rnd = random.Random(6)
+    names = [*html5, *"amp; lt gt; notit; nosuch; colon; sol; AMP".split()]
+    pieces = ["&", ";", "x", "#", " ", "&#", "&#x", "é", "=", "&amp;amp;"]
+    odd = [f"&#{k};" for k in [*range(0, 300), 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 99999999, 123456789012345678901234567890]] + ["&#x0003A", "&#X3a;", "&#0;", "&#x80", "&#00000000058;"]
+    values = odd + [f"&{n}" for n in names] + ["".join(rnd.choice([f"&{rnd.choice(names)}", rnd.choice(odd), *pieces]) for _ in range(rnd.randrange(1, 8))) for _ in range(3000)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", decode_references(F.col("v")).alias("d")).collect()
+    assert [(r.v, r.d) for r in got if r.d != html.unescape(r.v)] == []
+
+
+def test_long_tags_and_many_attributes_need_no_stack(spark):
+    pages = ["<a " + "x " * 200_000 + "href=http://o.test>", "<img " + "a='b' " * 50_000 + ">", "<a" + "/" * 200_000 + " href=http://o.test>", "<!--" + "<img>" * 100_000 + "-->", "<a href=http://o.test/" + "é" * 300_000 + ">"]
+    df = spark.createDataFrame([(i, "http://a.com/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = page_content(df).orderBy("page_id").collect()
+    assert [(r.num_external_links, r.num_images) for r in got] == [(1, 0), (0, 1), (1, 0), (0, 0), (1, 0)]
+
+
 def test_attributes_inside_other_values_and_duplicates(spark):
-    from pyspark.sql import functions as F
-    from hookline.functions.html import content_columns
     page = ('<a title="x href=http://evil.test/" href="/local">q</a><input name="a type=password" type="text">'
             '<a href="/a" href="http://dup.test/">d</a>')
     df = spark.createDataFrame([(page,)], "html string")
