@@ -19,13 +19,15 @@ threshold with it. Only built-in functions run here:
 4. Each index key's earliest line is tried first. That settles nearly all
    lines of a large group of near copies with one pair per key, so no group is
    squared. Lines still open meet all earlier lines with a common prefix key.
+   The index moves once; groups, leaders and pairs read the same exchange.
 5. Pairs that pass the filters are verified on the token keys of both lines.
+   A bitmap of the pairs' ends keeps all other lines where they are.
 
 Edge cases: blank lines have no tokens and are kept as they are; null text has
 no lines and stays null; lines of rows with a null id are compared with none
-and kept; rows with one id count as one document, so a line number removed in one
-of them is removed in all; an empty table gives no rows. A token is known by
-its rank and 56 bits of its hash.
+and kept; rows with one id are documents of their own, in the order of 32 bits of
+their texts' hashes, and of equal rows (id and text) one keeps its lines;
+an empty table gives no rows. A token is known by its rank and 56 bits of its hash.
 """
 
 from __future__ import annotations
@@ -34,18 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hookline.session import scratch_path
-
 THRESHOLD = 0.8
 RARITY_CELLS = 1 << 10
 LONG_WORD = 20
 RANK_AT = 56  # a key is 7 bits of rank and 56 of the word's hash
 INDEX_BITS = 40  # what the index keeps of a key: enough to meet by, and fewer bytes to shuffle
+LOW_HALF = (1 << 32) - 1
+BITMAP_PART = 1 << 15  # bits of a part that Spark's bitmap functions make
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def tokens(line: Column) -> Column:
-    """The words of a line, blanks dropped."""
-    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    """The words of a line, blanks dropped. Splitting at one character is much cheaper than at a pattern, and nearly all lines allow it."""
+    other = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r") | line.contains("\n")
+    return F.array_remove(F.when(other, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " ")), "")
 
 
 def rarity(lines: DataFrame) -> bytes:
@@ -54,7 +58,7 @@ def rarity(lines: DataFrame) -> bytes:
     RARITY_CELLS bytes whatever the size of the input, so they go into the plan as a literal.
     """
     cell = F.pmod(F.xxhash64("word"), F.lit(RARITY_CELLS))
-    words = lines.select(F.explode(F.split("line", r"[\x20\x09-\x0D]+")).alias("word"))
+    words = lines.select(F.explode(tokens(F.col("line"))).alias("word"))
     counts = words.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     step = F.least(F.lit(80), F.floor(F.log2(F.col("n") + 1.0) * 2)).cast("int").alias("step")
     steps = bytearray(RARITY_CELLS)
@@ -72,7 +76,7 @@ def keys_of(line: Column, steps: bytes) -> Column:
         rank = step + 2 * (LONG_WORD - F.least(F.length(word), F.lit(LONG_WORD)))
         return F.shiftleft(rank, RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
 
-    return F.array_sort(F.array_distinct(F.transform(tokens(line), key)))
+    return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -92,121 +96,151 @@ def least_overlap(n: Column, m: Column, threshold: float) -> Column:
 
 def may_match(x: str, y: str, threshold: float) -> Column:
     """Length, position and parity filters for the index rows ``x`` and ``y`` of one key (prefixes of column names)."""
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    n, m = size_of(f"{x}sz"), size_of(f"{y}sz")
     common = least_overlap(n, m, threshold)
-    rest = F.least(n - F.col(f"{x}pos"), m - F.col(f"{y}pos"))
+    rest = F.least(n - pos_of(f"{x}sz"), m - pos_of(f"{y}sz"))
     differ = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
     return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (rest + 1 >= common) & (differ <= n + m - 2 * common)
 
 
-def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, line_no, line) of every line of rows with an id."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def packed(high: Column, low: Column) -> Column:
+    """Two numbers under 2^32 as one: rows of the index are narrow."""
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def size_of(sz: str) -> Column:
+    return F.shiftrightunsigned(F.col(sz), 32)
 
 
-def by_document(lines: DataFrame) -> DataFrame:
-    """(at, nos): line numbers per document; a document's lines are in its row anyway."""
-    return lines.groupBy(F.col("doc_id").alias("at")).agg(F.collect_set("line_no").alias("nos"))
+def pos_of(sz: str) -> Column:
+    return F.col(sz).bitwiseAND(LOW_HALF)
+
+
+def text_mark(text: Column) -> Column:
+    """32 bits that part the texts of rows with one id."""
+    return F.xxhash64(text).bitwiseAND(LOW_HALF)
+
+
+def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, at, line) of every line of rows with an id; ``at`` is the line's number, then the mark of its row's text."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    lines = rows.select("doc_id", text_mark(F.col("text")).alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", packed(F.col("line_no"), F.col("mark")).alias("at"), "line")
 
 
 def index_rows(lines: DataFrame, steps: bytes, threshold: float) -> DataFrame:
-    """(tok, doc_id, line_no, n, pos, bits): the prefix of each line of (doc_id, line_no, line)."""
-    keyed = lines.select("doc_id", "line_no", keys_of(F.col("line"), steps).alias("keys")).where(F.size("keys") > 0)
+    """(tok, doc_id, at, sz, bits): the prefix of each line of (doc_id, at, line); ``sz`` is the number of tokens, then the key's place."""
+    keyed = lines.select("doc_id", "at", keys_of(F.col("line"), steps).alias("keys")).where(F.size("keys") > 0)
     n = F.size("keys")
-    part = keyed.select("doc_id", "line_no", n.alias("n"), parity_map(F.col("keys")).alias("bits"),
-                        F.slice("keys", F.lit(1), prefix_length(n, threshold).cast("int")).alias("head"))
-    rows = part.select("doc_id", "line_no", "n", "bits", F.posexplode("head").alias("pos", "key"))
-    return rows.select(F.shiftrightunsigned("key", 63 - INDEX_BITS).alias("tok"), "doc_id", "line_no", "n", (F.col("pos") + 1).alias("pos"), "bits")
+    part = keyed.select("doc_id", "at", n.alias("n"), parity_map(F.col("keys")).alias("bits"), F.slice("keys", F.lit(1), prefix_length(n, threshold).cast("int")).alias("head"))
+    rows = part.select("doc_id", "at", "n", "bits", F.posexplode("head").alias("pos", "key"))
+    return rows.select(F.shiftrightunsigned("key", 63 - INDEX_BITS).alias("tok"), "doc_id", "at", packed(F.col("n"), F.col("pos") + 1).alias("sz"), "bits")
 
 
-def lines_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of the wanted (doc_id, line_no), read from the texts."""
-    joined = rows.join(by_document(wanted), rows["doc_id"] == F.col("at")).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("nos").alias("line_no"))
-    return joined.select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line"))
+def marked(wanted: DataFrame) -> tuple[Column, int]:
+    """A bitmap (and its size in bits) of the (doc_id, at) of ``wanted``: a line whose bit is not set is none of them.
 
+    16 bits a line, at least 2^20 and at most 2^27 (16 MB) of them, so with
+    very many lines it lets more pass, and no result depends on it.
+    """
+    bits = 1 << min(27, max(20, (16 * wanted.count()).bit_length()))
+    place = bit_of(F.col("doc_id"), F.col("at"), bits)
+    parts = wanted.select(place.alias("p")).groupBy((F.bitmap_bucket_number("p") - 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("part"))
+    every = wanted.sparkSession.range(bits // BITMAP_PART).join(parts, F.col("id") == F.col("bucket"), "left")
+    filled = F.coalesce("part", F.unhex(F.lit("00" * (BITMAP_PART // 8))))
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("id", filled.alias("part")))).alias("parts"))
+    return listed.select(F.aggregate("parts.part", F.unhex(F.lit("")), lambda a, x: F.concat(a, x))).scalar(), bits
 
-def verified(pairs: DataFrame, rows: DataFrame, steps: bytes, threshold: float) -> DataFrame:
-    """(doc_id, line_no) of the later lines of the pairs that reach the threshold."""
-    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line_no").alias("line_no")))
-    keyed = lines_at(rows, ends).select("doc_id", "line_no", keys_of(F.col("line"), steps).alias("keys"))
-    other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("line_no").alias("y_line_no"), F.col("keys").alias("y_keys"))
-    both = pairs.join(keyed, ["doc_id", "line_no"]).join(other, ["y_doc_id", "y_line_no"])
-    common = F.size(F.array_intersect("keys", "y_keys"))
-    reaches = common * (1 + threshold) >= (F.size("keys") + F.size("y_keys")) * threshold - 1e-9
-    return both.where(reaches).select("doc_id", "line_no").distinct()
 
+def bit_of(doc_id: Column, at: Column, bits: int) -> Column:
+    """The place of a line's bit, from 1: ``bitmap_bit_position`` counts so."""
+    return F.pmod(F.xxhash64(doc_id, at), F.lit(bits)) + 1
 
-def earlier_than(y: str, x: str) -> Column:
-    return (F.col(f"{y}doc_id") < F.col(f"{x}doc_id")) | ((F.col(f"{y}doc_id") == F.col(f"{x}doc_id")) & (F.col(f"{y}line_no") < F.col(f"{x}line_no")))
 
+def is_marked(bitmap: Column, bits: int) -> Column:
+    place = bit_of(F.col("doc_id"), F.col("at"), bits) - 1
+    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
 
-def bucketed(index: DataFrame) -> DataFrame:
-    """The index as a table in buckets by key, under the shared scratch folder: made once, and joined without another shuffle."""
-    spark = index.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "line-index")
-    name = "hookline_" + path.rpartition("/")[2].replace("-", "_")
-    index.repartition(n, "tok").write.format("parquet").option("path", path).bucketBy(n, "tok").sortBy("tok").saveAsTable(name)
-    return spark.table(name)
 
+def verified(pairs: DataFrame, lines: DataFrame, steps: bytes, threshold: float) -> DataFrame:
+    """(doc_id, at) of the later lines of the pairs that reach the threshold; of all lines, only the pairs' ends move."""
+    ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_at").alias("at"))).distinct().checkpoint()
+    bitmap, bits = marked(ends)
+    keyed = lines.where(is_marked(bitmap, bits)).select("doc_id", "at", keys_of(F.col("line"), steps).alias("keys"))
+    other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("at").alias("y_at"), F.col("keys").alias("y_keys"))
+    both = pairs.join(keyed, ["doc_id", "at"]).join(other, ["y_doc_id", "y_at"])
+    common = F.size(F.array_intersect("keys", "y_keys"))
+    reaches = common * (1 + threshold) >= (F.size("keys") + F.size("y_keys")) * threshold - 1e-9
+    return both.where(reaches).select("doc_id", "at").distinct()
 
-def matched_lines(rows: DataFrame, lines: DataFrame, copies: DataFrame, steps: bytes, threshold: float) -> DataFrame:
-    """(doc_id, line_no) of the lines, other than ``copies``, that have an earlier similar line."""
-    index = bucketed(index_rows(lines, steps, threshold))
-    columns = ["doc_id", "line_no", "n", "pos", "bits"]
-    leader = F.first(F.struct(*columns)).over(W.partitionBy("tok").orderBy("doc_id", "line_no"))
-    led = index.withColumn("y", leader).select("tok", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns])
-    led = led.withColumn("settles", earlier_than("y_", "") & may_match("", "y_", threshold))
-    ends = ["doc_id", "line_no", "y_doc_id", "y_line_no"]
-    by_leader = led.where("settles").select(*ends, F.lit(True).alias("led"))
 
+def earlier_than(y: str, x: str) -> Column:
+    """By id, then the text's mark, then the line's number."""
+    doc, other = F.col(f"{x}doc_id"), F.col(f"{y}doc_id")
+    at, other_at = (F.struct(F.col(f"{c}at").bitwiseAND(LOW_HALF), F.col(f"{c}at")) for c in (x, y))
+    return (other < doc) | ((other == doc) & (other_at < at))
+
+
+def matched_lines(lines: DataFrame, copies: DataFrame, steps: bytes, threshold: float) -> DataFrame:
+    """(doc_id, at) of the lines, other than ``copies``, that have an earlier similar line."""
+    columns = ["doc_id", "at", "sz", "bits"]
+    index = index_rows(lines, steps, threshold).repartition("tok")  # moved once: the groups, their leaders and the pairs all read this
+    first = F.min(F.struct("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at", "sz", "bits")).alias("y")
+    leaders = index.groupBy("tok").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
+    led = index.join(leaders, "tok").select("tok", "n", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns]).where(earlier_than("y_", ""))
+    led = led.withColumn("led", may_match("", "y_", threshold))
+    ends = ["doc_id", "at", "y_doc_id", "y_at"]
     earlier = index.select(F.col("tok").alias("y_tok"), *[F.col(c).alias(f"y_{c}") for c in columns])
 
     def meet(later: DataFrame) -> DataFrame:
         on = (F.col("tok") == F.col("y_tok")) & earlier_than("y_", "") & may_match("", "y_", threshold)
         return later.join(earlier, on).select(*ends)
 
-    open_ = led.where(~F.col("settles")).select("tok", *columns)
-    pairs = by_leader.unionByName(meet(open_).withColumn("led", F.lit(False))).distinct()
-    pairs = pairs.join(copies, ["doc_id", "line_no"], "left_anti").checkpoint()
-    found = verified(pairs.select(*ends).distinct(), rows, steps, threshold).checkpoint()
+    open_ = led.where("not led and n > 2").select("tok", *columns)
+    pairs = led.where("led").select(*ends, "led").unionByName(meet(open_).withColumn("led", F.lit(False))).distinct()
+    pairs = pairs.join(copies, ["doc_id", "at"], "left_anti").checkpoint()
+    found = verified(pairs.select(*ends).distinct(), lines, steps, threshold).checkpoint()
     # lines whose leaders looked similar but none of whose pairs did: they meet all earlier lines on every key
-    hoped = pairs.where("led").select("doc_id", "line_no").distinct().join(found, ["doc_id", "line_no"], "left_anti").checkpoint()
+    hoped = pairs.where("led").select("doc_id", "at").distinct().join(found, ["doc_id", "at"], "left_anti").checkpoint()
     if hoped.isEmpty():
         return found
-    late = verified(meet(index.join(hoped, ["doc_id", "line_no"], "left_semi")).distinct(), rows, steps, threshold)
+    bitmap, bits = marked(hoped)
+    again = index_rows(lines.where(is_marked(bitmap, bits)).join(hoped, ["doc_id", "at"], "left_semi"), steps, threshold)
+    late = verified(meet(again).distinct().checkpoint(), lines, steps, threshold)
     return found.unionByName(late).distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no) of every line with an earlier line that is equal or similar."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    lines = line_table(docs, doc_id, text)
-    worded = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    occurrences = worded.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    first = F.min(F.struct("doc_id", "line_no"))
+    """(doc_id, at) of every line with an earlier line that is equal or similar."""
+    lines = line_table(docs, doc_id, text).where(F.col("line").rlike(WORDED))
+    occurrences = lines.select("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    first = F.min(F.struct("doc_id", "mark", "at"))
     several = occurrences.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = (occurrences.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no")))
-              .select("doc_id", "line_no").distinct().checkpoint())
-    steps = rarity(worded)
-    similar = matched_lines(rows, worded, copies, steps, threshold)
+    copies = (occurrences.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+              .select("doc_id", "at").distinct().checkpoint())
+    steps = rarity(lines)
+    similar = matched_lines(lines, copies, steps, threshold)
     return copies.unionByName(similar).distinct()
 
 
 def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the removed lines gone from the text, and two more columns: n_lines, n_removed."""
-    gone = by_document(removed_lines(docs, doc_id, text, threshold)).withColumnsRenamed({"at": "_gone_at", "nos": "_gone"})
-    joined = docs.join(gone, docs[doc_id].cast("long") == gone["_gone_at"], "left")
-    lines = F.split(F.col(text), "\n", -1)
-    none = F.array().cast("array<int>")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_gone", none))
-    left = F.transform(numbers, lambda k: F.get(lines, k))
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    """``docs`` with the removed lines gone from the text, and two more columns: n_lines, n_removed (in place of such columns of ``docs``)."""
     plain = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    removed = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(numbers)).cast("long")
-    return joined.select(*[docs[c] for c in plain], kept.alias(text), n.alias("n_lines"), removed.alias("n_removed"))
+    gone = removed_lines(docs, doc_id, text, threshold).select("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), F.shiftrightunsigned("at", 32).cast("int").alias("no"))
+    gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("no").alias("gone"))
+    one = F.struct(*[F.col(c) for c in plain], F.col(text).alias("_text_"))  # the columns keep their names in here, whatever they are
+    rows = docs.select(one.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("mark"))
+    joined = rows.join(gone, ["doc_id", "mark"], "left")
+    again = F.row_number().over(W.partitionBy("doc_id", "mark").orderBy("mark")) > 1  # an equal row: all its worded lines are copies
+    body = F.col("row._text_")
+    found = joined.select("row", body.alias("text"), F.split(body, "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), (again & F.col("doc_id").isNotNull()).alias("again"))
+    left = (F.when(F.col("again"), F.filter("lines", lambda x: ~x.rlike(WORDED)))
+            .when(F.size("gone") > 0, F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda k: F.get("lines", k))).otherwise(F.col("lines")))
+    kept = found.select("row", "text", "lines", left.alias("left"))
+    count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("long")
+    new = {text: F.when(F.col("text").isNotNull(), F.array_join("left", "\n")), "n_lines": count(F.size("lines")), "n_removed": count(F.size("lines") - F.size("left"))}
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in plain], *[v.alias(c) for c, v in new.items()])
 
 
 def line_dedup_sql(threshold: float = THRESHOLD) -> str:
