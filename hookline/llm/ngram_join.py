@@ -20,7 +20,8 @@ has to fit one task; pairs are never written out.
 Edge cases: null and empty texts have no shingles and no links, each is its own
 class; texts shorter than a shingle have their whole word sequence as one
 shingle; rows with a null id have no class and no links; repeated rows count
-once; an id with several texts has the links of all; an empty table gives no rows.
+once; an id with several texts has the links of all, while ``keep_first`` judges
+each text on its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hookline.llm.components import components
@@ -141,8 +143,8 @@ def sign(size: int):
                 sig = signatures(h, bounds)
                 some = np.diff(bounds) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(low), pa.array(high), pa.array([s.tobytes() if ok else None for s, ok in zip(sig, some, strict=True)], pa.binary())],
-                    names=["doc_id", "low", "high", "sig"])
+                    [part.column(0), part.column(2), pa.array(low), pa.array(high), pa.array([s.tobytes() if ok else None for s, ok in zip(sig, some, strict=True)], pa.binary())],
+                    names=["doc_id", "mark", "low", "high", "sig"])
     return run
 
 
@@ -245,7 +247,9 @@ def verify_groups(threshold: float, size: int):
     """Links per class and a spanning forest of verified pairs, for the groups in one slot."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("label", "left", "right", "side", "rep", "text")])
+        table = table.sort_by([(c, "ascending") for c in ("label", "left", "right", "side", "rep")])
+        names = np.stack([table[c].to_numpy() for c in ("label", "left", "right", "side", "rep")])
+        table = table.filter(pa.array(np.concatenate([[True], (np.diff(names) != 0).any(axis=0)])))  # equal rows of a document
         label, rep, copies = (table[c].to_numpy() for c in ("label", "rep", "copies"))
         left, right, side = (table[c].to_numpy() for c in ("left", "right", "side"))
         h, bounds = shingles(words_of(table["text"]), size)
@@ -293,21 +297,27 @@ def verify_groups(threshold: float, size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id, n_links): one row per document.
+def text_classes(docs: DataFrame, doc_id: str, text: str, threshold: float, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, signed, found).
 
-    ``class_id`` is the smallest id connected with the document by links;
-    ``n_links`` counts the other documents whose similarity reaches the threshold.
+    ``rows`` (doc_id, mark, text) are the documents, ``mark`` 64 bits of the text's
+    hash: together they name a text of an id. ``signed`` has (doc_id, mark, sig) of
+    each, ``found`` (doc_id, mark, class_id, n_links) of each with shingles.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    known = rows.where(F.col("doc_id").isNotNull())
-    signed = known.mapInArrow(sign(size), "doc_id long, low long, high long, sig binary").checkpoint()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    known = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "mark")
+    signed = known.mapInArrow(sign(size), "doc_id long, mark long, low long, high long, sig binary").checkpoint()
     full = signed.where(F.col("sig").isNotNull())
-    classes = full.select("doc_id", "low", "high").distinct().groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = (full.select("doc_id", "low", "high").distinct().join(classes, ["low", "high"]).select("doc_id", "low", "high", "rep", "copies").checkpoint())
-    heads = members.where("doc_id = rep").select("rep", "low", "high", "copies")
-    reps = full.join(heads, (full["doc_id"] == heads["rep"]) & (full["low"] == heads["low"]) & (full["high"] == heads["high"])).select(
-        "rep", "sig").dropDuplicates(["rep", "sig"]).checkpoint()
+    # a class of texts with the same words; its node is its smallest id, or a hash where an id is the smallest of several classes
+    each = full.groupBy("doc_id", "low", "high").agg(F.min("mark").alias("mark"))
+    classes = each.groupBy("low", "high").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    nth = F.row_number().over(W.partitionBy("first.doc_id").orderBy("low", "high"))
+    classes = classes.withColumn("nth", nth).select("low", "high", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("rep_mark"), "copies",
+                                                    F.when(F.col("nth") == 1, F.col("first.doc_id")).otherwise(F.xxhash64("first.doc_id", "low", "high")).alias("node"))
+    classes = classes.checkpoint()
+    members = full.select("doc_id", "mark", "low", "high").distinct().join(classes.drop("rep_mark"), ["low", "high"]).select("doc_id", "mark", "node", "copies").checkpoint()
+    heads = classes.select("rep", "rep_mark", "node", "copies")
+    reps = full.join(heads, (full["doc_id"] == heads["rep"]) & (full["mark"] == heads["rep_mark"])).select(F.col("node").alias("rep"), "sig").dropDuplicates(["rep"]).checkpoint()
 
     bands = reps.mapInArrow(band_rows, "key long, doc long")
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -316,19 +326,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed_rows = with_slots(blocked(met.join(reps, met["doc"] == reps["rep"]).select("key", "doc", "n", "sig"), "key", "doc", BUCKET_BLOCK), "key", slots)
     edges = signed_rows.groupBy("slot").applyInArrow(connect_bucket(threshold), "a long, b long")
 
-    groups = components(edges)
+    groups = components(edges).withColumnRenamed("node", "member")
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    grouped = groups.join(sizes, "label").join(members.where("doc_id = rep").select(F.col("rep").alias("node"), "copies", "low"), "node")
-    grouped = grouped.groupBy("node", "label", "n").agg(F.sum("copies").alias("copies")).checkpoint()
+    grouped = groups.join(sizes, "label").join(heads, F.col("member") == heads["node"]).select("node", "label", "n", "copies", "rep", "rep_mark").checkpoint()
     slots = max(1, -(-grouped.count() // (SLOT_ROWS // 4)))
-    texts = known.join(grouped, known["doc_id"] == grouped["node"]).select("label", F.col("node").alias("rep"), "n", "copies", "text")
+    texts = known.join(grouped, (known["doc_id"] == grouped["rep"]) & (known["mark"] == grouped["rep_mark"])).select("label", F.col("node").alias("rep"), "n", "copies", "text")
     tasks = with_slots(blocked(texts, "label", "rep", GROUP_BLOCK), "label", slots)
     verified = tasks.groupBy("slot").applyInArrow(verify_groups(threshold, size), "a long, b long, links long").checkpoint()
 
     links = verified.where("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("links").alias("links"))
-    final = components(verified.where("b is not null").select("a", "b"))
-    found = (members.join(links, members["rep"] == links["of"], "left").join(final, F.col("rep") == F.col("node"), "left")
-             .select("doc_id", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    final = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("node", "member")
+    smallest = final.join(heads, F.col("member") == heads["node"]).groupBy("label").agg(F.min("rep").alias("class_id"))
+    named = final.join(smallest, "label").select("member", "class_id", "label")
+    of_class = (heads.select("node", "rep").join(links, F.col("node") == links["of"], "left").join(named, F.col("node") == named["member"], "left")
+                .select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    found = members.join(of_class, "node").select("doc_id", "mark", "class_id", "label", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return rows, signed, found
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, class_id, n_links): one row per document.
+
+    ``class_id`` is the smallest id connected with the document by links;
+    ``n_links`` counts the other documents whose similarity reaches the threshold.
+    """
+    rows, signed, of_texts = text_classes(docs, doc_id, text, threshold, size)
+    # texts of one id with the same words count once
+    found = of_texts.groupBy("doc_id", "label").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     found = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").cast("long").alias("n_links"))
     bare = signed.where(F.col("sig").isNull()).select("doc_id").distinct().join(found.select("doc_id"), "doc_id", "left_anti")
     loose = rows.where(F.col("doc_id").isNull()).select("doc_id")
@@ -336,7 +360,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .unionByName(loose.select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class, the one with the smallest id; rows without an id stay."""
-    found = near_duplicates(docs, doc_id, text, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(found, docs[doc_id] == found["_gone"], "left_anti")
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """One document of each class, the one with the smallest id (of several texts of that id, the one with the smallest hash).
+
+    Each text of a repeated id is judged on its own, and of equal rows (id and text) one stays; rows without an id all stay.
+    """
+    found = text_classes(docs, doc_id, text, threshold, size)[2]
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    gone = found.join(first, "label").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark"))).select("doc_id", "mark").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    kept = rows.join(gone, ["doc_id", "mark"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("doc_id", "mark").orderBy("mark"))
+    return kept.select("row", ((nth == 1) | F.col("doc_id").isNull()).alias("stays")).where("stays").select("row.*")

@@ -91,7 +91,7 @@ def test_line_dedup_large_group_and_second_look(spark):
 
 def test_line_dedup_odd_rows(odd, empty):
     got = line_dedup.deduplicate_lines(odd).collect()
-    assert len(got) == 8 and {(r.doc_id, r.n_removed) for r in got} == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (None, 0)}
+    assert len(got) == 8 and {(r.doc_id, r.n_removed) for r in got} == {(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (None, 0)}  # the second of two equal rows holds copies
     assert next(r for r in got if r.doc_id == 2).text is None and next(r for r in got if r.doc_id == 4).text == " \n\t "
     assert line_dedup.deduplicate_lines(empty).count() == 0
 
@@ -133,7 +133,29 @@ def test_ngram_join_odd_rows(odd, empty):
     got = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(odd).collect()}
     assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (None, None, 0)}
     assert ngram_join.near_duplicates(empty).count() == 0
-    assert ngram_join.keep_first(odd).count() == 8
+    assert ngram_join.keep_first(odd).count() == 7  # of the two equal rows one stays
+
+
+def test_texts_of_repeated_ids_are_judged_on_their_own(spark):
+    w, z = "one two three four five six seven", "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(0, w), (5, w), (5, z), (7, z + " a"), (9, "t"), (9, "t"), (9, None), (9, ""), (None, "t"), (None, "t"), (11, "alone and new")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, mark string, label int")
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(df).collect()), key=str)
+    assert kept == sorted([(0, w), (5, z), (9, "t"), (None, "t"), (None, "t"), (11, "alone and new"), (9, None)], key=str) or kept == sorted(
+        [(0, w), (5, z), (9, "t"), (None, "t"), (None, "t"), (11, "alone and new"), (9, "")], key=str)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df.where("doc_id is not null")).collect()}
+    assert got == {0: (0, 1), 5: (0, 2), 7: (5, 1), 9: (9, 0), 11: (11, 0)}
+
+
+def test_lines_of_repeated_ids_are_judged_on_their_own(spark):
+    rows = [(0, "p q r s"), (5, "p q r s"), (5, "totally other words here"), (9, "t u v"), (9, "t u v"), (None, "t u v"), (None, "t u v"), (3, None), (4, ""), (4, "\n"),
+            (7, "a b c d e f g h i j\n\na b c d e f g h i k\nzz\ta\x0bb\tc"), (8, "zz a b c")]
+    df = spark.createDataFrame([(*r, "clash", 1, 2, 3) for r in rows], "doc_id long, text string, mark string, gone int, row int, n_removed int")
+    done = line_dedup.deduplicate_lines(df)
+    assert done.columns == ["doc_id", "mark", "gone", "row", "text", "n_lines", "n_removed"]
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in done.collect()), key=str)
+    assert got == sorted([(0, "p q r s", 1, 0), (5, "", 1, 1), (5, "totally other words here", 1, 0), (9, "t u v", 1, 0), (9, "", 1, 1), (None, "t u v", 1, 0), (None, "t u v", 1, 0),
+                          (3, None, 0, 0), (4, "", 1, 0), (4, "\n", 2, 0), (7, "a b c d e f g h i j\n\nzz\ta\x0bb\tc", 4, 1), (8, "", 1, 1)], key=str)
 
 
 def test_pruning_bound_keeps_similar_pairs():
