@@ -11,7 +11,7 @@ from hookline.functions.url import py_strip, with_parsed
 from hookline.operators import metrics as M
 from hookline.operators.content import page_content, with_content
 from hookline.operators.features import url_features
-from hookline.operators.splits import stratified_folds, stratified_split, three_way_split
+from hookline.operators.splits import split_cuts, stratified_folds, stratified_split, three_way_split
 from hookline.operators.typosquat import brand_matches, nearest_brands
 from hookline.plans.catalog import corpus_features, corpus_local, query
 from hookline.sources import corpus as C
@@ -151,9 +151,8 @@ def stratified_folds_q(spark, sf):
 # --- scaler, metrics (A5-A9, L1, T4, T5) ------------------------------------------------------
 
 def _train_rows(spark, sf):
-    """Training split of the scored rows (the split carries all columns, so
-    the features are computed once and not joined back)."""
-    return stratified_split(scored(spark, sf)).where(F.col("split") == "train")
+    """Training split of the scored rows; the cuts are found on (id, label), so the features are computed once."""
+    return stratified_split(scored(spark, sf), cuts=split_cuts(labelled_ids(spark, sf))).where(F.col("split") == "train")
 
 
 @query("scaler_stats")

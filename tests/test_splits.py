@@ -2,8 +2,12 @@
 
 import hashlib
 import math
+import random
+
+from pyspark.sql import functions as F
 
 from hookline.operators.ranking import rank_within, running_sums
+from hookline.operators.selection import class_cuts, cuts_passed, integer_key
 from hookline.operators.splits import stratified_folds, stratified_split, three_way_split
 
 
@@ -57,6 +61,29 @@ def test_stratified_split_sizes_and_order(spark):
         assert [out[i] for i in ids] == ["validation"] * hold + ["train"] * (counts[lab] - hold)
 
 
+def test_cuts_are_exact_order_statistics(spark):
+    rnd = random.Random(2)
+    for n, spread in [(1, 10), (40, 3), (700, 10**18), (3000, 5000), (2000, 70_000)]:
+        ids = rnd.sample(range(-spread, spread + n), n)
+        rows = [(i, rnd.choice("ab")) for i in ids]
+        df = spark.createDataFrame(rows, "id long, label string")
+        ranks = {lab: [0, 1, len(own) // 3, len(own), len(own) + 5] for lab in {x for _, x in rows} for own in [[i for i, x in rows if x == lab]]}
+        cuts = class_cuts(df, "label", integer_key(F.col("id")), ranks, 16)
+        got = df.join(cuts, "label").withColumn("passed", cuts_passed(integer_key(F.col("id")))).collect()
+        for lab, ks in ranks.items():
+            own = sorted((r.id, r.passed) for r in got if r.label == lab)
+            assert [p for _, p in own] == [sum(k <= place for k in ks) for place in range(len(own))]
+
+
+def test_splits_keep_rows_of_one_id_together_and_move_no_feature_rows(spark):
+    df = _frame(spark, _labels(300)).withColumn("x", F.rand(1))
+    twice = df.unionByName(df)
+    sides = twice.select("id", "label").transform(lambda d: stratified_split(d)).groupBy("id").agg(F.count_distinct("split").alias("n")).where("n > 1").count()
+    assert sides == 0
+    plan = stratified_split(df)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "Window" not in plan.split("== Optimized Logical Plan ==")[0].replace("WindowGroup", "")
+
+
 def test_three_way_split(spark):
     labels = _labels(250)
     out = [r.split for r in three_way_split(_frame(spark, labels)).collect()]
@@ -90,7 +117,6 @@ def test_stratified_folds_match_direct_allocation(spark):
 
 
 def test_rank_within_random_layouts(spark):
-    import random
     rnd = random.Random(9)
     for _ in range(3):
         n, groups, parts = rnd.randint(1, 400), rnd.randint(1, 6), rnd.randint(1, 9)
