@@ -5,10 +5,10 @@ A line's tokens are its distinct words. A line is removed if some earlier line
 threshold with it. Only built-in functions run here:
 
 1. Lines with the same text meet by a 128-bit hash; all but the first go at
-   once (one minimum per text, combined before the shuffle).
+   once (one minimum per text, combined before the shuffle) and are not indexed.
 2. A token's rarity is read from a small table of hashed counts over all words
    and from its length (a word is taken for rarer by a factor of two per
-   letter). A token's key is that rank and 56 bits of its hash, so sorting
+   byte). A token's key is that rank and 56 bits of its hash, so sorting
    keys orders a line's tokens from rare to common. Any fixed order gives the same result; this one keeps the
    index's groups small.
 3. A line of n tokens puts its first n - ceil(t n) + 1 keys (the prefix) in an
@@ -16,10 +16,12 @@ threshold with it. Only built-in functions run here:
    most t, can still reach the overlap from the key's positions on, and their
    64-bit parity maps differ in no more bits than their sets may differ in
    tokens. These filters lose nothing.
-4. Each index key's earliest line is tried first. That settles nearly all
-   lines of a large group of near copies with one pair per key, so no group is
-   squared. Lines still open meet all earlier lines with a common prefix key.
-   The index moves once; groups, leaders and pairs read the same exchange.
+4. Rows of one key meet pair by pair. In groups of more than ``SMALL_GROUP`` rows
+   the earliest line is tried first: that settles nearly all lines of a large
+   group of near copies with one pair per key, so no group is squared. Lines
+   still open meet all earlier lines with a common prefix key.
+   Prefixes are written once; the index made of them moves once, and both sides
+   of the pairs read the same exchange.
 5. Pairs that pass the filters are verified on the token keys of both lines.
    A bitmap of the pairs' ends keeps all other lines where they are.
 
@@ -27,7 +29,7 @@ Edge cases: blank lines have no tokens and are kept as they are; null text has
 no lines and stays null; lines of rows with a null id are compared with none
 and kept; rows with one id are documents of their own, in the order of 32 bits of
 their texts' hashes, and of equal rows (id and text) one keeps its lines;
-an empty table gives no rows. A token is known by its rank and 56 bits of its hash.
+an empty table gives no rows. A token is known by its rank and 56 bits of its hash, in the last test by 48.
 """
 
 from __future__ import annotations
@@ -36,13 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hookline.session import materialize
+
 THRESHOLD = 0.8
 RARITY_CELLS = 1 << 10
-LONG_WORD = 20
 RANK_AT = 56  # a key is 7 bits of rank and 56 of the word's hash
 INDEX_BITS = 40  # what the index keeps of a key: enough to meet by, and fewer bytes to shuffle
 LOW_HALF = (1 << 32) - 1
 BITMAP_PART = 1 << 15  # bits of a part that Spark's bitmap functions make
+ENDS = ["doc_id", "at", "y_doc_id", "y_at"]
+SMALL_GROUP = 256  # rows of a key that meet pair by pair; larger groups try their leader first
 WORDED = r"[^\x20\x09-\x0D]"
 
 
@@ -52,29 +57,32 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.when(other, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " ")), "")
 
 
-def rarity(lines: DataFrame) -> bytes:
+def cell_of(h: Column) -> Column:
+    return h.bitwiseAND(RARITY_CELLS - 1).cast("int")
+
+
+def rarity(docs: DataFrame, text: str) -> list[int]:
     """Per cell, the rarity step of the words that hash into it (two steps an octave of their count).
 
-    RARITY_CELLS bytes whatever the size of the input, so they go into the plan as a literal.
+    RARITY_CELLS numbers whatever the size of the input, so they go into the plan as a literal.
     """
-    cell = F.pmod(F.xxhash64("word"), F.lit(RARITY_CELLS))
-    words = lines.select(F.explode(tokens(F.col("line"))).alias("word"))
-    counts = words.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    step = F.least(F.lit(80), F.floor(F.log2(F.col("n") + 1.0) * 2)).cast("int").alias("step")
-    steps = bytearray(RARITY_CELLS)
+    words = docs.where(F.col(text).isNotNull()).select(F.explode_outer(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.select(cell_of(F.xxhash64("word")).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    step = F.least(F.lit(60), F.floor(F.log2(F.col("n") + 1.0) * 2)).cast("int").alias("step")
+    steps = [0] * RARITY_CELLS
     for r in counts.select("cell", step).collect():  # at most RARITY_CELLS small rows
         steps[r["cell"]] = r["step"]
-    return bytes(steps)
+    return steps
 
 
-def keys_of(line: Column, steps: bytes) -> Column:
-    """Distinct token keys of a line, rarest first."""
+def keys_of(line: Column, steps: list[int]) -> Column:
+    """Distinct token keys of a line, rarest first: the cell's step, less two for each letter, then the word's hash."""
+    first = F.split(F.lit(",".join(str((x + 2 * 31) << RANK_AT) for x in steps)), ",").cast("array<bigint>")  # one literal
+
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
-        cell = F.pmod(h, F.lit(RARITY_CELLS)).cast("int") + 1
-        step = F.ascii(F.substr(F.lit(steps), cell, F.lit(1)).cast("string")).cast("long")
-        rank = step + 2 * (LONG_WORD - F.least(F.length(word), F.lit(LONG_WORD)))
-        return F.shiftleft(rank, RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
+        rank = F.get(first, cell_of(h)) - F.shiftleft(F.least(F.octet_length(word), F.lit(31)).cast("long"), RANK_AT + 1)
+        return rank.bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
 
     return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
@@ -122,19 +130,35 @@ def text_mark(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, at, line) of every line of rows with an id; ``at`` is the line's number, then the mark of its row's text."""
+    """(doc_id, at, line) of every line of rows with an id; ``at`` is the line's number, then the mark of its row's text.
+
+    The arrays are never empty here and below; of an outer explode Spark knows it
+    and puts no filter under it that would cut the texts a second time.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    lines = rows.select("doc_id", text_mark(F.col("text")).alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", packed(F.col("line_no"), F.col("mark")).alias("at"), "line")
+    cut = rows.select("doc_id", text_mark(F.col("text")).alias("mark"), F.split("text", "\n", -1).alias("lines"))
+    lines = cut.select("doc_id", "mark", F.posexplode_outer("lines").alias("line_no", "line"))
+    return lines.select("doc_id", sure(packed(F.col("line_no"), F.col("mark"))).alias("at"), "line")
+
+
+def sure(c: Column) -> Column:
+    """A number that is never null, as one that Spark knows to be none: no reader puts a filter of its own under an exchange that others share."""
+    return F.coalesce(c, F.lit(0).cast("long"))
 
 
-def index_rows(lines: DataFrame, steps: bytes, threshold: float) -> DataFrame:
-    """(tok, doc_id, at, sz, bits): the prefix of each line of (doc_id, at, line); ``sz`` is the number of tokens, then the key's place."""
-    keyed = lines.select("doc_id", "at", keys_of(F.col("line"), steps).alias("keys")).where(F.size("keys") > 0)
+def prefixes(lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
+    """(doc_id, at, n, bits, head): the number of keys of each worded line, their parity map, and the prefix."""
+    keyed = lines.select("doc_id", "at", keys_of(F.col("line"), steps).alias("keys"))
     n = F.size("keys")
-    part = keyed.select("doc_id", "at", n.alias("n"), parity_map(F.col("keys")).alias("bits"), F.slice("keys", F.lit(1), prefix_length(n, threshold).cast("int")).alias("head"))
-    rows = part.select("doc_id", "at", "n", "bits", F.posexplode("head").alias("pos", "key"))
-    return rows.select(F.shiftrightunsigned("key", 63 - INDEX_BITS).alias("tok"), "doc_id", "at", packed(F.col("n"), F.col("pos") + 1).alias("sz"), "bits")
+    head = F.transform(F.slice("keys", F.lit(1), prefix_length(n, threshold).cast("int")), lambda k: F.shiftrightunsigned(k, 63 - INDEX_BITS))
+    return keyed.select("doc_id", "at", n.alias("n"), parity_map(F.col("keys")).alias("bits"), head.alias("head"))
+
+
+def index_rows(heads: DataFrame) -> DataFrame:
+    """(tok, doc_id, at, sz, bits), a row a prefix key; ``sz`` is the number of keys, then the key's place."""
+    rows = heads.select("doc_id", "at", "n", "bits", F.posexplode_outer("head").alias("pos", "tok"))
+    columns = {"tok": F.col("tok"), "doc_id": F.col("doc_id"), "at": F.col("at"), "sz": packed(F.col("n"), F.col("pos") + 1), "bits": F.col("bits")}
+    return rows.select(*[sure(c).alias(name) for name, c in columns.items()])
 
 
 def marked(wanted: DataFrame) -> tuple[Column, int]:
@@ -163,16 +187,31 @@ def is_marked(bitmap: Column, bits: int) -> Column:
     return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
 
 
-def verified(pairs: DataFrame, lines: DataFrame, steps: bytes, threshold: float) -> DataFrame:
-    """(doc_id, at) of the later lines of the pairs that reach the threshold; of all lines, only the pairs' ends move."""
-    ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_at").alias("at"))).distinct().checkpoint()
+def key_sets(ends: DataFrame, lines: DataFrame, steps: list[int]) -> DataFrame:
+    """(doc_id, at, keys, n, wide) of the lines ``ends``, and of few others; of all lines only these move.
+
+    Here 48 bits of a word's hash stand for it. ``wide`` is a parity map of 256 bits: long lines need it.
+    """
     bitmap, bits = marked(ends)
-    keyed = lines.where(is_marked(bitmap, bits)).select("doc_id", "at", keys_of(F.col("line"), steps).alias("keys"))
-    other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("at").alias("y_at"), F.col("keys").alias("y_keys"))
-    both = pairs.join(keyed, ["doc_id", "at"]).join(other, ["y_doc_id", "y_at"])
+    found = lines.where(is_marked(bitmap, bits)).select("doc_id", "at", F.transform(keys_of(F.col("line"), steps), lambda k: k.bitwiseAND((1 << 48) - 1)).alias("keys"))
+    wide = F.array(*[parity_map(F.filter("keys", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(3) == part)) for part in range(4)])
+    return found.select(sure(F.col("doc_id")).alias("doc_id"), "at", "keys", F.size("keys").alias("n"), wide.alias("wide"))
+
+
+def similar_lines(pairs: DataFrame, lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
+    """(doc_id, at) of the later lines of the pairs that reach the threshold: first by wider parity maps, then by the keys."""
+    ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_at").alias("at"))).distinct().checkpoint()
+    keyed = materialize(key_sets(ends, lines, steps), "line-keys")
+
+    def both(some: DataFrame, *columns: str) -> DataFrame:
+        other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("at").alias("y_at"), *[F.col(c).alias(f"y_{c}") for c in columns])
+        return some.join(keyed.select("doc_id", "at", *columns), ["doc_id", "at"]).join(other, ["y_doc_id", "y_at"])
+
+    differ = F.aggregate(F.zip_with("wide", "y_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = both(pairs, "n", "wide").where(differ <= F.col("n") + F.col("y_n") - 2 * least_overlap(F.col("n"), F.col("y_n"), threshold)).select(*ENDS)
     common = F.size(F.array_intersect("keys", "y_keys"))
     reaches = common * (1 + threshold) >= (F.size("keys") + F.size("y_keys")) * threshold - 1e-9
-    return both.where(reaches).select("doc_id", "at").distinct()
+    return both(near, "keys").where(reaches).select("doc_id", "at").distinct().checkpoint()
 
 
 def earlier_than(y: str, x: str) -> Column:
@@ -182,33 +221,37 @@ def earlier_than(y: str, x: str) -> Column:
     return (other < doc) | ((other == doc) & (other_at < at))
 
 
-def matched_lines(lines: DataFrame, copies: DataFrame, steps: bytes, threshold: float) -> DataFrame:
+def meet(later: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (doc_id, at, y_doc_id, y_at) of index rows with earlier rows of their key that pass the filters."""
+    earlier = index.select(*[F.col(c).alias(f"y_{c}") for c in ("tok", "doc_id", "at", "sz", "bits")])
+    on = (F.col("tok") == F.col("y_tok")) & earlier_than("y_", "") & may_match("", "y_", threshold)
+    return later.join(earlier, on).select(*ENDS)
+
+
+def matched_lines(lines: DataFrame, copies: DataFrame, steps: list[int], threshold: float) -> DataFrame:
     """(doc_id, at) of the lines, other than ``copies``, that have an earlier similar line."""
+    bitmap, bits = marked(copies)
+    heads = materialize(prefixes(lines, steps, threshold).withColumn("marked", is_marked(bitmap, bits)), "line-heads")  # words are read and hashed once
+    heads = heads.where("not marked").unionByName(heads.where("marked").join(copies, ["doc_id", "at"], "left_anti").select(heads.columns)).drop("marked")
     columns = ["doc_id", "at", "sz", "bits"]
-    index = index_rows(lines, steps, threshold).repartition("tok")  # moved once: the groups, their leaders and the pairs all read this
-    first = F.min(F.struct("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at", "sz", "bits")).alias("y")
-    leaders = index.groupBy("tok").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
-    led = index.join(leaders, "tok").select("tok", "n", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns]).where(earlier_than("y_", ""))
-    led = led.withColumn("led", may_match("", "y_", threshold))
-    ends = ["doc_id", "at", "y_doc_id", "y_at"]
-    earlier = index.select(F.col("tok").alias("y_tok"), *[F.col(c).alias(f"y_{c}") for c in columns])
-
-    def meet(later: DataFrame) -> DataFrame:
-        on = (F.col("tok") == F.col("y_tok")) & earlier_than("y_", "") & may_match("", "y_", threshold)
-        return later.join(earlier, on).select(*ends)
-
-    open_ = led.where("not led and n > 2").select("tok", *columns)
-    pairs = led.where("led").select(*ends, "led").unionByName(meet(open_).withColumn("led", F.lit(False))).distinct()
-    pairs = pairs.join(copies, ["doc_id", "at"], "left_anti").checkpoint()
-    found = verified(pairs.select(*ends).distinct(), lines, steps, threshold).checkpoint()
-    # lines whose leaders looked similar but none of whose pairs did: they meet all earlier lines on every key
+    index = index_rows(heads)
+    large = index.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_GROUP).select("tok").checkpoint()
+    small = index.join(large, "tok", "left_anti").repartition("tok")  # moved once: both sides of the pairs read this
+    pairs = meet(small, small, threshold).withColumn("led", F.lit(False))
+    if not large.isEmpty():
+        crowd = materialize(index.join(large, "tok", "left_semi").select("tok", *columns), "line-crowds")
+        first = F.min(F.struct("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at", "sz", "bits")).alias("y")
+        led = crowd.join(crowd.groupBy("tok").agg(first), "tok").select("tok", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns]).where(earlier_than("y_", ""))
+        led = led.withColumn("led", may_match("", "y_", threshold))
+        pairs = pairs.unionByName(led.where("led").select(*ENDS, "led")).unionByName(meet(led.where("not led").select("tok", *columns), crowd, threshold).withColumn("led", F.lit(False)))
+    pairs = pairs.groupBy(*ENDS).agg(F.max("led").alias("led")).checkpoint()
+    found = similar_lines(pairs.select(*ENDS), lines, steps, threshold)
+    # lines whose leaders looked similar but none of whose pairs did: they meet all earlier lines of those keys
     hoped = pairs.where("led").select("doc_id", "at").distinct().join(found, ["doc_id", "at"], "left_anti").checkpoint()
     if hoped.isEmpty():
         return found
-    bitmap, bits = marked(hoped)
-    again = index_rows(lines.where(is_marked(bitmap, bits)).join(hoped, ["doc_id", "at"], "left_semi"), steps, threshold)
-    late = verified(meet(again).distinct().checkpoint(), lines, steps, threshold)
-    return found.unionByName(late).distinct()
+    late = meet(crowd.join(hoped, ["doc_id", "at"], "left_semi"), crowd, threshold).distinct().join(pairs, ENDS, "left_anti").checkpoint()
+    return found.unionByName(similar_lines(late, lines, steps, threshold)).distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -219,7 +262,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     several = occurrences.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = (occurrences.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
               .select("doc_id", "at").distinct().checkpoint())
-    steps = rarity(lines)
+    steps = rarity(docs, text)
     similar = matched_lines(lines, copies, steps, threshold)
     return copies.unionByName(similar).distinct()
 
