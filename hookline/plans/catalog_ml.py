@@ -14,6 +14,7 @@ from hookline.plans.catalog_more import RULE_THRESHOLD, scored, zero_filled
 from hookline.session import table_path
 from hookline.sources import corpus as C
 from hookline.streaming import scoring as S
+from hookline.streaming.commits import CommittedSink
 
 TOP_K = 10
 
@@ -117,16 +118,17 @@ def score_stream(spark, sf):
 
     sink, ckpt = S.stream_paths(spark, "score-stream")
     S.run_batches(stream, job, sink, ckpt).awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
+    return CommittedSink(sink).read(spark, "event_id long, n_indicators int, is_phishing boolean, error string")
 
 
 @query("stream_verdict_windows")
 def stream_verdict_windows(spark, sf):
-    """Hourly safe / phishing / error counts of the local rule verdict."""
+    """Hourly safe / phishing / error counts of the local rule verdict; events that are an hour behind are counted as late and added."""
     stream = event_stream(spark, sf).select("event_id", "ts", "url")
     sink, ckpt = S.stream_paths(spark, "verdict-windows")
-    S.run_windows(S.window_counts(stream, threshold=RULE_THRESHOLD), sink, ckpt).awaitTermination()
-    return S.latest_windows(spark, sink)
+    found = S.VerdictWindows(sink, threshold=RULE_THRESHOLD)
+    found.run(stream, ckpt).awaitTermination()
+    return found.totals(spark)
 
 
 @query("quick_train_score")

@@ -2,17 +2,17 @@
 
 R6 runs the batch feature/scoring job on each micro-batch through
 ``foreachBatch``: the registry and certificate lookups work on the batch's
-distinct keys exactly as in batch mode, and each batch is written to its own
-``batch_id=N`` folder with overwrite, so a retried batch replaces its output
-(idempotent sink). R7 is a native stateful aggregation: local features and
-the rule verdict per row, tumbling windows, an optional watermark on the event
-time, update mode; every update lands in the sink with its batch id and readers
-take the last update per window.
+distinct keys exactly as in batch mode, and each batch is committed to the sink
+as a whole (:mod:`commits`). R7 counts verdicts per tumbling window: with a
+watermark that sets late rows aside and counts them (:class:`VerdictWindows`), or as
+Spark's own stateful aggregation in update mode (:func:`window_counts`), where
+readers take the last update per window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hookline.functions.rules import indicator_count
 from hookline.operators.features import local_features
 from hookline.session import scratch_path
+from hookline.streaming.commits import CommittedSink
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame | None = None,
@@ -33,18 +34,18 @@ def read_stream(spark: SparkSession, path: str, like: DataFrame | None = None,
     return reader.parquet(f"{path}*")  # a pattern, since a plain path must be a folder
 
 
-def run_batches(stream: DataFrame, batch_job: Callable[[DataFrame], DataFrame], sink: str,
-                checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """R6 driver: ``batch_job`` on every micro-batch, idempotent parquet sink."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch_job(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
+def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def run_batches(stream: DataFrame, batch_job: Callable[[DataFrame], DataFrame], sink: str,
+                checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """R6 driver: ``batch_job`` on every micro-batch, into a :class:`CommittedSink`."""
+    return started(stream, lambda batch, batch_id: CommittedSink(sink).write(batch_job(batch), batch_id), checkpoint, available_now)
+
+
 def rule_verdicts(url_col: str = "url", threshold: int = 4) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.withColumn("n_indicators", F.when(F.col("error").isNull(), indicator_count())) \
         .withColumn("is_phishing", F.col("n_indicators") >= threshold)
@@ -77,25 +78,88 @@ def window_counts(stream: DataFrame, ts_col: str = "ts", window: str = "1 hour",
 def run_windows(counts: DataFrame, sink: str, checkpoint: str,
                 available_now: bool = True) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
-        # the batch id comes back as a partition column when the sink is read
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        CommittedSink(sink).write(batch.withColumn("update", F.lit(batch_id)), batch_id)
 
-    w = counts.writeStream.outputMode("update").foreachBatch(write) \
-        .option("checkpointLocation", checkpoint)
+    w = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def latest_windows(spark: SparkSession, sink: str) -> DataFrame:
     """Final value per window = the update of the highest batch id."""
-    u = spark.read.parquet(sink)
-    last = F.max_by(F.struct("safe_count", "phishing_count", "error_count"), F.col("batch_id"))
+    u = CommittedSink(sink).read(spark)
+    last = F.max_by(F.struct("safe_count", "phishing_count", "error_count"), F.col("update"))
     return u.groupBy("w").agg(last.alias("c")).select(
         F.unix_seconds(F.col("w.start")).alias("window_start_epoch"),
         F.col("c.safe_count").alias("safe_count"), F.col("c.phishing_count").alias("phishing_count"),
         F.col("c.error_count").alias("error_count"))
 
 
+COUNTS = ("safe_count", "phishing_count", "error_count")
+COUNT_SCHEMA = "window_start_epoch long, late boolean, safe_count long, phishing_count long, error_count long"
+
+
+@dataclass(frozen=True)
+class VerdictWindows:
+    """R7 with a watermark that loses no event.
+
+    Every micro-batch adds its counts per window; a window's value is the sum over
+    the batches. The watermark of a batch is the latest event time of the batches
+    before it less the allowed lateness, and is kept with their commits. Rows
+    behind it are late: they are counted apart and also written as rows to a sink
+    of their own. A window that ends before the watermark is closed: from then on
+    only its late counts grow. All that is kept is a number per batch.
+    """
+
+    path: str
+    lateness_seconds: int = 3600
+    window_seconds: int = 3600
+    threshold: int = 4
+
+    @property
+    def counts(self) -> CommittedSink:
+        return CommittedSink(f"{self.path}/counts")
+
+    @property
+    def late(self) -> CommittedSink:
+        return CommittedSink(f"{self.path}/late")
+
+    def horizon(self, spark: SparkSession, batch_id: int) -> int | None:
+        """The watermark of a batch, the same whenever the batch is run again."""
+        before = self.counts.commits(spark, "max_time long").where(F.col("batch_id") < batch_id)
+        latest = before.agg(F.max("max_time")).first()[0]
+        return None if latest is None else latest - self.lateness_seconds
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        horizon = self.horizon(spark, batch_id)
+        seconds = F.unix_timestamp(F.col("ts"))  # a TIMESTAMP_NTZ is read as UTC, whatever the session's time zone
+        timed = batch.withColumns({"event_epoch": seconds, "late": F.lit(False) if horizon is None else F.coalesce(seconds < horizon, F.lit(False))})
+        feats = local_features(timed).withColumns({"has_valid_ssl": F.lit(0.0), "domain_age_days": F.lit(-1.0)})
+        rows = rule_verdicts(threshold=self.threshold)(feats).select(*batch.columns, "event_epoch", "late", "is_phishing", "error").persist()
+        try:
+            self.late.write(rows.where("late").drop("late"), batch_id)
+            start = (F.floor(F.col("event_epoch") / self.window_seconds) * self.window_seconds).cast("long")
+            ok = F.col("error").isNull()
+            found = rows.groupBy(start.alias("window_start_epoch"), "late").agg(
+                F.count_if(ok & ~F.col("is_phishing")).alias("safe_count"), F.count_if(ok & F.col("is_phishing")).alias("phishing_count"), F.count_if(~ok).alias("error_count"))
+            self.counts.write(found, batch_id, max_time=rows.agg(F.max("event_epoch")).first()[0])
+        finally:
+            rows.unpersist()
+
+    def run(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        return started(stream, self.write, checkpoint, available_now)
+
+    def windows(self, spark: SparkSession) -> DataFrame:
+        """(window_start_epoch, late, counts): what came in time and what came late, per window."""
+        rows = self.counts.read(spark, COUNT_SCHEMA)
+        return rows.groupBy("window_start_epoch", "late").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """Per window, all events, whatever the order in which they came."""
+        return self.windows(spark).groupBy("window_start_epoch").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
 def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh sink and checkpoint folders under the shared checkpoint dir."""
     base = scratch_path(spark, name)
