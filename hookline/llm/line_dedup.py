@@ -187,31 +187,41 @@ def is_marked(bitmap: Column, bits: int) -> Column:
     return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
 
 
+WIDE = 4  # numbers before the keys in a key set's payload: how many keys, then a parity map of 256 bits
+
+
 def key_sets(ends: DataFrame, lines: DataFrame, steps: list[int]) -> DataFrame:
-    """(doc_id, at, keys, n, wide) of the lines ``ends``, and of few others; of all lines only these move.
+    """(doc_id, at, payload) of the lines ``ends``, and of few others, dealt by line; of all lines only these move.
 
-    Here 48 bits of a word's hash stand for it. ``wide`` is a parity map of 256 bits: long lines need it.
+    Here 48 bits of a word's hash stand for it. The payload is one array (the
+    number of keys, their wide parity map, which long lines need, and the keys), so
+    that all its readers ask for the same columns and share one exchange.
     """
     bitmap, bits = marked(ends)
     found = lines.where(is_marked(bitmap, bits)).select("doc_id", "at", F.transform(keys_of(F.col("line"), steps), lambda k: k.bitwiseAND((1 << 48) - 1)).alias("keys"))
-    wide = F.array(*[parity_map(F.filter("keys", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(3) == part)) for part in range(4)])
-    return found.select(sure(F.col("doc_id")).alias("doc_id"), "at", "keys", F.size("keys").alias("n"), wide.alias("wide"))
+    wide = [parity_map(F.filter("keys", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(3) == part)) for part in range(WIDE)]
+    payload = F.concat(F.array(F.size("keys").cast("long"), *wide), F.col("keys"))
+    return found.select(sure(F.col("doc_id")).alias("doc_id"), "at", F.coalesce(payload, F.array().cast("array<bigint>")).alias("payload")).repartition("doc_id", "at")
 
 
 def similar_lines(pairs: DataFrame, lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
     """(doc_id, at) of the later lines of the pairs that reach the threshold: first by wider parity maps, then by the keys."""
     ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_at").alias("at"))).distinct().checkpoint()
-    keyed = materialize(key_sets(ends, lines, steps), "line-keys")
-
-    def both(some: DataFrame, *columns: str) -> DataFrame:
-        other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("at").alias("y_at"), *[F.col(c).alias(f"y_{c}") for c in columns])
-        return some.join(keyed.select("doc_id", "at", *columns), ["doc_id", "at"]).join(other, ["y_doc_id", "y_at"])
-
-    differ = F.aggregate(F.zip_with("wide", "y_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    near = both(pairs, "n", "wide").where(differ <= F.col("n") + F.col("y_n") - 2 * least_overlap(F.col("n"), F.col("y_n"), threshold)).select(*ENDS)
-    common = F.size(F.array_intersect("keys", "y_keys"))
-    reaches = common * (1 + threshold) >= (F.size("keys") + F.size("y_keys")) * threshold - 1e-9
-    return both(near, "keys").where(reaches).select("doc_id", "at").distinct().checkpoint()
+    keyed = key_sets(ends, lines, steps)
+    start = lambda a: F.slice(a, 1, WIDE + 1)
+    rest = lambda a: F.slice(a, F.lit(WIDE + 2), F.size(a))
+
+    def both(some: DataFrame, part) -> DataFrame:
+        own = keyed.select("doc_id", "at", part(F.col("payload")).alias("x"))
+        other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("at").alias("y_at"), part(F.col("payload")).alias("y"))
+        return some.join(own, ["doc_id", "at"]).join(other, ["y_doc_id", "y_at"])
+
+    flips = F.transform(F.zip_with(F.slice("x", 2, WIDE), F.slice("y", 2, WIDE), lambda x, y: x.bitwiseXOR(y)), F.bit_count)
+    n, m = F.get("x", F.lit(0)), F.get("y", F.lit(0))
+    near = both(pairs, start).where(F.aggregate(flips, F.lit(0), lambda a, x: a + x) <= n + m - 2 * least_overlap(n, m, threshold)).select(*ENDS)
+    common = F.size(F.array_intersect("x", "y"))
+    reaches = common * (1 + threshold) >= (F.size("x") + F.size("y")) * threshold - 1e-9
+    return both(near, rest).where(reaches).select("doc_id", "at").distinct().checkpoint()
 
 
 def earlier_than(y: str, x: str) -> Column:
