@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -20,13 +22,14 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.fixed import BOOSTED_PARAMS, CV_FOLDS, FOREST_PARAMS, MODEL_TYPES, RANDOM_SEED, VALIDATION_SPLIT
 from hookline.operators import metrics as M
 from hookline.operators.splits import stratified_folds, stratified_split
+from hookline.session import materialize
 
 
 def make_classifier(model_type: str, seed: int = RANDOM_SEED, **overrides):
@@ -55,13 +58,13 @@ ROWS_PER_PARTITION = 200_000
 
 def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """Persist training rows (memory and disk; recomputed from lineage if an
-    executor is lost) with about ``rows_per_partition`` rows per partition:
-    tree learners run several jobs per tree level, and each job pays one task
-    per partition, so tiny partitions cost more than they parallelise. Only
-    ever coalesces (no shuffle)."""
+    executor is lost) with about ``rows_per_partition`` rows per partition, and
+    a partition per core at least: tree learners run several jobs per tree level,
+    and each job pays one task per partition, so tiny partitions cost more than
+    they parallelise. Only ever coalesces (no shuffle)."""
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = cached.count()
-    target = max(1, -(-n // rows_per_partition))
+    target = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_partition))
     if target < cached.rdd.getNumPartitions():
         narrowed = cached.coalesce(target).persist(StorageLevel.MEMORY_AND_DISK)
         narrowed.count()
@@ -176,6 +179,41 @@ def cross_validate(df: DataFrame, feature_names: list[str], model_type: str = "r
     return spark.createDataFrame([(mean, std)], "cv_mean_accuracy double, cv_std_accuracy double")
 
 
+def out_of_fold(df: DataFrame, feature_names: list[str], params: dict[str, dict], k: int = CV_FOLDS, seed: int = RANDOM_SEED,
+                label: str = "label", id_col: str = "id", at_once: int = 4) -> DataFrame:
+    """(id, model, fold, label, prediction, p1), each row scored by the models that did not see its fold.
+
+    ``params`` names the model types and their parameters. All types and folds are
+    fitted on one persisted table, ``at_once`` of them at a time. The scores are
+    written once, so that what is computed from them does not fit again.
+    """
+    folded = sized(_prep(stratified_folds(df.select(id_col, label, *feature_names), k, label, id_col), label))
+
+    def scored(task: tuple[str, int]) -> DataFrame:
+        model_type, fold = task
+        fitted = make_pipeline(feature_names, model_type, seed, **params[model_type]).fit(folded.where(F.col("fold") != fold))
+        held = TrainedModel(fitted, model_type, list(feature_names), seed).transform(folded.where(F.col("fold") == fold))
+        return held.select(F.col(id_col).alias("id"), F.lit(model_type).alias("model"), "fold", F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"), "p1")
+
+    try:
+        with ThreadPool(at_once) as pool:
+            parts = pool.map(inheritable_thread_target(df.sparkSession)(scored), [(m, i) for m in params for i in range(k)])
+        return materialize(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    finally:
+        folded.unpersist()
+
+
+def out_of_fold_summary(scores: DataFrame) -> DataFrame:
+    """Per model: mean and population std of the folds' accuracies, the exact AUC over all rows, and which model has the best mean (the first wins ties)."""
+    right = F.count_if(F.col("label") == F.col("prediction")) / F.count(F.lit(1))
+    folds = scores.groupBy("model", "fold").agg(right.alias("accuracy"))
+    per = folds.groupBy("model").agg(F.avg("accuracy").alias("cv_mean_accuracy"), F.stddev_pop("accuracy").alias("cv_std_accuracy"), F.count(F.lit(1)).alias("n_folds"))
+    models = [r["model"] for r in per.select("model").collect()]  # the model types
+    aucs = [M.roc_auc(scores.where(F.col("model") == m).select("label", "prediction", F.col("p1").alias("score"))).select(F.lit(m).alias("model"), "roc_auc") for m in models]
+    best = per.agg(F.max(F.struct("cv_mean_accuracy", F.when(F.col("model") == MODEL_TYPES[0], 1).otherwise(0), "model")).alias("b")).select(F.col("b.model").alias("best"))
+    return per.join(reduce(DataFrame.unionByName, aucs), "model").withColumn("is_best", F.col("model") == best.scalar())
+
+
 def compare_models(df: DataFrame, feature_names: list[str], validation_split: float = VALIDATION_SPLIT,
                    k: int = CV_FOLDS, model_types: list[str] | None = None,
                    params: dict[str, dict] | None = None) -> DataFrame:

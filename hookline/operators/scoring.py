@@ -4,14 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.ml.functions import array_to_vector
 
-from hookline.fixed import FEATURE_COLUMNS
-from hookline.functions.rules import confidence, phishing_probability, status_line, warning_text, warnings
+from hookline.fixed import FEATURE_COLUMNS, INDICATOR_RULES
+from hookline.functions.rules import (confidence, indicator_count, phishing_probability, risk_indicators, status_line, warning_text,
+                                      warnings)
 from hookline.operators.features import url_features
 from hookline.operators.ml import TrainedModel, check_features
 
 
-def score_features(feats: DataFrame, model: TrainedModel, with_features: bool = False,
+class RuleModel:
+    """The documented indicators as a model: the share of rules that fire is the probability, ``threshold`` of them make a verdict.
+
+    It needs no training, and everything that takes a model takes it.
+    """
+
+    model_type = "indicator_rules"
+    feature_names = FEATURE_COLUMNS
+
+    def __init__(self, threshold: int = 4, fitted: DataFrame | None = None) -> None:
+        self.threshold, self._importances = threshold, fitted
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        check_features(df.columns, self.feature_names)
+        share = indicator_count().cast("double") / F.lit(float(len(INDICATOR_RULES)))
+        fired = F.when(indicator_count() >= self.threshold, 1.0).otherwise(0.0)
+        return df.withColumns({"p1": share, "prediction": fired}).withColumn("probability", array_to_vector(F.array(1.0 - F.col("p1"), F.col("p1"))))
+
+    def fit_importances(self, feats: DataFrame) -> RuleModel:
+        """The same model with importances: each feature's share of all rules that fire on ``feats``."""
+        rule = F.explode(risk_indicators())
+        names = F.create_map(*[F.lit(x) for name, feature, *_ in INDICATOR_RULES for x in (name, feature)])
+        fired = feats.select(rule.alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+        by_feature = fired.groupBy(F.try_element_at(names, F.col("rule")).alias("feature")).agg(F.sum("n").alias("n"))
+        total = fired.agg(F.sum("n")).scalar()
+        return RuleModel(self.threshold, by_feature.select("feature", (F.col("n") / total).alias("importance")))
+
+    def importances(self, spark: SparkSession) -> DataFrame:
+        if self._importances is None:
+            raise ValueError("the rules have no importances before fit_importances")
+        return self._importances
+
+
+def score_features(feats: DataFrame, model: TrainedModel | RuleModel, with_features: bool = False,
                    keep: list[str] | None = None) -> DataFrame:
     """Model verdicts for a feature frame that has an ``error`` column.
 

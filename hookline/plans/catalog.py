@@ -30,7 +30,7 @@ def query(name: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # import modules that register more queries
-    from hookline.plans import catalog_ml, catalog_more  # noqa: F401
+    from hookline.plans import catalog_io, catalog_ml, catalog_more  # noqa: F401
     return dict(_REGISTRY)
 
 

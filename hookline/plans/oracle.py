@@ -314,6 +314,7 @@ def statements() -> dict[str, str]:
                                              certificates=False),
         "certificate_join": _full_select(["has_https", "has_valid_ssl"], registry=False),
     }
-    from hookline.plans import oracle_more
+    from hookline.plans import oracle_io, oracle_more
     out.update(oracle_more.statements())
+    out.update(oracle_io.statements())
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from hookline.fixed import (RANDOM_SEED, SAMPLE_LEGITIMATE_URLS, SAMPLE_PHISHING_URLS,
+from hookline.fixed import (FEATURE_COLUMNS, RANDOM_SEED, SAMPLE_LEGITIMATE_URLS, SAMPLE_PHISHING_URLS,
                             UCI_TARGET_NAMES)
 from hookline.functions.labels import custom_label, uci_label
 from hookline.functions.url import py_strip
@@ -69,12 +69,43 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
 def load_custom(spark: SparkSession, path: str, url_column: str = "url",
                 label_column: str = "label") -> DataFrame:
     """S3: CSV with a url and a label column, read as strings -> (url, label)."""
-    df = spark.read.csv(path, header=True, inferSchema=False)
+    df = spark.read.csv(path, header=True, inferSchema=False, escape='"')
     check_columns(df, [url_column, label_column])
     url = F.coalesce(F.col(url_column), F.lit("nan"))
     return df.select(url.alias("url"), custom_label(F.col(label_column)).alias("label"))
 
 
+def write_custom(df: DataFrame, path: str, url_column: str = "url", label_column: str = "label") -> None:
+    """A labelled dataset as CSV with a header, so that :func:`load_custom` reads the same texts."""
+    (df.select(F.col(url_column), F.col(label_column)).write.mode("overwrite")
+     .csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+
+
+def load_training(spark: SparkSession, path: str, url_column: str = "url", label_column: str = "label", **lookups) -> DataFrame:
+    """S3 as one call: labelled CSV -> (url, label, the 32 features), zeros where a url can't be read.
+
+    ``lookups`` are those of :func:`hookline.operators.features.url_features`.
+    """
+    from hookline.operators.features import url_features
+    feats = url_features(load_custom(spark, path, url_column, label_column), **lookups)
+    return feats.select("url", "label", *[F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) for c, t in feats.dtypes if c in FEATURE_COLUMNS])
+
+
+def write_uci(df: DataFrame, path: str) -> None:
+    """A numeric table as CSV, or as ARFF if the path ends so (header and data are files of one folder)."""
+    if not path.endswith(".arff"):
+        df.write.mode("overwrite").csv(path, header=True)
+        return
+    header = ["% written by Spark", "@relation urls", *[f"@attribute '{c}' numeric" for c in df.columns], "@data"]
+    df.sparkSession.createDataFrame([("\n".join(header),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in df.columns]).alias("value")).write.mode("append").text(path)
+
+
+def write_url_list(df: DataFrame, path: str, url_column: str = "url") -> None:
+    """One url per line; rows without a url are left out."""
+    df.where(F.col(url_column).isNotNull()).select(F.col(url_column).alias("value")).write.mode("overwrite").text(path)
+
+
 def check_columns(df: DataFrame, required: list[str]) -> None:
     """Fail before any job when a required column is missing."""
     for name in required:
