@@ -254,3 +254,45 @@ def test_copies_with_blank_lines_go(spark):
     docs = spark.createDataFrame([(1, text), (2, text), (3, "\n\n"), (4, None)], "doc_id long, text string")
     got = corpus_pipeline.line_dedup_stage(spark, docs, SF_SMALL).collect()
     assert sorted(r.doc_id for r in got) == [1, 3, 4]
+
+
+def vectors(kind, n, d=64):
+    rng = np.random.default_rng(1)
+    if kind == "clusters":
+        return rng.normal(size=(200, d))[rng.integers(0, 200, n)] + 0.05 * rng.normal(size=(n, d))
+    return rng.normal(size=(n, d)) * np.exp(rng.uniform(0, np.log(4), size=(n, 1)))
+
+
+@pytest.mark.parametrize("kind,n", [("unequal norms", 12_800), ("clusters", 4_000), ("unequal norms", 300)])
+def test_graph_search_finds_nine_tenths_of_the_nearest(kind, n):
+    x, k = vectors(kind, n), 20
+    space = ann.unit_norm(x)
+    edges, starts = ann.build_graph(space)
+    assert ann.reached(edges, starts).all()
+    beam = ann.fitting_beam(x, space, edges, starts, k)
+    asked = np.random.default_rng(3).choice(n, 100, replace=False)
+    true = np.argsort(-(x[asked] @ x.T), axis=1)[:, :k]
+    found, _ = ann.beam_search(space, edges, ann.asked_points(x[asked]), starts, min(n, beam))
+    assert np.mean([len(set(a) & set(b)) / k for a, b in zip(true, found)]) >= 0.9
+    assert kind != "clusters" or beam == ann.SEARCH_BEAM
+
+
+def test_nodes_out_of_reach_get_an_edge():
+    x = np.random.default_rng(2).normal(size=(60, 4)).astype(np.float32)
+    edges = np.full((60, 3), 60, dtype=np.int32)
+    edges[:30, 0] = np.roll(np.arange(30), -1)  # two rings, and full rows in the first
+    edges[:30, 1:] = 0
+    edges[30:, 0] = np.roll(np.arange(30, 60), -1)
+    start = np.array([0], dtype=np.int32)
+    assert ann.reached(edges, start).sum() == 30
+    assert ann.reached(ann.all_reachable(x, edges, start), start).all()
+
+
+def test_huge_and_tiny_finite_components(spark):
+    rows = [(i, [float(v) for v in np.random.default_rng(i).normal(size=3)]) for i in range(1, 60)] + [(100, [1e20, -1e20, 3.0]), (20, [1e-30, 1e-30, 0.0]), (40, [3e38, 0.0, 0.0]), (60, [float("inf"), 0.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    points = {i: np.array(v) for i, v in rows if np.isfinite(v).all()}
+    for q in (20, 40, 100):
+        best = sorted((-(points[q] @ v), i) for i, v in points.items() if i != q)[:5]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)][0] == best[0][1]
+    assert {r.query_id for r in got} == {20, 40, 100}
