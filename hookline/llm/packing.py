@@ -23,6 +23,8 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +76,7 @@ class WordTokens:
             some = words[at:at + 2000]
             ids = [e.ids for e in self.encode(some, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-            new = np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(sizes.sum()))
+            new = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
             n = len(self.known)
             if self.used + len(new) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * (self.used + len(new)))
@@ -191,16 +193,18 @@ def slices(batch: pa.RecordBatch, text_bytes: int = 16 << 20):
             yield batch.slice(a, b - a)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID, checksums: bool = False) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
-    ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers.
+    ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers; with
+    ``checksums`` their CRC-32 stands there instead (``ids_crc32``), and no ids leave the task.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    held = "ids_crc32 long" if checksums else "ids binary"
+    schema = f"doc_id {kind}, start long, length long, {held}, doc_tokens long, sequence_id long, offset long"
 
     def pack(batches):
         words = word_tokens(vocabulary)
@@ -209,11 +213,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
 
         def table(out):
             doc, start, ids, total, number, offset = zip(*out, strict=True)
+            little = [np.ascontiguousarray(x, dtype="<u4") for x in ids]
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc, id_type), pa.array(start, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(total, pa.int64()),
+                 pa.array([crc32(x) for x in little], pa.int64()) if checksums else pa.array([x.tobytes() for x in little], pa.binary()), pa.array(total, pa.int64()),
                  pa.array(number, pa.int64()), pa.array(offset, pa.int64())],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                names=["doc_id", "start", "length", held.split()[0], "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -244,5 +249,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
 
 def packed_pieces(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """``pack_documents`` with the checksum of each piece's ids in place of the ids."""
-    return pack_documents(docs, vocabulary, **options).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack_documents(docs, vocabulary, checksums=True, **options)
