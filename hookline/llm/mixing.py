@@ -8,11 +8,9 @@ is its raked over its counted tokens. A document is kept if a number made from
 its id's md5 lies below its cell's probability, so every retry and every engine
 draws the same documents.
 
-``mixed_documents`` draws a stated share of all tokens (``KEPT_SHARE``):
-probabilities are the factors times one scale, capped at 1, and what capped
-cells cannot supply is spread over the others. ``mixing_plan`` gives the plan
-of ``mixing_sql``: each factor over the largest one, so there the rarest cell
-sets how much is kept.
+A stated share of all tokens is drawn (``KEPT_SHARE``): probabilities are the
+factors times one scale, capped at 1, and what capped cells cannot supply is
+spread over the others, so one rare cell does not set how much is kept.
 
 Everything is DataFrame functions. The rounds run on the cell table, whose
 size is sources x languages x topics; only narrow rows (no texts) are joined
@@ -111,11 +109,10 @@ def scale_for(cells: DataFrame, share: float) -> float:
 
 
 def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, rounds: int = ROUNDS,
-                  targets: dict[str, DataFrame] | None = None, share: float | None = None) -> DataFrame:
-    """(source, lang, topic, factor, probability) per cell with tokens.
+                  targets: dict[str, DataFrame] | None = None, share: float = KEPT_SHARE) -> DataFrame:
+    """(source, lang, topic, factor, probability) per cell with tokens; ``share`` of all tokens is drawn.
 
     ``targets`` maps a margin to a (margin, t_margin) table in place of tempered shares.
-    With ``share``, that share of all tokens is drawn; without, the largest factor gets probability 1.
     """
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     # a small table, written once, so that the rounds do not count the documents again
@@ -126,10 +123,7 @@ def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, round
         else:
             cells = with_targets(cells, m, (temper or TEMPER)[m])
     done = raked(cells, rounds).withColumn("factor", F.round(F.col("w") / F.col("tokens"), DIGITS)).select(*MARGINS, "tokens", "factor").checkpoint()
-    if share is None:
-        p = F.col("factor") / done.agg(F.max("factor")).scalar()
-    else:
-        p = F.least(F.lit(1.0), F.col("factor") * scale_for(done, share))
+    p = F.least(F.lit(1.0), F.col("factor") * scale_for(done, share))
     return done.select(*MARGINS, "factor", F.round(p, DIGITS).alias("probability"))
 
 
@@ -165,7 +159,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return joined.where(drawn(F.col(doc_id), seed) < F.coalesce("_mix_p", F.lit(1.0))).select(*names)
 
 
-def mixing_sql(rounds: int = ROUNDS) -> str:
+def mixing_sql(rounds: int = ROUNDS, share: float = KEPT_SHARE) -> str:
     """The same plan over ``documents`` in DuckDB."""
     t = "coalesce(text, '')"
 
@@ -189,8 +183,12 @@ def mixing_sql(rounds: int = ROUNDS) -> str:
         for m in MARGINS:
             parts.append(f"r{last + 1} AS (SELECT * REPLACE (w * t_{m} / sum(w) OVER (PARTITION BY {m}) AS w) FROM r{last})")
             last += 1
-    parts.append(f"f AS (SELECT source, lang, topic, round(w / tokens, {DIGITS}) AS factor FROM r{last})")
-    parts.append(f"p AS (SELECT *, round(factor / (SELECT max(factor) FROM f), {DIGITS}) AS probability FROM f)")
+    parts.append(f"f AS (SELECT source, lang, topic, tokens, round(w / tokens, {DIGITS}) AS factor FROM r{last})")
+    # with the j largest factors capped at 1 the others' scale follows; the first j whose next factor stays below 1 is right
+    order = "OVER (ORDER BY factor DESC ROWS BETWEEN"
+    parts.append(f"g AS (SELECT factor, row_number() OVER (ORDER BY factor DESC) AS j, ({share}::DOUBLE * sum(tokens) OVER () - coalesce(sum(tokens) {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+                 f"/ sum(factor * tokens) {order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM f)")
+    parts.append(f"p AS (SELECT source, lang, topic, factor, round(least(1.0::DOUBLE, factor * (SELECT min_by(scale, j) FROM g WHERE factor * scale < 1)), {DIGITS}) AS probability FROM f)")
     draw = f"('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE"
     return (f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, n_tokens, coalesce(factor, 1.0::DOUBLE) AS factor, "
             f"coalesce(probability, 1.0::DOUBLE) AS probability, {draw} < coalesce(probability, 1.0::DOUBLE) AS kept "

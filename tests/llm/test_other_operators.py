@@ -296,3 +296,14 @@ def test_huge_and_tiny_finite_components(spark):
         best = sorted((-(points[q] @ v), i) for i, v in points.items() if i != q)[:5]
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)][0] == best[0][1]
     assert {r.query_id for r in got} == {20, 40, 100}
+
+
+def test_a_rare_cell_hardly_moves_the_share_that_the_query_keeps(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rare = spark.createDataFrame([(10**9, "a few rare words here", "xx", "a new source", 21)], docs.schema)
+
+    def share(rows):
+        total = mixing.mixing_plan(rows).agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).first()
+        return total[1] / total[0]
+
+    assert abs(share(docs) - mixing.KEPT_SHARE) < 0.001 and abs(share(docs.unionByName(rare)) - share(docs)) < 0.001
