@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from hookline.session import materialize
 
 THRESHOLD = 0.8
-RARITY_CELLS = 1 << 10
+RARITY_CELLS = 1 << 13
 RANK_AT = 56  # a key is 7 bits of rank and 56 of the word's hash
 INDEX_BITS = 40  # what the index keeps of a key: enough to meet by, and fewer bytes to shuffle
 LOW_HALF = (1 << 32) - 1
@@ -77,12 +77,12 @@ def rarity(docs: DataFrame, text: str) -> list[int]:
 
 def keys_of(line: Column, steps: list[int]) -> Column:
     """Distinct token keys of a line, rarest first: the cell's step, less two for each letter, then the word's hash."""
-    first = F.split(F.lit(",".join(str((x + 2 * 31) << RANK_AT) for x in steps)), ",").cast("array<bigint>")  # one literal
+    first = F.split(F.lit(",".join(str(x + 2 * 31) for x in steps)), ",").cast("array<bigint>")  # one literal
 
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
-        rank = F.get(first, cell_of(h)) - F.shiftleft(F.least(F.octet_length(word), F.lit(31)).cast("long"), RANK_AT + 1)
-        return rank.bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
+        rank = F.get(first, cell_of(h)) - 2 * F.least(F.octet_length(word), F.lit(31))
+        return F.shiftleft(rank, RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
 
     return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
@@ -250,8 +250,8 @@ def matched_lines(lines: DataFrame, copies: DataFrame, steps: list[int], thresho
     pairs = meet(small, small, threshold).withColumn("led", F.lit(False))
     if not large.isEmpty():
         crowd = materialize(index.join(large, "tok", "left_semi").select("tok", *columns), "line-crowds")
-        first = F.min(F.struct("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at", "sz", "bits")).alias("y")
-        led = crowd.join(crowd.groupBy("tok").agg(first), "tok").select("tok", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns]).where(earlier_than("y_", ""))
+        leader = F.first(F.struct(*columns)).over(W.partitionBy("tok").orderBy("doc_id", F.col("at").bitwiseAND(LOW_HALF), "at"))  # read in order, nothing is held
+        led = crowd.withColumn("y", leader).select("tok", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns]).where(earlier_than("y_", ""))
         led = led.withColumn("led", may_match("", "y_", threshold))
         pairs = pairs.unionByName(led.where("led").select(*ENDS, "led")).unionByName(meet(led.where("not led").select("tok", *columns), crowd, threshold).withColumn("led", F.lit(False)))
     pairs = pairs.groupBy(*ENDS).agg(F.max("led").alias("led")).checkpoint()

@@ -193,11 +193,14 @@ def slices(batch: pa.RecordBatch, text_bytes: int = 16 << 20):
             yield batch.slice(a, b - a)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID, checksums: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID, checksums: bool = False,
+                   keep_cache: bool = True) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers; with
     ``checksums`` their CRC-32 stands there instead (``ids_crc32``), and no ids leave the task.
+    Without ``keep_cache`` a Python worker forgets its words after each task: slower,
+    but it leaves the memory to the other jobs of the application.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -243,6 +246,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
                 out = []
         if out:
             yield table(out)
+        if not keep_cache:
+            words.forget()
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(pack, schema)
 
