@@ -47,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are packed into sequences; one row per piece."""
-    return packing.packed_pieces(docs, vocabulary())
+    return packing.packed_pieces(docs, vocabulary(), keep_cache=False)  # the workers serve the other stages too
 
 
 STAGES: list[tuple[str, Stage]] = [
