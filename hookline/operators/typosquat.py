@@ -138,9 +138,9 @@ def search_nearest(labels: DataFrame, brands: DataFrame, label_col: str = "main_
     while (state := open_.agg(F.count(F.lit(1)).alias("labels"), least_gap.alias("gap")).first())["labels"]:
         radius = max(radius, state["gap"])  # nothing is nearer than the lengths allow
         # compared where they meet (a pair once for each piece it shares): only the best of a label moves on
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few small rows make many pairs, so the tasks stay apart
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few small rows make many pairs, so the tasks stay apart, and a piece that many share is neither sorted nor buffered
         spread = lambda rows: rows.repartition(tasks, "m", "i", "piece")
-        pairs = spread(label_pieces(open_, radius)).join(spread(brand_pieces(names, radius)), ["m", "i", "piece"])
+        pairs = spread(label_pieces(open_, radius)).join(spread(brand_pieces(names, radius)).hint("shuffle_hash"), ["m", "i", "piece"])
         compared = pairs.select("label", "brand_idx", "brand", F.levenshtein("label", "brand", radius).alias("distance"))
         best = F.min(F.when(F.col("distance") >= 0, F.struct("distance", "brand_idx", "brand")))
         found = compared.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("pairs"))
