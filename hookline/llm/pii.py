@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import pandas as pd
@@ -120,8 +121,9 @@ SPELLED = re.compile(rf"(?i)(?<![A-Za-z]){ONE_DIGIT}(?:(?:[\x20,]|-)+(?:{ONE_DIG
 SPELLED_PART = re.compile(rf"(?i){ONE_DIGIT}|dot|point|[0-9]|[^A-Za-z0-9]+")
 PLUS_WORD = re.compile(r"(?i)(?<![A-Za-z])plus[\x20-]+(?=[0-9])")
 OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
-AT_BRACKET = re.compile(rf"(?i)\x20*{OPEN}\x20*(?:at|@)\x20*{CLOSE}\x20*")
-DOT_BRACKET = re.compile(rf"(?i)\x20*{OPEN}\x20*(?:dot|punkt|punto|point|\.)\x20*{CLOSE}\x20*")
+SPACES = r"(?:(?<!\x20)\x20+)?"  # a whole run or nothing: a long run of spaces is read once
+AT_BRACKET = re.compile(rf"(?i){SPACES}{OPEN}\x20*(?:at|@)\x20*{CLOSE}\x20*")
+DOT_BRACKET = re.compile(rf"(?i){SPACES}{OPEN}\x20*(?:dot|punkt|punto|point|\.)\x20*{CLOSE}\x20*")
 LABEL = r"[A-Za-z0-9-]+"
 AT_DOT_WORDS = re.compile(
     rf"(?i)(?<=[A-Za-z0-9_%+-])(\x20+at\x20+{LABEL}(?:(?:\x20+dot\x20+|\.){LABEL})*\x20+dot\x20+[A-Za-z]{{2,}})(?![A-Za-z0-9-])")
@@ -216,16 +218,31 @@ def normalised(text: str) -> Tape | None:
     return tape if tape.text != text else None
 
 
+def joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover together, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each (kind, start, end) by start, then kind."""
     text = text or ""
     base = [(k, a, b) for k, spans in detect(text).items() for a, b in spans]
     every = list(base)
     if tape := normalised(text):
+        starts, ends = joined([(a, b) for _, a, b in base])
         for kind, spans in detect(tape.text).items():
             for a, b in spans:
                 span = kind, tape.start[a], tape.end[b - 1]
-                if not any(span[1] < e and s < span[2] for _, s, e in base):
+                at = bisect_left(starts, span[2]) - 1  # the last base text that begins before the span's end
+                if at < 0 or ends[at] <= span[1]:
                     every.append(span)
     order = {k: n for n, k in enumerate(KINDS)}
     key = lambda x: (x[1], order[x[0]], x[2])

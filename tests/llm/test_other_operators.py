@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from bisect import bisect_left
 
 import duckdb
 import numpy as np
@@ -307,3 +309,28 @@ def test_a_rare_cell_hardly_moves_the_share_that_the_query_keeps(spark):
         return total[1] / total[0]
 
     assert abs(share(docs) - mixing.KEPT_SHARE) < 0.001 and abs(share(docs.unionByName(rare)) - share(docs)) < 0.001
+
+
+@pytest.mark.parametrize("part", ["@ " + " " * 20_000, "x " * 10_000 + "@ ", "a@b.co, " * 300 + "jo at mail dot com. " * 300, "( " * 10_000 + "@ ", " (at) " * 3000, "+1 " * 7000 + "@ "])
+def test_pii_takes_time_in_proportion(part):
+    def took(text):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            pii.find(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    pii.find(part)
+    assert took(part * 8) < 25 * took(part) + 0.05  # eight times the text; squares would take 64 times
+
+
+def test_pii_overlaps_equal_a_plain_look_at_all_pairs():
+    rnd = random.Random(9)
+    for _ in range(2000):
+        spans = [(a, a + rnd.randrange(1, 9)) for a in (rnd.randrange(60) for _ in range(rnd.randrange(8)))]
+        starts, ends = pii.joined(spans)
+        for s in range(70):
+            for e in (s + 1, s + 4):
+                at = bisect_left(starts, e) - 1
+                assert (at >= 0 and ends[at] > s) == any(s < b and a < e for a, b in spans)
