@@ -69,7 +69,10 @@ def test_substring_dedup_odd_rows(odd, empty):
 
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("group", [256, 1, 3])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, group):
+    """All pairs, leaders of all groups, and both ways mixed."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", group)
     rows = made_texts(2, 40)
     got = {r.doc_id: r for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     lines = [(i, k, x, frozenset(WORD.findall(x))) for i, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
@@ -79,8 +82,10 @@ def test_line_dedup_equals_brute_force(spark):
         assert got[i].text == "\n".join(kept) and got[i].n_lines == len(mine) and got[i].n_removed == len(mine) - len(kept)
 
 
-def test_line_dedup_large_group_and_second_look(spark):
+@pytest.mark.parametrize("group", [256, 2])
+def test_line_dedup_large_group_and_second_look(spark, monkeypatch, group):
     """Near copies of one line: those unlike the first one still find a later one."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", group)
     base = [f"t{k}" for k in range(20)]
     rows = [(k, " ".join(base[:20 - k % 5] + [f"x{k}{j}" for j in range(k % 5)])) for k in range(60)]
     got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -89,6 +94,23 @@ def test_line_dedup_large_group_and_second_look(spark):
     assert got == want
 
 
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    """Lines long enough that the narrow parity map says nothing."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 4)
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(600)]
+    first = [rnd.sample(words, 300) for _ in range(4)]
+    rows = []
+    for k in range(40):
+        own = list(first[k % 4])
+        for _ in range(rnd.choice([0, 10, 28, 33, 34, 60, 100])):
+            own[rnd.randrange(300)] = f"n{k}-{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: frozenset(t.split()) for k, t in rows}
+    assert got == {k: int(any(5 * len(s & sets[j]) >= 4 * len(s | sets[j]) for j in range(k))) for k, s in sets.items()}
+
+
 def test_line_dedup_odd_rows(odd, empty):
     got = line_dedup.deduplicate_lines(odd).collect()
     assert len(got) == 8 and {(r.doc_id, r.n_removed) for r in got} == {(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (None, 0)}  # the second of two equal rows holds copies
