@@ -104,6 +104,13 @@ def label_pieces(labels: DataFrame, radius: int) -> DataFrame:
     return met.select("label", "m", "i", F.explode(found).alias("piece"))
 
 
+def pairs_met(left: DataFrame, right: DataFrame) -> int:
+    """How many pairs meet on the pieces, from the two counts of each piece."""
+    keys = ["m", "i", "piece"]
+    a, b = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("a")), right.groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
+    return a.join(b, keys).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+
 class NearestBrands(NamedTuple):
     """``matches`` (label, distance, brand), and for each round its radius, the labels still open before it, and the pairs verified."""
 
@@ -142,13 +149,12 @@ def search_nearest(labels: DataFrame, brands: DataFrame, label_col: str = "main_
         spread = lambda rows: rows.repartition(tasks, "m", "i", "piece")
         pairs = spread(label_pieces(open_, radius)).join(spread(brand_pieces(names, radius)).hint("shuffle_hash"), ["m", "i", "piece"])
         compared = pairs.select("label", "brand_idx", "brand", F.levenshtein("label", "brand", radius).alias("distance"))
-        best = F.min(F.when(F.col("distance") >= 0, F.struct("distance", "brand_idx", "brand")))
-        found = compared.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("pairs"))
+        found = compared.where(F.col("distance") >= 0).groupBy("label").agg(F.min(F.struct("distance", "brand_idx", "brand")).alias("best"))
         # a brand without a common character: the shortest such distance, then the smallest number
         far = F.array_min(F.transform("by_length", lambda x: F.struct(F.greatest(n, x["m"]).alias("distance"), x["brand_idx"].alias("brand_idx"), x["brand"].alias("brand"))))
-        both = open_.join(found, "label", "left").select("label", "by_length", F.least("best", F.when(far["distance"] <= radius, far)).alias("best"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+        both = open_.join(found, "label", "left").select("label", "by_length", F.least("best", F.when(far["distance"] <= radius, far)).alias("best"))
         done = materialize(both, "brand-round")
-        rounds.append((radius, state["labels"], done.agg(F.sum("pairs")).first()[0]))
+        rounds.append((radius, state["labels"], pairs_met(label_pieces(open_, radius), brand_pieces(names, radius))))
         settled.append(done.where(F.col("best").isNotNull()).select("label", "best"))
         open_ = done.where(F.col("best").isNull()).select("label", "by_length")
         radius = next_radius(radius)
