@@ -62,53 +62,120 @@ def next_radius(radius: int) -> int:
     return radius + max(1, radius // 2)
 
 
-def place(start: Column, shift: Column, more: Column, radius: int) -> Column:
-    """May a piece that starts at ``start`` in the brand stand ``shift`` further in a label that is longer by ``more``?
+#: A text that many brands hold where many labels have it is met in more detail (:func:`refined`); else the pairs number at most
+#: FEW_BRANDS a text of a label, or FEW_LABELS a text of a brand, or FEW_PAIRS a label and brand.
+FEW_BRANDS, FEW_LABELS, FEW_PAIRS = 256, 32, 8
 
-    The text before it needs at least ``|shift|`` edits, the text after it ``|more - shift|``.
-    """
-    return (F.abs(shift) + F.abs(more - shift) <= radius) & (start + shift >= 0)
 
+def place(i: Column, start: Column, shift: Column, more: Column, budget: Column) -> Column:
+    """May piece ``i``, at ``start`` in the brand's text, be the first whole one if it stands ``shift`` further in the label's text, longer by ``more``?
 
-def piece_count(m: Column, radius: int) -> Column:
-    """Pieces of a brand of ``m`` characters: one more than there can be edits, none of them empty."""
-    return F.least(m, F.lit(radius + 1))
+    The text before it needs at least ``|shift|`` edits, and one in each piece; the text after it ``|more - shift|``.
+    """
+    return (F.greatest(i, F.abs(shift)) + F.abs(more - shift) <= budget) & (start + shift >= 0)
 
 
-def piece_bounds(m: Column, radius: int, i: Column) -> tuple[Column, Column]:
-    """(start, length) of piece ``i``: the pieces are even, and depend on the length and the radius alone."""
-    k = piece_count(m, radius)
+def piece_bounds(m: Column, budget: Column, i: Column) -> tuple[Column, Column]:
+    """(start, length) of piece ``i`` of a brand's text of ``m`` characters: the pieces are even, and depend on the length and the budget alone."""
+    k = piece_count(m, budget)
     start = F.floor(i * m / k).cast("int")
     return start, F.floor((i + 1) * m / k).cast("int") - start
 
 
-def brand_pieces(brands: DataFrame, radius: int) -> DataFrame:
-    """(m, i, piece, brand_idx, brand): the segment index of the brands for one radius."""
-    m = F.length("brand")
-    i = F.explode(F.sequence(F.lit(0), piece_count(m, radius) - 1))
-    cut = brands.where(m > 0).select("brand_idx", "brand", m.alias("m"), i.alias("i"))
-    start, length = piece_bounds(F.col("m"), radius, F.col("i"))
-    return cut.select("m", "i", F.substr("brand", start + 1, length).alias("piece"), "brand_idx", "brand")
+def piece_count(m: Column, budget: Column) -> Column:
+    """Pieces of a brand's text of ``m`` characters: one more than there can be edits, none of them empty."""
+    return F.least(m, budget + 1)
 
 
-def label_pieces(labels: DataFrame, radius: int) -> DataFrame:
-    """(label, m, i, piece): what each label has where a piece of a brand of one of the lengths ``by_length`` could stand."""
-    n = F.length("label")
-    near = F.filter("by_length.m", lambda m: F.abs(n - m) <= radius)
-    met = labels.select("label", F.explode(near).alias("m"))
-    met = met.select("label", "m", F.explode(F.sequence(F.lit(0), piece_count(F.col("m"), radius) - 1)).alias("i"))
-    start, length = piece_bounds(F.col("m"), radius, F.col("i"))
-    more = n - F.col("m")
-    shifts = F.filter(F.sequence(F.lit(-radius), F.lit(radius)), lambda s: place(start, s, more, radius) & (start + s + length <= n))
-    found = F.array_distinct(F.transform(shifts, lambda s: F.substr("label", start + s + 1, length)))
-    return met.select("label", "m", "i", F.explode(found).alias("piece"))
+def with_bounds(df: DataFrame) -> DataFrame:
+    """``df`` (m, budget) a row a piece: its number i, its start and length."""
+    cut = df.where("m > 0").withColumn("i", F.explode(F.sequence(F.lit(0), piece_count(F.col("m"), F.col("budget")) - 1)))
+    start, length = piece_bounds(F.col("m"), F.col("budget"), F.col("i"))
+    return cut.withColumns({"start": start, "length": length})
+
+
+def shifts(text: Column) -> Column:
+    """Where a piece could stand in the label's ``text``, counted from its place in the brand's."""
+    n, budget, start, length = F.length(text), F.col("budget"), F.col("start"), F.col("length")
+    low, high = F.greatest(-budget, -start), F.least(budget, n - start - length)
+    every = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda s: place(F.col("i"), start, s, n - F.col("m"), budget))
+
+
+def brand_pieces(brands: DataFrame) -> DataFrame:
+    """The pieces of the brands' texts (key, text, m, budget); the new ``key`` is of the old one, the piece's number and its text."""
+    cut = with_bounds(brands)
+    piece = F.substr("text", F.col("start") + 1, F.col("length"))
+    return cut.withColumn("key", F.xxhash64("key", "i", piece))
+
+
+def label_pieces(labels: DataFrame) -> DataFrame:
+    """What the labels' texts (key, text, m, budget) have where a piece of a brand's text could stand, with the same keys, and the ``piece``."""
+    cut = with_bounds(labels)
+    found = F.array_distinct(F.transform(shifts(F.col("text")), lambda s: F.substr("text", F.col("start") + s + 1, F.col("length"))))
+    return cut.withColumn("piece", F.explode(found)).withColumn("key", F.xxhash64("key", "i", "piece"))
+
 
+def refined(rows: DataFrame, owner: list[str], start: Column) -> DataFrame:
+    """Rows of a met piece (``more``, ``shift``: how it was met) with the text on one side of it, which stands at ``start`` in the row's own text.
 
-def pairs_met(left: DataFrame, right: DataFrame) -> int:
-    """How many pairs meet on the pieces, from the two counts of each piece."""
-    keys = ["m", "i", "piece"]
-    a, b = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("a")), right.groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
-    return a.join(b, keys).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+    The edits before the piece leave a budget for those after it, and the other way
+    round; the side that makes the longer pieces is met next, within its budget.
+    ``last`` says that its pieces could all be touched: these rows are compared.
+    """
+    before, after = F.col("start"), F.col("m") - F.col("start") - F.col("length")
+    left, right = F.col("budget") - F.abs(F.col("more") - F.col("shift")), F.col("budget") - F.greatest("i", F.abs(F.col("shift")))
+    on_right = after * (left + 1) >= before * (right + 1)
+    m, budget = F.when(on_right, after).otherwise(before), F.when(on_right, right).otherwise(left)
+    text = F.when(on_right, F.substr("text", start + F.col("length") + 1)).otherwise(F.substr("text", F.lit(1), start))
+    return rows.select(F.xxhash64("key", "more", "shift").alias("key"), text.alias("text"), m.alias("m"), budget.alias("budget"), *owner, (m <= budget).alias("last"))
+
+
+def counted(labels: DataFrame, brands: DataFrame) -> DataFrame:
+    """The rows of ``labels`` that meet some of ``brands`` by their key, with the numbers of rows of both (a, b)."""
+    sizes = labels.groupBy("key").agg(F.count(F.lit(1)).alias("a")).join(brands.groupBy("key").agg(F.count(F.lit(1)).alias("b")), "key")
+    return materialize(labels.join(sizes, "key"), "brand-met")
+
+
+def meetings(labels: DataFrame, names: DataFrame, radius: int, few_pairs: int) -> tuple[DataFrame, int]:
+    """(label, brand_idx, brand) of all pairs that may be within the radius, some of them more than once, and how many rows these are.
+
+    Pairs meet on a whole piece. A piece that many have in common ("shop") says
+    little, so there the texts beside it meet by their own pieces, and so on.
+    """
+    spark = names.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few small rows make many pairs, so the tasks stay apart
+    spread = lambda rows: rows.repartition(tasks, "key")
+    pairs, met = [], 0
+
+    def join(some: DataFrame, brands: DataFrame) -> None:
+        pairs.append(spread(brands.select("key", "brand_idx", "brand")).join(spread(some.select("key", "label")).hint("shuffle_hash"), "key").select("label", "brand_idx", "brand"))
+
+    n = F.length("label")
+    near = F.explode(F.filter("by_length.m", lambda m: F.abs(n - m) <= radius))
+    budget, key = F.lit(radius).alias("budget"), F.xxhash64("m").alias("key")
+    left = labels.select("label", near.alias("m")).select(key, F.col("label").alias("text"), "m", budget, "label")
+    right = names.select(F.length("brand").alias("m"), "brand_idx", "brand").select(key, F.col("brand").alias("text"), "m", budget, "brand_idx", "brand")
+    while True:
+        right = brand_pieces(right)
+        rows = counted(label_pieces(left), right)
+        product = F.sum("b")
+        crowd = (F.col("b") > FEW_BRANDS) & (F.col("a") > FEW_LABELS)
+        seen = rows.agg(F.coalesce(product, F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(crowd, F.col("b"))), F.lit(0)).alias("crowd")).first()
+        if seen["crowd"] <= few_pairs:
+            join(rows, right)
+            return reduce(DataFrame.unionByName, pairs), met + seen["all"]
+        join(rows.where(~crowd), right)
+        met += seen["all"] - seen["crowd"]
+        where = rows.where(crowd).withColumns({"more": F.length("text") - F.col("m"), "shift": F.explode(shifts(F.col("text")))})
+        where = where.where(F.substr("text", F.col("start") + F.col("shift") + 1, F.col("length")) == F.col("piece"))
+        left = materialize(refined(where, ["label"], F.col("start") + F.col("shift")), "brand-labels-met")
+        ways = where.select("key", "more", "shift").distinct()
+        right = materialize(refined(right.join(ways, "key"), ["brand_idx", "brand"], F.col("start")), "brand-names-met")
+        ends = counted(left.where("last"), right.where("last"))
+        met += ends.agg(F.coalesce(product, F.lit(0))).first()[0]
+        join(ends, right.where("last"))
+        left, right = left.where("not last"), right.where("not last")
 
 
 class NearestBrands(NamedTuple):
@@ -124,7 +191,9 @@ def search_nearest(labels: DataFrame, brands: DataFrame, label_col: str = "main_
     Within distance r, a brand cut into r + 1 pieces keeps at least one of them
     whole, and not far from its place. So the pieces are an index (keyed by the
     brand's length, the piece's number and its text) that the label's substrings
-    look up, and only brands met there are compared. The radius grows; labels
+    look up, and only brands met there are compared. Where many brands and many
+    labels share a piece, as names made from one word do, the texts beside it are
+    indexed in the same way with the edits that are left. The radius grows; labels
     whose best brand is within it are settled, the others go on. Where a brand
     has no more than r characters its pieces are single ones: a brand that
     shares none of them with the label is exactly max(lengths) away, so the first
@@ -141,20 +210,18 @@ def search_nearest(labels: DataFrame, brands: DataFrame, label_col: str = "main_
     open_ = materialize(distinct.select("label", by_length.alias("by_length")).where(F.size("by_length") > 0), "brand-labels")
     n = F.length("label")
     least_gap = F.min(F.array_min(F.transform("by_length.m", lambda m: F.abs(n - m))))
-    settled, rounds, radius = [], [], 1
+    settled, rounds, radius, n_names = [], [], 1, names.count()
     while (state := open_.agg(F.count(F.lit(1)).alias("labels"), least_gap.alias("gap")).first())["labels"]:
         radius = max(radius, state["gap"])  # nothing is nearer than the lengths allow
         # compared where they meet (a pair once for each piece it shares): only the best of a label moves on
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few small rows make many pairs, so the tasks stay apart, and a piece that many share is neither sorted nor buffered
-        spread = lambda rows: rows.repartition(tasks, "m", "i", "piece")
-        pairs = spread(label_pieces(open_, radius)).join(spread(brand_pieces(names, radius)).hint("shuffle_hash"), ["m", "i", "piece"])
+        pairs, met = meetings(open_, names, radius, FEW_PAIRS * (n_names + state["labels"]))
         compared = pairs.select("label", "brand_idx", "brand", F.levenshtein("label", "brand", radius).alias("distance"))
         found = compared.where(F.col("distance") >= 0).groupBy("label").agg(F.min(F.struct("distance", "brand_idx", "brand")).alias("best"))
         # a brand without a common character: the shortest such distance, then the smallest number
         far = F.array_min(F.transform("by_length", lambda x: F.struct(F.greatest(n, x["m"]).alias("distance"), x["brand_idx"].alias("brand_idx"), x["brand"].alias("brand"))))
         both = open_.join(found, "label", "left").select("label", "by_length", F.least("best", F.when(far["distance"] <= radius, far)).alias("best"))
         done = materialize(both, "brand-round")
-        rounds.append((radius, state["labels"], pairs_met(label_pieces(open_, radius), brand_pieces(names, radius))))
+        rounds.append((radius, state["labels"], met))
         settled.append(done.where(F.col("best").isNotNull()).select("label", "best"))
         open_ = done.where(F.col("best").isNull()).select("label", "by_length")
         radius = next_radius(radius)

@@ -1,6 +1,7 @@
 """Blocked brand join against all pairs."""
 
 import random
+from unittest import mock
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,3 +61,28 @@ def test_segment_search_without_brands_or_labels(spark):
     none = spark.createDataFrame([], "brand_idx long, brand string")
     assert nearest_brands(some, none).count() == 0
     assert nearest_brands(some.where("false"), spark.createDataFrame([(0, "b")], "brand_idx long, brand string")).count() == 0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text(alphabet="abg0", min_size=0, max_size=6), min_size=1, max_size=20), st.lists(st.text(alphabet="abg", min_size=0, max_size=6), min_size=1, max_size=20),
+       st.sampled_from(["", "shop", "automobile"]), st.sampled_from(["", "shop", "my-automobile", "x"]), st.sampled_from(["", "s"]))
+def test_refined_meetings_lose_nothing(spark, labels, brands, word, start, end):
+    """Every text met by two rows or more is refined, down to the last character."""
+    names = [word + b for b in brands]
+    ldf = spark.createDataFrame([(start + x + end,) for x in labels], "main_label string")
+    bdf = spark.createDataFrame([*enumerate(names)], "brand_idx long, brand string")
+    with mock.patch.multiple("hookline.operators.typosquat", FEW_BRANDS=1, FEW_LABELS=0, FEW_PAIRS=0):
+        got = {r.label: (r.distance, r.brand) for r in search_nearest(ldf, bdf).matches.collect()}
+    want = {start + x + end: min((edit_distance(start + x + end, b), i, b) for i, b in enumerate(names)) for x in set(labels)}
+    assert got == {x: (d, b) for x, (d, _, b) in want.items()}
+
+
+def test_names_made_from_one_word_make_few_pairs(spark):
+    rnd = random.Random(9)
+    every = list({"automobile" + "".join(rnd.choice("0123456789") for _ in range(6)) for _ in range(9000)})[:8000]
+    for n in (4000, 8000):
+        ldf = spark.createDataFrame([("my-" + b,) for b in every[:n // 4]], "main_label string")
+        found = search_nearest(ldf, spark.createDataFrame(list(enumerate(every[:n])), "brand_idx long, brand string"))
+        near = {r.label: (r.distance, r.brand) for r in found.matches.collect()}
+        assert near == {"my-" + b: (3, b) for b in every[:n // 4]}
+        assert sum(r[2] for r in found.rounds) < 40 * n  # not n / 4 for each name
