@@ -16,6 +16,7 @@ from hookline.fixed import FEATURE_COLUMNS
 from hookline.functions.brands import nearest_brand, typosquat_columns
 from hookline.functions.url import lexical_columns, once, with_parsed
 from hookline.operators.enrich import certificate_features, registry_features
+from hookline.session import materialize
 
 LOCAL_COLUMNS = [c for c in FEATURE_COLUMNS
                  if c not in ("has_valid_ssl", "domain_age_days", "domain_registration_length")]
@@ -31,7 +32,12 @@ def parsed(df: DataFrame, url_col: str = "url") -> DataFrame:
 def local_features(df: DataFrame, url_col: str = "url", brands: list[str] | None = None,
                    keep_parsed: bool = False) -> DataFrame:
     """Input columns + 29 local features + closest_brand + error (+ ``p``)."""
-    base = parsed(df, url_col)
+    return parsed_features(parsed(df, url_col), df.columns, url_col, brands, keep_parsed)
+
+
+def parsed_features(base: DataFrame, columns: list[str], url_col: str = "url", brands: list[str] | None = None,
+                    keep_parsed: bool = False) -> DataFrame:
+    """:func:`local_features` of rows that have their ``p`` already: ``columns`` + the features."""
     p = F.col("p")
     # own projection: four columns read the arg-min struct, and inside the
     # CASE guards below Catalyst would otherwise evaluate it once per use
@@ -40,8 +46,8 @@ def local_features(df: DataFrame, url_col: str = "url", brands: list[str] | None
     # one guard around the whole record (a CASE per column would repeat the
     # guard 30 times in the generated code)
     record = F.when(p.error.isNull(), F.struct(*[c.alias(name) for name, c in feats]))
-    out = (base.select(*df.columns, record.alias("_f"), p.error.alias("error"), "p")
-           .select(*df.columns, *[F.col("_f")[name].alias(name) for name, _ in feats], "error", "p"))
+    out = (base.select(*columns, record.alias("_f"), p.error.alias("error"), "p")
+           .select(*columns, *[F.col("_f")[name].alias(name) for name, _ in feats], "error", "p"))
     return out if keep_parsed else out.drop("p")
 
 
@@ -55,13 +61,14 @@ def url_features(df: DataFrame, url_col: str = "url", *, registry: DataFrame | N
 
     With lookups, both are resolved on the distinct (registry key, certificate
     host) pairs of the input, so a host that holds a third of the rows is looked
-    up once, and one join brings the result back. Only the input columns and
+    up once, and one join brings the result back. The pairs are written once for
+    all who read them. Only the input columns, the parsed url and
     the pair pass through that join; the features are computed after it. Spark
     picks the join and splits skewed pairs; rows without a pair are spread over
     keys that match nothing.
     """
     if registry is None and certificates is None:
-        found = df.withColumns({"domain_age_days": F.lit(None).cast("double"), "domain_registration_length": F.lit(None).cast("double"),
+        found = parsed(df, url_col).withColumns({"domain_age_days": F.lit(None).cast("double"), "domain_registration_length": F.lit(None).cast("double"),
                                 "cert_valid": F.lit(None).cast("boolean")})
     else:
         if as_of is None:
@@ -70,12 +77,13 @@ def url_features(df: DataFrame, url_col: str = "url", *, registry: DataFrame | N
         keyed = parsed(df, url_col).withColumns({
             "registry_key": once(F.when(p.error.isNull(), F.lower(p.host_no_www))),
             "cert_host": once(F.when(p.error.isNull() & (p.scheme == "https"), F.lower(p.host))),
-        }).drop("p")
-        lookups = resolve_lookups(keyed.select("registry_key", "cert_host").where("registry_key is not null").distinct(), registry, certificates, as_of)
+        })
+        pairs = materialize(keyed.select("registry_key", "cert_host").where("registry_key is not null").distinct(), "lookup-pairs")
+        lookups = resolve_lookups(pairs, registry, certificates, as_of)
         nobody = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD_KEYS)).cast("string"))
         found = (keyed.withColumns({"registry_key": F.coalesce("registry_key", nobody), "cert_host": F.coalesce("cert_host", F.lit(""))})
                  .join(lookups, ["registry_key", "cert_host"], "left").drop("registry_key", "cert_host"))
-    feats = local_features(found, url_col, brands, keep_parsed=True)
+    feats = parsed_features(found, [c for c in found.columns if c != "p"], url_col, brands, keep_parsed=True)
     ok = F.col("error").isNull()
     ssl = F.when((F.col("p.scheme") == "https") & F.col("cert_valid"), F.lit(1.0)).otherwise(F.lit(0.0))
     feats = feats.withColumns({

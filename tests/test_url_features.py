@@ -7,6 +7,7 @@ from urllib.parse import urlparse
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brute import url_features as py_features
 from conftest import SF_SMALL
@@ -166,3 +167,17 @@ def test_exotic_urls_match_python(spark):
         assert r["error"] is None, u
         for c in LOCAL_COLUMNS + ["closest_brand"]:
             assert (r[c] == pytest.approx(want[c])) if isinstance(want[c], float) else r[c] == want[c], (u, c)
+
+
+def test_lookups_read_the_urls_once_more_and_distances_are_taken_once(spark):
+    from hookline.fixed import BRANDS
+    from hookline.operators.features import url_features
+    urls = spark.range(50).select("id", F.concat(F.lit("https://h"), F.col("id") % 5, F.lit(".paypal.com/")).alias("url"))
+    registry = spark.createDataFrame([("paypal.com", "2020-01-01", "2030-01-01")], "domain string, creation_date string, expiration_date string")
+    certificates = spark.sql("SELECT 'h1.paypal.com' AS host, timestamp '2024-01-01' AS not_before, timestamp '2026-01-01' AS not_after")
+    out = url_features(urls, registry=registry, certificates=certificates, as_of=F.lit("2025-01-01").cast("timestamp"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 50") == 1
+    assert 1 <= plan.count("levenshtein(") <= len(BRANDS)
+    got = {r.id: (r.levenshtein_distance, r.closest_brand, r.domain_age_days, r.has_valid_ssl) for r in out.collect()}
+    assert got == {i: (0.0, "paypal", 1827.0, float(i % 5 == 1)) for i in range(50)}
