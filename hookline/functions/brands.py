@@ -14,8 +14,8 @@ from hookline.fixed import BRANDS
 def nearest_brand(label, brands: list[str] | None = None) -> Column:
     """struct(distance INT, brand_idx INT, brand STRING) of the closest brand.
 
-    Distances form one array; ``array_position`` of its minimum is the first
-    brand in list order with that distance (the tie rule). One expression per
+    The least (distance, number) is the first brand in list order with the least
+    distance (the tie rule). Each row meets every
     brand: a brand *table* goes through ``operators.typosquat.nearest_brands``,
     which gives the same answer.
     """
@@ -23,13 +23,9 @@ def nearest_brand(label, brands: list[str] | None = None) -> Column:
     if not brands:
         raise ValueError("brand list is empty")
     lab = F.col(label) if isinstance(label, str) else label
-    dists = F.array(*[F.levenshtein(lab, F.lit(b)) for b in brands])
-    best = F.array_min(dists)
-    pos = F.array_position(dists, best)
-    names = F.array(*[F.lit(b) for b in brands])
-    return F.when(lab.isNotNull(), F.struct(
-        best.alias("distance"), (pos - 1).cast("int").alias("brand_idx"),
-        F.element_at(names, pos.cast("int")).alias("brand")))
+    # each distance is taken once, in code that does not grow with the list (very long methods are not compiled)
+    each = F.transform(F.array(*[F.lit(b) for b in brands]), lambda b, i: F.struct(F.levenshtein(lab, b).alias("distance"), i.alias("brand_idx"), b.alias("brand")))
+    return F.when(lab.isNotNull(), F.array_min(each))
 
 
 def typosquat_columns(label_col: Column, best: Column) -> list[tuple[str, Column]]:
