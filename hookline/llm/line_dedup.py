@@ -16,10 +16,11 @@ threshold with it. Only built-in functions run here:
    most t, can still reach the overlap from the key's positions on, and their
    64-bit parity maps differ in no more bits than their sets may differ in
    tokens. These filters lose nothing.
-4. Rows of one key meet pair by pair. In groups of more than ``SMALL_GROUP`` rows
-   the earliest line is tried first: that settles nearly all lines of a large
-   group of near copies with one pair per key, so no group is squared. Lines
-   still open meet all earlier lines with a common prefix key.
+4. Where more than ``SMALL_GROUP`` rows have a key, the earliest of them is tried
+   first: that settles nearly all lines of a large group of near copies with
+   one pair per key, so no such group is squared. Such keys are found by one
+   bit of each; a key that shares its bit with another is tried too, and loses nothing.
+   All other lines then meet all earlier lines with a common prefix key.
    Prefixes are written once; the index made of them moves once, and both sides
    of the pairs read the same exchange.
 5. Pairs that pass the filters are verified on the token keys of both lines.
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hookline.session import materialize
+from hookline.session import dropped_shuffles, materialize
 
 THRESHOLD = 0.8
 RARITY_CELLS = 1 << 13
@@ -47,7 +48,9 @@ INDEX_BITS = 40  # what the index keeps of a key: enough to meet by, and fewer b
 LOW_HALF = (1 << 32) - 1
 BITMAP_PART = 1 << 15  # bits of a part that Spark's bitmap functions make
 ENDS = ["doc_id", "at", "y_doc_id", "y_at"]
-SMALL_GROUP = 256  # rows of a key that meet pair by pair; larger groups try their leader first
+SMALL_GROUP = 256  # rows of a key that need no leader; all lines of larger groups try theirs first
+CROWD_BITS = 1 << 20  # bits for the keys of larger groups
+SETTLED_AT = 31  # the bit of an index row's ``sz`` that says its line is settled
 WORDED = r"[^\x20\x09-\x0D]"
 
 
@@ -76,13 +79,13 @@ def rarity(docs: DataFrame, text: str) -> list[int]:
 
 
 def keys_of(line: Column, steps: list[int]) -> Column:
-    """Distinct token keys of a line, rarest first: the cell's step, less two for each letter, then the word's hash."""
+    """Distinct token keys of a line, rarest first: the cell's step, less two for each letter, then the word's hash. None is null, which makes sorting cheap."""
     first = F.split(F.lit(",".join(str(x + 2 * 31) for x in steps)), ",").cast("array<bigint>")  # one literal
 
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
         rank = F.get(first, cell_of(h)) - 2 * F.least(F.octet_length(word), F.lit(31))
-        return F.shiftleft(rank, RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
+        return sure(F.shiftleft(rank, RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT)))
 
     return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
@@ -121,7 +124,11 @@ def size_of(sz: str) -> Column:
 
 
 def pos_of(sz: str) -> Column:
-    return F.col(sz).bitwiseAND(LOW_HALF)
+    return F.col(sz).bitwiseAND((1 << SETTLED_AT) - 1)
+
+
+def is_settled(sz: str) -> Column:
+    return F.getbit(F.col(sz), F.lit(SETTLED_AT)) == 1
 
 
 def text_mark(text: Column) -> Column:
@@ -155,9 +162,10 @@ def prefixes(lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
 
 
 def index_rows(heads: DataFrame) -> DataFrame:
-    """(tok, doc_id, at, sz, bits), a row a prefix key; ``sz`` is the number of keys, then the key's place."""
-    rows = heads.select("doc_id", "at", "n", "bits", F.posexplode_outer("head").alias("pos", "tok"))
-    columns = {"tok": F.col("tok"), "doc_id": F.col("doc_id"), "at": F.col("at"), "sz": packed(F.col("n"), F.col("pos") + 1), "bits": F.col("bits")}
+    """(tok, doc_id, at, sz, bits), a row a prefix key; ``sz`` is the number of keys, then a bit for settled lines, then the key's place."""
+    rows = heads.select("doc_id", "at", "n", "bits", "settled", F.posexplode_outer("head").alias("pos", "tok"))
+    place = F.shiftleft(F.col("settled").cast("long"), SETTLED_AT).bitwiseOR((F.col("pos") + 1).cast("long"))
+    columns = {"tok": F.col("tok"), "doc_id": F.col("doc_id"), "at": F.col("at"), "sz": packed(F.col("n"), place), "bits": F.col("bits")}
     return rows.select(*[sure(c).alias(name) for name, c in columns.items()])
 
 
@@ -188,6 +196,7 @@ def is_marked(bitmap: Column, bits: int) -> Column:
 
 
 WIDE = 4  # numbers before the keys in a key set's payload: how many keys, then a parity map of 256 bits
+LONG = 64  # lines of more tokens than this have that map; for the others 64 bits tell enough
 
 
 def key_sets(ends: DataFrame, lines: DataFrame, steps: list[int]) -> DataFrame:
@@ -200,7 +209,8 @@ def key_sets(ends: DataFrame, lines: DataFrame, steps: list[int]) -> DataFrame:
     bitmap, bits = marked(ends)
     found = lines.where(is_marked(bitmap, bits)).select("doc_id", "at", F.transform(keys_of(F.col("line"), steps), lambda k: k.bitwiseAND((1 << 48) - 1)).alias("keys"))
     wide = [parity_map(F.filter("keys", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(3) == part)) for part in range(WIDE)]
-    payload = F.concat(F.array(F.size("keys").cast("long"), *wide), F.col("keys"))
+    none = F.array(*[F.lit(0).cast("long")] * WIDE)
+    payload = F.concat(F.array(F.size("keys").cast("long")), F.when(F.size("keys") > LONG, F.array(*wide)).otherwise(none), F.col("keys"))
     return found.select(sure(F.col("doc_id")).alias("doc_id"), "at", F.coalesce(payload, F.array().cast("array<bigint>")).alias("payload")).repartition("doc_id", "at")
 
 
@@ -218,7 +228,8 @@ def similar_lines(pairs: DataFrame, lines: DataFrame, steps: list[int], threshol
 
     flips = F.transform(F.zip_with(F.slice("x", 2, WIDE), F.slice("y", 2, WIDE), lambda x, y: x.bitwiseXOR(y)), F.bit_count)
     n, m = F.get("x", F.lit(0)), F.get("y", F.lit(0))
-    near = both(pairs, start).where(F.aggregate(flips, F.lit(0), lambda a, x: a + x) <= n + m - 2 * least_overlap(n, m, threshold)).select(*ENDS)
+    few = F.aggregate(flips, F.lit(0), lambda a, x: a + x) <= n + m - 2 * least_overlap(n, m, threshold)
+    near = both(pairs, start).where((F.least(n, m) <= LONG) | few).select(*ENDS)
     common = F.size(F.array_intersect("x", "y"))
     reaches = common * (1 + threshold) >= (F.size("x") + F.size("y")) * threshold - 1e-9
     return both(near, rest).where(reaches).select("doc_id", "at").distinct().checkpoint()
@@ -238,30 +249,43 @@ def meet(later: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     return later.join(earlier, on).select(*ENDS)
 
 
+def crowded(index: DataFrame) -> DataFrame:
+    """The rows of ``index`` whose key more than ``SMALL_GROUP`` rows have, and of few other keys: those whose bit is set."""
+    counts = index.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_GROUP)
+    place = F.col("tok").bitwiseAND(CROWD_BITS - 1)
+    words = counts.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("part")).checkpoint()
+    if words.isEmpty():
+        return index.limit(0)
+    every = index.sparkSession.range(CROWD_BITS // 64).join(words, F.col("id") == F.col("word"), "left")
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("part", F.lit(0).cast("long")).alias("part")))).alias("parts"))
+    bits = listed.select(F.col("parts.part")).scalar()
+    return index.where(F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1)
+
+
+def settled_lines(index: DataFrame, lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
+    """(doc_id, at) of the lines that are similar to the earliest line of a key that very many share."""
+    columns = ["doc_id", "at", "sz", "bits"]
+    group = W.partitionBy("tok").orderBy("doc_id", F.col("at").bitwiseAND(LOW_HALF), "at")  # read in order, nothing is held
+    led = crowded(index).select(*columns, *[F.first(c).over(group).alias(f"y_{c}") for c in columns])
+    pairs = led.where(earlier_than("y_", "") & may_match("", "y_", threshold)).select(*ENDS).distinct().checkpoint()
+    return similar_lines(pairs, lines, steps, threshold)
+
+
 def matched_lines(lines: DataFrame, copies: DataFrame, steps: list[int], threshold: float) -> DataFrame:
     """(doc_id, at) of the lines, other than ``copies``, that have an earlier similar line."""
     bitmap, bits = marked(copies)
     heads = materialize(prefixes(lines, steps, threshold).withColumn("marked", is_marked(bitmap, bits)), "line-heads")  # words are read and hashed once
     heads = heads.where("not marked").unionByName(heads.where("marked").join(copies, ["doc_id", "at"], "left_anti").select(heads.columns)).drop("marked")
-    columns = ["doc_id", "at", "sz", "bits"]
-    index = index_rows(heads)
-    large = index.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_GROUP).select("tok").checkpoint()
-    small = index.join(large, "tok", "left_anti").repartition("tok")  # moved once: both sides of the pairs read this
-    pairs = meet(small, small, threshold).withColumn("led", F.lit(False))
-    if not large.isEmpty():
-        crowd = materialize(index.join(large, "tok", "left_semi").select("tok", *columns), "line-crowds")
-        leader = F.first(F.struct(*columns)).over(W.partitionBy("tok").orderBy("doc_id", F.col("at").bitwiseAND(LOW_HALF), "at"))  # read in order, nothing is held
-        led = crowd.withColumn("y", leader).select("tok", *columns, *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns]).where(earlier_than("y_", ""))
-        led = led.withColumn("led", may_match("", "y_", threshold))
-        pairs = pairs.unionByName(led.where("led").select(*ENDS, "led")).unionByName(meet(led.where("not led").select("tok", *columns), crowd, threshold).withColumn("led", F.lit(False)))
-    pairs = pairs.groupBy(*ENDS).agg(F.max("led").alias("led")).checkpoint()
-    found = similar_lines(pairs.select(*ENDS), lines, steps, threshold)
-    # lines whose leaders looked similar but none of whose pairs did: they meet all earlier lines of those keys
-    hoped = pairs.where("led").select("doc_id", "at").distinct().join(found, ["doc_id", "at"], "left_anti").checkpoint()
-    if hoped.isEmpty():
-        return found
-    late = meet(crowd.join(hoped, ["doc_id", "at"], "left_semi"), crowd, threshold).distinct().join(pairs, ENDS, "left_anti").checkpoint()
-    return found.unionByName(similar_lines(late, lines, steps, threshold)).distinct()
+    heads = heads.withColumn("settled", F.lit(False))
+    settled = settled_lines(index_rows(heads), lines, steps, threshold)
+    if not settled.isEmpty():
+        bitmap, bits = marked(settled)
+        maybe = heads.drop("settled").where(is_marked(bitmap, bits)).join(settled.withColumn("settled", F.lit(True)), ["doc_id", "at"], "left")
+        heads = heads.where(~is_marked(bitmap, bits)).unionByName(maybe.withColumn("settled", F.coalesce("settled", F.lit(False))))
+    index = index_rows(heads).repartition("tok")  # moved once: both sides of the pairs read this
+    open_rows = index.where(F.when(F.spark_partition_id() >= 0, ~is_settled("sz")))  # asked of the moved rows: no filter goes under the exchange
+    pairs = meet(open_rows, index, threshold).distinct().checkpoint()
+    return settled.unionByName(similar_lines(pairs, lines, steps, threshold))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -278,22 +302,36 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the removed lines gone from the text, and two more columns: n_lines, n_removed (in place of such columns of ``docs``)."""
+    """``docs`` with the removed lines gone from the text, and two more columns: n_lines, n_removed (in place of such columns of ``docs``).
+
+    Texts that lose no line stay where they are: a bitmap tells all others, and those whose id and text another row has too.
+    """
     plain = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    gone = removed_lines(docs, doc_id, text, threshold).select("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), F.shiftrightunsigned("at", 32).cast("int").alias("no"))
-    gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("no").alias("gone"))
+    with dropped_shuffles(docs.sparkSession):
+        removed = removed_lines(docs, doc_id, text, threshold)
+        gone = removed.select("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), F.shiftrightunsigned("at", 32).cast("int").alias("no"))
+        gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("no").alias("gone")).checkpoint()
+        marks = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("mark"))
+        equal = marks.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        bitmap, bits = marked(gone.select("doc_id", "mark").unionByName(equal.select("doc_id", "mark")).withColumnRenamed("mark", "at"))
     one = F.struct(*[F.col(c) for c in plain], F.col(text).alias("_text_"))  # the columns keep their names in here, whatever they are
-    rows = docs.select(one.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("mark"))
-    joined = rows.join(gone, ["doc_id", "mark"], "left")
+    rows = docs.select(one.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("at"))
+    rows = rows.withColumn("touched", F.coalesce(is_marked(bitmap, bits), F.lit(False)))
+    joined = rows.where("touched").withColumnRenamed("at", "mark").join(gone, ["doc_id", "mark"], "left")
     again = F.row_number().over(W.partitionBy("doc_id", "mark").orderBy("mark")) > 1  # an equal row: all its worded lines are copies
     body = F.col("row._text_")
-    found = joined.select("row", body.alias("text"), F.split(body, "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), (again & F.col("doc_id").isNotNull()).alias("again"))
+    found = joined.select("row", body.alias("text"), F.split(body, "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), again.alias("again"))
     left = (F.when(F.col("again"), F.filter("lines", lambda x: ~x.rlike(WORDED)))
             .when(F.size("gone") > 0, F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda k: F.get("lines", k))).otherwise(F.col("lines")))
     kept = found.select("row", "text", "lines", left.alias("left"))
     count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("long")
-    new = {text: F.when(F.col("text").isNotNull(), F.array_join("left", "\n")), "n_lines": count(F.size("lines")), "n_removed": count(F.size("lines") - F.size("left"))}
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in plain], *[v.alias(c) for c, v in new.items()])
+
+    def result(some: DataFrame, new: dict[str, Column]) -> DataFrame:
+        return some.select(*[F.col("row").getField(c).alias(c) for c in plain], *[v.alias(c) for c, v in new.items()])
+
+    cut = result(kept, {text: F.when(F.col("text").isNotNull(), F.array_join("left", "\n")), "n_lines": count(F.size("lines")), "n_removed": count(F.size("lines") - F.size("left"))})
+    whole = rows.where("not touched").select("row", body.alias("text"))
+    return cut.unionByName(result(whole, {text: F.col("text"), "n_lines": count(F.size(F.split("text", "\n", -1))), "n_removed": F.lit(0).cast("long")}))
 
 
 def line_dedup_sql(threshold: float = THRESHOLD) -> str:

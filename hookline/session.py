@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -87,6 +89,25 @@ def drop_scratch(spark: SparkSession) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of each query when it ends.
+
+    For jobs of many steps, each of which writes its result to the shared
+    folder: no later step reads the shuffles of an earlier one.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back: one pass over the input, lineage cut, and retries after an

@@ -111,6 +111,37 @@ def test_line_dedup_of_long_lines(spark, monkeypatch):
     assert got == {k: int(any(5 * len(s & sets[j]) >= 4 * len(s | sets[j]) for j in range(k))) for k, s in sets.items()}
 
 
+def test_line_dedup_sets_no_key_apart_and_loses_no_pair(spark, monkeypatch):
+    """Rows of keys that many lines share go through no join of their own: a near copy group and common words, all keys in few bits."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 4)
+    monkeypatch.setattr(line_dedup, "CROWD_BITS", 64, raising=False)
+    frame = type(spark.range(1))
+    kinds, join = [], frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, on=None, how=None: (kinds.append((on, how)), join(self, other, on, how))[1])
+    rnd = random.Random(9)
+    base = [f"t{k}" for k in range(30)]
+    rows = [(k, " ".join(rnd.sample(base, 29) + [f"x{k}"])) for k in range(40)] + [(100 + k, " ".join(rnd.choices("abcdefgh", k=rnd.randrange(3, 9)))) for k in range(60)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: frozenset(t.split()) for k, t in rows}
+    assert got == {k: int(any(5 * len(s & sets[j]) >= 4 * len(s | sets[j]) for j in sets if j < k)) for k, s in sets.items()}
+    assert not [on for on, _ in kinds if isinstance(on, str) and on == "tok"]
+
+
+def test_line_dedup_of_lines_about_the_wide_map(spark):
+    """A line just over the length that has a wide map finds one just under it."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words[:60])), (2, " ".join(words[:70])), (3, " ".join(words[:64] + words[100:103])), (4, " ".join(words[100:164])), (5, " ".join(words[100:180]))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
+def test_line_dedup_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    assert line_dedup.deduplicate_lines(spark.createDataFrame([(1, "a b"), (2, "a b"), (2, "c d")], "doc_id long, text string")).count() == 3
+    assert spark.conf.get(key, None) == before
+
+
 def test_line_dedup_odd_rows(odd, empty):
     got = line_dedup.deduplicate_lines(odd).collect()
     assert len(got) == 8 and {(r.doc_id, r.n_removed) for r in got} == {(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (None, 0)}  # the second of two equal rows holds copies
