@@ -4,8 +4,10 @@ A line's tokens are its distinct words. A line is removed if some earlier line
 (by document id, then line number) has Jaccard similarity of at least the
 threshold with it. Only built-in functions run here:
 
-1. Lines with the same text meet by a 128-bit hash; all but the first go at
-   once (one minimum per text, combined before the shuffle) and are not indexed.
+1. Lines are cut and their words hashed once; what is needed of each line (a
+   128-bit hash, the parity maps and the prefix of 3.) is written. Lines with the
+   same text meet by the hash; all but the first go at once (one minimum per
+   text, combined before the shuffle) and are not indexed.
 2. A token's rarity is read from a small table of hashed counts over all words
    and from its length (a word is taken for rarer by a factor of two per
    byte). A token's key is that rank and 56 bits of its hash, so sorting
@@ -14,8 +16,8 @@ threshold with it. Only built-in functions run here:
 3. A line of n tokens puts its first n - ceil(t n) + 1 keys (the prefix) in an
    index. Two lines that reach t share a prefix key, differ in length by at
    most t, can still reach the overlap from the key's positions on, and their
-   64-bit parity maps differ in no more bits than their sets may differ in
-   tokens. These filters lose nothing.
+   64-bit parity maps (128 bits, if both lines are long) differ in no more bits
+   than their sets may differ in tokens. These filters lose nothing.
 4. Where more than ``SMALL_GROUP`` rows have a key, the earliest of them is tried
    first: that settles nearly all lines of a large group of near copies with
    one pair per key, so no such group is squared. Such keys are found by one
@@ -50,14 +52,17 @@ BITMAP_PART = 1 << 15  # bits of a part that Spark's bitmap functions make
 ENDS = ["doc_id", "at", "y_doc_id", "y_at"]
 SMALL_GROUP = 256  # rows of a key that need no leader; all lines of larger groups try theirs first
 CROWD_BITS = 1 << 20  # bits for the keys of larger groups
+LONG = 64  # lines of more tokens than this have a parity map of 128 bits; for the others 64 tell enough
+MAPS = ["bits", "odd_bits"]
 SETTLED_AT = 31  # the bit of an index row's ``sz`` that says its line is settled
 WORDED = r"[^\x20\x09-\x0D]"
 
 
 def tokens(line: Column) -> Column:
-    """The words of a line, blanks dropped. Splitting at one character is much cheaper than at a pattern, and nearly all lines allow it."""
+    """The words of a line. Splitting at one character is much cheaper than at a pattern, and nearly all lines allow it, with no blank to drop."""
     other = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r") | line.contains("\n")
-    return F.array_remove(F.when(other, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " ")), "")
+    blanks = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
+    return F.when(other | blanks, F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")).otherwise(F.split(line, " "))
 
 
 def cell_of(h: Column) -> Column:
@@ -100,18 +105,32 @@ def parity_map(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
 
 
+def parity_maps(keys: Column) -> list[Column]:
+    """The map of 64 bits and, of long lines, one half of a map of 128; its other half is the sum (by exclusive or) of both."""
+    odd = parity_map(F.filter(keys, lambda k: F.getbit(k, F.lit(6)) == 1))
+    return [parity_map(keys), F.when(F.size(keys) > LONG, odd).otherwise(F.lit(0).cast("long"))]
+
+
 def least_overlap(n: Column, m: Column, threshold: float) -> Column:
     """Fewest common tokens of two lines of n and m tokens that reach the threshold."""
     return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
+def few_flips(x: str, y: str, threshold: float) -> Column:
+    """The test of the 64-bit maps for the index rows ``x`` and ``y`` of one key, in its cheapest form: nearly all pairs end here."""
+    most = (size_of(f"{x}sz") + size_of(f"{y}sz")) * (1 - 2 * threshold / (1 + threshold)) + 1e-6
+    return F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) <= most
+
+
 def may_match(x: str, y: str, threshold: float) -> Column:
     """Length, position and parity filters for the index rows ``x`` and ``y`` of one key (prefixes of column names)."""
     n, m = size_of(f"{x}sz"), size_of(f"{y}sz")
     common = least_overlap(n, m, threshold)
     rest = F.least(n - pos_of(f"{x}sz"), m - pos_of(f"{y}sz"))
-    differ = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
-    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (rest + 1 >= common) & (differ <= n + m - 2 * common)
+    flips, odd = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in MAPS)
+    wide = F.bit_count(odd) + F.bit_count(flips.bitwiseXOR(odd))
+    near = (F.bit_count(flips) <= n + m - 2 * common) & ((F.least(n, m) <= LONG) | (wide <= n + m - 2 * common))
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (rest + 1 >= common) & near
 
 
 def packed(high: Column, low: Column) -> Column:
@@ -136,16 +155,20 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(LOW_HALF)
 
 
-def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, at, line) of every line of rows with an id; ``at`` is the line's number, then the mark of its row's text.
+def text_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text) of the rows that have both."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+
+
+def worded_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, at, line) of every line with a word; ``at`` is the line's number, then the mark of its row's text.
 
     The arrays are never empty here and below; of an outer explode Spark knows it
     and puts no filter under it that would cut the texts a second time.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     cut = rows.select("doc_id", text_mark(F.col("text")).alias("mark"), F.split("text", "\n", -1).alias("lines"))
     lines = cut.select("doc_id", "mark", F.posexplode_outer("lines").alias("line_no", "line"))
-    return lines.select("doc_id", sure(packed(F.col("line_no"), F.col("mark"))).alias("at"), "line")
+    return lines.select("doc_id", sure(packed(F.col("line_no"), F.col("mark"))).alias("at"), "line").where(F.col("line").rlike(WORDED))
 
 
 def sure(c: Column) -> Column:
@@ -154,18 +177,18 @@ def sure(c: Column) -> Column:
 
 
 def prefixes(lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
-    """(doc_id, at, n, bits, head): the number of keys of each worded line, their parity map, and the prefix."""
-    keyed = lines.select("doc_id", "at", keys_of(F.col("line"), steps).alias("keys"))
+    """(doc_id, at, h1, h2, n, the parity maps, head): the hash of each worded line, the number of its keys, their parity maps, and the prefix."""
+    keyed = lines.select("doc_id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), keys_of(F.col("line"), steps).alias("keys"))
     n = F.size("keys")
     head = F.transform(F.slice("keys", F.lit(1), prefix_length(n, threshold).cast("int")), lambda k: F.shiftrightunsigned(k, 63 - INDEX_BITS))
-    return keyed.select("doc_id", "at", n.alias("n"), parity_map(F.col("keys")).alias("bits"), head.alias("head"))
+    return keyed.select("doc_id", "at", "h1", "h2", n.alias("n"), *[m.alias(c) for c, m in zip(MAPS, parity_maps(F.col("keys")))], head.alias("head"))
 
 
 def index_rows(heads: DataFrame) -> DataFrame:
-    """(tok, doc_id, at, sz, bits), a row a prefix key; ``sz`` is the number of keys, then a bit for settled lines, then the key's place."""
-    rows = heads.select("doc_id", "at", "n", "bits", "settled", F.posexplode_outer("head").alias("pos", "tok"))
+    """(tok, doc_id, at, sz, the parity maps), a row a prefix key; ``sz`` is the number of keys, then a bit for settled lines, then the key's place."""
+    rows = heads.select("doc_id", "at", "n", *MAPS, "settled", F.posexplode_outer("head").alias("pos", "tok"))
     place = F.shiftleft(F.col("settled").cast("long"), SETTLED_AT).bitwiseOR((F.col("pos") + 1).cast("long"))
-    columns = {"tok": F.col("tok"), "doc_id": F.col("doc_id"), "at": F.col("at"), "sz": packed(F.col("n"), place), "bits": F.col("bits")}
+    columns = {"tok": F.col("tok"), "doc_id": F.col("doc_id"), "at": F.col("at"), "sz": packed(F.col("n"), place), **{c: F.col(c) for c in MAPS}}
     return rows.select(*[sure(c).alias(name) for name, c in columns.items()])
 
 
@@ -189,50 +212,33 @@ def bit_of(doc_id: Column, at: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, at), F.lit(bits)) + 1
 
 
-def is_marked(bitmap: Column, bits: int) -> Column:
-    place = bit_of(F.col("doc_id"), F.col("at"), bits) - 1
+def is_marked(bitmap: Column, bits: int, at: Column | None = None) -> Column:
+    place = bit_of(F.col("doc_id"), F.col("at") if at is None else at, bits) - 1
     byte = F.conv(F.hex(F.substr(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
 
 
-WIDE = 4  # numbers before the keys in a key set's payload: how many keys, then a parity map of 256 bits
-LONG = 64  # lines of more tokens than this have that map; for the others 64 bits tell enough
-
+def key_sets(ends: DataFrame, rows: DataFrame, steps: list[int]) -> DataFrame:
+    """(doc_id, at, keys) of the lines ``ends``, and of few others, dealt by line; of all lines only these move, and few other texts are cut.
 
-def key_sets(ends: DataFrame, lines: DataFrame, steps: list[int]) -> DataFrame:
-    """(doc_id, at, payload) of the lines ``ends``, and of few others, dealt by line; of all lines only these move.
-
-    Here 48 bits of a word's hash stand for it. The payload is one array (the
-    number of keys, their wide parity map, which long lines need, and the keys), so
-    that all its readers ask for the same columns and share one exchange.
+    Here 48 bits of a word's hash stand for it. No line is at -1: that bit tells whether a document has any of ``ends``.
     """
-    bitmap, bits = marked(ends)
+    whole = F.lit(-1).cast("long")
+    bitmap, bits = marked(ends.unionByName(ends.select("doc_id", whole.alias("at")).distinct()))
+    lines = worded_lines(rows.where(is_marked(bitmap, bits, whole)))
     found = lines.where(is_marked(bitmap, bits)).select("doc_id", "at", F.transform(keys_of(F.col("line"), steps), lambda k: k.bitwiseAND((1 << 48) - 1)).alias("keys"))
-    wide = [parity_map(F.filter("keys", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(3) == part)) for part in range(WIDE)]
-    none = F.array(*[F.lit(0).cast("long")] * WIDE)
-    payload = F.concat(F.array(F.size("keys").cast("long")), F.when(F.size("keys") > LONG, F.array(*wide)).otherwise(none), F.col("keys"))
-    return found.select(sure(F.col("doc_id")).alias("doc_id"), "at", F.coalesce(payload, F.array().cast("array<bigint>")).alias("payload")).repartition("doc_id", "at")
+    return found.select(sure(F.col("doc_id")).alias("doc_id"), "at", F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys")).repartition("doc_id", "at")
 
 
-def similar_lines(pairs: DataFrame, lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
-    """(doc_id, at) of the later lines of the pairs that reach the threshold: first by wider parity maps, then by the keys."""
+def similar_lines(pairs: DataFrame, rows: DataFrame, steps: list[int], threshold: float) -> DataFrame:
+    """(doc_id, at) of the later lines of the pairs that reach the threshold, by their keys."""
     ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_at").alias("at"))).distinct().checkpoint()
-    keyed = key_sets(ends, lines, steps)
-    start = lambda a: F.slice(a, 1, WIDE + 1)
-    rest = lambda a: F.slice(a, F.lit(WIDE + 2), F.size(a))
-
-    def both(some: DataFrame, part) -> DataFrame:
-        own = keyed.select("doc_id", "at", part(F.col("payload")).alias("x"))
-        other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("at").alias("y_at"), part(F.col("payload")).alias("y"))
-        return some.join(own, ["doc_id", "at"]).join(other, ["y_doc_id", "y_at"])
-
-    flips = F.transform(F.zip_with(F.slice("x", 2, WIDE), F.slice("y", 2, WIDE), lambda x, y: x.bitwiseXOR(y)), F.bit_count)
-    n, m = F.get("x", F.lit(0)), F.get("y", F.lit(0))
-    few = F.aggregate(flips, F.lit(0), lambda a, x: a + x) <= n + m - 2 * least_overlap(n, m, threshold)
-    near = both(pairs, start).where((F.least(n, m) <= LONG) | few).select(*ENDS)
+    keyed = key_sets(ends, rows, steps)
+    own = keyed.select("doc_id", "at", F.col("keys").alias("x"))
+    other = keyed.select(F.col("doc_id").alias("y_doc_id"), F.col("at").alias("y_at"), F.col("keys").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     reaches = common * (1 + threshold) >= (F.size("x") + F.size("y")) * threshold - 1e-9
-    return both(near, rest).where(reaches).select("doc_id", "at").distinct().checkpoint()
+    return pairs.join(own, ["doc_id", "at"]).join(other, ["y_doc_id", "y_at"]).where(reaches).select("doc_id", "at").distinct().checkpoint()
 
 
 def earlier_than(y: str, x: str) -> Column:
@@ -244,8 +250,8 @@ def earlier_than(y: str, x: str) -> Column:
 
 def meet(later: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """The pairs (doc_id, at, y_doc_id, y_at) of index rows with earlier rows of their key that pass the filters."""
-    earlier = index.select(*[F.col(c).alias(f"y_{c}") for c in ("tok", "doc_id", "at", "sz", "bits")])
-    on = (F.col("tok") == F.col("y_tok")) & earlier_than("y_", "") & may_match("", "y_", threshold)
+    earlier = index.select(*[F.col(c).alias(f"y_{c}") for c in ("tok", "doc_id", "at", "sz", *MAPS)])
+    on = (F.col("tok") == F.col("y_tok")) & few_flips("", "y_", threshold) & earlier_than("y_", "") & may_match("", "y_", threshold)
     return later.join(earlier, on).select(*ENDS)
 
 
@@ -262,22 +268,19 @@ def crowded(index: DataFrame) -> DataFrame:
     return index.where(F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1)
 
 
-def settled_lines(index: DataFrame, lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
+def settled_lines(index: DataFrame, rows: DataFrame, steps: list[int], threshold: float) -> DataFrame:
     """(doc_id, at) of the lines that are similar to the earliest line of a key that very many share."""
-    columns = ["doc_id", "at", "sz", "bits"]
+    columns = ["doc_id", "at", "sz", *MAPS]
     group = W.partitionBy("tok").orderBy("doc_id", F.col("at").bitwiseAND(LOW_HALF), "at")  # read in order, nothing is held
     led = crowded(index).select(*columns, *[F.first(c).over(group).alias(f"y_{c}") for c in columns])
     pairs = led.where(earlier_than("y_", "") & may_match("", "y_", threshold)).select(*ENDS).distinct().checkpoint()
-    return similar_lines(pairs, lines, steps, threshold)
+    return similar_lines(pairs, rows, steps, threshold)
 
 
-def matched_lines(lines: DataFrame, copies: DataFrame, steps: list[int], threshold: float) -> DataFrame:
-    """(doc_id, at) of the lines, other than ``copies``, that have an earlier similar line."""
-    bitmap, bits = marked(copies)
-    heads = materialize(prefixes(lines, steps, threshold).withColumn("marked", is_marked(bitmap, bits)), "line-heads")  # words are read and hashed once
-    heads = heads.where("not marked").unionByName(heads.where("marked").join(copies, ["doc_id", "at"], "left_anti").select(heads.columns)).drop("marked")
+def matched_lines(heads: DataFrame, rows: DataFrame, steps: list[int], threshold: float) -> DataFrame:
+    """(doc_id, at) of the lines of ``heads`` that have an earlier similar line there."""
     heads = heads.withColumn("settled", F.lit(False))
-    settled = settled_lines(index_rows(heads), lines, steps, threshold)
+    settled = settled_lines(index_rows(heads), rows, steps, threshold)
     if not settled.isEmpty():
         bitmap, bits = marked(settled)
         maybe = heads.drop("settled").where(is_marked(bitmap, bits)).join(settled.withColumn("settled", F.lit(True)), ["doc_id", "at"], "left")
@@ -285,19 +288,31 @@ def matched_lines(lines: DataFrame, copies: DataFrame, steps: list[int], thresho
     index = index_rows(heads).repartition("tok")  # moved once: both sides of the pairs read this
     open_rows = index.where(F.when(F.spark_partition_id() >= 0, ~is_settled("sz")))  # asked of the moved rows: no filter goes under the exchange
     pairs = meet(open_rows, index, threshold).distinct().checkpoint()
-    return settled.unionByName(similar_lines(pairs, lines, steps, threshold))
+    return settled.unionByName(similar_lines(pairs, rows, steps, threshold))
+
+
+def copied_lines(heads: DataFrame) -> DataFrame:
+    """(doc_id, at) of every line with the text of an earlier one."""
+    occurrences = heads.select("h1", "h2", "doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at")
+    several = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = occurrences.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    return later.select("doc_id", "at").distinct().checkpoint()
+
+
+def without(heads: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of ``heads`` that are not ``copies``, written once for all who read them; a bitmap spares most of them the join."""
+    bitmap, bits = marked(copies)
+    few = heads.where(is_marked(bitmap, bits)).join(copies, ["doc_id", "at"], "left_anti").select(heads.columns)
+    return materialize(heads.where(~is_marked(bitmap, bits)).unionByName(few).drop("h1", "h2"), "open-heads")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, at) of every line with an earlier line that is equal or similar."""
-    lines = line_table(docs, doc_id, text).where(F.col("line").rlike(WORDED))
-    occurrences = lines.select("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    first = F.min(F.struct("doc_id", "mark", "at"))
-    several = occurrences.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = (occurrences.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-              .select("doc_id", "at").distinct().checkpoint())
+    rows = text_rows(docs, doc_id, text)
     steps = rarity(docs, text)
-    similar = matched_lines(lines, copies, steps, threshold)
+    heads = materialize(prefixes(worded_lines(rows), steps, threshold), "line-heads")  # words are read and hashed once
+    copies = copied_lines(heads)
+    similar = matched_lines(without(heads, copies), rows, steps, threshold)
     return copies.unionByName(similar).distinct()
 
 
@@ -312,7 +327,7 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         gone = removed.select("doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), F.shiftrightunsigned("at", 32).cast("int").alias("no"))
         gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("no").alias("gone")).checkpoint()
         marks = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("mark"))
-        equal = marks.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        equal = marks.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
         bitmap, bits = marked(gone.select("doc_id", "mark").unionByName(equal.select("doc_id", "mark")).withColumnRenamed("mark", "at"))
     one = F.struct(*[F.col(c) for c in plain], F.col(text).alias("_text_"))  # the columns keep their names in here, whatever they are
     rows = docs.select(one.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("at"))

@@ -135,6 +135,20 @@ def test_line_dedup_of_lines_about_the_wide_map(spark):
     assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
+def test_line_dedup_compares_few_long_lines_that_are_not_alike(spark, monkeypatch):
+    """Long lines that share most rare words, but too few of all, are told apart before their texts are read; blanks about words change nothing."""
+    tried = []
+    found = line_dedup.similar_lines
+    monkeypatch.setattr(line_dedup, "similar_lines", lambda pairs, *rest: tried.append(pairs.count()) or found(pairs, *rest))
+    rng = random.Random(4)
+    shared = [f"rareword{k:03d}" for k in range(60)]
+    rows = [(i, " ".join(shared + rng.sample([f"w{k:04d}" for k in range(2000)], 90))) for i in range(60)]
+    rows += [(100, "  " + rows[7][1].replace(" ", "  ") + " "), (101, "\t".join(rows[9][1].split()) + " more")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {100, 101}
+    assert sum(tried) <= 60  # of 1,770 pairs with a common word
+
+
 def test_line_dedup_leaves_the_session_as_it_was(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
