@@ -238,4 +238,6 @@ def pages_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_urls(events(spark, sf_dir).select("event_id", "ts"), spark, sf_dir)
+    """(event_id, ts, url, label). The narrow event rows are dealt out first: the files may have few row groups,
+    and each row costs far more work than bytes, so no later shuffle would part them further."""
+    return with_urls(events(spark, sf_dir).select("event_id", "ts").repartition("event_id"), spark, sf_dir)

@@ -50,3 +50,18 @@ def test_rank_with_dominant_group(spark):
     rest = sorted(i for i in range(3000) if i % 3 != 0)
     assert [got[i] for i in hot] == list(range(1, len(hot) + 1))
     assert [got[i] for i in rest] == list(range(1, len(rest) + 1))
+
+
+def test_events_of_one_file_are_dealt_out(spark):
+    """One row group is one task; the work on each url is not left to it."""
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1b")
+    try:
+        rows = C.url_events(spark, SF_SMALL)
+        tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set(key, before)
+    total = sum(r.n for r in tasks)
+    assert total == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    assert len(tasks) > 1 and max(r.n for r in tasks) < 0.6 * total
