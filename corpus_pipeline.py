@@ -20,9 +20,19 @@ from hookline.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: What an Arrow batch holds at most; Spark's own limits (10,000 rows, 64 MB) let the text of one batch stand in the JVM and in Python for each core.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get few megabytes at a time. A stage's plan runs after the stage returned, so this stays set in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects go."""
+    small_batches(spark)
     lexicon = toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, lexicon)
 
@@ -37,6 +47,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    small_batches(spark)
     return ngram_join.keep_first(docs)
 
 
@@ -47,7 +58,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are packed into sequences; one row per piece."""
-    return packing.packed_pieces(docs, vocabulary(), keep_cache=False)  # the workers serve the other stages too
+    small_batches(spark)
+    return packing.packed_pieces(docs, vocabulary(), keep_cache=False, slice_bytes=BATCH_BYTES)  # the workers serve the other stages too
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 SIZE = 2048
 END_ID = 1
 CACHE_WORDS = 1_000_000
+SLICE_BYTES = 16 << 20  # of text at a time; arrays of its words take several times as much
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +184,7 @@ class Packer:
             window, filled = later, filled - part
 
 
-def slices(batch: pa.RecordBatch, text_bytes: int = 16 << 20):
+def slices(batch: pa.RecordBatch, text_bytes: int = SLICE_BYTES):
     """The batch in runs of rows with about ``text_bytes`` of text each."""
     sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // text_bytes)) + 1
@@ -194,13 +195,14 @@ def slices(batch: pa.RecordBatch, text_bytes: int = 16 << 20):
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID, checksums: bool = False,
-                   keep_cache: bool = True) -> DataFrame:
+                   keep_cache: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers; with
     ``checksums`` their CRC-32 stands there instead (``ids_crc32``), and no ids leave the task.
     Without ``keep_cache`` a Python worker forgets its words after each task: slower,
-    but it leaves the memory to the other jobs of the application.
+    but it leaves the memory to the other jobs of the application. So do fewer
+    ``slice_bytes``: that much text is cut into words at a time. Pieces are the same.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -225,7 +227,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
 
         for batch in batches:
             id_type = batch.column(0).type
-            for some in slices(batch):
+            for some in slices(batch, slice_bytes):
                 ids, bounds = words.texts(some.column(1))
                 out = []
                 for k, doc in enumerate(some.column(0).to_pylist()):

@@ -334,3 +334,25 @@ def test_pii_overlaps_equal_a_plain_look_at_all_pairs():
             for e in (s + 1, s + 4):
                 at = bisect_left(starts, e) - 1
                 assert (at >= 0 and ends[at] > s) == any(s < b and a < e for a, b in spans)
+
+
+def test_pipeline_stages_read_small_batches(spark):
+    """With Spark's own limits one batch holds all of these texts."""
+    import pyarrow as pa
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {k: spark.conf.get(k) for k in keys}
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    try:
+        pieces = corpus_pipeline.packing_stage(spark, docs, SF_SMALL)
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert max(r.bytes for r in got) < 6 << 20 and sum(r.n for r in got) == 3000
+        assert pieces.selectExpr("sum(length)", "3000 * max(doc_tokens)", "count(distinct doc_id)").collect() == [(3000 * 2001, 3000 * 2001, 3000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
