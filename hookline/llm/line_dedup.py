@@ -4,10 +4,11 @@ A line's tokens are its distinct words. A line is removed if some earlier line
 (by document id, then line number) has Jaccard similarity of at least the
 threshold with it. Only built-in functions run here:
 
-1. Lines are cut and their words hashed once; what is needed of each line (a
-   128-bit hash, the parity maps and the prefix of 3.) is written. Lines with the
-   same text meet by the hash; all but the first go at once (one minimum per
-   text, combined before the shuffle) and are not indexed.
+1. Lines with the same text meet by a 128-bit hash of the line; all but the
+   first go at once (one minimum per text, combined before the shuffle). Only the
+   words of the other lines are hashed, once; what is needed of each (the parity
+   maps and the prefix of 3.) is written. Two bitmaps tell which lines these are,
+   and the few that they leave in doubt are told apart by their places.
 2. A token's rarity is read from a small table of hashed counts over all words
    and from its length (a word is taken for rarer by a factor of two per
    byte). A token's key is that rank and 56 bits of its hash, so sorting
@@ -17,7 +18,9 @@ threshold with it. Only built-in functions run here:
    index. Two lines that reach t share a prefix key, differ in length by at
    most t, can still reach the overlap from the key's positions on, and their
    64-bit parity maps (128 bits, if both lines are long) differ in no more bits
-   than their sets may differ in tokens. These filters lose nothing.
+   than their sets may differ in tokens. Of the shorter line the first
+   n - ceil(2 t n / (1 + t)) + 1 keys do, so the commonest keys of two prefixes
+   are not tried on each other. These filters lose nothing.
 4. Where more than ``SMALL_GROUP`` rows have a key, the earliest of them is tried
    first: that settles nearly all lines of a large group of near copies with
    one pair per key, so no such group is squared. Such keys are found by one
@@ -54,13 +57,14 @@ SMALL_GROUP = 256  # rows of a key that need no leader; all lines of larger grou
 CROWD_BITS = 1 << 20  # bits for the keys of larger groups
 LONG = 64  # lines of more tokens than this have a parity map of 128 bits; for the others 64 tell enough
 MAPS = ["bits", "odd_bits"]
+LENGTHS = 31  # a word's length counts up to this many bytes
 SETTLED_AT = 31  # the bit of an index row's ``sz`` that says its line is settled
 WORDED = r"[^\x20\x09-\x0D]"
 
 
 def tokens(line: Column) -> Column:
     """The words of a line. Splitting at one character is much cheaper than at a pattern, and nearly all lines allow it, with no blank to drop."""
-    other = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r") | line.contains("\n")
+    other = line.rlike(r"[\x09-\x0D]")
     blanks = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
     return F.when(other | blanks, F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")).otherwise(F.split(line, " "))
 
@@ -83,14 +87,23 @@ def rarity(docs: DataFrame, text: str) -> list[int]:
     return steps
 
 
+def listed(numbers: list[int]) -> Column:
+    """The numbers as an array, one literal in the plan."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
 def keys_of(line: Column, steps: list[int]) -> Column:
-    """Distinct token keys of a line, rarest first: the cell's step, less two for each letter, then the word's hash. None is null, which makes sorting cheap."""
-    first = F.split(F.lit(",".join(str(x + 2 * 31) for x in steps)), ",").cast("array<bigint>")  # one literal
+    """Distinct token keys of a line, rarest first: the cell's step, less two for each letter, then the word's hash. None is null, which makes sorting cheap.
+
+    Ranks come from tables already shifted: Spark interprets each step in here for each word.
+    """
+    ranks = listed([(x + 2 * LENGTHS) << RANK_AT for x in steps])
+    less = listed([2 * x << RANK_AT for x in range(LENGTHS + 1)])
 
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
-        rank = F.get(first, cell_of(h)) - 2 * F.least(F.octet_length(word), F.lit(31))
-        return sure(F.shiftleft(rank, RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT)))
+        highest = F.get(ranks, h.bitwiseAND(RARITY_CELLS - 1)).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
+        return sure(highest - F.get(less, F.least(F.octet_length(word), F.lit(LENGTHS))))
 
     return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
@@ -99,16 +112,21 @@ def prefix_length(n: Column, threshold: float) -> Column:
     return n - F.ceil(n * threshold - 1e-9) + 1
 
 
-def parity_map(keys: Column) -> Column:
-    """64 bits, each the parity of how many keys fall on it: sets that differ in d tokens differ in at most d bits."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
+def index_length(n: Column, threshold: float) -> Column:
+    """How many keys of a line must meet the prefixes of lines that are as long or longer: the rarest common key is among them."""
+    return n - least_overlap(n, n, threshold) + 1
+
+
+def parity_map(keys: Column, places: list[int]) -> Column:
+    """64 bits, each the parity of how many keys fall on it: sets that differ in d tokens differ in at most d bits. ``places`` has the bits by a key's last ones."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.get(listed(places), k.bitwiseAND(len(places) - 1))))
 
 
 def parity_maps(keys: Column) -> list[Column]:
     """The map of 64 bits and, of long lines, one half of a map of 128; its other half is the sum (by exclusive or) of both."""
-    odd = parity_map(F.filter(keys, lambda k: F.getbit(k, F.lit(6)) == 1))
-    return [parity_map(keys), F.when(F.size(keys) > LONG, odd).otherwise(F.lit(0).cast("long"))]
+    bits = [1 << k for k in range(63)] + [-1 << 63]
+    odd = parity_map(keys, [0] * 64 + bits)
+    return [parity_map(keys, bits), F.when(F.size(keys) > LONG, odd).otherwise(F.lit(0).cast("long"))]
 
 
 def least_overlap(n: Column, m: Column, threshold: float) -> Column:
@@ -177,11 +195,12 @@ def sure(c: Column) -> Column:
 
 
 def prefixes(lines: DataFrame, steps: list[int], threshold: float) -> DataFrame:
-    """(doc_id, at, h1, h2, n, the parity maps, head): the hash of each worded line, the number of its keys, their parity maps, and the prefix."""
-    keyed = lines.select("doc_id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), keys_of(F.col("line"), steps).alias("keys"))
+    """(doc_id, at, n, the parity maps, head): the number of each line's keys, their parity maps, and the prefix; other columns of ``lines`` stay."""
+    more = [c for c in lines.columns if c not in ("doc_id", "at", "line")]
+    keyed = lines.select("doc_id", "at", *more, keys_of(F.col("line"), steps).alias("keys"))
     n = F.size("keys")
     head = F.transform(F.slice("keys", F.lit(1), prefix_length(n, threshold).cast("int")), lambda k: F.shiftrightunsigned(k, 63 - INDEX_BITS))
-    return keyed.select("doc_id", "at", "h1", "h2", n.alias("n"), *[m.alias(c) for c, m in zip(MAPS, parity_maps(F.col("keys")))], head.alias("head"))
+    return keyed.select("doc_id", "at", *more, n.alias("n"), *[m.alias(c) for c, m in zip(MAPS, parity_maps(F.col("keys")))], head.alias("head"))
 
 
 def index_rows(heads: DataFrame) -> DataFrame:
@@ -248,11 +267,22 @@ def earlier_than(y: str, x: str) -> Column:
     return (other < doc) | ((other == doc) & (other_at < at))
 
 
-def meet(later: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (doc_id, at, y_doc_id, y_at) of index rows with earlier rows of their key that pass the filters."""
-    earlier = index.select(*[F.col(c).alias(f"y_{c}") for c in ("tok", "doc_id", "at", "sz", *MAPS)])
-    on = (F.col("tok") == F.col("y_tok")) & few_flips("", "y_", threshold) & earlier_than("y_", "") & may_match("", "y_", threshold)
-    return later.join(earlier, on).select(*ENDS)
+def meet(index: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (doc_id, at, y_doc_id, y_at) of lines of ``index`` with earlier ones, the later not settled, that have a common key and pass the filters.
+
+    An open line meets the index keys of lines that are as long or shorter,
+    and all keys of settled lines that are earlier; no settled line meets another.
+    The rows are asked after they moved: no filter goes under the exchange that both sides read.
+    """
+    moved = F.spark_partition_id() >= 0
+    columns = ["tok", "doc_id", "at", "sz", *MAPS]
+    rows = index.where(F.when(moved, ~is_settled("sz")))
+    met = index.where(F.when(moved, is_settled("sz") | (pos_of("sz") <= index_length(size_of("sz"), threshold)))).select(*[F.col(c).alias(f"y_{c}") for c in columns])
+    n, m, earlier = size_of("sz"), size_of("y_sz"), earlier_than("y_", "")
+    once = F.when(is_settled("y_sz"), earlier).otherwise((n > m) | ((n == m) & earlier))
+    on = (F.col("tok") == F.col("y_tok")) & few_flips("", "y_", threshold) & once & may_match("", "y_", threshold)
+    ends, others = ENDS[:2], ENDS[2:]
+    return rows.join(met, on).select(*[F.when(earlier, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in zip(ends + others, others + ends, ENDS)])
 
 
 def crowded(index: DataFrame) -> DataFrame:
@@ -286,34 +316,47 @@ def matched_lines(heads: DataFrame, rows: DataFrame, steps: list[int], threshold
         maybe = heads.drop("settled").where(is_marked(bitmap, bits)).join(settled.withColumn("settled", F.lit(True)), ["doc_id", "at"], "left")
         heads = heads.where(~is_marked(bitmap, bits)).unionByName(maybe.withColumn("settled", F.coalesce("settled", F.lit(False))))
     index = index_rows(heads).repartition("tok")  # moved once: both sides of the pairs read this
-    open_rows = index.where(F.when(F.spark_partition_id() >= 0, ~is_settled("sz")))  # asked of the moved rows: no filter goes under the exchange
-    pairs = meet(open_rows, index, threshold).distinct().checkpoint()
+    pairs = meet(index, threshold).distinct().checkpoint()
     return settled.unionByName(similar_lines(pairs, rows, steps, threshold))
 
 
-def copied_lines(heads: DataFrame) -> DataFrame:
+def line_hashes(lines: DataFrame) -> DataFrame:
+    """(doc_id, at, h1, h2): 128 bits for the text of each line."""
+    return lines.select("doc_id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+
+
+def copied_lines(hashes: DataFrame) -> DataFrame:
     """(doc_id, at) of every line with the text of an earlier one."""
-    occurrences = heads.select("h1", "h2", "doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at")
+    occurrences = hashes.select("h1", "h2", "doc_id", F.col("at").bitwiseAND(LOW_HALF).alias("mark"), "at")
     several = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = occurrences.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
     return later.select("doc_id", "at").distinct().checkpoint()
 
 
-def without(heads: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of ``heads`` that are not ``copies``, written once for all who read them; a bitmap spares most of them the join."""
+def open_heads(lines: DataFrame, hashes: DataFrame, copies: DataFrame, steps: list[int], threshold: float) -> DataFrame:
+    """``prefixes`` of the ``lines`` that are not ``copies``, written for all who read them.
+
+    A line without the bit of a copy is none. Those that have such a bit by chance get
+    a bitmap of their own; the lines in both are few, and only they are joined.
+    """
     bitmap, bits = marked(copies)
-    few = heads.where(is_marked(bitmap, bits)).join(copies, ["doc_id", "at"], "left_anti").select(heads.columns)
-    return materialize(heads.where(~is_marked(bitmap, bits)).unionByName(few).drop("h1", "h2"), "open-heads")
+    spared = hashes.select("doc_id", "at").where(is_marked(bitmap, bits)).join(copies, ["doc_id", "at"], "left_anti").distinct().checkpoint()
+    stays, stay_bits = marked(spared)
+    flagged = lines.withColumn("doubt", is_marked(bitmap, bits)).where(~F.col("doubt") | is_marked(stays, stay_bits))
+    heads = materialize(prefixes(flagged, steps, threshold), "line-heads")  # words are hashed once
+    few = heads.where("doubt").join(spared, ["doc_id", "at"]).select(heads.columns)
+    return heads.where("not doubt").unionByName(materialize(few, "few-heads")).drop("doubt")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, at) of every line with an earlier line that is equal or similar."""
     rows = text_rows(docs, doc_id, text)
+    lines = worded_lines(rows)
+    hashes = materialize(line_hashes(lines), "line-hashes")
+    copies = copied_lines(hashes)
     steps = rarity(docs, text)
-    heads = materialize(prefixes(worded_lines(rows), steps, threshold), "line-heads")  # words are read and hashed once
-    copies = copied_lines(heads)
-    similar = matched_lines(without(heads, copies), rows, steps, threshold)
-    return copies.unionByName(similar).distinct()
+    heads = open_heads(lines, hashes, copies, steps, threshold)
+    return copies.unionByName(matched_lines(heads, rows, steps, threshold)).distinct()
 
 
 def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

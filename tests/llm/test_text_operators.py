@@ -149,6 +149,17 @@ def test_line_dedup_compares_few_long_lines_that_are_not_alike(spark, monkeypatc
     assert sum(tried) <= 60  # of 1,770 pairs with a common word
 
 
+def test_line_dedup_hashes_the_words_of_no_copy(spark, monkeypatch):
+    """Of equal lines only the first one's words are hashed."""
+    tried = []
+    found = line_dedup.prefixes
+    monkeypatch.setattr(line_dedup, "prefixes", lambda lines, *rest: tried.append(lines.count()) or found(lines, *rest))
+    rows = [(k, f"one line of all\nown{k} words{k} here{k}\nanother line they share") for k in range(60)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 2 * (k > 0) for k in range(60)}
+    assert 62 <= sum(tried) <= 70  # of 180 lines
+
+
 def test_line_dedup_leaves_the_session_as_it_was(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
