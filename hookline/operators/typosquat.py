@@ -131,10 +131,15 @@ def refined(rows: DataFrame, owner: list[str], start: Column) -> DataFrame:
     return rows.select(F.xxhash64("key", "more", "shift").alias("key"), text.alias("text"), m.alias("m"), budget.alias("budget"), *owner, (m <= budget).alias("last"))
 
 
+def by_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join of pieces on their key, never by a broadcast: Spark knows the size of the compressed files they are made from, and a row there makes many pieces."""
+    return left.join(right.hint("merge"), "key")
+
+
 def counted(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """The rows of ``labels`` that meet some of ``brands`` by their key, with the numbers of rows of both (a, b)."""
-    sizes = labels.groupBy("key").agg(F.count(F.lit(1)).alias("a")).join(brands.groupBy("key").agg(F.count(F.lit(1)).alias("b")), "key")
-    return materialize(labels.join(sizes, "key"), "brand-met")
+    sizes = by_key(labels.groupBy("key").agg(F.count(F.lit(1)).alias("a")), brands.groupBy("key").agg(F.count(F.lit(1)).alias("b")))
+    return materialize(by_key(labels, sizes), "brand-met")
 
 
 def meetings(labels: DataFrame, names: DataFrame, radius: int, few_pairs: int) -> tuple[DataFrame, int]:
@@ -171,7 +176,7 @@ def meetings(labels: DataFrame, names: DataFrame, radius: int, few_pairs: int) -
         where = where.where(F.substr("text", F.col("start") + F.col("shift") + 1, F.col("length")) == F.col("piece"))
         left = materialize(refined(where, ["label"], F.col("start") + F.col("shift")), "brand-labels-met")
         ways = where.select("key", "more", "shift").distinct()
-        right = materialize(refined(right.join(ways, "key"), ["brand_idx", "brand"], F.col("start")), "brand-names-met")
+        right = materialize(refined(by_key(right, ways), ["brand_idx", "brand"], F.col("start")), "brand-names-met")
         ends = counted(left.where("last"), right.where("last"))
         met += ends.agg(F.coalesce(product, F.lit(0))).first()[0]
         join(ends, right.where("last"))

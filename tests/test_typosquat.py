@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from brute import edit_distance
 from hookline.operators.typosquat import brand_matches, nearest_brands, search_nearest
+from hookline.session import materialize
 
 
 @settings(max_examples=10, deadline=None)
@@ -86,3 +87,22 @@ def test_names_made_from_one_word_make_few_pairs(spark):
         near = {r.label: (r.distance, r.brand) for r in found.matches.collect()}
         assert near == {"my-" + b: (3, b) for b in every[:n // 4]}
         assert sum(r[2] for r in found.rounds) < 40 * n  # not n / 4 for each name
+
+
+def test_pieces_are_not_broadcast(spark):
+    """The files under them look small to Spark, whatever number of pieces their rows make."""
+    plans = {}
+
+    def seen(df, name):
+        df.collect()
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    names = [f"automobile{i}" for i in range(30)]
+    ldf = spark.createDataFrame([("my-" + b,) for b in names], "main_label string")
+    bdf = spark.createDataFrame(list(enumerate(names)), "brand_idx long, brand string")
+    with mock.patch.multiple("hookline.operators.typosquat", FEW_BRANDS=1, FEW_LABELS=0, FEW_PAIRS=0, materialize=seen):
+        got = {r.label: (r.distance, r.brand) for r in search_nearest(ldf, bdf).matches.collect()}
+    assert got == {"my-" + b: (3, b) for b in names}
+    assert plans["brand-met"] and plans["brand-names-met"]
+    assert not [p for name in ("brand-met", "brand-names-met") for p in plans[name] if "BroadcastExchange" in p]
